@@ -1,0 +1,6 @@
+"""The registry of queries and of their SQL counterparts."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
