@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm import bpe
 from quarry.llm.decontaminate import benchmark_hits
 from quarry.llm.exact_dedup import exact_duplicates
 from quarry.session import table
@@ -15,11 +16,22 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(bpe.encode_and_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup, "op10_decontaminate": op10_decontaminate}
+QUERIES = {
+    "op5_exact_dedup": op5_exact_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op10_decontaminate": op10_decontaminate,
+}
 
 ORACLES = {
     "op5_exact_dedup": rf"""
