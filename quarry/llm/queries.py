@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm import bpe
 from quarry.llm.decontaminate import benchmark_hits
 from quarry.llm.exact_dedup import exact_duplicates
+from quarry.llm.quality import quality_scores
 from quarry.session import table
 
 _WS = r"[\x20\x09-\x0D]"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_decontaminate": op10_decontaminate,
