@@ -8,6 +8,7 @@ from quarry.llm import bpe, suffix_dedup
 from quarry.llm.decontaminate import benchmark_hits
 from quarry.llm.exact_dedup import exact_duplicates
 from quarry.llm.jaccard_join import similar_documents
+from quarry.llm.ppm import language_scores
 from quarry.llm.quality import quality_scores
 from quarry.session import table
 
@@ -18,6 +19,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_ppm": op2_ppm,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_exact_dedup": op5_exact_dedup,
