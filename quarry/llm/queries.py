@@ -8,8 +8,10 @@ from quarry.llm import bpe, suffix_dedup
 from quarry.llm.decontaminate import benchmark_hits
 from quarry.llm.exact_dedup import exact_duplicates
 from quarry.llm.jaccard_join import similar_documents
+from quarry.llm.pii import personal_data
 from quarry.llm.ppm import language_scores
 from quarry.llm.quality import quality_scores
+from quarry.llm.secrets import secret_findings
 from quarry.session import table
 
 _WS = r"[\x20\x09-\x0D]"
@@ -42,6 +44,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_and_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_findings(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +63,8 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_pii": op8_pii,
+    "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
 }
 
