@@ -12,6 +12,7 @@ from quarry.llm.pii import personal_data
 from quarry.llm.ppm import language_scores
 from quarry.llm.quality import quality_scores
 from quarry.llm.secrets import secret_findings
+from quarry.llm.warc import round_trip
 from quarry.session import table
 
 _WS = r"[\x20\x09-\x0D]"
@@ -37,6 +38,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_warc": op6_warc,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_pii": op8_pii,
     "op9_secrets": op9_secrets,
@@ -73,6 +79,12 @@ ORACLES = {
         WITH bare AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '{_WS}', '', 'g') AS b FROM documents),
         ranked AS (SELECT *, count(*) OVER (PARTITION BY b) AS group_size, first_value(doc_id) OVER (PARTITION BY b ORDER BY n DESC, doc_id NULLS LAST) AS keep_id FROM bare)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(b) AS text_sha256 FROM ranked""",
+    "op6_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        g AS (SELECT *, octet_length(b) AS n, min(page_id) OVER (PARTITION BY b) AS first FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest,
+               CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM g""",
     "op10_decontaminate": r"""
         WITH docs AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         items AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
