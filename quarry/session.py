@@ -20,6 +20,12 @@ def get_session(app: str = "quarry", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return found.rstrip("/") if found else "file://" + tempfile.mkdtemp(prefix="quarry-")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder; any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
