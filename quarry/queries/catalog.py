@@ -169,11 +169,11 @@ def ingest_metrics(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.avg("l_discount"), 4).alias("avg_disc"))
 
 
-@query("SELECT p_partkey, round(least(greatest(p_size / 5.0, 0), 10) * 0.6 + least(greatest(p_retailprice / 200.0, 0), 10) * 0.4, 1) AS weighted FROM part")
+@query("SELECT p_partkey, round(least(greatest(p_size / 5.0, 0), 10) * 0.6 + least(greatest(p_retailprice / 200.0, 0), 10) * 0.4, 6) AS weighted FROM part")
 def triage_priority(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 5.0).alias("a"), (F.col("p_retailprice") / 200.0).alias("b"))
     clamp = lambda c: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(10.0))
-    return rows.select("p_partkey", F.round(clamp("a") * 0.6 + clamp("b") * 0.4, 1).alias("weighted"))
+    return rows.select("p_partkey", F.round(clamp("a") * 0.6 + clamp("b") * 0.4, 6).alias("weighted"))
 
 
 @query("SELECT event_type, user_id % 3 = 0 AND value > 50 AS pending, count(*) AS n FROM events GROUP BY 1, 2")
