@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 _own: dict[str, str] = {}
 
@@ -37,7 +37,9 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema if partition_by else df.schema).parquet(path)
+    # The schema is given, since an empty table leaves no file to infer it from; partition columns come last.
+    fields = sorted(df.schema.fields, key=lambda f: f.name == partition_by)
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
