@@ -29,8 +29,8 @@ def lengths(rows: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
 def bm25(rows: DataFrame, key: str, columns: dict[str, str], terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
     """(key, matched, score) of rows with any of the terms; smaller is better. A term given twice counts twice.
 
-    The rows are read once: lengths, term counts and the corpus size come from one
-    pass, and only matching rows are shuffled.
+    One pass gives the corpus size, mean length and document frequencies (one row,
+    broadcast), a second the matching rows; no token is ever shuffled.
     """
     weights = weights or {}
     kinds = sorted(set(terms))

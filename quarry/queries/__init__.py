@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.queries import catalog, retrieval, sequence, text, workflow
+from quarry.queries import catalog, marks, retrieval, sequence, text, workflow
 
-MODULES = (retrieval, catalog, sequence, text, workflow)
+MODULES = (retrieval, catalog, sequence, text, marks, workflow)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
