@@ -7,8 +7,12 @@ pair has two places, so a lookup costs two reads however large the vocabulary.
 
 Texts are cut by the split pattern in tasks. The distinct words of a bounded
 sample of the corpus are folded once; their ids fill a table that tasks look
-words up in. That table only saves time: a word absent from it is folded in its
-document's own row, and one of over LONG_WORD bytes, for which an array fold
+pieces up in, which are cut at single blanks (a word takes the blank before it;
+texts in which words cross such blanks are cut by the pattern alone). That table
+only saves time: a word absent from it is folded in the
+row of the first document of the task that holds it (the rows then pass to the
+second half of the same task in order, which keeps the ids of the task's words),
+and one of over LONG_WORD bytes, for which an array fold
 costs the square of the length, is merged with a heap. Nothing is shuffled but
 the sample's words.
 
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,9 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Documents sampled for the word table (about), words in it at most, occurrences in the sample a word needs.
-SAMPLE_DOCS, TABLE_WORDS, TABLE_MIN = 24_000, 300_000, 2
+#: Documents sampled for the table (about), pieces in it at most, occurrences in the sample a piece needs.
+SAMPLE_DOCS, TABLE_PIECES, TABLE_MIN = 40_000, 300_000, 2
 LONG_WORD = 400
+#: Words whose ids a task keeps; it forgets them all beyond that.
+TASK_WORDS = 200_000
 _BITS, _NONE = 18, 2**31 - 1
 #: Multipliers below 2**30, so that products of 32-bit pairs stay within a long.
 _MIXERS = (0x2545F491, 0x1B873593)
@@ -70,12 +77,13 @@ def _let(value: Column, body) -> Column:
 
 
 def fold(ranks: dict[bytes, int]):
-    """A function from a column of array<int> bytes to a column of array<int> token ids."""
+    """A function from a column of array<array<int>> words of bytes to their array<array<int>> token ids."""
     literal = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # noqa: E731  folded to one literal by the optimizer
-    pairs, singles = literal(pair_table(ranks)), literal([ranks[bytes([b])] for b in range(256)]).cast("array<int>")
+    table, singles = literal(pair_table(ranks)), literal([ranks[bytes([b])] for b in range(256)]).cast("array<int>")
+    two = literal([ranks.get(bytes([a, b]), _NONE) for a in range(256) for b in range(256)]).cast("array<int>")
     none = F.lit(_NONE)
 
-    def rank(a: Column, b: Column) -> Column:
+    def rank(pairs: Column, a: Column, b: Column) -> Column:
         def probe(pair: Column) -> Column:
             at = [F.get(pairs, F.shiftright(pair * F.lit(m), 22).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int")) for m in _MIXERS]
             hit = [F.shiftright(x, 16) == pair for x in at]
@@ -84,12 +92,12 @@ def fold(ranks: dict[bytes, int]):
 
         return _let(a.cast("bigint") * F.lit(65536) + b, probe)
 
-    def merge(state: Column, _: Column) -> Column:
+    def merge(pairs: Column, state: Column) -> Column:
         ids, known = state["ids"], state["ranks"]
 
         def at(best: Column, p: Column) -> Column:
-            left = F.when(p > 1, F.array(rank(F.get(ids, p - 2), best))).otherwise(F.array().cast("array<int>"))
-            right = F.when(p + 1 < F.size(ids), F.array(rank(best, F.get(ids, p + 1)))).otherwise(F.array().cast("array<int>"))
+            left = F.when(p > 1, F.array(rank(pairs, F.get(ids, p - 2), best))).otherwise(F.array().cast("array<int>"))
+            right = F.when(p + 1 < F.size(ids), F.array(rank(pairs, best, F.get(ids, p + 1)))).otherwise(F.array().cast("array<int>"))
             size = F.size(ids)
             merged = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(best), F.slice(ids, p + 2, size))
             ranked = F.concat(F.slice(known, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(known, p + 2, size))
@@ -97,12 +105,14 @@ def fold(ranks: dict[bytes, int]):
 
         return _let(F.array_min(known), lambda best: F.when(best.isNull() | (best == none), state).otherwise(_let(F.array_position(known, best).cast("int"), lambda p: at(best, p))))
 
-    def apply(word: Column) -> Column:
+    def one(pairs: Column, bytes_two: Column, word: Column) -> Column:
         ids = F.transform(word, lambda b: F.get(singles, b))
-        first = _let(ids, lambda x: F.struct(x.alias("ids"), F.zip_with(F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, F.lit(2), F.size(x)), rank).alias("ranks")))
-        return F.aggregate(F.slice(word, F.lit(2), F.size(word)), first, merge, lambda state: state["ids"])
+        ranked = F.zip_with(F.slice(word, F.lit(1), F.greatest(F.size(word) - 1, F.lit(0))), F.slice(word, F.lit(2), F.size(word)), lambda a, b: F.get(bytes_two, a * 256 + b))
+        first = F.struct(ids.alias("ids"), ranked.alias("ranks"))
+        return F.aggregate(F.slice(word, F.lit(2), F.size(word)), first, lambda state, _: merge(pairs, state), lambda state: state["ids"])
 
-    return apply
+    # The tables are bound once, outside all lambdas, so the plan holds them once.
+    return lambda words: _let(table, lambda pairs: _let(two, lambda bytes_two: F.transform(words, lambda word: one(pairs, bytes_two, word))))
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -126,18 +136,18 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if end[i]]
 
 
-def _sampled_words(pattern: str):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+#: A blank between white space and white space or the end, where words cross the blanks that pieces are cut at.
+_CROSSING = re.compile(r"\s (?:\s|\Z)")
 
-        find, seen = regex.compile(pattern).findall, Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(find(text))
-        words = [w for w in seen if len(w) <= 40]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], names=["word", "n"])
 
-    return count
+def _sampled_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of what lies between single blanks."""
+    seen: Counter = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            seen.update(text.split(" ")[1:])
+    pieces = [w for w in seen if w and len(w) <= 40]
+    yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array([seen[w] for w in pieces], pa.int64())], names=["piece", "n"])
 
 
 def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,37 +155,74 @@ def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(w.encode()) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["word", "bytes"])
 
 
+class Table:
+    """Ids of pieces after a blank, and of words without one, as packed integers."""
+
+    def __init__(self, pieces: list[str], ids: dict[str, bytes], find):
+        words = {p: find(" " + p) for p in pieces}
+        self.pieces = {p: b"".join(map(ids.__getitem__, w)) for p, w in words.items()}
+        self.words = {w: i for w, i in ids.items() if w[0] != " "}
+
+    def word(self, word: str) -> bytes | None:
+        return self.pieces.get(word[1:]) if word[0] == " " and len(word) > 1 else self.words.get(word)
+
+
 def _split(pattern: str, table, ranks):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, get, known_ranks = regex.compile(pattern).findall, table.value.get, ranks.value
+        find, get, of_word, known_ranks = regex.compile(pattern).findall, table.value.pieces.get, table.value.word, ranks.value
+        numbers: dict[str, int] = {}
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                known, gaps, rare = [], [], []
+                known, gaps, rare, places = [], [], [], []
+                forget = len(numbers) > TASK_WORDS
+                if forget:
+                    numbers.clear()
                 for text in part.column(1).to_pylist():
-                    words = find(text) if text else []
-                    pieces = list(map(get, words))
-                    here, at, done = [], 0, []
-                    for i in [i for i, p in enumerate(pieces) if p is None]:
-                        raw = words[i].encode()
-                        if len(raw) > LONG_WORD:
-                            pieces[i] = np.array(heap_merge(raw, known_ranks), "<u4").tobytes()
-                            continue
-                        done.append(b"".join(pieces[at:i]))
-                        here.append(raw)
+                    if _CROSSING.search(text):
+                        words, pieces = find(text), None
+                        pieces = list(map(of_word, words))
+                        unknown = [(i, [w]) for i, (w, p) in enumerate(zip(words, pieces)) if p is None]
+                    else:
+                        raw = text.split(" ")
+                        pieces = list(map(get, raw))
+                        pieces[0] = None  # the first has no blank before it
+                        unknown = [(i, find(" " + raw[i] if i else raw[0])) for i, p in enumerate(pieces) if p is None]
+                    here, at, done, place = [], 0, [], []
+                    for i, words in unknown:
+                        done_here = pieces[at:i]
                         at = i + 1
+                        for word in words:
+                            ids = of_word(word)
+                            if ids is None and (number := numbers.get(word)) is None:
+                                spelt = word.encode()
+                                if len(spelt) > LONG_WORD:
+                                    ids = np.array(heap_merge(spelt, known_ranks), "<u4").tobytes()
+                                else:
+                                    number = numbers[word] = len(numbers)
+                                    here.append(spelt)
+                            if ids is not None:
+                                done_here.append(ids)
+                                continue
+                            done.append(b"".join(done_here))
+                            done_here = []
+                            place.append(number)
+                        pieces[i] = b"".join(done_here)
+                        at = i
                     done.append(b"".join(pieces[at:]))
                     known.append(b"".join(done))
                     gaps.append(np.cumsum([len(d) // 4 for d in done[:-1]], dtype=np.int32))
                     rare.append(here)
+                    places.append(place)
                 flat = b"".join(b"".join(r) for r in rare)
                 inner = np.cumsum([0] + [len(w) for r in rare for w in r])
                 outer = np.cumsum([0] + [len(r) for r in rare])
                 words_col = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(np.frombuffer(flat, np.uint8).astype(np.int32))))
-                gaps_col = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.array(np.concatenate(gaps) if gaps else [], pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(known, pa.binary()), gaps_col, words_col], names=["doc_id", "known", "gaps", "words"])
+                gap_bounds = pa.array(np.cumsum([0] + [len(p) for p in places]), pa.int32())
+                listed = [pa.ListArray.from_arrays(gap_bounds, pa.array(np.concatenate(x), pa.int32())) for x in (gaps, [np.array(p, np.int32) for p in places])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(known, pa.binary()), *listed, words_col, pa.array([forget] + [False] * (part.num_rows - 1))], names=["doc_id", "known", "gaps", "places", "words", "forget"])
 
     return cut
 
@@ -183,17 +230,24 @@ def _split(pattern: str, table, ranks):
 def _join(pieces):
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pieces.value.__getitem__
+        folded: list[bytes] = []
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
                 encoded, decoded = [], []
-                gaps, rare = part.column(2), part.column(3)
+                gaps, places, rare = part.column(2), part.column(3), part.column(4)
                 for i, known in enumerate(part.column(1)):
                     ids = np.frombuffer(known.as_buffer(), "<u4")
+                    if part.column(5)[i].as_py():
+                        folded.clear()
                     lists = rare[i].values
                     if lists is not None and len(lists):
-                        sizes = np.diff(lists.offsets.to_numpy())
-                        ids = np.insert(ids, np.repeat(gaps[i].values.to_numpy(), sizes), lists.flatten().to_numpy().astype("<u4"))
+                        flat, cuts = lists.flatten().to_numpy().astype("<u4").tobytes(), ((lists.offsets.to_numpy() - lists.offsets[0].as_py()) * 4).tolist()
+                        folded += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+                    at = places[i].values
+                    if at is not None and len(at):
+                        new = [folded[k] for k in at.to_numpy()]
+                        ids = np.insert(ids, np.repeat(gaps[i].values.to_numpy(), [len(x) // 4 for x in new]), np.frombuffer(b"".join(new), "<u4"))
                     encoded.append(ids.astype("<u4").tobytes())
                     decoded.append(b"".join(map(piece, ids.tolist())))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoded, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
@@ -203,17 +257,22 @@ def _join(pieces):
 
 def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """One row per row of docs: doc_id, ids (little-endian unsigned 32-bit integers), decoded (their bytes)."""
+    import regex
+
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     folded = fold(ranks)
     share = min(1.0, SAMPLE_DOCS / max(1, slim.count()))
-    words = slim.sample(share, 7).select("text").mapInArrow(_sampled_words(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(f"n >= {TABLE_MIN}")
-    words = words.orderBy(F.desc("n"), "word").limit(TABLE_WORDS).select("word").repartition(48)
-    rows = words.mapInArrow(_as_bytes, "word string, bytes array<int>").select("word", folded(F.col("bytes")).alias("ids")).toArrow().to_pydict()
-    table = {w: np.array(ids, "<u4").tobytes() for w, ids in zip(rows["word"], rows["ids"])}
+    counted = slim.sample(share, 7).select("text").mapInArrow(_sampled_pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where(f"n >= {TABLE_MIN}")
+    frequent = counted.orderBy(F.desc("n"), "piece").limit(TABLE_PIECES).select("piece").toArrow().column(0).to_pylist()
+    find = regex.compile(pattern).findall
+    words = pa.table({"word": pa.array(sorted({w for p in frequent for w in find(" " + p)}), pa.string())})
+    words = spark.createDataFrame(words).repartition(48) if words.num_rows else spark.createDataFrame([], "word string")
+    rows = words.mapInArrow(_as_bytes, "word string, bytes array<int>").select("word", F.get(folded(F.array("bytes")), F.lit(0)).alias("ids")).toArrow()
+    table = Table(frequent, {w: np.array(ids, "<u4").tobytes() for w, ids in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())}, find)
     context = spark.sparkContext
-    cut = slim.mapInArrow(_split(pattern, context.broadcast(table), context.broadcast(ranks)), "doc_id long, known binary, gaps array<int>, words array<array<int>>")
-    ids = cut.select("doc_id", "known", "gaps", F.transform("words", folded).alias("words"))
+    cut = slim.mapInArrow(_split(pattern, context.broadcast(table), context.broadcast(ranks)), "doc_id long, known binary, gaps array<int>, places array<int>, words array<array<int>>, forget boolean")
+    ids = cut.select("doc_id", "known", "gaps", "places", folded(F.col("words")).alias("words"), "forget")
     pieces = [b""] * (max(ranks.values()) + 1)
     for word, rank in ranks.items():
         pieces[rank] = word

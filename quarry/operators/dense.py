@@ -2,15 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quarry.functions.columns import dot, normalised
+
+def cosines(vectors: DataFrame, matrix: list[list[float]], column: str = "embedding") -> DataFrame:
+    """vectors with a column ``cosines``: the cosine with each row of the matrix, in double precision, null for a null vector.
+
+    A batch of vectors is one matrix product; a vector of another width, or a zero one, gives zeros.
+    """
+    rows = np.asarray(matrix, float).reshape(len(matrix), -1)
+    sizes = np.linalg.norm(rows, axis=1, keepdims=True)
+    unit = np.divide(rows, sizes, out=np.zeros_like(rows), where=sizes > 0)
+    at = vectors.columns.index(column)
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column(at)
+            n = len(col)
+            widths = np.diff(col.offsets.to_numpy())
+            usable = np.asarray(col.is_valid()) & (widths == unit.shape[1])
+            out = np.zeros((n, len(unit)))
+            if usable.any():
+                x = col.filter(pa.array(usable)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, unit.shape[1])
+                size = np.linalg.norm(x, axis=1, keepdims=True)
+                out[usable] = np.divide(x, size, out=np.zeros_like(x), where=size > 0) @ unit.T
+            found = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(unit), pa.int32()), pa.array(out.ravel()), mask=col.is_null())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "cosines"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
+    return vectors.mapInArrow(product, f"{fields}, cosines array<double>")
 
 
 def cosine_top(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     """The k vectors of largest cosine with the query: vec_id, score, rank."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    scored = vectors.select("vec_id", dot(normalised(F.col("embedding")), normalised(q)).alias("score"))
+    scored = cosines(vectors.select("vec_id", "embedding"), [query]).select("vec_id", F.get("cosines", F.lit(0)).alias("score"))
     order = (F.desc(F.round("score", 6)), F.asc("vec_id"))
     return scored.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
@@ -23,9 +52,7 @@ def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
 
 def anchor_scores(vectors: DataFrame, anchors: list[tuple[str, list[float]]]) -> DataFrame:
     """Cosine with every anchor, rounded to 4, and the label of the largest unrounded score (first wins)."""
-    unit = normalised(F.col("embedding"))
-    arrays = [normalised(F.array(*(F.lit(float(x)) for x in vector))) for _, vector in anchors]
-    scores = vectors.select("*", F.array(*(dot(unit, a) for a in arrays)).alias("_s"))
+    scores = cosines(vectors, [vector for _, vector in anchors]).withColumnRenamed("cosines", "_s")
     names = F.array(*(F.lit(str(name)) for name, _ in anchors))
     best = F.get(names, (F.array_position("_s", F.array_max("_s")) - 1).cast("int"))
     return scores.select("vec_id", "label", *(F.round(F.get("_s", F.lit(k)), 4).alias(f"score_{name}") for k, (name, _) in enumerate(anchors)), best.alias("best_anchor"))

@@ -34,9 +34,11 @@ def bm25(rows: DataFrame, key: str, columns: dict[str, str], terms: list[str], w
     """
     weights = weights or {}
     kinds = sorted(set(terms))
-    bags = {name: words(F.col(c)) for name, c in columns.items()}
-    count = lambda t: reduce(lambda a, b: a + b, (F.size(F.filter(bag, lambda x: x == t)) * float(weights.get(name, 1.0)) for name, bag in bags.items()))
-    one = rows.select(F.col(key), reduce(lambda a, b: a + b, (F.size(b) for b in bags.values())).alias("len"), *(count(t).alias(f"f{k}") for k, t in enumerate(kinds)))
+    names = {name: f"_bag_{k}" for k, name in enumerate(columns)}
+    # As the one row of a generator, the tokens are made once and not again in every expression that uses them.
+    bags = rows.select(F.col(key), F.inline(F.array(F.struct(*(words(F.col(c)).alias(names[name]) for name, c in columns.items())))))
+    count = lambda t: reduce(lambda a, b: a + b, ((F.size(bag) - F.size(F.array_remove(bag, t))) * float(weights.get(name, 1.0)) for name, bag in names.items()))
+    one = bags.select(F.col(key), reduce(lambda a, b: a + b, (F.size(b) for b in names.values())).alias("len"), *(count(t).alias(f"f{k}") for k, t in enumerate(kinds)))
     stats = one.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"f{k}") > 0).alias(f"d{k}") for k in range(len(kinds))))
     hits = one.where(reduce(lambda a, b: a | b, (F.col(f"f{k}") > 0 for k in range(len(kinds)))))
 

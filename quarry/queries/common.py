@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators.chunks import paragraphs
-from quarry.session import table
+from quarry.session import spread, table
 
 #: SQL for the paragraphs of documents; use as ``WITH p AS (…)``.
 PARAGRAPHS = """p AS (
@@ -18,8 +18,13 @@ PARAGRAPHS = """p AS (
 WORDS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, dealt out to all cores where its files make too few tasks."""
+    return spread(table(spark, sf_dir, name))
+
+
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs(table(spark, sf_dir, "documents"))
+    return paragraphs(texts(spark, sf_dir))
 
 
 class Registry:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import marks as M
 from quarry.operators import lexical, lookup
 from quarry.plans import documents
-from quarry.queries.common import PARAGRAPHS, Registry, chunk_table
+from quarry.queries.common import PARAGRAPHS, Registry, chunk_table, texts
 from quarry.session import table
 
 query = Registry()
@@ -16,7 +16,7 @@ query = Registry()
 @query(f"WITH {PARAGRAPHS}, c AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN concat(doc_id, ':1') ELSE concat('x', doc_id, ':', doc_id + 100) END AS cited FROM documents), t AS (SELECT split_part(chunk_id, ':', 2) AS tail, min(chunk_id) AS s FROM p GROUP BY 1)"
     " SELECT cited, coalesce(p.chunk_id, s) AS chunk_id, CASE WHEN p.chunk_id IS NOT NULL THEN 'exact' WHEN s IS NOT NULL THEN 'suffix' END AS how FROM c LEFT JOIN p ON p.chunk_id = cited LEFT JOIN t ON tail = split_part(cited, ':', 2) AND length(tail) > 2 AND p.chunk_id IS NULL")
 def citation_hydration(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     cited = docs.select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.col("doc_id"), F.lit(":1"))).otherwise(F.concat(F.lit("x"), F.col("doc_id"), F.lit(":"), F.col("doc_id") + 100)).alias("cited"))
     return lookup.by_id_or_suffix(cited, chunk_table(spark, sf_dir))
 

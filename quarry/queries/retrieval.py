@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.functions.columns import dot, normalised
 from quarry.operators import catalog, dense, lexical
 from quarry.operators.chunks import per_group_top
 from quarry.plans import search
-from quarry.queries.common import PARAGRAPHS, WORDS, Registry, chunk_table
+from quarry.queries.common import PARAGRAPHS, WORDS, Registry, chunk_table, texts
 from quarry.session import table
 
 query = Registry()
@@ -59,7 +60,7 @@ def bm25_phrase(spark, sf_dir):
 
 @query(f"WITH d AS (SELECT doc_id, {_W} AS w FROM documents) SELECT t AS term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, min(first) AS first_position FROM (SELECT doc_id, t, count(*) AS tf, min(pos) - 1 AS first FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS pos FROM d) GROUP BY doc_id, t) GROUP BY t")
 def term_statistics(spark, sf_dir):
-    posted = lexical.postings(table(spark, sf_dir, "documents"), "doc_id", {"text": "text"})
+    posted = lexical.postings(texts(spark, sf_dir), "doc_id", {"text": "text"})
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.min(F.get("positions", F.lit(0))).cast("long").alias("first_position"))
 
 
@@ -98,7 +99,7 @@ def workspace_overlap_by_doc(spark, sf_dir):
 
 @query("SELECT doc_id, array_to_string(list_filter(['the', 'onha', 'zzz', 'qu-x', 'ering'], lambda t: contains(lower(text), t)), ',') AS shared FROM documents")
 def shared_query_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", F.array_join(T.shared_terms("The onha zzz of qu-x the ering", F.col("text")), ",").alias("shared"))
 
 
@@ -142,8 +143,7 @@ def cosine_topk(spark, sf_dir):
     SELECT vec_id, combined FROM c ORDER BY combined DESC, vec_id LIMIT 20""")
 def two_stage_rerank(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    q = F.array(*(F.lit(float(x)) for x in _vector(spark, sf_dir)))
-    scores = vectors.select("vec_id", "label", dense.dot(dense.normalised(F.col("embedding")), dense.normalised(q)).alias("score"))
+    scores = dense.cosines(vectors, [_vector(spark, sf_dir)]).select("vec_id", "label", F.get("cosines", F.lit(0)).alias("score"))
     prior = scores.groupBy("label").agg(F.avg("score").alias("prior"))
     out = dense.two_stage(scores.join(F.broadcast(prior), "label"), F.col("prior"), F.when(F.col("label") == 3, 1.0).otherwise(0.0))  # one row a label
     return out.select("vec_id", "combined").orderBy(F.desc("combined"), "vec_id").limit(20)
@@ -156,7 +156,7 @@ def two_stage_rerank(spark, sf_dir):
 def rrf_hybrid(spark, sf_dir):
     """Vectors stand for the documents of the same number."""
     first = dense.cosine_top(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 20).select(F.col("vec_id").alias("id"), "rank")
-    scores = lexical.bm25(table(spark, sf_dir, "documents"), "doc_id", {"text": "text"}, ["the", "onha"]).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
+    scores = lexical.bm25(texts(spark, sf_dir), "doc_id", {"text": "text"}, ["the", "onha"]).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
     second = lexical.ranked(scores, 20, F.asc("score"), F.asc("id"))
     return lexical.reciprocal_ranks(first, second, "id", 60, 10).select("id", F.round("score", 6).alias("score"))
 
@@ -184,28 +184,27 @@ def anchor_means_by_group(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def not_yet_embedded_anti(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left_anti")
+    return texts(spark, sf_dir).select("doc_id").join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left_anti")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def known_docs_semi(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi")
+    return texts(spark, sf_dir).select("doc_id", "lang").join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi")
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_W} AS w FROM documents), """ + _bm25_sql("d", "doc_id", ["the", "onha"], {"w": 1}, f""", m AS (SELECT max(abs(score)) AS top FROM sc)
     SELECT vec_id AS id, round(CASE WHEN score IS NULL THEN 100 * greatest(0, {_COS}) ELSE 0.3 * 100 * abs(score) / top + 0.7 * 100 * greatest(0, {_COS}) END, 3) AS blend FROM embeddings LEFT JOIN sc ON doc_id = vec_id, m"""))
 def lexical_semantic_blend(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    q = F.array(*(F.lit(float(x)) for x in _vector(spark, sf_dir)))
-    cos = vectors.select(F.col("vec_id").alias("id"), dense.dot(dense.normalised(F.col("embedding")), dense.normalised(q)).alias("cos"))
-    scores = lexical.bm25(table(spark, sf_dir, "documents"), "doc_id", {"text": "text"}, ["the", "onha"]).select(F.col("doc_id").alias("id"), "score")
+    cos = dense.cosines(vectors, [_vector(spark, sf_dir)]).select(F.col("vec_id").alias("id"), F.get("cosines", F.lit(0)).alias("cos"))
+    scores = lexical.bm25(texts(spark, sf_dir), "doc_id", {"text": "text"}, ["the", "onha"]).select(F.col("doc_id").alias("id"), "score")
     return search.blend(cos, scores).select("id", F.round("blend", 3).alias("blend"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 4) AS norm, CASE WHEN list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) = 0 THEN 0.0 ELSE 1.0 END AS unit FROM embeddings")
 def vector_norms(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return v.select("vec_id", F.round(dense.dot(F.col("embedding"), F.col("embedding")) ** 0.5, 4).alias("norm"), F.round(dense.dot(dense.normalised(F.col("embedding")), dense.normalised(F.col("embedding"))) ** 0.5, 4).alias("unit"))
+    return v.select("vec_id", F.round(dot(F.col("embedding"), F.col("embedding")) ** 0.5, 4).alias("norm"), F.round(dot(normalised(F.col("embedding")), normalised(F.col("embedding"))) ** 0.5, 4).alias("unit"))
 
 
 QUERIES, ORACLES = query.queries, query.oracles

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.functions.columns import found
 from quarry.operators.furniture import page_furniture as furniture
-from quarry.queries.common import PARAGRAPHS, Registry, chunk_table
+from quarry.queries.common import PARAGRAPHS, Registry, chunk_table, texts
 from quarry.session import table
 from quarry.sources import html
 
@@ -20,7 +20,7 @@ _MODAL = [("of the", "OF_THE", "COMPOUND"), ("the", "THE", "OBLIGATION"), ("and"
 
 @query("SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '(?i){p}')) AS INT) AS {n}" for n, p in _LENS.items()) + " FROM documents WHERE lang = 'en' AND text = regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')")
 def requirement_lens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    docs = texts(spark, sf_dir).where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
     return docs.select("doc_id", *T.lens(F.col("text"), _LENS))
 
 
@@ -46,14 +46,14 @@ _SET = "list_distinct(list_filter(list_transform(string_split_regex(lower({0}),
 
 @query(f"WITH w AS (SELECT doc_id, {_SET.format('text')} AS s FROM documents WHERE lang = 'en') SELECT a.doc_id, round(100.0 * len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))) AS percent FROM w a JOIN w b ON b.doc_id = a.doc_id + 1")
 def jaccard_word_diff(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.word_set(F.col("text")).alias("a"))
+    rows = texts(spark, sf_dir).where("lang = 'en'").select("doc_id", T.word_set(F.col("text")).alias("a"))
     other = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
     return rows.join(other, "doc_id").select("doc_id", T.jaccard_percent(F.col("a"), F.col("b")).alias("percent"))
 
 
 @query("WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9/-]+', ' ', 'g'), ' '), lambda x: length(x) >= 4 AND NOT regexp_full_match(x, '[0-9]+') AND x NOT IN ('tion', 'that')))) AS term FROM documents WHERE lang = 'en') SELECT term, count(*) AS docs FROM t GROUP BY term HAVING count(*) >= 2 ORDER BY docs DESC, term LIMIT 14")
 def shared_concepts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = texts(spark, sf_dir).where("lang = 'en'")
     terms = docs.select(F.explode(T.concept_terms(F.col("text"), ["tion", "that"])).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("docs")).where("docs >= 2").orderBy(F.desc("docs"), "term").limit(14)
 
@@ -63,12 +63,12 @@ _Q = r"""SELECT doc_id, CAST(length(text) AS INT) AS n_chars, CAST(len(regexp_ex
 
 @query(_Q)
 def char_quality(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in T.quality_counts(F.col("text")).items()))
+    return texts(spark, sf_dir).select("doc_id", *(c.alias(n) for n, c in T.quality_counts(F.col("text")).items()))
 
 
 @query(f"WITH q AS ({_Q}) SELECT doc_id, CASE WHEN n_words < 20 THEN 'FAIL' WHEN n_alnum < 0.7 * n_chars THEN 'WARN' WHEN n_chars > 6000 THEN 'WARN' ELSE 'PASS' END AS status, concat_ws('; ', CASE WHEN n_words < 20 THEN 'too few words' END, CASE WHEN n_alnum < 0.7 * n_chars THEN 'few letters' END, CASE WHEN n_chars > 6000 THEN 'long' END) AS reasons FROM q")
 def quality_gate(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in T.quality_counts(F.col("text")).items()))
+    rows = texts(spark, sf_dir).select("doc_id", *(c.alias(n) for n, c in T.quality_counts(F.col("text")).items()))
     status, reasons = T.gate([(F.col("n_words") < 20, "FAIL", "too few words"), (F.col("n_alnum") < 0.7 * F.col("n_chars"), "WARN", "few letters"), (F.col("n_chars") > 6000, "WARN", "long")])
     return rows.select("doc_id", status.alias("status"), reasons.alias("reasons"))
 
@@ -79,7 +79,7 @@ def quality_gate(spark, sf_dir):
     SELECT source, line, times FROM k JOIN n USING (source) WHERE times >= greatest(3, floor(0.03 * pages))""")
 def page_furniture(spark, sf_dir):
     """Documents stand for pages, sources for their files."""
-    return furniture(chunk_table(spark, sf_dir), table(spark, sf_dir, "documents"), "source", 0.03)
+    return furniture(chunk_table(spark, sf_dir), texts(spark, sf_dir), "source", 0.03)
 
 
 @query(f"WITH {PARAGRAPHS} SELECT chunk_id, array_to_string(string_split_regex(trim(text), '\\s+')[1:50], ' ') || CASE WHEN len(string_split_regex(trim(text), '\\s+')) > 50 THEN '...' ELSE '' END AS snippet FROM p")
@@ -89,7 +89,7 @@ def snippets(spark, sf_dir):
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS normal FROM documents")
 def query_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalised_query(F.substring("text", 1, 200)).alias("normal"))
+    return texts(spark, sf_dir).select("doc_id", T.normalised_query(F.substring("text", 1, 200)).alias("normal"))
 
 
 @query("SELECT user_id, arg_max(event_id, ts) AS reused FROM events WHERE event_type = 'purchase' AND value >= 20 AND user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT ts) = count(ts)) GROUP BY user_id")
@@ -121,7 +121,7 @@ def celex_build(spark, sf_dir):
 
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '\\bof ([a-z]+)', 1), regexp_extract_all(text, '\\bto ([a-z]+)', 1)))), ',') AS refs FROM documents WHERE lang = 'en'")
 def refs_amend_repeal(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = texts(spark, sf_dir).where("lang = 'en'")
     return docs.select("doc_id", F.array_join(T.sorted_matches(F.col("text"), [r"\bof ([a-z]+)", r"\bto ([a-z]+)"]), ",").alias("refs"))
 
 
@@ -159,7 +159,7 @@ def highlights(spark, sf_dir):
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(13), ''), '[ \\t]+\\n', chr(10), 'g'), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g') AS text FROM documents")
 def conservative_normalise(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean(F.regexp_replace("text", "\r", "")).alias("text"))
+    return texts(spark, sf_dir).select("doc_id", T.clean(F.regexp_replace("text", "\r", "")).alias("text"))
 
 
 QUERIES, ORACLES = query.queries, query.oracles

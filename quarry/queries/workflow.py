@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.packing import page_chunks
 from quarry.plans import dataset, research
-from quarry.queries.common import PARAGRAPHS, Registry, chunk_table
+from quarry.queries.common import PARAGRAPHS, Registry, chunk_table, texts
 from quarry.session import table
 from quarry.streaming import incremental
 
@@ -19,19 +19,19 @@ _SPLIT = """h AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('42', do
 
 @query(f"WITH {_SPLIT} SELECT doc_id, split FROM s")
 def split_assignment(spark, sf_dir):
-    return dataset.split_documents(table(spark, sf_dir, "documents"), "doc_id")
+    return dataset.split_documents(texts(spark, sf_dir), "doc_id")
 
 
 @query(f"WITH {_SPLIT} SELECT split, count(*) AS n FROM s GROUP BY split")
 def split_assignment_counts(spark, sf_dir):
-    return dataset.split_documents(table(spark, sf_dir, "documents"), "doc_id").groupBy("split").agg(F.count("*").alias("n"))
+    return dataset.split_documents(texts(spark, sf_dir), "doc_id").groupBy("split").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {PARAGRAPHS}, {_SPLIT}, e AS (SELECT doc_id, chunk_id, 'quote' AS task, text AS target FROM p UNION ALL SELECT doc_id, chunk_id, 'source', source FROM p UNION ALL SELECT doc_id, chunk_id, 'number', regexp_extract(text, '([0-9]{{4,}})', 1) FROM p)
     SELECT split, task, count(*) AS examples, count(DISTINCT doc_id) AS documents FROM e JOIN s USING (doc_id) WHERE length(trim(target)) > 0 GROUP BY 1, 2""")
 def dataset_task_counts(spark, sf_dir):
     templates = {"quote": (F.lit("Quote."), F.col("text")), "source": (F.lit("Source?"), F.col("source")), "number": (F.lit("Number?"), F.regexp_extract("text", "([0-9]{4,})", 1))}
-    split = dataset.split_documents(table(spark, sf_dir, "documents"), "doc_id")
+    split = dataset.split_documents(texts(spark, sf_dir), "doc_id")
     return dataset.report(dataset.examples(chunk_table(spark, sf_dir), templates, split, "doc_id"), "doc_id")
 
 
@@ -47,7 +47,7 @@ def research_loop(spark, sf_dir):
 @query()
 def page_packing(spark, sf_dir):
     """Documents as pages, packed by word budget; tested on a fixture and for lost words."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n\n").alias("text"))
+    docs = texts(spark, sf_dir).select("doc_id", F.lit(1).alias("page"), F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n\n").alias("text"))
     return page_chunks(docs, 120, 200, 30).select("doc_id", "piece", F.size(F.split("text", r"\s+")).alias("words"))
 
 

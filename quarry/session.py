@@ -31,6 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal rows out anew if their scan has fewer tasks than there are cores.
+
+    Only small tables come in so few tasks; a large table has more and is left alone.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that tasks can import it wherever they run."""
     app = spark.sparkContext.applicationId
