@@ -159,8 +159,7 @@ class Table:
     """Ids of pieces after a blank, and of words without one, as packed integers."""
 
     def __init__(self, pieces: list[str], ids: dict[str, bytes], find):
-        words = {p: find(" " + p) for p in pieces}
-        self.pieces = {p: b"".join(map(ids.__getitem__, w)) for p, w in words.items()}
+        self.pieces = {p: b"".join(map(ids.__getitem__, find(" " + p))) for p in pieces}
         self.words = {w: i for w, i in ids.items() if w[0] != " "}
 
     def word(self, word: str) -> bytes | None:
@@ -255,6 +254,14 @@ def _join(pieces):
     return assemble
 
 
+def _packed(lists: pa.ChunkedArray) -> Iterator[bytes]:
+    """Each list of ids as packed integers, without a Python object for each id."""
+    for chunk in lists.chunks:
+        raw = chunk.flatten().to_numpy().astype("<u4").tobytes()
+        bounds = (chunk.offsets.to_numpy() - chunk.offsets[0].as_py()) * 4
+        yield from (raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+
+
 def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """One row per row of docs: doc_id, ids (little-endian unsigned 32-bit integers), decoded (their bytes)."""
     import regex
@@ -269,7 +276,8 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     words = pa.table({"word": pa.array(sorted({w for p in frequent for w in find(" " + p)}), pa.string())})
     words = spark.createDataFrame(words).repartition(48) if words.num_rows else spark.createDataFrame([], "word string")
     rows = words.mapInArrow(_as_bytes, "word string, bytes array<int>").select("word", F.get(folded(F.array("bytes")), F.lit(0)).alias("ids")).toArrow()
-    table = Table(frequent, {w: np.array(ids, "<u4").tobytes() for w, ids in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())}, find)
+    table = Table(frequent, dict(zip(rows.column(0).to_pylist(), _packed(rows.column(1)))), find)
+    del frequent, words, rows
     context = spark.sparkContext
     cut = slim.mapInArrow(_split(pattern, context.broadcast(table), context.broadcast(ranks)), "doc_id long, known binary, gaps array<int>, places array<int>, words array<array<int>>, forget boolean")
     ids = cut.select("doc_id", "known", "gaps", "places", folded(F.col("words")).alias("words"), "forget")
