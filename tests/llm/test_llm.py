@@ -335,6 +335,22 @@ def test_ppm_chances_add_up():
         assert np.allclose(got, [math.log10(chance(context, s)) for s in range(256)], atol=1e-5)
 
 
+@pytest.mark.parametrize("most", [ppm.MODEL_GRAMS, 7, 0])
+def test_ppm_scores_do_not_depend_on_the_cache(spark, monkeypatch, most):
+    """Scores follow from the counts of all training grams, also of those that the broadcast does not hold."""
+    monkeypatch.setattr(ppm, "MODEL_GRAMS", most)
+    monkeypatch.setattr(ppm, "PART_GRAMS", 300)
+    rows = made(11, 40) + [(2000 + k, f"Zoë {k} wrote über {k * k}") for k in range(40)]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    assert any(held(i) for i, _ in rows)
+    grams, _ = ppm.grams_of(pa.array([t or "" for i, t in rows if not held(i)]))
+    trie = ppm.Trie({k: ppm._tally(grams & ppm._mask(k + 1)) for k in range(ppm.ORDER + 1)})
+    expected = [(str(i), float(trie.score(ppm.grams_of(pa.array([t or ""]))[0]).sum())) for i, t in rows]
+    got = [(str(r["doc_id"]), r["score"]) for r in ppm.language_scores(frame(spark, rows)).collect()]
+    for a, b in zip(sorted(expected), sorted(got), strict=True):
+        assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9), (a, b)
+
+
 def test_personal_data(spark):
     forms = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
