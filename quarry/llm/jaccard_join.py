@@ -8,10 +8,11 @@ similar sets share a fraction equal to their Jaccard similarity.
 Each of RUNS runs is a tree: a node splits its sets by the token at a coordinate
 chosen for that node, one or two coordinates so that a pair at the threshold
 keeps one common path on average. Buckets of up to BUCKET sets are compared by
-brute force on the embedding; larger ones split again. Runs repeat until pairs at
-the threshold meet with TARGET probability (0.99). What is still large at the last level are
-sets that agree everywhere; they are compared with pivots, in rounds, and the
-few left over in blocks.
+brute force on the embedding; larger ones split again, to a depth that grows with
+the number of sets. Runs repeat until pairs at the threshold meet at that depth
+with TARGET probability (0.99). Buckets still large at the last level are cut in
+blocks, and every pair of blocks is compared in full in a task of its own, of which
+only the trees of similar sets leave the task.
 
 Pairs that pass the embedding's generous bound only propose groups. Texts of
 proposed groups meet once, and the exact Jaccard similarity of their full
@@ -38,7 +39,9 @@ from quarry.llm.exact_dedup import BROADCAST_ROWS
 from quarry.llm.scratch import written
 
 SIZE, THRESHOLD, TARGET = 5, 0.8, 0.99
-MINS, BUCKET, DEPTH, PIVOTS = 64, 32, 5, 6
+MINS, BUCKET, DEPTH = 64, 32, 5
+#: Sets from which each doubling adds a level, and sets in a block of a bucket.
+DEPTH_ROWS, BUCKET_BLOCK = 100_000, 2_000
 #: Agreement of the embeddings from which a pair is proposed: over three deviations below the threshold.
 PROPOSE = 0.62
 #: Members and bytes of text of one block of a group.
@@ -174,44 +177,60 @@ def _pairs_in_buckets(propose: float):
     return compare
 
 
-def _near_pivot(propose: float):
+def depth_of(sets: int) -> int:
+    return DEPTH + max(0, math.ceil(math.log2(max(1, sets) / DEPTH_ROWS)))
+
+
+def _near_in_blocks(propose: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                near = (_matrix(batch.column(3)) == _matrix(batch.column(4))).mean(1) >= propose
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near)], names=["path", "rid", "pivot", "near"])
+        # Columns: task key, side (0 left, 1 right, 2 both), rid, mins.
+        for batch in _runs_of(batches, 0):
+            task = batch.column(0).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]])
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                side, rid = batch.column(1).to_numpy()[x:y], batch.column(2).to_numpy()[x:y]
+                mins = np.ascontiguousarray(_matrix(batch.column(3).slice(x, y - x)).T)
+                left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+                link = np.zeros((len(rid), len(rid)), bool)
+                for at in range(0, len(left), 256):
+                    some = left[at : at + 256]
+                    same = np.zeros((len(some), len(right)), np.uint8)
+                    for values in mins:
+                        same += values[some][:, None] == values[right][None, :]
+                    near = same >= propose * MINS
+                    link[np.ix_(some, right)] = near
+                    link[np.ix_(right, some)] |= near.T
+                root = _roots(link)
+                good = np.flatnonzero(root != np.arange(len(rid)))
+                yield pa.RecordBatch.from_arrays([pa.array(rid[good]), pa.array(rid[root[good]])], names=["a", "b"])
 
     return compare
 
 
 def proposed_pairs(reps: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
-    """Pairs (a, b) of rid that share a bucket and agree in their embeddings."""
-    spark, propose = reps.sparkSession, PROPOSE * threshold / THRESHOLD
+    """Pairs (a, b) of rid that join all those that share a bucket and agree in their embeddings."""
+    propose = PROPOSE * threshold / THRESHOLD
     slim = reps.select("rid", "mins")
-    level = slim.mapInArrow(_first_level(runs_needed(DEPTH, target, threshold)), "path long, rid long")
+    last = depth_of(slim.count())
+    level = slim.mapInArrow(_first_level(runs_needed(last, target, threshold)), "path long, rid long")
     found = []
-    for depth in range(1, DEPTH + 1):
+    for depth in range(1, last + 1):
         level = written(level, "level")
         sizes = written(level.groupBy("path").count().where("count > 1"), "sizes")
         small = level.join(sizes.where(f"count <= {BUCKET}"), "path").select("path", "rid").join(slim, "rid").select("path", "rid", "mins")
         found.append(small.repartition("path").sortWithinPartitions("path", "rid").mapInArrow(_pairs_in_buckets(propose), "a long, b long"))
-        large = sizes.where(f"count > {BUCKET}").select("path")
+        large = sizes.where(f"count > {BUCKET}")
         if large.isEmpty():
             return _union(found).distinct()
-        rest = level.join(large, "path").select("path", "rid").join(slim, "rid").select("path", "rid", "mins")
-        if depth < DEPTH:
-            level = rest.mapInArrow(_next_level(threshold), "path long, rid long")
-    rest = written(rest, "rest")
-    for _ in range(PIVOTS):
-        pivots = rest.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "rid"), F.col("rid"))).alias("s")).select("path", F.col("s.rid").alias("pivot")).join(slim.select(F.col("rid").alias("pivot"), F.col("mins").alias("pivot_mins")), "pivot")
-        tried = written(rest.join(pivots, "path").select("path", "rid", "pivot", "mins", "pivot_mins").mapInArrow(_near_pivot(propose), "path long, rid long, pivot long, near boolean"), "tried")
-        found.append(tried.where("near and rid != pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")))
-        rest = written(tried.where("not near").select("path", "rid").join(slim, "rid").select("path", "rid", "mins"), "rest")
-        if rest.isEmpty():
-            return _union(found).distinct()
-    # Sets that agree on whole paths but with none of the pivots: each against its neighbours in the order of the embedding.
-    blocks = rest.withColumn("path", F.xxhash64("path", F.substring("mins", 1, 8)))
-    found.append(blocks.repartition("path").sortWithinPartitions("path", "rid").mapInArrow(_pairs_in_buckets(propose), "a long, b long"))
+        rest = level.join(large, "path").select("path", "rid", "count").join(slim, "rid").select("path", "rid", "mins", "count")
+        if depth < last:
+            level = rest.select("path", "rid", "mins").mapInArrow(_next_level(threshold), "path long, rid long")
+    # Every pair of blocks of a bucket, and every block with itself, is a task of its own.
+    blocks = F.ceil(F.col("count") / BUCKET_BLOCK).cast("int")
+    cut = rest.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rid", "path"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    tasks = cut.select(F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("path"), side.alias("side"), "rid", "mins")
+    found.append(tasks.repartition("path").sortWithinPartitions("path", "rid").mapInArrow(_near_in_blocks(propose), "a long, b long"))
     return _union(found).distinct()
 
 

@@ -149,6 +149,25 @@ def test_similar_documents(spark, monkeypatch, block):
     assert got == similar(rows)
 
 
+@pytest.mark.parametrize("block", [jaccard_join.BUCKET_BLOCK, 20])
+def test_pairs_among_texts_of_one_template(spark, monkeypatch, block):
+    """Pairs at the threshold meet among 10,000 texts that share half their words, where buckets stay large."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 4)
+    monkeypatch.setattr(jaccard_join, "BUCKET_BLOCK", block)
+    shared, texts = " ".join(f"s{k}" for k in range(64)), []
+    for k in range(10_100):
+        own = [f"o{k}w{j}" for j in range(64)]
+        texts.append(shared + " " + " ".join(own))
+        if k < 200:
+            texts.append(shared + " " + " ".join(own[:-13] + [f"p{k}w{j}" for j in range(13)]))  # 111 of 137 shingles
+    rows = frame(spark, list(enumerate(texts))).select("doc_id", "text")
+    reps = rows.mapInArrow(jaccard_join._embedded(jaccard_join.SIZE), "rid long, set_id binary, n long, bytes long, mins binary")
+    reps = reps.select("rid", "mins").localCheckpoint()
+    node = {r["node"]: r["component"] for r in connected_components(jaccard_join.proposed_pairs(reps)).collect()}
+    met = sum(2 * k in node and node[2 * k] == node.get(2 * k + 1) for k in range(200))
+    assert met >= 194
+
+
 def test_similar_documents_of_nothing(spark):
     assert jaccard_join.similar_documents(empty(spark)).count() == 0
     one = jaccard_join.similar_documents(frame(spark, [(1, None), (2, ""), (3, "a b c")])).collect()
