@@ -5,26 +5,31 @@ merging, again and again, the adjacent pair of lowest rank (leftmost on ties).
 Pair ranks stand in the plan as one literal array, a cuckoo hash map in which a
 pair has two places, so a lookup costs two reads however large the vocabulary.
 
-Texts are cut by the split pattern in tasks. The distinct words of a bounded
-sample of the corpus are folded once; their ids fill a table that tasks look
-pieces up in, which are cut at single blanks (a word takes the blank before it;
-texts in which words cross such blanks are cut by the pattern alone). That table
-only saves time: a word absent from it is folded in the
-row of the first document of the task that holds it (the rows then pass to the
-second half of the same task in order, which keeps the ids of the task's words),
-and one of over LONG_WORD bytes, for which an array fold
-costs the square of the length, is merged with a heap. Nothing is shuffled but
-the sample's words.
+1. Tasks cut texts into words by the split pattern and count their distinct
+   words; one shuffle adds the counts of the whole corpus.
+2. The TABLE_WORDS most frequent distinct words are folded once, and their ids
+   are packed in executors into a table that is broadcast: at most
+   TABLE_WORDS * (10 + 4 * TABLE_BYTES) bytes, typically 15 bytes a word.
+3. Tasks cut texts again and take ids from the table. Every word that the table
+   lacks is folded by the same expression in its own row, once a row. Nothing is
+   assumed about other rows or batches, and no text is shuffled. What was looked
+   up is decoded and held against the text, so a hash collision cannot pass.
+
+A word of over CUT bytes is cut where two bytes meet that stand side by side in
+no token: no merge can cross such a place, so the ids are the same. What still
+has over FOLD_BYTES bytes without such a place (one letter repeated thousands of
+times) is merged with a heap, because the fold costs the square of its length.
 
 Defined results: null and empty texts have no tokens; special-token strings are
-ordinary text; repeated rows are encoded one by one; other columns are not read.
+ordinary text; very long texts are cut like others; repeated rows are encoded one
+by one; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,14 +37,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Documents sampled for the table (about), pieces in it at most, occurrences in the sample a piece needs.
-SAMPLE_DOCS, TABLE_PIECES, TABLE_MIN = 40_000, 300_000, 2
-LONG_WORD = 400
-#: Words whose ids a task keeps; it forgets them all beyond that.
-TASK_WORDS = 200_000
+from quarry.llm.bytes_np import _BYTE, buffers, mix, powers, slices
+from quarry.llm.scratch import written
+
+#: Words of the broadcast table at most, and their bytes at most.
+TABLE_WORDS, TABLE_BYTES = 1_500_000, 24
+#: Distinct words a task counts before it passes them on.
+HELD = 300_000
+CUT, FOLD_BYTES = 48, 2_048
 _BITS, _NONE = 18, 2**31 - 1
 #: Multipliers below 2**30, so that products of 32-bit pairs stay within a long.
 _MIXERS = (0x2545F491, 0x1B873593)
+_U = np.uint64
+_EMPTY = _U(0xFFFFFFFFFFFFFFFF)
+
+#: Fixed value: the split pattern that `_starts` implements on bytes; other patterns go through the regex library.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
 
 def load_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -52,9 +66,9 @@ def _places(pair: int) -> list[int]:
     return [((pair * m) >> 22) & ((1 << _BITS) - 1) for m in _MIXERS]
 
 
-def pair_table(ranks: dict[bytes, int]) -> list[int]:
+def pair_table(ranks: dict[bytes, int]) -> np.ndarray:
     """Cuckoo table of every pair of tokens that concatenates to a token: pair << 16 | rank, -1 where empty."""
-    table = [-1] * (1 << _BITS)
+    table = np.full(1 << _BITS, -1, np.int64)
     for word, rank in ranks.items():
         for cut in range(1, len(word)):
             a, b = ranks.get(word[:cut]), ranks.get(word[cut:])
@@ -64,7 +78,7 @@ def pair_table(ranks: dict[bytes, int]) -> list[int]:
             for _ in range(500):
                 first, second = _places(entry >> 16)
                 place = first if place is None or place == second else second
-                entry, table[place] = table[place], entry
+                entry, table[place] = int(table[place]), entry
                 if entry < 0:
                     break
             else:
@@ -80,7 +94,7 @@ def fold(ranks: dict[bytes, int]):
     """A function from a column of array<array<int>> words of bytes to their array<array<int>> token ids."""
     literal = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # noqa: E731  folded to one literal by the optimizer
     table, singles = literal(pair_table(ranks)), literal([ranks[bytes([b])] for b in range(256)]).cast("array<int>")
-    two = literal([ranks.get(bytes([a, b]), _NONE) for a in range(256) for b in range(256)]).cast("array<int>")
+    two = literal(ranks.get(bytes([a, b]), _NONE) for a in range(256) for b in range(256)).cast("array<int>")
     none = F.lit(_NONE)
 
     def rank(pairs: Column, a: Column, b: Column) -> Column:
@@ -136,155 +150,355 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if end[i]]
 
 
-#: A blank between white space and white space or the end, where words cross the blanks that pieces are cut at.
-_CROSSING = re.compile(r"\s (?:\s|\Z)")
+@functools.lru_cache(1)
+def _code_point_classes() -> np.ndarray:
+    """Letter, number, white space or other of every code point."""
+    import regex
 
+    out = np.full(0x110000, _OTHER, np.uint8)
+    # Surrogates are no characters.
+    for first, beyond in ((0, 0xD800), (0xE000, 0x110000)):
+        every = "".join(map(chr, range(first, beyond)))
+        for name, kind in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER), (r"\p{White_Space}+", _SPACE)):
+            for m in regex.finditer(name, every):
+                out[first + m.start() : first + m.end()] = kind
+    return out
+
+
+def _classes(data: np.ndarray) -> np.ndarray:
+    """The class of the character that each byte belongs to."""
+    table = _code_point_classes()
+    out = table[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return out
+    b = [data[np.minimum(lead + k, len(data) - 1)].astype(np.int32) for k in range(4)]
+    low = [x & 63 for x in b]
+    two, three = (b[0] & 31) << 6 | low[1], (b[0] & 15) << 12 | low[1] << 6 | low[2]
+    four = np.minimum((b[0] & 7) << 18 | low[1] << 12 | low[2] << 6 | low[3], 0x10FFFF)
+    size = 2 + (b[0] >= 0xE0) + (b[0] >= 0xF0)
+    kind = table[np.where(size == 2, two, np.where(size == 3, three, four))]
+    for k in range(4):
+        some = (size > k) & (lead + k < len(data))
+        out[lead[some] + k] = kind[some]
+    return out
+
+
+def _starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """First bytes of the matches of PATTERN, which cover every text without gaps."""
+    n = len(data)
+    kind = _classes(data)
+    row = np.zeros(n + 3, bool)
+    row[ends] = True
+    new = row.copy()
+    new[1:n] |= kind[1:] != kind[:-1]
+    runs = np.flatnonzero(new[:n])
+    # White space before a text of its row: all but the last character is a match; a last blank joins what follows.
+    spaces = np.flatnonzero((kind[runs[:-1]] == _SPACE) & ~row[runs[1:]])
+    beyond = runs[spaces + 1]
+    last = beyond - 1
+    for _ in range(3):
+        last = last - ((data[last] & 0xC0) == 0x80)
+    new[last] = True
+    new[beyond[data[last] == 0x20]] = False
+    # Contractions, where an apostrophe begins a match.
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    mark = np.flatnonzero(data == 0x27)
+    mark = mark[new[mark] & ~row[mark + 1]]
+    one, both = padded[mark + 1], padded[mark + 1].astype(np.int32) << 8 | padded[mark + 2]
+    short = mark[np.isin(one, np.frombuffer(b"stmd", np.uint8))]
+    pair = mark[np.isin(both, [a << 8 | b for a, b in (b"re", b"ve", b"ll")]) & ~row[mark + 2]]
+    for at, size in ((short, 2), (pair, 3)):
+        new[at + 1] = False
+        new[at + size] = True
+    return np.flatnonzero(new[:n])
+
+
+def _starts_by_regex(pattern: str, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of matches and of gaps between them, and which are matches."""
+    import regex
 
-def _sampled_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of what lies between single blanks."""
-    seen: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(text.split(" ")[1:])
-    pieces = [w for w in seen if w and len(w) <= 40]
-    yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array([seen[w] for w in pieces], pa.int64())], names=["piece", "n"])
+    find, raw = regex.compile(pattern).finditer, data.tobytes()
+    starts, match = [], []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        text, seen, at = raw[a:b].decode("utf-8", "replace"), 0, a
+        for m in find(text):
+            if not m[0]:
+                continue
+            if m.start() > seen:
+                starts.append(at)
+                match.append(False)
+                at += len(text[seen : m.start()].encode())
+            starts.append(at)
+            match.append(True)
+            at += len(m[0].encode())
+            seen = m.end()
+        if at < b:
+            starts.append(at)
+            match.append(False)
+    return np.array(starts, np.int64), np.array(match, bool)
+
+
+def neighbours(ranks: dict[bytes, int]) -> np.ndarray:
+    """For each two bytes: whether they stand side by side in any token."""
+    out = np.zeros(65536, bool)
+    for word in ranks:
+        w = np.frombuffer(word, np.uint8).astype(np.int32)
+        out[w[:-1] << 8 | w[1:]] = True
+    return out
+
+
+class Cut:
+    """The words of a slice: first byte, end, row bounds in them, hash; long words are cut where no token can cross."""
+
+    def __init__(self, pattern: str, beside: np.ndarray, data: np.ndarray, ends: np.ndarray):
+        if not len(data):
+            starts, match = np.zeros(0, np.int64), None
+        elif pattern == PATTERN:
+            starts, match = _starts(data, ends), None
+        else:
+            starts, match = _starts_by_regex(pattern, data, ends)
+        sizes = np.diff(np.append(starts, len(data)))
+        extra = [i + 1 + np.flatnonzero(~beside[data[i : i + n - 1].astype(np.int32) << 8 | data[i + 1 : i + n]]) for i, n in zip(starts[sizes > CUT].tolist(), sizes[sizes > CUT].tolist())]
+        if extra:
+            more = np.concatenate(extra)
+            at = np.searchsorted(starts, more)
+            match = None if match is None else np.insert(match, at, match[at - 1])
+            starts = np.insert(starts, at, more)
+            sizes = np.diff(np.append(starts, len(data)))
+        value = np.zeros(0, _U)
+        if len(starts):
+            value = _BYTE[data] * powers(int(sizes.max()))[np.arange(len(data)) - np.repeat(starts, sizes)]
+            value = mix(np.add.reduceat(value, starts))
+        if match is not None:
+            starts, sizes, value = starts[match], sizes[match], value[match]
+        self.start, self.size, self.hash, self.bounds = starts, sizes, value, np.searchsorted(starts, ends)
+
+
+def _counted(pattern: str, beside):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct words of a task and their number."""
+        words: Counter = Counter()
+
+        def flushed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+
+        for part in slices(batches):
+            data, ends = buffers(part.column(0))
+            cut = Cut(pattern, beside.value, data, ends)
+            some = np.flatnonzero(cut.size <= TABLE_BYTES)
+            _, first, times = np.unique(cut.hash[some], return_index=True, return_counts=True)
+            first, raw = some[first], data.tobytes()
+            for a, size, k in zip(cut.start[first].tolist(), cut.size[first].tolist(), times.tolist()):
+                words[raw[a : a + size]] += k
+            if len(words) > HELD:
+                yield flushed()
+                words.clear()
+        yield flushed()
+
+    return count
 
 
 def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(w.encode()) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["word", "bytes"])
-
-
-class Table:
-    """Ids of pieces after a blank, and of words without one, as packed integers."""
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists([batch.column(0).to_pylist()], 1)], names=["word", "bytes"])
 
-    def __init__(self, pieces: list[str], ids: dict[str, bytes], find):
-        self.pieces = {p: b"".join(map(ids.__getitem__, find(" " + p))) for p in pieces}
-        self.words = {w: i for w, i in ids.items() if w[0] != " "}
 
-    def word(self, word: str) -> bytes | None:
-        return self.pieces.get(word[1:]) if word[0] == " " and len(word) > 1 else self.words.get(word)
+def _lists(rows: list[list[bytes]], depth: int = 2) -> pa.Array:
+    """Words as lists of their bytes: one flat list of words (depth 1) or a list of words a row (depth 2)."""
+    flat = [w for r in rows for w in r]
+    bounds = np.cumsum([0] + [len(w) for w in flat])
+    words = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.uint8).astype(np.int32)))
+    return words if depth == 1 else pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r) for r in rows]), pa.int32()), words)
 
 
-def _split(pattern: str, table, ranks):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find, get, of_word, known_ranks = regex.compile(pattern).findall, table.value.pieces.get, table.value.word, ranks.value
-        numbers: dict[str, int] = {}
+def _packed(kind: str):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of folded words (word, ids): one row of packed hashes, numbers of ids, and ids."""
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                known, gaps, rare, places = [], [], [], []
-                forget = len(numbers) > TASK_WORDS
-                if forget:
-                    numbers.clear()
-                for text in part.column(1).to_pylist():
-                    if _CROSSING.search(text):
-                        words, pieces = find(text), None
-                        pieces = list(map(of_word, words))
-                        unknown = [(i, [w]) for i, (w, p) in enumerate(zip(words, pieces)) if p is None]
-                    else:
-                        raw = text.split(" ")
-                        pieces = list(map(get, raw))
-                        pieces[0] = None  # the first has no blank before it
-                        unknown = [(i, find(" " + raw[i] if i else raw[0])) for i, p in enumerate(pieces) if p is None]
-                    here, at, done, place = [], 0, [], []
-                    for i, words in unknown:
-                        done_here = pieces[at:i]
-                        at = i + 1
-                        for word in words:
-                            ids = of_word(word)
-                            if ids is None and (number := numbers.get(word)) is None:
-                                spelt = word.encode()
-                                if len(spelt) > LONG_WORD:
-                                    ids = np.array(heap_merge(spelt, known_ranks), "<u4").tobytes()
-                                else:
-                                    number = numbers[word] = len(numbers)
-                                    here.append(spelt)
-                            if ids is not None:
-                                done_here.append(ids)
-                                continue
-                            done.append(b"".join(done_here))
-                            done_here = []
-                            place.append(number)
-                        pieces[i] = b"".join(done_here)
-                        at = i
-                    done.append(b"".join(pieces[at:]))
-                    known.append(b"".join(done))
-                    gaps.append(np.cumsum([len(d) // 4 for d in done[:-1]], dtype=np.int32))
-                    rare.append(here)
-                    places.append(place)
-                flat = b"".join(b"".join(r) for r in rare)
-                inner = np.cumsum([0] + [len(w) for r in rare for w in r])
-                outer = np.cumsum([0] + [len(r) for r in rare])
-                words_col = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(np.frombuffer(flat, np.uint8).astype(np.int32))))
-                gap_bounds = pa.array(np.cumsum([0] + [len(p) for p in places]), pa.int32())
-                listed = [pa.ListArray.from_arrays(gap_bounds, pa.array(np.concatenate(x), pa.int32())) for x in (gaps, [np.array(p, np.int32) for p in places])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(known, pa.binary()), *listed, words_col, pa.array([forget] + [False] * (part.num_rows - 1))], names=["doc_id", "known", "gaps", "places", "words", "forget"])
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            data, ends = buffers(batch.column(0).cast(pa.binary()))
+            value = _BYTE[data] * powers(TABLE_BYTES)[np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))]
+            hashes = mix(np.add.reduceat(value, ends[:-1]))
+            sizes = np.diff(lists.offsets.to_numpy()).astype(np.uint8)
+            columns = [hashes.tobytes(), sizes.tobytes(), lists.flatten().to_numpy().astype(kind).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["hashes", "sizes", "ids"])
+
+    return pack
+
+
+class Vocabulary:
+    """Ids of frequent words by hash, and the bytes of every token; built once a worker from the packed blocks."""
+
+    def __init__(self, blocks: list[tuple[bytes, bytes, bytes]], ranks: dict[bytes, int], kind: str):
+        self.blocks, self.ranks, self.kind = blocks, ranks, kind
+        self.pool = None
+
+    def ready(self) -> Vocabulary:
+        if self.pool is not None:
+            return self
+        hashes, sizes, ids = (np.concatenate([np.zeros(0, t), *(np.frombuffer(b[k], t) for b in self.blocks)]) for k, t in enumerate((_U, np.uint8, self.kind)))
+        self.ids, self.size = ids, sizes
+        self.first = (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32)
+        self.bits = max(8, (len(hashes) * 3 // 2).bit_length())
+        self.slots, self.entry = np.full(1 << self.bits, _EMPTY, _U), np.zeros(1 << self.bits, np.int32)
+        left = np.arange(len(hashes))
+        at = self._slot(hashes)
+        while len(left):
+            free = self.slots[at] == _EMPTY
+            self.slots[at[free]] = hashes[left[free]]
+            # Of several that write to one slot, or have one hash, the last stays and its entry too.
+            mine = free & (self.slots[at] == hashes[left])
+            self.entry[at[mine]] = left[mine]
+            same = self.slots[at] == hashes[left]
+            left, at = left[~same], (at[~same] + 1) & ((1 << self.bits) - 1)
+        longest = max(self.ranks.values()) + 1
+        pieces = [b""] * longest
+        for word, rank in self.ranks.items():
+            pieces[rank] = word
+        self.piece_size = np.array([len(p) for p in pieces], np.int64)
+        self.piece_first = np.cumsum(self.piece_size) - self.piece_size
+        self.pool = np.frombuffer(b"".join(pieces), np.uint8)
+        self.blocks = None
+        return self
+
+    def __getstate__(self):
+        return (self.blocks, self.ranks, self.kind)
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> _U(64 - self.bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entry of each hash, -1 where there is none."""
+        out = np.full(len(hashes), -1, np.int64)
+        left, at = np.arange(len(hashes)), self._slot(hashes)
+        while len(left):
+            held = self.slots[at]
+            hit = held == hashes[left]
+            out[left[hit]] = self.entry[at[hit]]
+            on = ~hit & (held != _EMPTY)
+            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids, one after another."""
+        sizes = self.piece_size[ids]
+        return self.pool[np.repeat(self.piece_first[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
+def _taken(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indexes of runs that begin at first and have the given sizes."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _split(pattern: str, vocabulary, beside):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary.value.ready()
+        for part in slices(batches):
+            data, ends = buffers(part.column(1))
+            words = Cut(pattern, beside.value, data, ends)
+            raw = data.tobytes()
+            of = lambda i, w=words, r=raw: r[w.start[i] : w.start[i] + w.size[i]]
+            entry, ids_of = known.find(words.hash), known.ids
+            # Look-ups are held against the text; a word that does not decode to itself is unknown.
+            hit = np.flatnonzero(entry >= 0)
+            ids = ids_of[_taken(known.first[entry[hit]].astype(np.int64), known.size[entry[hit]].astype(np.int64))]
+            spelt = data[_taken(words.start[hit], words.size[hit])]
+            if not np.array_equal(known.decode(ids), spelt):
+                false = [i for i in hit.tolist() if known.decode(ids_of[known.first[entry[i]] : known.first[entry[i]] + known.size[entry[i]]]).tobytes() != of(i)]
+                entry[false] = -1
+            sizes, firsts = np.zeros(len(entry), np.int64), np.zeros(len(entry), np.int64)
+            hit = np.flatnonzero(entry >= 0)
+            sizes[hit], firsts[hit] = known.size[entry[hit]], known.first[entry[hit]]
+            absent = np.flatnonzero(entry < 0)
+            huge = absent[words.size[absent] > FOLD_BYTES]
+            for i in huge.tolist():
+                merged = np.array(heap_merge(of(i), known.ranks), known.kind)
+                firsts[i], sizes[i] = len(ids_of), len(merged)
+                ids_of = np.concatenate([ids_of, merged])
+            absent = absent[words.size[absent] <= FOLD_BYTES]
+            taken = ids_of[_taken(firsts, sizes)]
+            before = np.concatenate([[0], np.cumsum(sizes)])
+            row_of = np.searchsorted(words.bounds, absent, side="right") - 1
+            where = before[absent] - before[words.bounds[row_of]]
+            rare: list[list[bytes]] = [[] for _ in range(part.num_rows)]
+            places: list[list[int]] = [[] for _ in range(part.num_rows)]
+            numbers: dict[bytes, int] = {}
+            held = -1
+            for r, i in zip(row_of.tolist(), absent.tolist()):
+                if r != held:
+                    held, numbers = r, {}
+                number = numbers.setdefault(word := of(i), len(numbers))
+                if number == len(rare[r]):
+                    rare[r].append(word)
+                places[r].append(number)
+            rows = before[words.bounds]
+            wide = taken.itemsize
+            packed, all_ids = [], taken.tobytes()
+            for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
+                packed.append(all_ids[a * wide : b * wide])
+            per_row = pa.array(np.searchsorted(row_of, np.arange(part.num_rows + 1)), pa.int32())
+            gaps = pa.ListArray.from_arrays(per_row, pa.array(where, pa.int32()))
+            numbered = pa.ListArray.from_arrays(per_row, pa.array([p for r in places for p in r], pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary()), gaps, numbered, _lists(rare)], names=["doc_id", "known", "gaps", "places", "words"])
 
     return cut
 
 
-def _join(pieces):
+def _join(vocabulary):
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces.value.__getitem__
-        folded: list[bytes] = []
+        known = vocabulary.value.ready()
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
                 encoded, decoded = [], []
-                gaps, places, rare = part.column(2), part.column(3), part.column(4)
-                for i, known in enumerate(part.column(1)):
-                    ids = np.frombuffer(known.as_buffer(), "<u4")
-                    if part.column(5)[i].as_py():
-                        folded.clear()
-                    lists = rare[i].values
-                    if lists is not None and len(lists):
-                        flat, cuts = lists.flatten().to_numpy().astype("<u4").tobytes(), ((lists.offsets.to_numpy() - lists.offsets[0].as_py()) * 4).tolist()
-                        folded += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-                    at = places[i].values
-                    if at is not None and len(at):
-                        new = [folded[k] for k in at.to_numpy()]
-                        ids = np.insert(ids, np.repeat(gaps[i].values.to_numpy(), [len(x) // 4 for x in new]), np.frombuffer(b"".join(new), "<u4"))
-                    encoded.append(ids.astype("<u4").tobytes())
-                    decoded.append(b"".join(map(piece, ids.tolist())))
+                for packed, gaps, places, folded in zip(part.column(1), *part.columns[2:]):
+                    ids = np.frombuffer(packed.as_buffer(), known.kind).astype("<u4")
+                    if gaps.values is not None and len(gaps.values):
+                        lists = folded.values
+                        flat, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                        at = places.values.to_numpy()
+                        sizes = (cuts[1:] - cuts[:-1])[at].astype(np.int64)
+                        ids = np.insert(ids, np.repeat(gaps.values.to_numpy(), sizes), flat[_taken(cuts[at].astype(np.int64), sizes)])
+                    encoded.append(ids.tobytes())
+                    decoded.append(known.decode(ids).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoded, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return assemble
 
 
-def _packed(lists: pa.ChunkedArray) -> Iterator[bytes]:
-    """Each list of ids as packed integers, without a Python object for each id."""
-    for chunk in lists.chunks:
-        raw = chunk.flatten().to_numpy().astype("<u4").tobytes()
-        bounds = (chunk.offsets.to_numpy() - chunk.offsets[0].as_py()) * 4
-        yield from (raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+def _frequent(counted: DataFrame) -> DataFrame:
+    """Words of a number of occurrences at which no more than TABLE_WORDS remain."""
+    sizes = sorted(((r["n"], r["words"]) for r in counted.groupBy(F.floor(F.log2("n") * 16).alias("n")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    within, least = 0, None
+    for n, words in sizes:
+        if (within := within + words) > TABLE_WORDS:
+            break
+        least = n
+    return counted.where(F.floor(F.log2("n") * 16) >= least) if least is not None else counted.limit(0)
 
 
 def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """One row per row of docs: doc_id, ids (little-endian unsigned 32-bit integers), decoded (their bytes)."""
-    import regex
-
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    folded = fold(ranks)
-    share = min(1.0, SAMPLE_DOCS / max(1, slim.count()))
-    counted = slim.sample(share, 7).select("text").mapInArrow(_sampled_pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where(f"n >= {TABLE_MIN}")
-    frequent = counted.orderBy(F.desc("n"), "piece").limit(TABLE_PIECES).select("piece").toArrow().column(0).to_pylist()
-    find = regex.compile(pattern).findall
-    words = pa.table({"word": pa.array(sorted({w for p in frequent for w in find(" " + p)}), pa.string())})
-    words = spark.createDataFrame(words).repartition(48) if words.num_rows else spark.createDataFrame([], "word string")
-    rows = words.mapInArrow(_as_bytes, "word string, bytes array<int>").select("word", F.get(folded(F.array("bytes")), F.lit(0)).alias("ids")).toArrow()
-    table = Table(frequent, dict(zip(rows.column(0).to_pylist(), _packed(rows.column(1)))), find)
-    del frequent, words, rows
-    context = spark.sparkContext
-    cut = slim.mapInArrow(_split(pattern, context.broadcast(table), context.broadcast(ranks)), "doc_id long, known binary, gaps array<int>, places array<int>, words array<array<int>>, forget boolean")
-    ids = cut.select("doc_id", "known", "gaps", "places", folded(F.col("words")).alias("words"), "forget")
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for word, rank in ranks.items():
-        pieces[rank] = word
-    return ids.mapInArrow(_join(context.broadcast(pieces)), "doc_id long, ids binary, decoded binary")
+    folded, beside = fold(ranks), context.broadcast(neighbours(ranks))
+    kind = "<u2" if max(ranks.values()) < 65536 else "<u4"
+    counted = slim.select("text").mapInArrow(_counted(pattern, beside), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = _frequent(written(counted, "words")).select("word").repartition(48)
+    rows = words.mapInArrow(_as_bytes, "word binary, bytes array<int>").select("word", F.get(folded(F.array("bytes")), F.lit(0)).alias("ids"))
+    blocks = written(rows.mapInArrow(_packed(kind), "hashes binary, sizes binary, ids binary"), "table").toArrow()
+    blocks = list(zip(*(blocks.column(k).to_pylist() for k in range(3))))
+    vocabulary = context.broadcast(Vocabulary(blocks, ranks, kind))
+    del blocks
+    cut = slim.mapInArrow(_split(pattern, vocabulary, beside), "doc_id long, known binary, gaps array<int>, places array<int>, words array<array<int>>")
+    ids = cut.select("doc_id", "known", "gaps", "places", folded(F.col("words")).alias("words"))
+    return ids.mapInArrow(_join(vocabulary), "doc_id long, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

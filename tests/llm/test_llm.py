@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontaminate, exact_dedup, jaccard_join, pii, ppm, quality, secrets, suffix_dedup, warc
 from quarry.llm.components import connected_components
+from quarry.llm.scratch import written
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, score double, suspect boolean, n int"
@@ -162,7 +163,7 @@ def test_pairs_among_texts_of_one_template(spark, monkeypatch, block):
             texts.append(shared + " " + " ".join(own[:-13] + [f"p{k}w{j}" for j in range(13)]))  # 111 of 137 shingles
     rows = frame(spark, list(enumerate(texts))).select("doc_id", "text")
     reps = rows.mapInArrow(jaccard_join._embedded(jaccard_join.SIZE), "rid long, set_id binary, n long, bytes long, mins binary")
-    reps = reps.select("rid", "mins").localCheckpoint()
+    reps = written(reps.select("rid", "mins"), "reps")
     node = {r["node"]: r["component"] for r in connected_components(jaccard_join.proposed_pairs(reps)).collect()}
     met = sum(2 * k in node and node[2 * k] == node.get(2 * k + 1) for k in range(200))
     assert met >= 194
@@ -249,11 +250,14 @@ def ranks(spark):
     return bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-def test_bpe_as_the_library(spark, ranks, monkeypatch):
+@pytest.mark.parametrize("most", [bpe.TABLE_WORDS, 40, 0])
+def test_bpe_as_the_library(spark, ranks, monkeypatch, most):
+    """Ids do not depend on how many words the table holds."""
     import public_tokenizers
     import tiktoken
 
-    monkeypatch.setattr(bpe, "TASK_WORDS", 50)
+    monkeypatch.setattr(bpe, "TABLE_WORDS", most)
+    monkeypatch.setattr(bpe, "HELD", 30)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(5)
     parts = ["a", "the", " ", "  ", "\n", "\t", "'s", "'re", "é", "9", "²", "№", "!", "...", " the", "ii", "漢", "\U0001f600", "\r\n", " \n ", " ", "x" * 450, "<|endoftext|>"]
@@ -264,6 +268,33 @@ def test_bpe_as_the_library(spark, ranks, monkeypatch):
     assert bpe.encode_and_decode(empty(spark), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_another_pattern(spark, ranks):
+    """Other patterns go through the regex library; what no match covers is dropped, as the library does."""
+    import tiktoken
+
+    pattern = r"[a-z]+| [a-z]+|[0-9]{1,3}"
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rows = [(1, "alpha beta 12345, é x"), (2, ""), (3, None), (4, "É"), (5, "abc" * 40 + " z")]
+    got = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in bpe.encode_and_decode(frame(spark, rows), ranks, pattern).collect()}
+    assert got == {i: library.encode_ordinary(t or "") for i, t in rows}
+
+
+def test_split_of_the_fixed_pattern():
+    """Matches cut from bytes are those of the regex library, for any mix of classes, apostrophes and white space."""
+    import public_tokenizers
+    import regex
+
+    assert public_tokenizers.PATTERN == bpe.PATTERN
+    find, rng = regex.compile(bpe.PATTERN).findall, random.Random(3)
+    parts = list("ab'sdtmrvel  \n\t\r 12!?.é") + ["\u00a0", "\u3000", "日", "\u0663", "''", "\x1c", "\x85", "\u2028", "\u200b", "\U0001f600"]
+    for _ in range(1_000):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(rng.randint(1, 5))]
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        expected = np.cumsum([0] + [len(w.encode()) for t in texts for w in find(t)])[:-1].tolist()
+        assert (bpe._starts(data, np.cumsum([0] + [len(r) for r in raw])).tolist() if len(data) else []) == expected
+
+
 def test_long_words_merge_alike(ranks):
     import tiktoken
 
