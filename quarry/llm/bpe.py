@@ -38,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry.llm.bytes_np import _BYTE, buffers, mix, powers, slices
-from quarry.llm.scratch import written
+from quarry.llm.scratch import small_batches, written
 
 #: Words of the broadcast table at most, and their bytes at most.
-TABLE_WORDS, TABLE_BYTES = 1_500_000, 24
+TABLE_WORDS, TABLE_BYTES = 1_000_000, 24
 #: Distinct words a task counts before it passes them on.
-HELD = 300_000
+HELD = 150_000
 CUT, FOLD_BYTES = 48, 2_048
+#: Bytes of text that a task cuts into words at once.
+SLICE = 1 << 18
 _BITS, _NONE = 18, 2**31 - 1
 #: Multipliers below 2**30, so that products of 32-bit pairs stay within a long.
 _MIXERS = (0x2545F491, 0x1B873593)
@@ -283,7 +285,7 @@ def _counted(pattern: str, beside):
         def flushed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
-        for part in slices(batches):
+        for part in slices(batches, most=SLICE):
             data, ends = buffers(part.column(0))
             cut = Cut(pattern, beside.value, data, ends)
             some = np.flatnonzero(cut.size <= TABLE_BYTES)
@@ -329,49 +331,45 @@ def _packed(kind: str):
     return pack
 
 
-class Vocabulary:
-    """Ids of frequent words by hash, and the bytes of every token; built once a worker from the packed blocks."""
-
-    def __init__(self, blocks: list[tuple[bytes, bytes, bytes]], ranks: dict[bytes, int], kind: str):
-        self.blocks, self.ranks, self.kind = blocks, ranks, kind
-        self.pool = None
+class Pieces:
+    """The bytes of every token."""
 
-    def ready(self) -> Vocabulary:
-        if self.pool is not None:
-            return self
-        hashes, sizes, ids = (np.concatenate([np.zeros(0, t), *(np.frombuffer(b[k], t) for b in self.blocks)]) for k, t in enumerate((_U, np.uint8, self.kind)))
-        self.ids, self.size = ids, sizes
-        self.first = (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32)
-        self.bits = max(8, (len(hashes) * 3 // 2).bit_length())
-        self.slots, self.entry = np.full(1 << self.bits, _EMPTY, _U), np.zeros(1 << self.bits, np.int32)
-        left = np.arange(len(hashes))
-        at = self._slot(hashes)
-        while len(left):
-            free = self.slots[at] == _EMPTY
-            self.slots[at[free]] = hashes[left[free]]
-            # Of several that write to one slot, or have one hash, the last stays and its entry too.
-            mine = free & (self.slots[at] == hashes[left])
-            self.entry[at[mine]] = left[mine]
-            same = self.slots[at] == hashes[left]
-            left, at = left[~same], (at[~same] + 1) & ((1 << self.bits) - 1)
-        longest = max(self.ranks.values()) + 1
-        pieces = [b""] * longest
-        for word, rank in self.ranks.items():
+    def __init__(self, ranks: dict[bytes, int]):
+        pieces = [b""] * (max(ranks.values()) + 1)
+        for word, rank in ranks.items():
             pieces[rank] = word
-        self.piece_size = np.array([len(p) for p in pieces], np.int64)
-        self.piece_first = np.cumsum(self.piece_size) - self.piece_size
+        self.kind = "<u2" if len(pieces) <= 65536 else "<u4"
+        self.size = np.array([len(p) for p in pieces], np.int64)
+        self.first = np.cumsum(self.size) - self.size
         self.pool = np.frombuffer(b"".join(pieces), np.uint8)
-        self.blocks = None
-        return self
 
-    def __getstate__(self):
-        return (self.blocks, self.ranks, self.kind)
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids, one after another."""
+        return self.pool[_taken(self.first[ids], self.size[ids])]
 
-    def __setstate__(self, state):
-        self.__init__(*state)
+
+class Vocabulary:
+    """Ids of frequent words by hash: an open-addressing table that a task makes of the packed blocks and drops at its end."""
+
+    def __init__(self, blocks: list[tuple[bytes, bytes, bytes]], kind: str):
+        hashes, sizes, self.ids = (np.concatenate([np.zeros(0, t), *(np.frombuffer(b[k], t) for b in blocks)]) for k, t in enumerate((_U, np.uint8, kind)))
+        self.kind, self.size = kind, sizes
+        self.first = (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32)
+        self.places = max(64, len(hashes) * 3 // 2)
+        self.slots, self.entry = np.full(self.places, _EMPTY, _U), np.zeros(self.places, np.int32)
+        for start in range(0, len(hashes), 200_000):
+            left = np.arange(start, min(start + 200_000, len(hashes)))
+            at = self._slot(hashes[left])
+            while len(left):
+                free = self.slots[at] == _EMPTY
+                self.slots[at[free]] = hashes[left[free]]
+                # Of several that write to one slot the last stays, and of equal hashes the entry of the last.
+                mine = self.slots[at] == hashes[left]
+                self.entry[at[mine & free]] = left[mine & free]
+                left, at = left[~mine], (at[~mine] + 1) % self.places
 
     def _slot(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> _U(64 - self.bits)).astype(np.int64)
+        return (((hashes >> _U(32)) * _U(self.places)) >> _U(32)).astype(np.int64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Entry of each hash, -1 where there is none."""
@@ -382,24 +380,19 @@ class Vocabulary:
             hit = held == hashes[left]
             out[left[hit]] = self.entry[at[hit]]
             on = ~hit & (held != _EMPTY)
-            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
+            left, at = left[on], (at[on] + 1) % self.places
         return out
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of ids, one after another."""
-        sizes = self.piece_size[ids]
-        return self.pool[np.repeat(self.piece_first[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
-
 
 def _taken(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indexes of runs that begin at first and have the given sizes."""
     return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-def _split(pattern: str, vocabulary, beside):
+def _split(pattern: str, kind: str, blocks, ranks, beside):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value.ready()
-        for part in slices(batches):
+        known, pieces = Vocabulary(blocks.value, kind), Pieces(ranks.value)
+        for part in slices(batches, most=SLICE):
             data, ends = buffers(part.column(1))
             words = Cut(pattern, beside.value, data, ends)
             raw = data.tobytes()
@@ -409,8 +402,8 @@ def _split(pattern: str, vocabulary, beside):
             hit = np.flatnonzero(entry >= 0)
             ids = ids_of[_taken(known.first[entry[hit]].astype(np.int64), known.size[entry[hit]].astype(np.int64))]
             spelt = data[_taken(words.start[hit], words.size[hit])]
-            if not np.array_equal(known.decode(ids), spelt):
-                false = [i for i in hit.tolist() if known.decode(ids_of[known.first[entry[i]] : known.first[entry[i]] + known.size[entry[i]]]).tobytes() != of(i)]
+            if not np.array_equal(pieces.decode(ids), spelt):
+                false = [i for i in hit.tolist() if pieces.decode(ids_of[known.first[entry[i]] : known.first[entry[i]] + known.size[entry[i]]]).tobytes() != of(i)]
                 entry[false] = -1
             sizes, firsts = np.zeros(len(entry), np.int64), np.zeros(len(entry), np.int64)
             hit = np.flatnonzero(entry >= 0)
@@ -418,7 +411,7 @@ def _split(pattern: str, vocabulary, beside):
             absent = np.flatnonzero(entry < 0)
             huge = absent[words.size[absent] > FOLD_BYTES]
             for i in huge.tolist():
-                merged = np.array(heap_merge(of(i), known.ranks), known.kind)
+                merged = np.array(heap_merge(of(i), ranks.value), known.kind)
                 firsts[i], sizes[i] = len(ids_of), len(merged)
                 ids_of = np.concatenate([ids_of, merged])
             absent = absent[words.size[absent] <= FOLD_BYTES]
@@ -450,15 +443,15 @@ def _split(pattern: str, vocabulary, beside):
     return cut
 
 
-def _join(vocabulary):
+def _join(ranks):
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value.ready()
+        pieces = Pieces(ranks.value)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 encoded, decoded = [], []
                 for packed, gaps, places, folded in zip(part.column(1), *part.columns[2:]):
-                    ids = np.frombuffer(packed.as_buffer(), known.kind).astype("<u4")
+                    ids = np.frombuffer(packed.as_buffer(), pieces.kind).astype("<u4")
                     if gaps.values is not None and len(gaps.values):
                         lists = folded.values
                         flat, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -466,7 +459,7 @@ def _join(vocabulary):
                         sizes = (cuts[1:] - cuts[:-1])[at].astype(np.int64)
                         ids = np.insert(ids, np.repeat(gaps.values.to_numpy(), sizes), flat[_taken(cuts[at].astype(np.int64), sizes)])
                     encoded.append(ids.tobytes())
-                    decoded.append(known.decode(ids).tobytes())
+                    decoded.append(pieces.decode(ids).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoded, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return assemble
@@ -486,19 +479,19 @@ def _frequent(counted: DataFrame) -> DataFrame:
 def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """One row per row of docs: doc_id, ids (little-endian unsigned 32-bit integers), decoded (their bytes)."""
     context = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    folded, beside = fold(ranks), context.broadcast(neighbours(ranks))
-    kind = "<u2" if max(ranks.values()) < 65536 else "<u4"
+    folded, beside, shared, kind = fold(ranks), context.broadcast(neighbours(ranks)), context.broadcast(ranks), Pieces(ranks).kind
     counted = slim.select("text").mapInArrow(_counted(pattern, beside), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = _frequent(written(counted, "words")).select("word").repartition(48)
     rows = words.mapInArrow(_as_bytes, "word binary, bytes array<int>").select("word", F.get(folded(F.array("bytes")), F.lit(0)).alias("ids"))
     blocks = written(rows.mapInArrow(_packed(kind), "hashes binary, sizes binary, ids binary"), "table").toArrow()
     blocks = list(zip(*(blocks.column(k).to_pylist() for k in range(3))))
-    vocabulary = context.broadcast(Vocabulary(blocks, ranks, kind))
+    packed = context.broadcast(blocks)
     del blocks
-    cut = slim.mapInArrow(_split(pattern, vocabulary, beside), "doc_id long, known binary, gaps array<int>, places array<int>, words array<array<int>>")
+    cut = slim.mapInArrow(_split(pattern, kind, packed, shared, beside), "doc_id long, known binary, gaps array<int>, places array<int>, words array<array<int>>")
     ids = cut.select("doc_id", "known", "gaps", "places", folded(F.col("words")).alias("words"))
-    return ids.mapInArrow(_join(vocabulary), "doc_id long, ids binary, decoded binary")
+    return ids.mapInArrow(_join(shared), "doc_id long, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

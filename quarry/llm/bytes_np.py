@@ -14,7 +14,7 @@ import pyarrow as pa
 U64 = np.uint64
 WHITE = b"\t\n\x0b\x0c\r "
 #: Bytes of text in a slice; a longer single text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -13,14 +13,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+#: Rows of a batch between the JVM and Python: some megabytes of usual texts.
+BATCH_ROWS = 1_000
+
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The shared folder: ``spark.checkpoint.dir``; on one machine (tests, a laptop) a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="quarry-")
@@ -42,6 +47,13 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let tasks exchange at most BATCH_ROWS rows at a time with Python, as texts are long; a smaller setting of the caller stays."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) > BATCH_ROWS or int(spark.conf.get(setting)) <= 0:
+        spark.conf.set(setting, BATCH_ROWS)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every table written by this library; call it when no result is in use any more."""
     jvm = spark.sparkContext._jvm
