@@ -20,8 +20,10 @@ shingle sets decides. A group beyond one task's bound is cut in blocks and each
 pair of blocks is a task; counts and local trees leave the tasks, never pairs.
 
 Defined results: null and empty texts have the empty set and are copies of one
-another; repeated rows are copies; ties break by the least id. An empty table
-gives an empty result. Other columns are not read.
+another; repeated rows are copies; rows that repeat a doc_id, or have none, are told
+apart by their sets; a class without any doc_id has a null class_id; ties break by
+the least id; very long texts are sets like others. An empty table gives an empty
+result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from quarry.llm.bytes_np import Words, buffers, fold_table, mix, shingles, slices
 from quarry.llm.components import connected_components
 from quarry.llm.exact_dedup import BROADCAST_ROWS
-from quarry.llm.scratch import written
+from quarry.llm.scratch import small_batches, written
 
 SIZE, THRESHOLD, TARGET = 5, 0.8, 0.99
 MINS, BUCKET, DEPTH = 64, 32, 5
@@ -90,15 +92,13 @@ def sets_of(column: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]
 
 def _embedded(size: int):
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for part in slices(batches):
             data, bounds = sets_of(part.column(1), size)
             rows, full = part.num_rows, np.flatnonzero(np.diff(bounds))
             mins = np.zeros((rows, MINS), np.uint32)
             for k in range(MINS if len(data) else 0):
                 mins[full, k] = np.minimum.reduceat(((data * _SEEDS[k]) >> _U(32)).astype(np.uint32), bounds[full])
-            ids = [xxhash.xxh3_128_digest(data[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
+            ids = _ids(data, bounds)
             size_of = np.diff(np.frombuffer(part.column(1).buffers()[1], np.int32, rows + 1, part.column(1).offset * 4))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(np.diff(bounds)), pa.array(size_of.astype(np.int64)), pa.array([m.tobytes() for m in mins], pa.binary())], names=["doc_id", "set_id", "n", "bytes", "mins"])
 
@@ -278,6 +278,13 @@ def _roots(link: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _ids(data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """128-bit names of sets."""
+    import xxhash
+
+    return [xxhash.xxh3_128_digest(data[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
+
+
 def _verified(size: int, threshold: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Columns: task key, side (0 left, 1 right, 2 both), rid, set_id, text.
@@ -287,13 +294,15 @@ def _verified(size: int, threshold: float):
             out: list[tuple] = []
             for a, b in zip(cuts[:-1], cuts[1:]):
                 run = batch.slice(a, b - a)
-                rid, first = np.unique(run.column(2).to_numpy(), return_index=True)
+                data, bounds = sets_of(run.column(4), size)
+                # Several rows may have the representative's doc_id; only texts of its own set count.
+                own = np.array([x == y for x, y in zip(_ids(data, bounds), run.column(3).to_pylist())], bool)
+                rid, first = np.unique(run.column(2).to_numpy()[own], return_index=True)
                 if len(rid) < 2:
                     continue
-                run = run.take(pa.array(first))
-                data, bounds = sets_of(run.column(4), size)
-                sets = [data[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
-                side = run.column(1).to_numpy()
+                first = np.flatnonzero(own)[first]
+                sets = [data[bounds[x] : bounds[x + 1]] for x in first]
+                side = run.column(1).to_numpy()[first]
                 if side[0] == 2:
                     every = np.arange(len(rid))
                     link = _linked(sets, every, every, threshold)
@@ -313,6 +322,7 @@ def _verified(size: int, threshold: float):
 
 def similar_documents(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
     """One row per row of docs: doc_id, class_id (least doc_id of its class), n_links (other texts at the threshold or above), n_copies (rows of the same shingle set)."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = written(slim.mapInArrow(_embedded(size), "doc_id long, set_id binary, n long, bytes long, mins binary"), "rows")
     reps = rows.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bytes").alias("bytes"), F.first("mins").alias("mins"))
