@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from quarry.llm.bytes_np import _BASE, _BYTE, buffers, mix, slices
 from quarry.llm.exact_dedup import BROADCAST_ROWS
 from quarry.llm.jaccard_join import _runs_of
-from quarry.llm.scratch import written
+from quarry.llm.scratch import small_batches, written
 
 LENGTH, GRAM = 400, 32
 #: Segments of one gram, and bytes of segments, that a task sorts together.
@@ -334,6 +334,7 @@ def _filter_of(places: DataFrame, bits: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = written(slim.mapInArrow(_anchored, "doc_id long, tid long, gram long, content long, place long, at long, owned long"), "segments")
@@ -377,4 +378,9 @@ def _pair(owned):
 
 
 def digests(kept: DataFrame) -> DataFrame:
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The digest columns of remove_repeats' rows; the last three say again whether and how much a text changes."""
+    removed = F.col("n_removed")
+    return kept.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_bytes") - removed).alias("n_kept"), (removed / F.greatest("n_bytes", F.lit(1))).alias("removed_share"), (removed > 0).alias("repeated"),
+    )
