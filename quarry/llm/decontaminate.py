@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry.llm.bytes_np import Words, buffers, fold_table, shingles, slices
-from quarry.llm.scratch import written
+from quarry.llm.scratch import small_batches, written
 
 SHINGLE = 3
 #: Windows up to which their table is broadcast (some 200 bytes each); above, the join shuffles both sides.
@@ -114,6 +114,7 @@ def _candidates(packed, bits: int, sizes: list[int], size: int):
 def benchmark_hits(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
+    small_batches(spark)
     cut = items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartition(8).mapInArrow(_windows(size), "item_id long, words array<binary>, hashes array<long>")
     windows = written(cut, "windows")
     tokens = windows.select(F.explode("hashes").alias("token")).distinct()

@@ -7,9 +7,9 @@ the weighted sum is scored. Only documents have labels; the attention learns
 which passages decide. Labels are used for fitting alone: scores depend on the
 text only.
 
-The fit takes a bounded, documented sample of the labelled rows (TRAIN_DOCS,
-chosen by a hash of doc_id, and TRAIN_PASSAGES of each) on the driver; scoring
-is one pass over whole texts without a shuffle.
+The fit takes a bounded, documented sample of the labelled rows on the driver (about
+TRAIN_DOCS, chosen by a hash of doc_id, with their whole texts); scoring is one pass
+over whole texts without a shuffle.
 
 Defined results: null and empty texts are one passage without words and get its
 score; repeated rows are scored one by one; of several labels of one doc_id the
@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.bytes_np import Words, buffers, fold_table, slices
+from quarry.llm.scratch import small_batches
 
 PASSAGE, HIDDEN, GATES = 48, 24, 12
-TRAIN_DOCS, TRAIN_PASSAGES, EPOCHS = 5_000, 64, 40
+TRAIN_DOCS, EPOCHS = 5_000, 40
 THRESHOLD = 0.7
 
 #: Byte classes: letters, upper case, digits, non-ASCII, line ends, blanks, and each other ASCII byte by itself.
@@ -145,7 +146,7 @@ def held_out(doc_id: Column) -> Column:
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         x, bounds = passages(part.column(1))
-        rows = [x[a:b][:: max(1, -(-(b - a) // TRAIN_PASSAGES))].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+        rows = [x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], names=["label", "x"])
 
 
@@ -161,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict |
     return fit(rows) if rows else None
 
 
-def _scored(model: dict | None, column: int):
+def _scored(model: dict | None, column: int, name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ps = []
@@ -170,16 +171,16 @@ def _scored(model: dict | None, column: int):
                 x, bounds = passages(part.column(0))
                 ps.append(forward(model, Bags((x - model["mean"]) / model["scale"], bounds))["p"] if model else np.full(part.num_rows, 0.5))
             if ps:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(ps))], names=[*batch.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(ps))], names=[*batch.schema.names, name])
 
     return score
 
 
-def scored(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs with a column quality_score, in one pass; a column of that name is replaced."""
-    docs = docs.drop("quality_score")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", quality_score double"
-    return docs.mapInArrow(_scored(model, docs.columns.index("text")), fields)
+def scored(docs: DataFrame, model: dict | None, name: str = "quality_score") -> DataFrame:
+    """docs with a column of that name, in one pass; docs must not have it yet."""
+    small_batches(docs.sparkSession)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double"
+    return docs.mapInArrow(_scored(model, docs.columns.index("text"), name), fields)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -169,6 +169,19 @@ def test_pairs_among_texts_of_one_template(spark, monkeypatch, block):
     assert met >= 194
 
 
+def test_similar_documents_with_repeated_and_absent_ids(spark):
+    """Rows that share a doc_id, or have none, are linked by their own texts, in any order."""
+    rng = random.Random(12)
+    base = [[rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(60)] for _ in range(5)]
+    near = [[*b[:-1], "changed"] for b in base]
+    rows = [(25, " ".join(base[0])), (25, " ".join(base[1])), (26, " ".join(near[1])), (27, " ".join(near[0]))]
+    rows += [(None, " ".join(base[k])) for k in (2, 3, 4)] + [(30 + k, " ".join(near[k])) for k in (2, 3)] + [(None, " ".join(near[4]))]
+    for order in (rows, rows[::-1]):
+        got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.similar_documents(frame(spark, order)).collect()), key=str)
+        expected = [(25, 25, 1), (25, 25, 1), (26, 25, 1), (27, 25, 1), (None, 32, 1), (32, 32, 1), (None, 33, 1), (33, 33, 1), (None, None, 1), (None, None, 1)]
+        assert got == sorted(expected, key=str)
+
+
 def test_similar_documents_of_nothing(spark):
     assert jaccard_join.similar_documents(empty(spark)).count() == 0
     one = jaccard_join.similar_documents(frame(spark, [(1, None), (2, ""), (3, "a b c")])).collect()
@@ -197,7 +210,8 @@ def test_remove_repeats(spark, monkeypatch, most):
                 gone[k : k + 400] = True
         kept = bytes(c for c, g in zip(b, gone) if not g)
         runs = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
-        expected.append((i, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+        n = int(gone.sum())
+        expected.append((i, len(b), n, runs, hashlib.sha256(kept).hexdigest(), len(b) - n, n / max(1, len(b)), n > 0))
     got = [tuple(r) for r in suffix_dedup.digests(suffix_dedup.remove_repeats(frame(spark, rows))).collect()]
     assert sorted(got, key=str) == sorted(expected, key=str)
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
@@ -316,6 +330,7 @@ def test_quality_on_held_out_rows(spark):
 
 def test_quality_of_odd_rows(spark):
     docs = frame(spark, made(7)).withColumn("quality_score", F.lit("clash"))
+    assert quality.scored(docs.drop("quality_score"), None, "score_2").where("score_2 = 0.5").count() == docs.count()
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (None, 1, 1), (8, None, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
     rows = quality.quality_scores(docs, labels).collect()
     assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
@@ -422,32 +437,131 @@ def test_personal_data(spark):
     assert pii.personal_data(empty(spark)).count() == 0
 
 
-def test_contexts_find_unseen_identifiers(spark):
-    def card(k):
-        body = f"{400000000000000 + 7919 * k}"
-        total = sum(int(c) if n % 2 else sum(divmod(2 * int(c), 10)) for n, c in enumerate(body[::-1]))
-        return body + str(-total % 10)
+def card(k):
+    body = f"{400000000000000 + 7919 * k}"
+    total = sum(int(c) if n % 2 else sum(divmod(2 * int(c), 10)) for n, c in enumerate(body[::-1]))
+    return body + str(-total % 10)
 
-    rows = [(k, f"text with account {card(k)} in it") for k in range(12)] + [(50, "text with account 99887766554433 in it"), (51, "text with number 99887766554400 in it")]
+
+def test_contexts_find_unseen_identifiers(spark):
+    rows = [(k, f"text with account {card(k)} in it") for k in range(12)] + [(50, "text with account 99887766554433 in it"), (51, "text with number 99887766554400 on it")]
     got = {r["doc_id"]: r for r in pii.personal_data(frame(spark, rows)).collect()}
-    assert got[0]["n_card"] == 1 and got[0]["n_added"] == 0
+    assert got[0]["n_card"] == 1 and got[0]["n_added"] == 0 and got[0]["found"]
     assert (got[50]["n_card"], got[50]["n_added"], got[50]["spans"]) == (0, 1, "card:18:32")
-    assert got[51]["spans"] == ""
+    assert got[51]["spans"] == "" and not got[51]["found"]
+
+
+def test_bootstrap_goes_on_from_what_it_found(spark):
+    """Forms that no seed has are found through contexts; what is found makes further contexts pass; neutral ones stay clean."""
+    rng = random.Random(7)
+    word = lambda: rng.choice(WORDS)
+    rows, planted = [], set()
+    for k in range(40):  # seeds, after and before the same words
+        rows.append((k, f"{word()} {word()} reachable under +1 (017) 555-{7000 + k} daily {word()}"))
+    for k in range(6):  # unseen forms in the context of seeds: groups without a plus, and a handle
+        text = f"{word()} {word()} reachable under "
+        hit = f"(017) 555 {8000 + k}" if k % 2 else f"jo_{WORDS[k]}"
+        rows.append((100 + k, f"{text}{hit}, daily {word()}"))
+        planted.add((100 + k, len(text), len(text) + len(hit)))
+    for k in range(30):  # the same unseen strings again, after another word that no seed follows
+        hit = f"(017) 555 {8001 + 2 * (k % 3)}" if k % 2 else f"jo_{WORDS[2 * (k % 3)]}"
+        text = f"{word()} {word()} hotline "
+        rows.append((200 + k, f"{text}{hit} {word()}"))
+        planted.add((200 + k, len(text), len(text) + len(hit)))
+    late = f"{word()} {word()} hotline "  # found in the second round only
+    rows.append((300, f"{late}jo_last {word()}"))
+    planted.add((300, len(late), len(late) + 7))
+    clean = [(400 + k, f"{word()} chapter {k}.{k + 1} {word()} order {10_000_000 + k} {word()}") for k in range(60)]
+    got = {r["doc_id"]: r for r in pii.personal_data(frame(spark, rows + clean)).collect()}
+    found = {(i, int(x.split(":")[1]), int(x.split(":")[2])) for i, r in got.items() if i >= 100 for x in r["spans"].split(",") if x}
+    assert found == planted
+    assert all(got[i]["n_added"] == 0 for i, _ in rows[:40])
+
+
+def test_scores_of_the_pattern_graph(spark):
+    """The rounds over the graph as a plain loop."""
+    rng = random.Random(8)
+    edges = []
+    for k in range(400):
+        kind = rng.choice(["card", "phone", None, None])
+        edges.append((f"p{min(rng.randrange(12), rng.randrange(12))}", f"{'s' if kind else 'u'}{rng.randrange(30)}", kind))
+    edges += [("sure", f"s{k}", "card") for k in range(9)] + [("sure", "u1", None)] + [("then", "u1", None)] * 12 + [("then", f"u{k}", None) for k in (40, 41)] + [("and", f"n{k}", "phone") for k in range(8)] + [("and", "u40", None), ("and", "u41", None)]
+    counted = collections.Counter(edges)
+    entity = {}
+    for _ in range(pii.ROUNDS):
+        total, mass, strings = collections.Counter(), collections.Counter(), collections.Counter()
+        for (p, hit, own), n in counted.items():
+            total[p] += n
+            score, kind = (1.0, own) if own else entity.get(hit, (0.0, None))
+            if kind:
+                mass[p, kind] += n * score
+                strings[p, kind] += 1
+        passed = {k: m / (total[k[0]] + pii.DOUBT) for k, m in mass.items() if strings[k] >= pii.SEEDS and m / (total[k[0]] + pii.DOUBT) >= pii.CONFIDENT}
+        before, entity = len(entity), {}
+        for (p, kind), score in passed.items():
+            for q, hit, own in counted:
+                if q == p and own is None:
+                    entity[hit] = max(entity.get(hit, (0.0, "")), (score, kind))
+        if len(entity) == before:
+            break
+    got = {(r["pattern"], r["kind"]): r["score"] for r in pii.confident_patterns(spark.createDataFrame(edges, "pattern string, hit string, kind string")).collect()}
+    assert got.keys() == passed.keys() and ("sure", "card") in got
+    assert all(math.isclose(got[k], passed[k]) for k in got)
 
 
 def test_secrets(spark):
     rng = random.Random(3)
-    rows = [(900, None), (901, ""), (902, "plain words only")]
+    rows = [(900, None), (901, ""), (902, "plain words only"), (903, "x" * 30_000), (904, "7f3Qz" * 4_000), (905, "see docs/guide/setup.html and mail7.example.com or 2024-01-17"), (906, "order 9807915762804490 from 10.20.30.44")]
     for k in range(60):
         token = "".join(rng.choice("0123456789abcdef") for _ in range(40))
         rows.append((k, f'some words token = "{token}" more') if k % 2 else (k, f"some words averyveryverylongcompoundword{'x' * (k % 7)} more"))
-    got = {r["doc_id"]: r for r in secrets.secret_findings(frame(spark, rows)).collect()}
-    assert all(got[k]["n_secrets"] == k % 2 for k in range(60)) and got[900]["n_candidates"] == 0
-    assert got[1]["spans"] == "20:60"
+    token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows += [(950, f"API_KEY={token}\nAPI_KEY={token}"), (951, "password: hX7kQ2pz9 next words"), (952, f"curl -H 'Authorization: Bearer {token}' now"), (1, f'token = "{token}"')]
+    got = {}
+    for r in secrets.secret_findings(frame(spark, rows)).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert all(got[k][0]["n_secrets"] == k % 2 for k in range(2, 60)) and got[900][0]["n_candidates"] == 0
+    assert sorted(r["spans"] for r in got[1]) == ["20:60", "9:49"]
+    assert got[950][0]["spans"] == "8:48,57:97" and got[951][0]["spans"] == "10:19" and got[952][0]["n_secrets"] == 1
+    assert all(got[k][0]["n_secrets"] == 0 for k in (902, 903, 905, 906))
     assert secrets.secret_findings(empty(spark)).count() == 0
     labelled = spark.createDataFrame([("0f" * 20, 'token = "', '" ', 1.0), ("averyveryverylongcompoundword", "some words ", " mor", 0.0)] * 10, "hit string, left string, right string, label double")
     again = {r["doc_id"]: r["n_secrets"] for r in secrets.secret_findings(frame(spark, rows), labelled).collect()}
-    assert again[1] == 1 and again[2] == 0
+    assert again[3] == 1 and again[2] == 0
+    only = secrets.secret_findings(frame(spark, rows), labelled.where("label = 0"))
+    assert only.agg(F.sum("n_secrets")).first()[0] == 0
+
+
+def test_features_of_candidates(spark):
+    """Shares, changes and coverage as plain loops over characters."""
+    words = [("configuration", 5), ("figure", 3), ("iguana", 9), ("configure", 4), ("rare", 1)]
+    known = collections.Counter(g for w, n in words if n >= secrets.TIMES for g in {w[k : k + 3] for k in range(len(w) - 2)})
+    known = {g for g, n in known.items() if n >= secrets.TIMES}
+    rows = [("Configuration9a", 'token = "', '" and'), ("a1B2c3/d.e", "see ", " of"), ("ÄÖ12345678", "x=", ""), ("ab", "", "")]
+    dictionary = secrets.dictionary(spark.createDataFrame(words, "word string, n long"))
+    hits = spark.createDataFrame([(*r, "src/test/a.py") for r in rows], "hit string, left string, right string, path string")
+    kind = lambda c: "d" if c in "0123456789" else "u" if "A" <= c <= "Z" else "l" if "a" <= c <= "z" else "o"
+    for r in secrets.described(hits, dictionary).collect():
+        h, n = r["hit"], len(r["hit"])
+        changes = sum(kind(a) != kind(b) and "o" not in (kind(a), kind(b)) for a, b in zip(h, h[1:]))
+        grams = [h.lower()[k : k + 3] for k in range(max(1, n - 2))]
+        expected = {"changes": changes / n, "digits": sum(kind(c) == "d" for c in h) / n, "capitals": sum(kind(c) == "u" for c in h) / n, "slashes": h.count("/") / n, "dots": h.count(".") / n, "kinds": len(set(h)) / n, "covered": sum(g in known for g in grams) / max(1, n - 2), "trial": 1.0}
+        assert all(math.isclose(r[k], v) for k, v in expected.items()), (r, expected)
+    first = secrets.described(hits, dictionary).first()
+    assert (first["named"], first["assigned"], first["quoted"], first["after"]) == (1, 1, 1, 0)
+
+
+def test_secrets_on_held_out_findings(spark):
+    """Precision and recall on made findings that the forest has not seen; the figures stand in the README."""
+    words = secrets.word_counts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    known = secrets.dictionary(words)
+    made_rows = secrets.planted(spark, words, 6_000)
+    forest, _ = secrets.trained(made_rows.where("number % 3 != 0"), known)
+    judged = forest.transform(secrets._vectors(secrets.described(made_rows.where("number % 3 = 0"), known))).select("label", "prediction").collect()
+    true = sum(r["label"] == 1 == r["prediction"] for r in judged)
+    precision, recall = true / sum(r["prediction"] for r in judged), true / sum(r["label"] for r in judged)
+    print("precision", precision, "recall", recall)
+    assert precision > 0.95 and recall > 0.93
 
 
 def test_pipeline(spark, tmp_path):
@@ -466,3 +580,31 @@ def test_pipeline(spark, tmp_path):
     assert not any(a and b and len(a & b) / len(a | b) >= 0.8 for k, a in enumerate(sets) for b in sets[:k])
     good = {r["doc_id"] for r in table(spark, "labels").where("quality = 1").collect()}
     assert len(good & kept) > 0.6 * len(good)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Rows that repeat ids, have none, or bring columns with the names that stages use."""
+    import corpus_pipeline
+
+    text = lambda k: " ".join(random.Random(k).choice(WORDS) + str(random.Random(k * 97 + j).randrange(90)) for j in range(40))
+    rows = [(1, text(1)), (1, text(1)), (1, text(2)), (2, text(2) + "  "), (None, text(3)), (None, text(3)), (None, text(4)), (3, None), (4, ""), (5, text(1) + " changed"), (6, text(6)), (7, text(7))]
+    docs = spark.createDataFrame([(i, t, "a", "b", 1) for i, t in rows], "doc_id long, text string, _id string, row_name string, quality_score int")
+    spark.createDataFrame([(1, " ".join(text(7).split()[3:15]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    table(spark, "labels").where("false").write.parquet(str(tmp_path / "labels.parquet"))
+    kept, d = [(i, t) for i, t in rows], docs
+    stages = dict(corpus_pipeline.STAGES)
+    sorted_rows = lambda frame: sorted(((r["doc_id"], r["text"]) for r in frame.collect()), key=str)
+    d = written(stages["quality classifier"](spark, d, str(tmp_path)), "a")
+    assert sorted_rows(d) == sorted(kept, key=str) and d.columns == docs.columns
+    d = written(stages["exact dedup"](spark, d, str(tmp_path)), "b")
+    kept = [(1, text(1)), (2, text(2) + "  "), (None, text(3)), (None, text(4)), (3, None), (5, text(1) + " changed"), (6, text(6)), (7, text(7))]
+    assert sorted_rows(d) == sorted(kept, key=str) and d.columns == docs.columns
+    d = written(stages["n-gram Jaccard join"](spark, d, str(tmp_path)), "c")
+    kept.remove((5, text(1) + " changed"))
+    assert sorted_rows(d) == sorted(kept, key=str)
+    d = written(stages["benchmark decontamination"](spark, d, str(tmp_path)), "d")
+    kept.remove((7, text(7)))
+    assert sorted_rows(d) == sorted(kept, key=str)
+    assert stages["byte-level BPE"](spark, d, str(tmp_path)).count() == len(kept)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
