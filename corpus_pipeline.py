@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
 and returns a DataFrame with the columns of docs; the last returns token digests.
-Stages do not write their results; `run` writes each one as Parquet in the shared
+A stage judges rows, not ids: rows
+that repeat a doc_id or lack one are told apart. Columns of any name pass through; an
+empty table gives an empty result. Stages do not write their results; `run` writes each one as Parquet in the shared
 folder and rereads it, so that a later stage never repeats an earlier one.
 """
 
@@ -20,33 +22,62 @@ from quarry.llm.scratch import written
 from quarry.session import table
 
 
-def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """docs without the rows whose doc_id is dropped; null ids match each other."""
-    ids = written(dropped.select(F.col("doc_id").alias("_id")).distinct(), name)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _identified(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that names each row by itself, and that column; its order is that of doc_id, null last.
+
+    Where doc_ids are present and unlike, as they should be, it is doc_id. Else rows are
+    sorted by doc_id, numbered and written once, so that decisions apply to rows.
+    """
+    key = _fresh(docs, "row_name")
+    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if odd.isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
+    return written(docs.orderBy(F.asc_nulls_last("doc_id")).withColumn(key, F.monotonically_increasing_id()), "identified"), key
+
+
+def _as_documents(docs: DataFrame, key: str) -> DataFrame:
+    return docs.select(F.col(key).alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """docs without the rows that are named in dropped's doc_id, and without the naming column."""
+    names = written(dropped.select(F.col("doc_id").alias(key)), "dropped")
+    return docs.join(F.broadcast(names) if names.count() <= BROADCAST_ROWS else names, key, "left_anti").drop(key)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that the classifier accepts."""
+    """Keep documents that the classifier accepts, each row by itself; null and empty texts are scored as well. All stay where there are no labels."""
     model = train(docs, table(spark, sf_dir, "labels"))
     if model is None:
         return docs
-    return scored(docs, model).where(F.col("quality_score") >= THRESHOLD).drop("quality_score")
+    score = _fresh(docs, "quality_score")
+    return scored(docs, model, score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one of equal documents. Rows that repeat the kept doc_id as well stay; the source has none."""
-    return _without(docs, exact_duplicates(docs).where("not kept"), "dropped")
+    """Keep one row of equal documents: the longest, then that of least doc_id; of rows that repeat a doc_id, one. Null and empty texts are equal."""
+    rows, key = _identified(docs)
+    return _without(rows, key, exact_duplicates(_as_documents(rows, key)).where("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each class of near duplicates."""
-    return _without(docs, similar_documents(docs).where("not (doc_id <=> class_id)"), "dropped")
+    """Keep the row of least doc_id of each class of near duplicates; texts without words are one class."""
+    rows, key = _identified(docs)
+    return _without(rows, key, similar_documents(_as_documents(rows, key)).where("doc_id != class_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
-    return _without(docs, benchmark_hits(docs, table(spark, sf_dir, "benchmark")).where("contaminated"), "dropped")
+    """Drop rows that hold a window of a benchmark item; null and empty texts hold none."""
+    rows, key = _identified(docs)
+    return _without(rows, key, benchmark_hits(_as_documents(rows, key), table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
