@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -53,6 +54,63 @@ def bm25(rows: DataFrame, key: str, columns: dict[str, str], terms: list[str], w
     return hits.join(F.broadcast(stats)).select(key, matched.alias("matched"), (-score).alias("score"))  # stats is one row
 
 
+@dataclass
+class Expression:
+    """A keyword query: any of the words, all of the words once more, and phrases; each clause that holds adds its score."""
+
+    phrases: list[list[str]] = field(default_factory=list)
+    any_of: list[str] = field(default_factory=list)
+    all_of: list[str] = field(default_factory=list)
+
+    def atoms(self) -> list[tuple[str, ...]]:
+        """Words and phrases, each once."""
+        return list(dict.fromkeys([(t,) for t in [*self.any_of, *self.all_of]] + [tuple(p) for p in self.phrases if p]))
+
+
+def scored(counts: DataFrame, key: str, stats: DataFrame, expression: Expression) -> DataFrame:
+    """(key, matched, score) from (key, len, f0, f1, …) and one row (n, mean, d0, d1, …), by the order of the expression's atoms.
+
+    A phrase is an atom with a document frequency of its own. ``matched`` counts the atoms that occur.
+    """
+    atoms = expression.atoms()
+    number = {a: k for k, a in enumerate(atoms)}
+
+    def part(atom: tuple[str, ...]):
+        k = number[atom]
+        idf = F.log((F.col("n") - F.col(f"d{k}") + 0.5) / (F.col(f"d{k}") + 0.5))
+        f = F.col(f"f{k}")
+        return F.when(idf <= 0, F.lit(FLOOR)).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+
+    total = lambda parts: reduce(lambda a, b: a + b, parts, F.lit(0.0))
+    some = total(part((t,)) for t in expression.any_of) + total(part(tuple(p)) for p in expression.phrases if p)
+    if expression.all_of:
+        every = reduce(lambda a, b: a & b, (F.col(f"f{number[(t,)]}") > 0 for t in expression.all_of))
+        some = some + F.when(every, total(part((t,)) for t in expression.all_of)).otherwise(0.0)
+    matched = total((F.col(f"f{k}") > 0).cast("int") for k in range(len(atoms))).cast("int")
+    return counts.join(F.broadcast(stats)).select(key, matched.alias("matched"), (-some).alias("score")).where("score < 0")  # stats is one row
+
+
+def expression_scores(rows: DataFrame, key: str, columns: dict[str, str], expression: Expression, weights: dict[str, float] | None = None, tokenise=words) -> DataFrame:
+    """As `scored`, for rows without a stored index: one pass for the statistics and one for the hits."""
+    weights, atoms = weights or {}, expression.atoms()
+    names = {name: f"_bag_{k}" for k, name in enumerate(columns)}
+    bags = rows.select(F.col(key), F.inline(F.array(F.struct(*(tokenise(F.col(c)).alias(names[name]) for name, c in columns.items())))))
+
+    def times(bag: str, atom: tuple[str, ...]):
+        if len(atom) == 1:
+            return F.size(bag) - F.size(F.array_remove(bag, atom[0]))
+        wanted = F.array(*map(F.lit, atom))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(bag) - len(atom) + 1, F.lit(1)))
+        # Most rows lack a word of the phrase and need no look at positions.
+        able = reduce(lambda a, b: a & b, (F.array_contains(bag, t) for t in atom))
+        return F.when(able, F.size(F.filter(starts, lambda i: F.slice(bag, i, F.lit(len(atom))) == wanted))).otherwise(0)
+
+    count = lambda atom: reduce(lambda a, b: a + b, (times(bag, atom) * float(weights.get(name, 1.0)) for name, bag in names.items()))
+    one = bags.select(F.col(key), reduce(lambda a, b: a + b, (F.size(b) for b in names.values())).alias("len"), *(count(a).alias(f"f{k}") for k, a in enumerate(atoms)))
+    stats = one.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"f{k}") > 0).alias(f"d{k}") for k in range(len(atoms))))
+    return scored(one, key, stats, expression)
+
+
 def phrase_hits(rows: DataFrame, key: str, column: str, phrase: list[str]) -> DataFrame:
     """Rows with the words in a row, and how often."""
     bag = words(F.col(column))

@@ -4,52 +4,130 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from quarry.functions.columns import chain, words as plain_words
 from quarry.operators.chunks import per_group_top
-from quarry.operators.lexical import bm25, ranked
+from quarry.operators.dense import cosines
+from quarry.operators.lexical import Expression, bm25, expression_scores, ranked, reciprocal_ranks
 
 # Words that a keyword query drops.
-STOPWORDS = frozenset("a an and are as at be by can do does for from has have how i if in into is it its me my of on or our that the their them these they this those to was we what when where which who why will with you your".split())
+STOPWORDS = frozenset("what are the for and in used is to of on with from by as at an a or do does how can could should would which who whom this that these those there their be been being have has had shall may must into under about between out all any".split())
+# The sources that mark an origin in a document's metadata, in order of precedence.
+ORIGINS = [("note", "origin", "note", "NOTE_"), ("skybrary", "source", "SKYBRARY", "SKYBRARY_"), ("manual", "source", "Manual", "MANUAL_"), ("faa", "source", "FAA XML", "FAA_"), ("easa", "source", "EASA XML", None)]
+ALIASES = {"bookshelf": "skybrary", "notes": "note"}
 
 
-@dataclass
-class Expression:
-    """A keyword query: phrases, and groups of which any or all terms must occur."""
-
-    phrases: list[list[str]] = field(default_factory=list)
-    any_of: list[str] = field(default_factory=list)
-    all_of: list[str] = field(default_factory=list)
+def _tokens(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
 
 
 def parse_query(raw: str, expanded: list[str] | None = None, stopwords=STOPWORDS) -> Expression:
-    """Quoted phrases; the whole as a phrase if it has 2-5 words; any word; all words if there are 2-4."""
-    out = Expression([p.lower().split() for p in re.findall(r'"([^"]+)"', raw)])
-    bare = re.sub(r"[^\w\s\-/.]", " ", re.sub(r'"[^"]*"', " ", raw))
-    tokens = [t for t in (w.strip(".-/").lower() for w in bare.split()) if t and (t not in stopwords or re.search("[-/]", t))]
-    words = [w for t in tokens for w in re.findall(r"[^\W_]+", t)]
-    if 2 <= len(tokens) <= 5:
-        out.phrases.append(words)
-    out.any_of = list(dict.fromkeys(words)) or [w.lower() for w in raw.split()]
-    if 2 <= len(tokens) <= 4:
-        out.all_of = list(dict.fromkeys(words))
-    for e in expanded or []:
-        out.phrases.append(e.lower().split())
+    """Quoted phrases; the whole as a phrase if it has 2-5 words; any word; all words if there are 2-4; expansions as phrases.
+
+    A word with - / or . inside is a phrase of its parts. If no word is left, all words count.
+    """
+    out = Expression([p for p in map(_tokens, re.findall(r'"([^"]+)"', raw)) if p])
+    bare = re.sub(r"[^\w\s\-/.]", " ", re.sub(r'"[^"]+"', " ", raw))
+    salient = [t for t in (w.strip(".-/") for w in bare.split()) if _tokens(t) and (t.lower() not in stopwords or re.search("[-/]", t))]
+    if 2 <= len(salient) <= 5:
+        out.phrases.append(_tokens(" ".join(salient)))
+    for parts in map(_tokens, salient):
+        if len(parts) == 1:
+            out.any_of.append(parts[0])
+        else:
+            out.phrases.append(parts)
+    if 2 <= len(salient) <= 4:
+        out.all_of = [t for s in salient for t in _tokens(s)]
+    out.phrases += [p for p in map(_tokens, expanded or []) if p]
+    if not out.atoms():
+        out.any_of = _tokens(bare) or _tokens(raw)
     return out
 
 
-def keyword_search(rows: DataFrame, key: str, columns: dict[str, str], query: str, top: int = 5, weights: dict[str, float] | None = None, expander: Callable[[str], list[str]] | None = None, where=None) -> DataFrame:
-    """Ranked rows for a raw query; a row that holds all words of an all-group counts them twice."""
-    parsed = parse_query(query, expander(query) if expander else None)
-    scores = bm25(rows, key, columns, parsed.any_of, weights)
-    if parsed.all_of:
-        scores = scores.withColumn("score", F.col("score") * F.when(F.col("matched") == len(parsed.all_of), 2).otherwise(1))
-    if where is not None:
-        scores = scores.join(rows.where(where).select(key), key, "left_semi")
-    return ranked(scores.select(key, "score"), top, F.asc("score"), F.asc(key))
+def origin_of(metadata: Column, doc_id: Column) -> Column:
+    """A document's origin by marks in its raw metadata, or by the prefix of its id where it has none."""
+    none = F.coalesce(metadata, F.lit("")) == ""
+    marked = lambda name, value, prefix: F.when(none, F.startswith(doc_id, F.lit(prefix)) if prefix else F.lit(False)).otherwise(F.contains(metadata, F.lit(f'"{name}": "{value}"')))
+    return chain([(marked(name, value, prefix), F.lit(origin)) for origin, name, value, prefix in ORIGINS], F.lit("eu"))
+
+
+def catalog_origin(source: Column, doc_id: Column, title: Column, metadata: Column) -> Column:
+    """A document's origin by the catalogue's rules, whose order differs from a search's; a note in parsable metadata overrides them."""
+    low = F.lower(F.concat_ws(" ", doc_id, title))
+    begins = lambda p: F.startswith(doc_id, F.lit(p))
+    rules = [
+        ((source == "SKYBRARY") | begins("SKYBRARY_"), F.lit("skybrary")),
+        (begins("NOTE_") | source.isin("Note", "UserNote"), F.lit("note")),
+        ((source == "FAA XML") | begins("FAA_") | F.contains(low, F.lit("14 cfr")), F.lit("faa")),
+        (source.isin("Manual", "Custom") | begins("MANUAL_"), F.lit("manual")),
+        (low.rlike("easy access|cs-|amc"), F.lit("easa")),
+    ]
+    return F.when(F.get_json_object(metadata, "$.origin") == "note", "note").otherwise(chain(rules, F.lit("eu")))
+
+
+def in_scope(origin: str = "all", document_id: str | None = None, stakeholder: str | None = None) -> Column:
+    """Rows (origin, doc_id, stakeholder) that a search looks at; a document id overrides the origin, ``all`` stands for no limit."""
+    kept = F.lit(True)
+    if document_id is not None:
+        kept = kept & (F.col("doc_id").cast("string") == document_id)
+    elif origin != "all":
+        kept = kept & (F.col("origin") == ALIASES.get(origin, origin))
+    if stakeholder and stakeholder.lower() != "all":
+        kept = kept & (F.lower("stakeholder") == stakeholder.lower())
+    return kept
+
+
+def keyword_search(rows: DataFrame, key: str, columns: dict[str, str], query: str, top: int = 5, weights: dict[str, float] | None = None, expander: Callable[[str], list[str]] | None = None, where: Column | None = None, boosted: Column | None = None, scores: DataFrame | None = None, tokenise=plain_words) -> DataFrame:
+    """Ranked rows (key, score, rank) for a raw query.
+
+    Scores use the statistics of all rows; ``where`` then picks rows, ``boosted`` multiplies
+    the scores of some by 2.5. ``scores`` (key, score) may come from a stored index instead.
+    """
+    if scores is None:
+        parsed = parse_query(query, expander(query) if expander else None)
+        if not parsed.atoms():
+            return rows.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        scores = expression_scores(rows, key, columns, parsed, weights, tokenise)
+    if where is not None or boosted is not None:
+        kept = rows.where(where if where is not None else F.lit(True)).select(key, (boosted if boosted is not None else F.lit(False)).alias("_boosted"))
+        scores = scores.join(kept, key).withColumn("score", F.col("score") * F.when(F.col("_boosted"), 2.5).otherwise(1.0))
+    return ranked(scores.select(key, "score"), top, F.asc(F.round("score", 6)), F.asc(key))
+
+
+def semantic_search(chunks: DataFrame, vector: list[float], top: int = 5, documents: DataFrame | None = None, stakeholders: DataFrame | None = None, stakeholder: str | None = None, where: Column | None = None, boosted: Column | None = None, pool: int = 25) -> DataFrame:
+    """Ranked chunks (chunk_id, score, rank): cosine, lifted by the document's and by the stakeholder's score.
+
+    chunks has chunk_id, doc_id and embedding; documents (doc_id, embedding) gives the
+    prior of the ``pool`` nearest documents (0.75 chunk + 0.25 document where positive);
+    stakeholders (chunk_id and a column for each stakeholder) adds 0.15 of its score.
+    """
+    cosine = lambda rows: cosines(rows, [vector]).withColumn("cos", F.get("cosines", F.lit(0))).drop("cosines", "embedding")
+    kept = chunks.withColumn("_boosted", boosted if boosted is not None else F.lit(False)).where(where if where is not None else F.lit(True))
+    rows = cosine(kept.select("chunk_id", "doc_id", "_boosted", "embedding"))
+    score = F.col("cos")
+    if documents is not None:
+        prior = cosine(documents.select("doc_id", "embedding")).orderBy(F.desc("cos"), "doc_id").limit(pool).select("doc_id", F.col("cos").alias("prior"))
+        rows = rows.join(F.broadcast(prior), "doc_id", "left")  # at most ``pool`` rows
+        score = F.when(F.col("prior") > 0, 0.75 * score + 0.25 * F.col("prior")).otherwise(score)
+    if stakeholders is not None and stakeholder and stakeholder.lower() in stakeholders.columns:
+        rows = rows.join(stakeholders.select("chunk_id", F.col(stakeholder.lower()).alias("_stake")), "chunk_id", "left")
+        score = score + 0.15 * F.coalesce("_stake", F.lit(0.0))
+    final = F.round(score * F.when(F.col("_boosted"), 2.5).otherwise(1.0), 4)
+    return ranked(rows.select("chunk_id", final.alias("score")), top, F.desc("score"), F.asc("chunk_id"))
+
+
+def hybrid_search(semantic: DataFrame, keyword: DataFrame, top: int = 5, k: int = 60) -> DataFrame:
+    """The two ranked lists, each of which should hold max(2 * top, 20) rows, fused by reciprocal ranks."""
+    return reciprocal_ranks(semantic, keyword, "chunk_id", k, top)
+
+
+def query_text(query: str, task: str = "", hypothetical: Callable[[str], str] | None = None, least: int = 25) -> str:
+    """What is embedded for a query: a hypothetical answer of a certain length, else the query behind its task."""
+    answer = hypothetical(query) if hypothetical else None
+    return answer if answer and len(answer.strip()) >= least else f"query: {task}: {query}" if task else query
 
 
 def workspace(rows: DataFrame, wanted: DataFrame, terms: list[str], per_doc: int = 8, total: int = 50) -> DataFrame:
