@@ -43,6 +43,3 @@ def normalised(a: Column) -> Column:
     n = norm(a)
     return F.when(n == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
 
-
-def half_up(x: Column, digits: int = 0) -> Column:
-    return F.round(x, digits)

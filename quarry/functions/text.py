@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from quarry.functions.columns import chain, first_of, found
@@ -119,11 +120,134 @@ def gate(cases: list[tuple[Column, str, str]]) -> tuple[Column, Column]:
 
 
 def clean(text: Column) -> Column:
-    """No NULs, plain line ends, no blanks at line ends, at most two empty lines in a row."""
-    t = F.regexp_replace(F.regexp_replace(text, "\x00", ""), "\r\n?", "\n")
+    """No NULs, composed letters, plain line ends, no blanks at line ends, at most two empty lines in a row."""
+    t = F.regexp_replace(F.regexp_replace(composed(text), "\x00", ""), "\r\n?", "\n")
     return F.regexp_replace(F.regexp_replace(t, r"[ \t]+\n", "\n"), "\n{4,}", "\n\n\n")
 
 
+def composed(text: Column) -> Column:
+    """Unicode form NFC. Spark has no function for it; texts without a combining mark, most of all, skip the Arrow batch."""
+
+    @F.pandas_udf("string")
+    def nfc(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize("NFC")
+
+    return F.when(text.rlike(r"[\p{M}\u0340-\u0387\u1F71-\u2126\u212A\u212B\uF900-\uFAFF]"), nfc(text)).otherwise(text)
+
+
+# What UTF-8 read as Latin-1 or Windows-1252 leaves behind.
+MOJIBAKE = ["Ã©", "Ã¨", "Ã¼", "Ã¶", "Ã¤", "Ã±", "â€™", "â€œ", "â€", "Â "]
+
+
+def damage_counts(text: Column) -> dict[str, Column]:
+    """Unassigned and private characters, suspicious ones (controls but line ends and tabs), and marks of a wrong encoding."""
+    import re
+
+    return {
+        "n_unassigned": F.regexp_count(text, F.lit(r"\p{Cn}")),
+        "n_suspicious": F.regexp_count(text, F.lit(r"[\p{Cc}\p{Co}\p{Cn}&&[^\n\r\t\f]]")),
+        "n_mojibake": F.regexp_count(text, F.lit("|".join(map(re.escape, sorted(MOJIBAKE, key=len, reverse=True))))),
+    }
+
+
+# What a semantic slot follows.
+SLOTS = {
+    "subject": r"(?i)^\s*(?:the|an?|each|every|any)?\s*([A-Za-z][A-Za-z /-]*?)\s+(?:shall|must|may|should)\b",
+    "action": r"(?i)\b(?:shall|must|may|should)(?:\s+not)?\s+([^.,;]+)",
+    "condition": r"(?i)\b(?:if|when|where|provided that)\s+([^.,;]+)",
+    "exception": r"(?i)\b(?:unless|except(?:\s+(?:when|where|for|if))?)\s+([^.,;]+)",
+    "deadline": r"(?i)\b(?:within|no later than|not later than|by)\s+(\d+\s+(?:hours?|days?|weeks?|months?|years?)|\d{1,2}\s+[A-Za-z]+\s+\d{4})",
+}
+
+
+def slots(text: Column, patterns: dict[str, str] = SLOTS) -> list[Column]:
+    """The trimmed first group of each slot's pattern, null without a match."""
+    return [F.nullif(F.trim(F.coalesce(found(text, p), F.lit(""))), F.lit("")).alias(name) for name, p in patterns.items()]
+
+
+def without_amendment_marks(text: Column) -> Column:
+    """Arrows and letters that mark amendments, such as ``►M1`` and ``◄``, and doubled blanks are gone."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[►▼]\s?[A-Z]+\d*|◄", " "), r"[ \t]+", " "))
+
+
+def raised(text: Column) -> Column:
+    """Digits and signs as superscripts."""
+    return F.translate(text, "0123456789+-=()n", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿ")
+
+
+def lowered(text: Column) -> Column:
+    """Digits and signs as subscripts."""
+    return F.translate(text, "0123456789+-=()", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎")
+
+
+def fraction(above: Column, below: Column) -> Column:
+    """a/b; parts of several terms in brackets."""
+    part = lambda x: F.when(x.rlike(r"[\s+\-*/]"), F.concat(F.lit("("), x, F.lit(")"))).otherwise(x)
+    return F.concat(part(above), F.lit("/"), part(below))
+
+
+def definitions(text: Column, least: int = 15) -> Column:
+    """array<struct<term, text>> of paragraphs ``Term means …``, if a text has more than ``least`` paragraphs."""
+    lines = F.filter(F.split(text, r"\n+"), lambda x: F.trim(x) != "")
+    pattern = r"^\s*(\S[^.:]{0,120}?)\s+means[,:]?\s+(.+)$"
+    pairs = F.transform(F.filter(lines, lambda x: x.rlike(pattern)), lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("term"), F.regexp_extract(x, pattern, 2).alias("text")))
+    return F.when(F.size(lines) > least, pairs).otherwise(F.filter(pairs, lambda x: F.lit(False)))
+
+
+def passage_texts(title: Column, path: Column, body: Column, number: Column, source: Column) -> dict[str, Column]:
+    """The five forms of text that are embedded: by section path, rule, regulation part, page and note; empty parts are left out."""
+    filled = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    named = lambda name, c: F.concat(F.lit(f"{name}: "), filled(c))
+    return {
+        "section": embedding_text(title, path, body),
+        "rule": F.concat_ws("\n", F.concat_ws(" ", filled(number), filled(title)), filled(path), filled(body)),
+        "part": F.concat_ws("\n", named("Regulation", title), named("Part", path), F.concat(F.lit("§ "), filled(number)), filled(body)),
+        "page": F.concat_ws("\n\n", F.concat_ws(" | ", filled(title), filled(source)), filled(body)),
+        "note": F.concat_ws("\n", named("Note", title), named("Project", source), filled(body)),
+    }
+
+
+def words_characters_citations(text: Column) -> dict[str, Column]:
+    """Words at blanks, characters, and citation marks of a text."""
+    return {"n_words": F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")), "n_chars": F.char_length(text), "n_citations": F.regexp_count(text, F.lit(r"<chunk:\s*[^>\n]+>|\(chunk:\s*[^()\n]+\)"))}
+
+
+# Words of a report section's title and the kind they give.
+REPORT_KINDS = [("summary|overview", "summary"), ("gap|missing|limit", "gaps"), ("conclusion", "conclusion"), ("reference|source", "references"), ("requirement|obligation", "requirements")]
+
+
+def report_sections(text: Column) -> Column:
+    """array<struct<title, kind, body>> of a markdown report: cut before headings, typed by words of the title; text before the first heading is an introduction."""
+    parts = F.filter(F.split(text, r"(?m)(?=^#{1,3} )"), lambda p: F.trim(p) != "")
+    title = lambda p: F.trim(F.regexp_extract(p, r"^#{1,3} ([^\n]*)", 1))
+    kind = lambda t: chain([(t == "", F.lit("introduction")), *((F.lower(t).rlike(k), F.lit(v)) for k, v in REPORT_KINDS)], F.lit("section"))
+    return F.transform(parts, lambda p: F.struct(title(p).alias("title"), kind(title(p)).alias("kind"), F.trim(F.regexp_replace(p, r"^#{1,3} [^\n]*\n?", ""), F.lit(" \n")).alias("body")))
+
+
+# Lines that are page furniture whatever the document.
+FURNITURE = [r"(?:(?:page|p\.)\s*)?\d+(?:\s*(?:of|/)\s*\d+)?", r".*(?:ELI:\s*http://data\.europa\.eu/eli/|OJ\s+[LC]\s*,\s*\d+\.\d+\.\d+).*", r".*Proprietary document\.\s*Copies are not controlled.*", r".*Original Issue\s+Page\s+\d+\s+of\s+\d+.*"]
+
+
+def without_furniture(text: Column, patterns: list[str] = FURNITURE) -> Column:
+    """Without lines that match a pattern as a whole, case ignored."""
+    whole = "(?i)^(?:" + "|".join(patterns) + ")$"
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.trim(line).rlike(whole)), "\n")
+
+
+def harvested_terms(text: Column, names: list[str]) -> Column:
+    """Capitalised phrases of two to five words that hold one of the names: queries for a domain, sorted and distinct."""
+    phrase = r"\b([A-Z][\w-]*(?: (?:[A-Z][\w-]*|of|and)){1,4})"
+    hits = F.regexp_extract_all(text, F.lit(phrase), F.lit(1))
+    return F.array_sort(F.array_distinct(F.filter(hits, lambda x: F.lower(x).rlike("|".join(n.lower() for n in names)))))
+
+
+def safe_file_name(text: Column, most: int = 180) -> Column:
+    """URL escapes decoded; characters that file systems refuse become underscores; cut; names that Windows reserves get an underscore."""
+    t = F.regexp_replace(F.coalesce(F.try_url_decode(text), text), r'[<>:"/\\|?*\x00-\x1F]+', "_")
+    t = F.substring(F.trim(F.regexp_replace(t, r"\s+", " ")), 1, most)
+    return F.when(F.upper(F.regexp_replace(t, r"\..*$", "")).isin("CON", "PRN", "AUX", "NUL", *(f"{d}{k}" for d in ("COM", "LPT") for k in range(1, 10))), F.concat(F.lit("_"), t)).otherwise(t)
+
+
 def typography(text: Column) -> Column:
     """Thin blanks, dashes and quotes in plain form; single blanks; no empty lines."""
     t = F.regexp_replace(text, "[     ]", " ")
@@ -155,7 +279,7 @@ def highlighted(text: Column, terms: list[str]) -> Column:
     import re
 
     pattern = "|".join(re.escape(t) for t in sorted(terms, key=lambda t: (-len(t), t)))
-    return F.regexp_replace(text, rf"(?i)\b({pattern})", "<mark>$1</mark>")
+    return F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\p{{N}}_])({pattern})", "<mark>$1</mark>")
 
 
 def responsible(text: Column, patterns: list[str]) -> Column:

@@ -117,3 +117,49 @@ def status_roll_up(rows: DataFrame, status: Column, values: list[str]) -> DataFr
 def hashed_sample(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """n rows in the order of a seeded hash: the same on every run."""
     return rows.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))).orderBy("_h", key).limit(n).drop("_h")
+
+
+def latest(value: str, *order: str) -> Column:
+    """Aggregate: the last value that is not null in the order of the columns."""
+    return F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
+
+
+def best_of(rows: DataFrame, group: str, score: str, order: str) -> DataFrame:
+    """Of each group the row of the greatest score; of equal scores the first in the order."""
+    others = [c for c in rows.columns if c != group]
+    best = rows.groupBy(group).agg(F.max_by(F.struct(*others), F.struct(F.coalesce(score, F.lit(float("-inf"))), -F.col(order))).alias("_best"))
+    return best.select(group, *(F.col("_best")[c].alias(c) for c in others))
+
+
+def last_later(rows: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+    """Rows with the last row of equal keys, where that comes later: the greatest of the group decides, so nothing is joined."""
+    return rows.withColumn(out, F.max(order).over(Window.partitionBy(*keys))).where(F.col(out) > F.col(order))
+
+
+def linked_totals(members: DataFrame, links: DataFrame, key: str, groups: list[str], amount: str) -> DataFrame:
+    """Of each group its members, their links and the total amount of these; links are added up before they are joined."""
+    sums = links.groupBy(key).agg(F.count("*").alias("_n"), F.sum(amount).alias("_total"))
+    return members.join(sums, key, "left").groupBy(*groups).agg(F.count("*").alias("members"), F.sum(F.coalesce("_n", F.lit(0))).alias("links"), F.sum(F.coalesce("_total", F.lit(0.0))).alias("total"))
+
+
+def enriched_title(raw: Column, parent: Column, key: Column) -> Column:
+    """A title that is empty or only names an annex stands behind its parent's, or alone; without either the id stands for it."""
+    title = F.trim(F.coalesce(raw, F.lit("")))
+    weak = (title == "") | F.upper(title).rlike("^(?:ANNEX|APPENDIX)")
+    joined = F.when(title == "", parent).otherwise(F.concat(parent, F.lit(" — "), title))
+    return F.when(weak & parent.isNotNull(), joined).when(title == "", key).otherwise(title)
+
+
+def relevance_or_date(rows: DataFrame, by_relevance: bool, score: str, date: str, key: str) -> DataFrame:
+    """Best scores first (smaller is better), or the latest first."""
+    return rows.orderBy(F.asc(score), F.asc(key)) if by_relevance else rows.orderBy(F.desc_nulls_last(date), F.asc(key))
+
+
+def by_shown_title(rows: DataFrame, titles: list[str]) -> DataFrame:
+    """In the order of the first title that is not empty, case ignored."""
+    return rows.orderBy(F.lower(F.coalesce(*(F.nullif(F.col(t), F.lit("")) for t in titles))))
+
+
+def of_stakeholder(rows: DataFrame, stakeholder: str, column: str = "stakeholder") -> DataFrame:
+    """Rows of a stakeholder, case ignored; ``all`` and nothing keep every row."""
+    return rows if not stakeholder or stakeholder.lower() == "all" else rows.where(F.lower(column) == stakeholder.lower())
