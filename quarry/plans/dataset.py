@@ -31,5 +31,58 @@ def examples(chunks: DataFrame, templates: dict[str, tuple[Column, Column]], spl
     return rows.withColumn("id", stable).dropDuplicates(["id"]).join(split, key)
 
 
+def provision_templates(language: str = "language", date: str = "date") -> dict[str, tuple[Column, Column]]:
+    """The tasks that a provision gives, as (prompt, target) of rows with chunk and document columns; a null or empty target gives no example.
+
+    Rows have text, doc_id, title, chunk_type, node_type, path and numbers (arrays), references
+    (array), modals (array of struct text, modality, trigger, party), and doc_metadata (JSON).
+    """
+    ask = lambda question: F.concat(F.lit(question + "\n\nProvision:\n"), F.col("text"))
+    some = lambda array, value: F.when(F.size(array) > 0, value)
+    modal = lambda k: F.get("modals", F.lit(k))
+    facts = F.struct(*(F.get_json_object("doc_metadata", f"$.{f}").alias(f) for f in ("status", "doc_number", "amends_regs", "repeals_regs", "eea_relevance", "annex_count")))
+    known = F.coalesce(*(facts[f] for f in ("status", "doc_number", "amends_regs", "repeals_regs", "eea_relevance", "annex_count")))
+    out = {
+        "document_identification": (ask("Which document holds this provision?"), F.to_json(F.struct(F.col("doc_id").cast("string").alias("document_id"), "title", language, date))),
+        "structural_location": (ask("Where in its document does this provision stand?"), F.to_json(F.struct(F.col("path").alias("section_path"), F.col("numbers").alias("section_numbers"), "chunk_type"))),
+        "chunk_classification": (ask("What kind of node is this text?"), F.to_json(F.struct("chunk_type", "node_type"))),
+        "reference_extraction": (ask("List the references recorded for this provision, and no others."), some("references", F.to_json("references"))),
+        "document_metadata": (ask("What is known of the document that holds this provision?"), F.when(known.isNotNull(), F.to_json(facts))),
+        "context_reconstruction": (ask("Put this provision into its context."), some("path", F.concat(F.coalesce("title", F.lit("")), F.lit("\nSection: "), F.array_join("path", " > "), F.lit("\nProvision: "), F.col("text")))),
+    }
+    for k in range(3):
+        out[f"modal_extraction_{k}"] = (ask("Name the explicit obligation in this provision, and infer none."), F.when(modal(k).isNotNull(), F.to_json(modal(k))))
+    return out
+
+
+def asked(rows: DataFrame, ask, retries: int = 2) -> DataFrame:
+    """rows (id, text) with ``pairs``, question and answer pairs from a model, and ``error``.
+
+    ``ask`` maps a text to a list of dictionaries; one with other keys than q and a, or an
+    exception, counts as a failure and is tried again.
+    """
+    import pandas as pd
+
+    def one(text: str) -> tuple[list, str | None]:
+        error = None
+        for _ in range(retries + 1):
+            try:
+                pairs = ask(text)
+                if isinstance(pairs, list) and all(isinstance(p, dict) and set(p) == {"q", "a"} for p in pairs):
+                    return [{"q": str(p["q"]), "a": str(p["a"])} for p in pairs], None
+                error = "unexpected shape"
+            except Exception as e:  # whatever the model raises
+                error = str(e)[:4000]
+        return [], error
+
+    def run(batches):
+        for batch in batches:
+            found = [one(t) for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"], "pairs": [f[0] for f in found], "error": [f[1] for f in found]})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "text").mapInPandas(run, f"id {kind}, pairs array<struct<q: string, a: string>>, error string")
+
+
 def report(made: DataFrame, key: str) -> DataFrame:
     return made.groupBy("split", "task").agg(F.count("*").alias("examples"), F.countDistinct(key).alias("documents"))

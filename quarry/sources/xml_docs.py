@@ -10,12 +10,15 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as E
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Bytes of an unpacked member at most; a larger one gives an error row.
+MOST_BYTES = 1 << 28
 NODES = "path string, node_id int, parent_id int, depth int, ord int, type string, number string, title string, text string, error string"
 
 # Element names of acts and the block type each becomes.
@@ -37,13 +40,18 @@ def members(archives: DataFrame) -> DataFrame:
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
+                name = ""
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for name in sorted(z.namelist()):
-                            if name.lower().endswith(".xml"):
-                                yield pd.DataFrame({"path": [f"{path}!{name}"], "content": [z.read(name)], "error": [None]})
-                except zipfile.BadZipFile as e:
-                    yield pd.DataFrame({"path": [path], "content": [None], "error": [str(e)]})
+                        for member in sorted(z.infolist(), key=lambda m: m.filename):
+                            name = f"!{member.filename}"
+                            if not name.lower().endswith(".xml"):
+                                continue
+                            if member.file_size > MOST_BYTES:
+                                raise ValueError(f"a member of {member.file_size} bytes")
+                            yield pd.DataFrame({"path": [path + name], "content": [z.read(member)], "error": [None]})
+                except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, ValueError) as e:  # damaged, cut off, encrypted, or too large
+                    yield pd.DataFrame({"path": [path + name], "content": [None], "error": [str(e)]})
 
     return archives.mapInPandas(unpack, "path string, content binary, error string")
 
@@ -91,8 +99,11 @@ def tree(content: bytes, blocks: dict[str, str]) -> list[tuple]:
             node[7] = markdown_table(table_rows(element))
         elif not any(local(c.tag) in blocks for c in element.iter() if c is not element):
             skip = {id(c) for c in element if local(c.tag) in _NUMBER + _TITLE}
-            node[7] = " ".join(x for x in [(element.text or "").strip(), *(((flat(c) if id(c) not in skip else "") + " " + (c.tail or "")).strip() for c in element)] if x)
-            node[7] = " ".join(node[7].split())
+            # Inline elements join their text as written; those without text between them are set apart.
+            parts = [element.text or ""]
+            for c in element:
+                parts += [" " if id(c) in skip else "".join(c.itertext()), c.tail or " "]
+            node[7] = " ".join("".join(parts).split())
         else:
             for k, c in enumerate(element):
                 walk(c, node[0], depth + 1, k)
@@ -108,12 +119,13 @@ def nodes(rows: DataFrame, blocks: dict[str, str] | None = None) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in NODES.split(", ")]
         for batch in batches:
+            found: list[tuple] = []
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    found = [(path, *n, None) for n in tree(content, blocks)]
-                except (E.ParseError, TypeError) as e:
-                    found = [(path, *[None] * 8, str(e))]
-                yield pd.DataFrame(found, columns=names).astype(object)
+                    found += [(path, *n, None) for n in tree(content, blocks)]
+                except (E.ParseError, TypeError) as e:  # the message names line and column
+                    found.append((path, *[None] * 8, str(e)))
+            yield pd.DataFrame(found, columns=names).astype(object)
 
     return rows.select("path", "content").mapInPandas(parse, NODES)
 
