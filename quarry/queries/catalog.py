@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
+from quarry.functions.acts import validity
 from quarry.functions.columns import chain
+from quarry.functions.text import triage
 from quarry.operators import catalog as C
+from quarry.operators.records import pending
+from quarry.plans.search import catalog_origin, origin_of
 from quarry.queries.common import PARAGRAPHS, Registry, chunk_table
 from quarry.session import table
 
@@ -62,19 +66,19 @@ def multi_key_fallback_join(spark, sf_dir):
     return C.fallback_join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), right, [("s_suppkey", "k1"), ("s_nationkey", "k2")], "c_name", "c_custkey").select("s_suppkey", "c_name", "strategy")
 
 
-@query("WITH r AS (SELECT o_custkey AS target, max(o_orderkey) AS repealed_by FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT c_custkey, repealed_by, CASE WHEN repealed_by IS NOT NULL THEN 'repealed' WHEN c_acctbal < 0 THEN 'expired' ELSE 'in force' END AS validity FROM customer LEFT JOIN r ON c_custkey = target")
+@query("WITH r AS (SELECT o_custkey AS target, max(o_orderkey) AS repealed_by FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT c_custkey, repealed_by, CASE WHEN repealed_by IS NOT NULL THEN 'REPEALED (by ' || CAST(repealed_by AS VARCHAR) || ')' WHEN c_acctbal < 0 THEN 'EXPIRED (1 May 2020)' WHEN c_acctbal < 1000 THEN 'TIME-LIMITED (expires 1 May 2030)' ELSE 'IN FORCE' END AS validity FROM customer LEFT JOIN r ON c_custkey = target")
 def validity_status(spark, sf_dir):
     """The last registered repealer of each row; then expiry; else in force."""
     repeals = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("repealed_by"))
     rows = table(spark, sf_dir, "customer").join(repeals, "c_custkey", "left")
-    return rows.select("c_custkey", "repealed_by", chain([(F.col("repealed_by").isNotNull(), F.lit("repealed")), (F.col("c_acctbal") < 0, F.lit("expired"))], F.lit("in force")).alias("validity"))
+    expires = F.when(F.col("c_acctbal") < 0, "1 May 2020").when(F.col("c_acctbal") < 1000, "1 May 2030")
+    return rows.select("c_custkey", "repealed_by", validity(F.col("repealed_by").cast("string"), expires, 2026).alias("validity"))
 
 
 @query("SELECT a.p_partkey, max(b.p_partkey) AS repealed_by FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND b.p_partkey > a.p_partkey GROUP BY 1")
 def repeal_selfjoin(spark, sf_dir):
-    """The last later row of the same number; the greatest key of the group decides, so nothing is joined."""
-    w = Window.partitionBy("p_brand", "p_size")
-    return table(spark, sf_dir, "part").select("p_partkey", F.max("p_partkey").over(w).alias("repealed_by")).where("repealed_by > p_partkey")
+    """The last later row of the same number."""
+    return C.last_later(table(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_partkey", "repealed_by").select("p_partkey", "repealed_by")
 
 
 @query(f"WITH {PARAGRAPHS}, d AS (SELECT doc_id FROM documents WHERE doc_id % 100 = 0) SELECT chunk_id, min(d.doc_id) AS consulted FROM p JOIN d ON starts_with(chunk_id, concat(d.doc_id, ':')) GROUP BY chunk_id")
@@ -118,11 +122,11 @@ def delete_cascade(spark, sf_dir):
     return C.without(chunk_table(spark, sf_dir), gone, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, arg_max(event_type, ts) FILTER (event_type IS NOT NULL) AS status, max(value) AS value, bool_or(event_type = 'error') AS failed FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1) GROUP BY user_id")
+@query("WITH s AS (SELECT user_id, event_type AS status FROM events WHERE event_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT user_id, status, max(value) AS value, bool_or(event_type = 'error') AS failed FROM events LEFT JOIN s USING (user_id) GROUP BY user_id, status")
 def sparse_update(spark, sf_dir):
     """Job state after all sparse updates: the latest status that is set, the largest value."""
-    rows = table(spark, sf_dir, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id", "ts").orderBy("event_id"))).where("n = 1")
-    return rows.groupBy("user_id").agg(F.max_by("event_type", "ts").alias("status"), F.max("value").alias("value"), F.bool_or(F.col("event_type") == "error").alias("failed"))
+    rows = table(spark, sf_dir, "events")
+    return rows.groupBy("user_id").agg(C.latest("event_type", "ts", "event_id").alias("status"), F.max("value").alias("value"), F.bool_or(F.col("event_type") == "error").alias("failed"))
 
 
 @query("SELECT event_id, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 6) AS rate FROM events")
@@ -136,11 +140,36 @@ def random_sample_hash(spark, sf_dir):
     return C.hashed_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 37, "s1")
 
 
-@query("SELECT doc_id, CASE WHEN source = 'src0' THEN 'note' WHEN source IN ('src1', 'src2') THEN 'bookshelf' WHEN lang = 'de' THEN 'manual' WHEN contains(lower(text), 'license') THEN 'rules' ELSE 'acts' END AS origin FROM documents")
+@query("SELECT doc_id, CASE WHEN source = 'src0' THEN 'note' WHEN source IN ('src1', 'src2') THEN 'skybrary' WHEN source = 'src3' THEN 'manual' WHEN source = 'src4' THEN 'faa' WHEN source = 'src5' THEN 'easa' WHEN source = 'src6' THEN 'manual' ELSE 'eu' END AS origin FROM documents")
 def origin_classifier(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    rules = [(F.col("source") == "src0", F.lit("note")), (F.col("source").isin("src1", "src2"), F.lit("bookshelf")), (F.col("lang") == "de", F.lit("manual")), (F.contains(F.lower("text"), F.lit("license")), F.lit("rules"))]
-    return docs.select("doc_id", chain(rules, F.lit("acts")).alias("origin"))
+    """By marks in the metadata, or by the id where there is none."""
+    marks = {"src0": '{"origin": "note", "source": "FAA XML"}', "src1": '{"source": "SKYBRARY"}', "src2": '{"source": "SKYBRARY"}', "src3": '{"source": "Manual"}', "src4": '{"source": "FAA XML"}', "src5": '{"source": "EASA XML"}', "src6": ""}
+    metadata = chain([(F.col("source") == s, F.lit(m)) for s, m in marks.items()], F.lit("{}"))
+    name = F.concat(F.when(F.col("source") == "src6", "MANUAL_").otherwise("NOTE_"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", origin_of(metadata, name).alias("origin"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'de' THEN 'note' WHEN source IN ('src0', 'src1') THEN 'skybrary' WHEN source = 'src2' THEN 'note' WHEN source = 'src3' THEN 'faa' WHEN source = 'src4' THEN 'manual' WHEN source = 'src5' THEN 'easa' ELSE 'eu' END AS origin FROM documents")
+def origin_of_catalog_rows(spark, sf_dir):
+    """The catalogue's own order of rules, which a note in the metadata overrides."""
+    source = F.when(F.col("source") == "src0", "SKYBRARY").when(F.col("source") == "src4", "Custom").otherwise("x")
+    key = F.concat(F.when(F.col("source") == "src1", "SKYBRARY_").when(F.col("source") == "src2", "NOTE_").otherwise("D"), F.col("doc_id").cast("string"))
+    title = F.when(F.col("source") == "src3", "14 CFR part 1").when(F.col("source") == "src5", "Easy Access Rules").otherwise("Title")
+    metadata = F.when(F.col("lang") == "de", '{"origin": "note"}').otherwise("{broken")
+    return table(spark, sf_dir, "documents").select("doc_id", catalog_origin(source, key, title, metadata).alias("origin"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 30 THEN p_name WHEN p_size % 3 = 0 THEN CASE WHEN p_size % 2 = 0 THEN p_brand || ' — Annex I' ELSE 'Annex I' END WHEN p_size % 2 = 0 THEN p_brand ELSE CAST(p_partkey AS VARCHAR) END AS title FROM part")
+def enriched_titles(spark, sf_dir):
+    raw = F.when(F.col("p_size") > 30, F.col("p_name")).when(F.col("p_size") % 3 == 0, "Annex I").otherwise(" ")
+    return table(spark, sf_dir, "part").select("p_partkey", C.enriched_title(raw, F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), F.col("p_partkey").cast("string")).alias("title"))
+
+
+@query("SELECT ps AS page, min(k) AS chosen FROM (SELECT l_orderkey AS ps, l_linenumber AS k, l_quantity AS score, max(l_quantity) OVER (PARTITION BY l_orderkey) AS best FROM lineitem) WHERE score = best GROUP BY 1")
+def chosen_link(spark, sf_dir):
+    """The link of the greatest score on each page; of equal ones the first."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("k"), "l_quantity")
+    return C.best_of(rows, "page", "l_quantity", "k").select("page", F.col("k").alias("chosen"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE 'customer_0000%1%'")
@@ -159,26 +188,29 @@ def linked_report(spark, sf_dir):
     """Qualifiers under parents under groups: inner and left joins with counts."""
     t = lambda name: table(spark, sf_dir, name)
     rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    spent = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
-    both = rows.join(spent, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return both.groupBy("r_name", "n_name").agg(F.count("*").alias("customers"), F.sum(F.coalesce("n", F.lit(0))).alias("orders"), F.round(F.sum(F.coalesce("total", F.lit(0.0))), 2).alias("total"))
+    linked = C.linked_totals(rows, t("orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", ["r_name", "n_name"], "o_totalprice")
+    return linked.select("r_name", "n_name", F.col("members").alias("customers"), F.col("links").alias("orders"), F.round("total", 2).alias("total"))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_discount), 4) AS avg_disc FROM lineitem GROUP BY 1, 2")
-def ingest_metrics(spark, sf_dir):
+def line_totals(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.avg("l_discount"), 4).alias("avg_disc"))
 
 
-@query("SELECT p_partkey, round(least(greatest(p_size / 5.0, 0), 10) * 0.6 + least(greatest(p_retailprice / 200.0, 0), 10) * 0.4, 6) AS weighted FROM part")
+@query("""WITH s AS (SELECT p_partkey, (least(p_size, 10) + p_partkey % 11) / 2.0 AS score FROM part), p AS (SELECT *, CAST(round_even(score * 10, 0) AS INT) AS priority FROM s)
+    SELECT p_partkey, round_even(score, 2) AS score, priority, CASE WHEN priority >= 75 THEN 'critical' WHEN priority >= 50 THEN 'medium' WHEN priority >= 25 THEN 'low' ELSE 'ignore' END AS bucket FROM p""")
 def triage_priority(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 5.0).alias("a"), (F.col("p_retailprice") / 200.0).alias("b"))
-    clamp = lambda c: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(10.0))
-    return rows.select("p_partkey", F.round(clamp("a") * 0.6 + clamp("b") * 0.4, 6).alias("weighted"))
+    """Scores of two dimensions, clamped to ten and weighed alike."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), (F.col("p_partkey") % 11).cast("double").alias("b"))
+    score, priority, bucket = triage({"a": 1.0, "b": 1.0})
+    return rows.select("p_partkey", score.alias("score"), priority.alias("priority"), bucket.alias("bucket"))
 
 
-@query("SELECT event_type, user_id % 3 = 0 AND value > 50 AS pending, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SELECT event_type, count(*) AS n FROM events WHERE user_id % 3 = 0 OR (user_id % 3 = 1 AND event_id % 5 < 3) GROUP BY 1")
 def queue_filters(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type", ((F.col("user_id") % 3 == 0) & (F.col("value") > 50)).alias("pending")).agg(F.count("*").alias("n"))
+    """Pending rows and failed ones that may be tried again, by type."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", F.when(F.col("user_id") % 3 == 0, "pending").when(F.col("user_id") % 3 == 1, "error").otherwise("complete").alias("status"), (F.col("event_id") % 5).alias("attempts"), F.lit(0).alias("priority"))
+    return pending(rows).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 QUERIES, ORACLES = query.queries, query.oracles

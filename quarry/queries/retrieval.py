@@ -71,7 +71,7 @@ def keyword_origin_filter(spark, sf_dir):
     return lexical.ranked(scores.select("chunk_id", "source", F.round("score", 6).alias("score")), 20, F.asc("score"), F.asc("chunk_id"))
 
 
-_SET = "doc_id % 7 = 3"
+_SET = "source IN ('src3', 'src4', 'src5')"
 _WS = f"WITH {PARAGRAPHS}, tk AS (SELECT chunk_id, doc_id, {_W} AS w FROM p WHERE {_SET}), " + _bm25_sql("tk", "chunk_id", ["the", "onha"], {"w": 1}, "", ", doc_id").rstrip()
 _WS_HITS = ", hits AS (SELECT *, row_number() OVER (ORDER BY round(score, 6), chunk_id) AS r FROM sc QUALIFY r <= 200), capped AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS doc_rank FROM hits QUALIFY doc_rank <= 3)"
 
@@ -111,7 +111,7 @@ def reading_list_best_per_doc(spark, sf_dir):
     return catalog.affine_scores(best).orderBy(F.round("score", 6), "doc_id").limit(12).select("doc_id", "chunk_id", "relevance")
 
 
-_SIM = rf"""WITH {PARAGRAPHS}, s AS (SELECT doc_id, seq, text, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 2) AS w FROM p WHERE doc_id < 40),
+_SIM = rf"""WITH {PARAGRAPHS}, s AS (SELECT doc_id, seq, text, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 2) AS w FROM p),
     q AS (SELECT unnest(['the', 'onha', 'ering']) AS t),
     tf AS (SELECT doc_id, seq, t, len(list_filter(w, lambda x: x = t)) AS tf, CASE WHEN length(t) >= 4 THEN len(list_filter(w, lambda x: x != t AND (contains(x, t) OR contains(t, x)))) ELSE 0 END AS fz, len(w) AS l FROM s, q),
     st AS (SELECT doc_id, count(DISTINCT seq) AS n, avg(l) AS m FROM tf GROUP BY doc_id),
@@ -123,7 +123,7 @@ _SIM = rf"""WITH {PARAGRAPHS}, s AS (SELECT doc_id, seq, text, list_filter(regex
 
 @query(_SIM)
 def section_similarity(spark, sf_dir):
-    return search.section_similarity(chunk_table(spark, sf_dir).where("doc_id < 40"), "the onha ering")
+    return search.section_similarity(chunk_table(spark, sf_dir), "the onha ering")
 
 
 _COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 7)::DOUBLE[])"

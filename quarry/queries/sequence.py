@@ -16,11 +16,11 @@ def chunk_links(spark, sf_dir):
     return K.linked(chunk_table(spark, sf_dir)).select("chunk_id", "previous_chunk_id", "next_chunk_id")
 
 
-@query(f"""WITH {PARAGRAPHS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS rn FROM p), f AS (SELECT doc_id, chunk_id AS target_id, rn AS rn0 FROM r WHERE seq = 3 AND doc_id % 4 = 1)
+@query(f"""WITH {PARAGRAPHS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS rn FROM p), f AS (SELECT doc_id, chunk_id AS target_id, rn AS rn0 FROM r WHERE seq = 3)
     SELECT target_id, chunk_id, CASE WHEN rn < rn0 THEN 'before' WHEN rn > rn0 THEN 'after' ELSE 'target' END AS position FROM r JOIN f USING (doc_id) WHERE rn BETWEEN rn0 - 2 AND rn0 + 2""")
 def context_window_pm2(spark, sf_dir):
     rows = chunk_table(spark, sf_dir)
-    return K.surroundings(rows, rows.where("seq = 3 and doc_id % 4 = 1"), 2).select("target_id", "chunk_id", "position")
+    return K.surroundings(rows, rows.where("seq = 3"), 2).select("target_id", "chunk_id", "position")
 
 
 @query(f"WITH {PARAGRAPHS} SELECT chunk_id, last_value(CASE WHEN length(text) < 60 THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM p")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.columns import found
+from quarry.operators.catalog import latest
 from quarry.operators.furniture import page_furniture as furniture
 from quarry.queries.common import PARAGRAPHS, Registry, chunk_table, texts
 from quarry.session import table
@@ -14,14 +15,13 @@ from quarry.sources import html
 query = Registry()
 
 # The corpus holds no English modals, so words it does hold stand for them.
-_LENS = {"mandates": r"\bthe\b", "prohibitions": r"\bof\b", "permissions": r"\bto\b", "exceptions": r"\bnot\b"}
+_LENS = {"mandates": "the", "prohibitions": "of", "permissions": "to", "exceptions": "not"}
 _MODAL = [("of the", "OF_THE", "COMPOUND"), ("the", "THE", "OBLIGATION"), ("and", "AND", "PERMISSION")]
 
 
-@query("SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '(?i){p}')) AS INT) AS {n}" for n, p in _LENS.items()) + " FROM documents WHERE lang = 'en' AND text = regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')")
+@query("SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '(?i){p}')) AS INT) AS {n}" for n, p in _LENS.items()) + " FROM documents")
 def requirement_lens(spark, sf_dir):
-    docs = texts(spark, sf_dir).where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", *T.lens(F.col("text"), _LENS))
+    return texts(spark, sf_dir).select("doc_id", *T.lens(F.col("text"), _LENS))
 
 
 @query(f"WITH {PARAGRAPHS} SELECT chunk_id, CASE WHEN contains(lower(text), 'of the') THEN 'OF_THE' WHEN contains(lower(text), 'the') THEN 'THE' WHEN contains(lower(text), 'and') THEN 'AND' END AS modality, CASE WHEN contains(lower(text), 'of the') THEN 'COMPOUND' WHEN contains(lower(text), 'the') THEN 'OBLIGATION' WHEN contains(lower(text), 'and') THEN 'PERMISSION' END AS legal_role, nullif(regexp_extract(text, '(?i)the (\\w+) of', 1), '') AS subject FROM p")
@@ -35,26 +35,24 @@ def modal_sentences(spark, sf_dir):
     return chunk_table(spark, sf_dir).select("chunk_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"))
 
 
-@query(f"WITH {PARAGRAPHS} SELECT chunk_id, coalesce(nullif(regexp_extract(text, '\\b(on[a-z]+) the\\b', 1), ''), nullif(regexp_extract(text, '\\b([a-z]+ing) of\\b', 1), ''), nullif(regexp_extract(text, '\\bto ([a-z]+)\\b', 1), '')) AS party FROM p WHERE lang = 'en'")
+@query(f"WITH {PARAGRAPHS} SELECT chunk_id, coalesce(nullif(regexp_extract(text, '(on[a-z]+) the', 1), ''), nullif(regexp_extract(text, '([a-z]+ing) of', 1), ''), nullif(regexp_extract(text, 'to ([a-z]+)', 1), '')) AS party FROM p")
 def responsible_party(spark, sf_dir):
-    rows = chunk_table(spark, sf_dir).where("lang = 'en'")
-    return rows.select("chunk_id", T.responsible(F.col("text"), [r"\b(on[a-z]+) the\b", r"\b([a-z]+ing) of\b", r"\bto ([a-z]+)\b"]).alias("party"))
+    return chunk_table(spark, sf_dir).select("chunk_id", T.responsible(F.col("text"), ["(on[a-z]+) the", "([a-z]+ing) of", "to ([a-z]+)"]).alias("party"))
 
 
 _SET = "list_distinct(list_filter(list_transform(string_split_regex(lower({0}), '\\s+'), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: w != ''))"
 
 
-@query(f"WITH w AS (SELECT doc_id, {_SET.format('text')} AS s FROM documents WHERE lang = 'en') SELECT a.doc_id, round(100.0 * len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))) AS percent FROM w a JOIN w b ON b.doc_id = a.doc_id + 1")
+@query(f"WITH w AS (SELECT doc_id, {_SET.format('text')} AS s FROM documents) SELECT a.doc_id, round(100.0 * len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))) AS percent FROM w a JOIN w b ON b.doc_id = a.doc_id + 1")
 def jaccard_word_diff(spark, sf_dir):
-    rows = texts(spark, sf_dir).where("lang = 'en'").select("doc_id", T.word_set(F.col("text")).alias("a"))
+    rows = texts(spark, sf_dir).select("doc_id", T.word_set(F.col("text")).alias("a"))
     other = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
     return rows.join(other, "doc_id").select("doc_id", T.jaccard_percent(F.col("a"), F.col("b")).alias("percent"))
 
 
-@query("WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9/-]+', ' ', 'g'), ' '), lambda x: length(x) >= 4 AND NOT regexp_full_match(x, '[0-9]+') AND x NOT IN ('tion', 'that')))) AS term FROM documents WHERE lang = 'en') SELECT term, count(*) AS docs FROM t GROUP BY term HAVING count(*) >= 2 ORDER BY docs DESC, term LIMIT 14")
+@query("WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9/-]+', ' ', 'g'), ' '), lambda x: length(x) >= 4 AND NOT regexp_full_match(x, '[0-9]+') AND x NOT IN ('tion', 'that')))) AS term FROM documents) SELECT term, count(*) AS docs FROM t GROUP BY term HAVING count(*) >= 2 ORDER BY docs DESC, term LIMIT 14")
 def shared_concepts(spark, sf_dir):
-    docs = texts(spark, sf_dir).where("lang = 'en'")
-    terms = docs.select(F.explode(T.concept_terms(F.col("text"), ["tion", "that"])).alias("term"))
+    terms = texts(spark, sf_dir).select(F.explode(T.concept_terms(F.col("text"), ["tion", "that"])).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("docs")).where("docs >= 2").orderBy(F.desc("docs"), "term").limit(14)
 
 
@@ -87,42 +85,42 @@ def snippets(spark, sf_dir):
     return chunk_table(spark, sf_dir).select("chunk_id", T.snippet(F.col("text")).alias("snippet"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS normal FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS normal FROM documents")
 def query_normalize(spark, sf_dir):
-    return texts(spark, sf_dir).select("doc_id", T.normalised_query(F.substring("text", 1, 200)).alias("normal"))
+    return texts(spark, sf_dir).select("doc_id", T.normalised_query(F.col("text")).alias("normal"))
 
 
-@query("SELECT user_id, arg_max(event_id, ts) AS reused FROM events WHERE event_type = 'purchase' AND value >= 20 AND user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT ts) = count(ts)) GROUP BY user_id")
+@query("SELECT user_id, event_id AS reused FROM events WHERE event_type = 'purchase' AND value >= 20 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def query_normalize_reuse(spark, sf_dir):
-    """The newest finished job of each key whose level suffices (keys with distinct times)."""
-    rows = table(spark, sf_dir, "events")
-    clear = rows.groupBy("user_id").agg(F.countDistinct("ts").alias("a"), F.count("ts").alias("b")).where("a = b")
-    done = rows.where("event_type = 'purchase' and value >= 20").join(clear, "user_id", "left_semi")
-    return done.groupBy("user_id").agg(F.max_by("event_id", "ts").alias("reused"))
+    """The newest finished job of each key whose level suffices; of equal times the greatest id."""
+    done = table(spark, sf_dir, "events").where("event_type = 'purchase' and value >= 20")
+    return done.groupBy("user_id").agg(latest("event_id", "ts", "event_id").alias("reused"))
 
 
-_TITLES = ["Commission Regulation (EU) 2018/1139 of 4 July", "Council Regulation (EEC) No 3922/91", "Directive 2004/36/EC", "Commission Implementing Decision (EU) 2019/12345", "Council Directive 91/670/EEC", "No number here"]
-_PARSED = [("R", 2018, 1139, "32018R1139"), ("R", 1991, 3922, "31991R3922"), ("L", 2004, 36, "32004L0036"), ("D", 2019, 12345, "32019D12345"), ("L", 1991, 670, "31991L0670")]
+_Y, _N = "1995 + o_orderkey % 30", "1 + o_custkey % 12000"
+_TITLE_SQL = f"""CASE o_orderkey % 5 WHEN 0 THEN 'Commission Regulation (EU) ' || CAST({_Y} AS VARCHAR) || '/' || CAST({_N} AS VARCHAR) || ' of 4 July' WHEN 1 THEN 'Council Regulation (EEC) No ' || CAST(1 + o_custkey % 4000 AS VARCHAR) || '/' || CAST(60 + o_orderkey % 40 AS VARCHAR)
+    WHEN 2 THEN 'Directive ' || CAST({_Y} AS VARCHAR) || '/' || CAST(1 + o_custkey % 900 AS VARCHAR) || '/EC' WHEN 3 THEN 'Council Directive ' || CAST(60 + o_orderkey % 40 AS VARCHAR) || '/' || CAST(1 + o_custkey % 900 AS VARCHAR) || '/EEC' ELSE 'No number here' END"""
+_PARSED = f"""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'R' WHEN 1 THEN 'R' WHEN 2 THEN 'L' WHEN 3 THEN 'L' END AS letter, CAST(CASE o_orderkey % 5 WHEN 0 THEN {_Y} WHEN 2 THEN {_Y} WHEN 1 THEN 1960 + o_orderkey % 40 WHEN 3 THEN 1960 + o_orderkey % 40 END AS INT) AS year,
+    CAST(CASE o_orderkey % 5 WHEN 0 THEN {_N} WHEN 1 THEN 1 + o_custkey % 4000 WHEN 2 THEN 1 + o_custkey % 900 WHEN 3 THEN 1 + o_custkey % 900 END AS INT) AS number FROM orders"""
 
 
-def _titles(spark):
-    return spark.createDataFrame([(k, t) for k, t in enumerate(_TITLES)], "id int, title string")
+def _titles(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_TITLE_SQL.replace("VARCHAR", "STRING")).alias("title"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{a}', {y}, {n})" for k, (a, y, n, _) in enumerate(_PARSED)) + ", (5, NULL, NULL, NULL)) AS t(id, letter, year, number)")
+@query(_PARSED)
 def doc_number_parse(spark, sf_dir):
-    return _titles(spark).select("id", T.act_number(F.col("title")).alias("a")).select("id", "a.letter", "a.year", "a.number")
+    return _titles(spark, sf_dir).select("o_orderkey", T.act_number(F.col("title")).alias("a")).select("o_orderkey", "a.letter", "a.year", "a.number")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{c}')" for k, (_, _, _, c) in enumerate(_PARSED)) + ", (5, NULL)) AS t(id, celex)")
+@query(f"SELECT o_orderkey, '3' || CAST(year AS VARCHAR) || letter || CASE WHEN number >= 1000 THEN CAST(number AS VARCHAR) ELSE lpad(CAST(number AS VARCHAR), 4, '0') END AS celex FROM ({_PARSED})")
 def celex_build(spark, sf_dir):
-    return _titles(spark).select("id", T.act_number(F.col("title")).alias("a")).select("id", T.celex(F.col("a.letter"), F.col("a.year"), F.col("a.number")).alias("celex"))
+    return _titles(spark, sf_dir).select("o_orderkey", T.act_number(F.col("title")).alias("a")).select("o_orderkey", T.celex(F.col("a.letter"), F.col("a.year"), F.col("a.number")).alias("celex"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '\\bof ([a-z]+)', 1), regexp_extract_all(text, '\\bto ([a-z]+)', 1)))), ',') AS refs FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, 'of ([a-z]+)', 1), regexp_extract_all(text, 'to ([a-z]+)', 1)))), ',') AS refs FROM documents")
 def refs_amend_repeal(spark, sf_dir):
-    docs = texts(spark, sf_dir).where("lang = 'en'")
-    return docs.select("doc_id", F.array_join(T.sorted_matches(F.col("text"), [r"\bof ([a-z]+)", r"\bto ([a-z]+)"]), ",").alias("refs"))
+    return texts(spark, sf_dir).select("doc_id", F.array_join(T.sorted_matches(F.col("text"), ["of ([a-z]+)", "to ([a-z]+)"]), ",").alias("refs"))
 
 
 @query(f"WITH {PARAGRAPHS} SELECT chunk_id, concat('Title: ', source, CASE WHEN lang != 'en' THEN chr(10) || 'Section: ' || lang ELSE '' END, chr(10), text) AS embedding_text FROM p")
@@ -151,10 +149,9 @@ def url_link_score(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.url_score(F.col("url"), F.col("html"), "license").alias("score"))
 
 
-@query(f"WITH {PARAGRAPHS} SELECT chunk_id, regexp_replace(text, '(?i)\\b(onha|the)', '<mark>\\1</mark>', 'g') AS marked FROM p WHERE lang = 'en' AND text = regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')")
+@query(f"WITH {PARAGRAPHS} SELECT chunk_id, regexp_replace(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(onha|the)', '\\1<mark>\\2</mark>', 'g') AS marked FROM p")
 def highlights(spark, sf_dir):
-    rows = chunk_table(spark, sf_dir).where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return rows.select("chunk_id", T.highlighted(F.col("text"), ["the", "onha"]).alias("marked"))
+    return chunk_table(spark, sf_dir).select("chunk_id", T.highlighted(F.col("text"), ["the", "onha"]).alias("marked"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(13), ''), '[ \\t]+\\n', chr(10), 'g'), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g') AS text FROM documents")

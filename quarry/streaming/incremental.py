@@ -9,21 +9,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators.chunks import paragraphs
 from quarry.operators.lexical import postings
+from quarry.sources.sinks import exists
 
 
 def index_new(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append postings of documents that the index at path has not seen; a repeated batch adds nothing."""
+    """Append postings of documents that the index at path has not seen.
 
-    def batch(docs: DataFrame, _: int) -> None:
+    Postings and seen ids are tables of their own, each with a folder for every batch,
+    which a repeated batch overwrites; so a batch that failed half-way leaves nothing
+    behind, and a look at what was seen reads ids alone.
+    """
+
+    def batch(docs: DataFrame, number: int) -> None:
         spark = docs.sparkSession
-        try:
-            seen = spark.read.parquet(path).select("doc_id").distinct()
-            docs = docs.join(seen, "doc_id", "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        posted = postings(paragraphs(docs.dropDuplicates(["doc_id"])), "chunk_id", {"text": "text"})
-        posted.withColumn("doc_id", F.substring_index("chunk_id", ":", 1).cast("long")).write.mode("append").parquet(path)
+        new = docs.dropDuplicates(["doc_id"])
+        if exists(spark, f"{path}/seen"):
+            seen = spark.read.parquet(f"{path}/seen").where(F.col("batch") != number).select("doc_id")
+            new = new.join(seen, "doc_id", "left_anti")
+        posted = postings(paragraphs(new), "chunk_id", {"text": "text"})
+        posted.withColumn("doc_id", F.substring_index("chunk_id", ":", 1).cast("long")).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        new.select("doc_id").write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 
 def plain(frame):
     def one(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
             return "null"
         if isinstance(v, bool) or type(v).__name__ == "bool":
             return str(bool(v))
