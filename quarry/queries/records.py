@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import records as R
 from quarry.operators import trees
+from quarry.plans import library
 from quarry.queries.common import Registry, texts
 from quarry.session import table
 from quarry.sources import sinks
@@ -218,4 +219,42 @@ def composed_letters(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", T.composed(F.coalesce("text", F.lit(""))).alias("text"))
 
 
+_SHELF = "SELECT c_custkey AS doc_id, c_name AS title, CASE WHEN c_custkey % 3 = 0 THEN 'note' ELSE 'eu' END AS origin, c_mktsegment AS stakeholder, CAST(c_custkey % 40 AS VARCHAR) AS celex FROM customer"
+
+
+def _shelf(spark, sf_dir):
+    key = F.col("c_custkey")
+    docs = table(spark, sf_dir, "customer").select(key.alias("doc_id"), F.col("c_name").alias("title"), F.when(key % 3 == 0, "note").otherwise("eu").alias("origin"), F.col("c_mktsegment").alias("stakeholder"), F.lit("2020").alias("date"), (key % 40).cast("string").alias("celex"), F.lit(None).cast("string").alias("doc_number"))
+    orders = table(spark, sf_dir, "orders")
+    chunks = orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("text"))
+    marks = orders.select((F.col("o_custkey") % 60).cast("string").alias("parent_id"), (F.col("o_orderkey") % 50).cast("string").alias("celex"))
+    return docs, chunks, marks
+
+
+@query(f"""WITH d AS ({_SHELF}), n AS (SELECT o_custkey AS doc_id, count(*) AS chunk_count FROM orders GROUP BY 1),
+    q AS (SELECT key, sum(n) AS n FROM (SELECT CAST(o_custkey % 60 AS VARCHAR) AS key, 1 AS n FROM orders UNION ALL SELECT CAST(o_orderkey % 50 AS VARCHAR), 1 FROM orders WHERE o_orderkey % 50 != o_custkey % 60) GROUP BY 1),
+    c AS (SELECT d.doc_id, title, chunk_count, coalesce(nullif(a.n, 0), nullif(b.n, 0), 0)::BIGINT AS qualifier_count, origin = 'note' AND lower(stakeholder) = 'building' AND contains(lower(title), '1') AS kept FROM d JOIN n USING (doc_id) LEFT JOIN q a ON a.key = CAST(d.doc_id AS VARCHAR) LEFT JOIN q b ON b.key = celex)
+    SELECT doc_id, title, chunk_count, qualifier_count, (SELECT count(*) FROM c) AS total, (SELECT count(*) FROM c WHERE kept) AS filtered FROM c WHERE kept ORDER BY chunk_count DESC, doc_id LIMIT 50""")
+def catalog_page_scoped(spark, sf_dir):
+    """The catalogue by origin, stakeholder and words, with counts of qualifiers."""
+    docs, chunks, marks = _shelf(spark, sf_dir)
+    page = library.catalog_page(docs, chunks, marks, "1", "notes", "Building", limit=50)
+    return page.select("doc_id", "title", "chunk_count", "qualifier_count", "total", "filtered")
+
+
+@query(f"""WITH d AS ({_SHELF}), w AS (SELECT DISTINCT o_custkey * 2 AS doc_id FROM orders), t AS (SELECT o_custkey AS doc_id, count(*) AS n_chunks, string_agg(o_orderpriority, chr(10) || chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY 1)
+    SELECT doc_id, coalesce(title, CAST(doc_id AS VARCHAR)) AS title, coalesce(origin, 'eu') AS origin, coalesce(n_chunks, 0) AS n_chunks, coalesce(text, '') AS text FROM w LEFT JOIN d USING (doc_id) LEFT JOIN t USING (doc_id)""")
+def batch_of_documents(spark, sf_dir):
+    """Titles, origins and whole texts of wanted documents; unknown ones stay."""
+    docs, chunks, _ = _shelf(spark, sf_dir)
+    return library.batch(chunks.select((F.col("doc_id") * 2).alias("doc_id")), docs, chunks)
+
+
+@query(f"""WITH d AS ({_SHELF}), n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+    t AS (SELECT o_custkey AS doc_id, string_agg(o_orderpriority, chr(10) ORDER BY o_orderkey)[1:1500] AS text FROM n WHERE i <= 4 GROUP BY 1) SELECT doc_id AS id, concat_ws(chr(10), title, text) AS text FROM d LEFT JOIN t USING (doc_id)""")
+def act_embedding_texts(spark, sf_dir):
+    docs, chunks, _ = _shelf(spark, sf_dir)
+    return library.act_texts(docs, chunks)
+
+
 QUERIES, ORACLES = query.queries, query.oracles

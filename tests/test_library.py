@@ -209,3 +209,40 @@ def test_every_module_has_queries(module):
     import importlib
 
     assert importlib.import_module(f"quarry.queries.{module}").QUERIES
+
+
+def test_library_plans(spark):
+    from quarry.plans import library
+
+    docs = spark.createDataFrame([("a", "Crew rest", "eu", "general", "2020", "32012R0965", None), ("b", "Flight crew", "easa", "ansp", None, None, "1/2"), ("c", "No chunks", "eu", "general", None, None, None)], "doc_id string, title string, origin string, stakeholder string, date string, celex string, doc_number string")
+    chunks = spark.createDataFrame([("a", "a:0", 0, "one", None), ("a", "a:1", 1, "two", [1.0, 0.0]), ("b", "b:0", 0, "three", [0.0, 2.0])], "doc_id string, chunk_id string, seq int, text string, embedding array<double>")
+    qualifiers = spark.createDataFrame([("q1", "x", "32012R0965", "", "long text"), ("q2", "1/2", None, "", None)], "qualifier_id string, parent_id string, celex string, target_ref string, text string")
+    page = library.catalog_page(docs, chunks, qualifiers, "crew", sort_by="title", descending=False).collect()
+    assert [(r["doc_id"], r["chunk_count"], r["qualifier_count"], r["total"], r["filtered"]) for r in page] == [("a", 2, 1, 2, 2), ("b", 1, 1, 2, 2)]
+    assert [r["doc_id"] for r in library.catalog_page(docs, chunks, origin="easa", stakeholder="ANSP").collect()] == ["b"]
+    got = {r["doc_id"]: tuple(r)[1:] for r in library.batch(spark.createDataFrame([("a",), ("z",)], "doc_id string"), docs, chunks).collect()}
+    assert got == {"a": ("Crew rest", "eu", 2, "one\n\ntwo"), "z": ("z", "eu", 0, "")}
+    assert library.qualifiers_page(qualifiers, {"id": "a", "celex": "32012R0965", "number": None}, 4).first()["preview"] == "long..."
+    assert library.reading_words("What about crew rest with rest", "Flight time") == ["crew", "rest", "flight", "time"] and library.reading_words("of") == library.DEFAULT_WORDS
+    scores = [(r["doc_id"], r["seq"], r["score"]) for r in library.section_scores(chunks, spark.createDataFrame([([1.0, 0.0],)], "embedding array<double>")).collect()]
+    assert scores == [("a", 1, 1.0), ("a", 0, 0.0), ("b", 0, 0.0)]
+    shelf = spark.createDataFrame([("a:0", "a", '{"category": "Fatigue", "author": "Ann Lee", "date": "2021"}'), ("b:0", "b", '{"category": "Other"}')], "chunk_id string, doc_id string, metadata string")
+    hits = spark.createDataFrame([("a:0", -2.0), ("b:0", -3.0)], "chunk_id string, score double")
+    assert [tuple(r) for r in library.bookshelf(shelf, hits, "fatigue", "lee").collect()] == [("a:0", "a", "Fatigue", "2021", 2.0)]
+    turns = spark.createDataFrame([(k, "user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(11)], "turn int, role string, text string")
+    context = library.question_context(chunks, spark.createDataFrame([("a:0", 1)], "chunk_id string, rank int"), turns)
+    assert [r["turn"] for r in context["history"].collect()] == list(range(2, 10)) and context["blocks"].first()["block"] == "[1] a:0\none\ntwo"
+    told = library.context_summary(chunks, spark.createDataFrame([("a:1", 1)], "chunk_id string, rank int"), "why?", lambda p: p[-3:]).first()
+    assert told["summary"] == "two" and told["prompt"].startswith("Question: why?")
+    note, parts = library.new_note(spark, "My note!", [{"title": "A", "text": "x"}], "P", ("t",))
+    assert note.first()["document_id"] == "NOTE_My_note" and '"origin":"note"' in note.first()["metadata"] and parts.count() == 1
+    sections = spark.createDataFrame([("s1", False), ("s2", True)], "section_id string, enabled boolean")
+    both = library.with_section(sections, spark.createDataFrame([("s1", True), ("s3", True)], "section_id string, enabled boolean"))
+    assert sorted(tuple(r) for r in both.collect()) == [("s1", True), ("s2", True), ("s3", True)]
+    odd = spark.createDataFrame([(" x ", "{bad", ["a ", "", None]), (None, "{}", None)], "t string, j string, p array<string>")
+    assert [tuple(r) for r in library.cleaned(odd, ["t"], ["j"], ["p"]).collect()] == [("x", None, ["a"]), ("", "{}", [])]
+    assert {r["id"]: r["text"] for r in library.act_texts(docs, chunks, 1).collect()} == {"a": "Crew rest\none", "b": "Flight crew\nthree", "c": "No chunks"}
+    made = library.ingested(spark.createDataFrame([("/p/x/b.xml", "ACT", "Regulation (EU) No 965/2012 on crews", "T", None), ("/p/x/c_annex.xml", "ANNEX", "Annex", "A", None), ("/p/y/d.xml", "ACT", "Directive 2004/36/EC on fish", "F", None), ("/p/z/e.xml", None, None, None, "bad")], "path string, root string, title string, text string, error string"), spark.createDataFrame([("32012R0965", "old", "old", 0), ("kept", "k", "k", 0)], "doc_id string, title string, text string, annex_count long"), ["crews?"])
+    assert sorted((r["doc_id"], r["text"], r["annex_count"]) for r in made["documents"].collect()) == [("32012R0965", "T\n\nA", 1), ("kept", "k", 0)]
+    m = made["metrics"].first()
+    assert (m["scanned"], m["core"], m["annexes"], m["filtered"], m["failed"]) == (2, 1, 1, 1, 1)
