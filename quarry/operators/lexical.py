@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from quarry.functions.columns import words
+from quarry.session import kept
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -27,11 +28,19 @@ def lengths(rows: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     return rows.select(F.col(key), total.alias("len"))
 
 
+def _one_pass(counts: DataFrame, kinds: int) -> tuple[DataFrame, DataFrame]:
+    """(hits, one row of statistics) of (key, len, f0, f1, …): hits are written while the corpus size, mean length and document frequencies are observed."""
+    seen = Observation()
+    hit = [F.col(f"f{k}") > 0 for k in range(kinds)]
+    observed = counts.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean"), *(F.count_if(h).alias(f"d{k}") for k, h in enumerate(hit)))
+    hits = kept(observed.where(reduce(lambda a, b: a | b, hit)), "hits")
+    return hits, counts.sparkSession.range(1).select(*(F.lit(v).alias(name) for name, v in seen.get.items()))
+
+
 def bm25(rows: DataFrame, key: str, columns: dict[str, str], terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
     """(key, matched, score) of rows with any of the terms; smaller is better. A term given twice counts twice.
 
-    One pass gives the corpus size, mean length and document frequencies (one row,
-    broadcast), a second the matching rows; no token is ever shuffled.
+    One pass over the rows; no token is ever shuffled.
     """
     weights = weights or {}
     kinds = sorted(set(terms))
@@ -40,8 +49,7 @@ def bm25(rows: DataFrame, key: str, columns: dict[str, str], terms: list[str], w
     bags = rows.select(F.col(key), F.inline(F.array(F.struct(*(words(F.col(c)).alias(names[name]) for name, c in columns.items())))))
     count = lambda t: reduce(lambda a, b: a + b, ((F.size(bag) - F.size(F.array_remove(bag, t))) * float(weights.get(name, 1.0)) for name, bag in names.items()))
     one = bags.select(F.col(key), reduce(lambda a, b: a + b, (F.size(b) for b in names.values())).alias("len"), *(count(t).alias(f"f{k}") for k, t in enumerate(kinds)))
-    stats = one.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"f{k}") > 0).alias(f"d{k}") for k in range(len(kinds))))
-    hits = one.where(reduce(lambda a, b: a | b, (F.col(f"f{k}") > 0 for k in range(len(kinds)))))
+    hits, stats = _one_pass(one, len(kinds))
 
     def part(k: int, t: str):
         idf = F.log((F.col("n") - F.col(f"d{k}") + 0.5) / (F.col(f"d{k}") + 0.5))
@@ -91,7 +99,7 @@ def scored(counts: DataFrame, key: str, stats: DataFrame, expression: Expression
 
 
 def expression_scores(rows: DataFrame, key: str, columns: dict[str, str], expression: Expression, weights: dict[str, float] | None = None, tokenise=words) -> DataFrame:
-    """As `scored`, for rows without a stored index: one pass for the statistics and one for the hits."""
+    """As `scored`, for rows without a stored index: one pass over the rows."""
     weights, atoms = weights or {}, expression.atoms()
     names = {name: f"_bag_{k}" for k, name in enumerate(columns)}
     bags = rows.select(F.col(key), F.inline(F.array(F.struct(*(tokenise(F.col(c)).alias(names[name]) for name, c in columns.items())))))
@@ -107,8 +115,8 @@ def expression_scores(rows: DataFrame, key: str, columns: dict[str, str], expres
 
     count = lambda atom: reduce(lambda a, b: a + b, (times(bag, atom) * float(weights.get(name, 1.0)) for name, bag in names.items()))
     one = bags.select(F.col(key), reduce(lambda a, b: a + b, (F.size(b) for b in names.values())).alias("len"), *(count(a).alias(f"f{k}") for k, a in enumerate(atoms)))
-    stats = one.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"f{k}") > 0).alias(f"d{k}") for k in range(len(atoms))))
-    return scored(one, key, stats, expression)
+    hits, stats = _one_pass(one, len(atoms))
+    return scored(hits, key, stats, expression)
 
 
 def phrase_hits(rows: DataFrame, key: str, column: str, phrase: list[str]) -> DataFrame:

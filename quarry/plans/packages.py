@@ -102,3 +102,14 @@ def to_copy(sources: DataFrame, archive: DataFrame) -> DataFrame:
     """Source files that the archive lacks or holds with another size or time (path, size, modified)."""
     held = archive.select("path", F.col("size").alias("_size"), F.col("modified").alias("_modified"))
     return sources.join(held, "path", "left").where(~(F.col("size").eqNullSafe(F.col("_size")) & F.col("modified").eqNullSafe(F.col("_modified")))).drop("_size", "_modified")
+
+
+def inspected(headers: DataFrame, keywords: list[str], this_year: int) -> DataFrame:
+    """Header rows (path, title, header, error) with what they state: number, expiry, repeals, keywords, state; a file that does not parse is CORRUPTED and has the rest null."""
+    text = F.concat_ws(" ", "title", "header")
+    good = F.col("error").isNull()
+    pair = first_of(F.col("title"), [r"(?i)\((?:EU|EC|EEC)\)\s*(?:No\s*)?(\d+/\d+)", r"(?i)No\s*(\d+/\d+)"])
+    both = acts.year_and_number(pair)
+    stated = {"doc_number": F.when(pair.isNotNull(), acts.display_number(both["year"], both["number"])), "expires": acts.expiry(text), "repeals": acts.repealed_numbers(text), "keywords": acts.keywords(text, keywords)}
+    out = headers.select("*", *(F.when(good, c).alias(n) for n, c in stated.items()))
+    return out.withColumn("state", F.when(~good, "CORRUPTED").otherwise(acts.validity(F.lit(None).cast("string"), F.col("expires"), this_year)))

@@ -246,3 +246,15 @@ def test_library_plans(spark):
     assert sorted((r["doc_id"], r["text"], r["annex_count"]) for r in made["documents"].collect()) == [("32012R0965", "T\n\nA", 1), ("kept", "k", 0)]
     m = made["metrics"].first()
     assert (m["scanned"], m["core"], m["annexes"], m["filtered"], m["failed"]) == (2, 1, 1, 1, 1)
+
+
+def test_headers_blocks_and_contents(spark):
+    rows = spark.createDataFrame([("a", "Regulation (EU) 2018/1139 repealing Regulations (EC) No 216/2008 and (EU) No 1/2011", "It shall apply until 3 May 2020. Crew", None), ("b", None, None, "bad")], "path string, title string, header string, error string")
+    got = {r["path"]: r for r in packages.inspected(rows, ["crew"], 2026).collect()}
+    a = got["a"]
+    assert (a["doc_number"], a["expires"], a["repeals"], a["keywords"], a["state"]) == ("2018/1139", "3 May 2020", ["216/2008", "1/2011"], ["crew"], "EXPIRED (3 May 2020)")
+    assert got["b"]["state"] == "CORRUPTED" and got["b"]["repeals"] is None
+    nodes = spark.createDataFrame([("d", 2, 1, "text", "b"), ("d", 1, 0, "section", "x"), ("d", 3, 1, "note", "c"), ("d", 4, 1, "text", " ")], "doc_id string, node_id int, parent_id int, type string, text string")
+    assert [tuple(r) for r in trees.body_blocks(nodes).collect()] == [("d", 1, ["b", "c"])]
+    items, contents = spark.createDataFrame([("1", "x"), ("2", "y")], "sdt_id string, text string"), spark.createDataFrame([("1", "T", "CS 1", 0)], "sdt_id string, title string, number string, ord int")
+    assert [tuple(r) for r in trees.with_contents(items, contents).collect()] == [("1", "x", "T", "CS 1", 0)]
