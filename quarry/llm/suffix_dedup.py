@@ -33,13 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.bytes_np import _BASE, _BYTE, buffers, mix, slices
-from quarry.llm.exact_dedup import BROADCAST_ROWS
 from quarry.llm.jaccard_join import _runs_of
 from quarry.llm.scratch import small_batches, written
 
 LENGTH, GRAM = 400, 32
 #: Segments of one gram, and bytes of segments, that a task sorts together.
 RUN_SEGMENTS, SORT_BYTES = 2_000, 1_500_000
+#: Bytes of spans up to which they are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_BYTES = 1 << 28
 #: Bits of the filter of shipped segments at most (32 MB); a fuller filter ships more rows, no fewer.
 FILTER_BITS = 28
 _U = np.uint64
@@ -364,7 +365,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = per_segment.union(all_of).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("at", "spans")).alias("s"))
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("tid", F.col("s.at").alias("ats"), F.col("s.spans").alias("spans"))).alias("found"))
     found = written(found.withColumnRenamed("doc_id", "_id"), "found")
-    if found.count() <= BROADCAST_ROWS // 4:
+    spans = lambda x: F.aggregate(x["spans"], F.lit(24).cast("long"), lambda n, s: n + 32 + F.octet_length(s))
+    size = found.agg(F.sum(F.aggregate("found", F.lit(32).cast("long"), lambda n, x: n + spans(x)))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         found = F.broadcast(found)
     joined = slim.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "found")
     return joined.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
