@@ -3,7 +3,8 @@
 ``fold`` is a column expression: it turns an array of bytes into token ids by
 merging, again and again, the adjacent pair of lowest rank (leftmost on ties).
 Pair ranks stand in the plan as one literal array, a cuckoo hash map in which a
-pair has two places, so a lookup costs two reads however large the vocabulary.
+pair has two places, so a lookup costs two reads however large the vocabulary. It
+holds the one pair of each token that can ever make it.
 
 1. Tasks cut texts into words by the split pattern and count their distinct
    words; one shuffle adds the counts of the whole corpus.
@@ -45,9 +46,10 @@ TABLE_WORDS, TABLE_BYTES = 1_000_000, 24
 #: Distinct words a task counts before it passes them on.
 HELD = 150_000
 CUT, FOLD_BYTES = 48, 2_048
+PLAN_CHARS = 50_000
 #: Bytes of text that a task cuts into words at once.
 SLICE = 1 << 18
-_BITS, _NONE = 18, 2**31 - 1
+_BITS, _NONE = 17, 99_999
 #: Multipliers below 2**30, so that products of 32-bit pairs stay within a long.
 _MIXERS = (0x2545F491, 0x1B873593)
 _U = np.uint64
@@ -68,23 +70,41 @@ def _places(pair: int) -> list[int]:
     return [((pair * m) >> 22) & ((1 << _BITS) - 1) for m in _MIXERS]
 
 
+def last_merge(word: bytes, ranks: dict[bytes, int]) -> tuple[int, int] | None:
+    """The pair whose merge completes a token when its bytes are merged by themselves; None if they never do.
+
+    Within any text, the merges inside the bytes that become one token are those of these
+    bytes by themselves, so no other pair ever makes that token.
+    """
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        known = [ranks.get(x + y, _NONE) for x, y in zip(parts, parts[1:])]
+        best = min(known)
+        if best == _NONE:
+            return None
+        if len(parts) == 2:
+            return ranks[parts[0]], ranks[parts[1]]
+        at = known.index(best)
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return None
+
+
 def pair_table(ranks: dict[bytes, int]) -> np.ndarray:
-    """Cuckoo table of every pair of tokens that concatenates to a token: pair << 16 | rank, -1 where empty."""
+    """Cuckoo table of the one pair that makes each token: pair << 16 | rank, -1 where empty."""
     table = np.full(1 << _BITS, -1, np.int64)
     for word, rank in ranks.items():
-        for cut in range(1, len(word)):
-            a, b = ranks.get(word[:cut]), ranks.get(word[cut:])
-            if a is None or b is None:
-                continue
-            entry, place = ((a << 16 | b) << 16) | rank, None
-            for _ in range(500):
-                first, second = _places(entry >> 16)
-                place = first if place is None or place == second else second
-                entry, table[place] = int(table[place]), entry
-                if entry < 0:
-                    break
-            else:
-                raise ValueError("the pair table is too full")
+        pair = last_merge(word, ranks)
+        if pair is None:
+            continue
+        entry, place = ((pair[0] << 16 | pair[1]) << 16) | rank, None
+        for _ in range(500):
+            first, second = _places(entry >> 16)
+            place = first if place is None or place == second else second
+            entry, table[place] = int(table[place]), entry
+            if entry < 0:
+                break
+        else:
+            raise ValueError("the pair table is too full")
     return table
 
 
@@ -480,6 +500,8 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     """One row per row of docs: doc_id, ids (little-endian unsigned 32-bit integers), decoded (their bytes)."""
     context = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
+    # The literal tables would fill every listing of the plan that the driver keeps.
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_CHARS)
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     folded, beside, shared, kind = fold(ranks), context.broadcast(neighbours(ranks)), context.broadcast(ranks), Pieces(ranks).kind
     counted = slim.select("text").mapInArrow(_counted(pattern, beside), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -489,6 +511,7 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     blocks = list(zip(*(blocks.column(k).to_pylist() for k in range(3))))
     packed = context.broadcast(blocks)
     del blocks
+    pa.default_memory_pool().release_unused()
     cut = slim.mapInArrow(_split(pattern, kind, packed, shared, beside), "doc_id long, known binary, gaps array<int>, places array<int>, words array<array<int>>")
     ids = cut.select("doc_id", "known", "gaps", "places", folded(F.col("words")).alias("words"))
     return ids.mapInArrow(_join(shared), "doc_id long, ids binary, decoded binary")

@@ -119,7 +119,8 @@ def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, batch: int = 6
     """Adam over shuffled batches of (passage features, label)."""
     rng = np.random.default_rng(seed)
     x = np.concatenate([r[0] for r in rows])
-    mean, scale = x.mean(0), x.std(0) + 0.02
+    mean, scale = x.mean(0), x.std(0) + np.float32(0.02)
+    del x
     model = {"E": rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), "e": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATES)), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATES)), "w": rng.normal(0, 0.3, GATES), "c": rng.normal(0, 0.3, HIDDEN), "b": np.zeros(())}
     first, second = ({k: np.zeros_like(v) for k, v in model.items()} for _ in range(2))
     step = 0
@@ -157,9 +158,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict |
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     sample = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select("label", "text")
-    found = sample.mapInArrow(_described, "label int, x binary").toArrow().to_pydict()
-    rows = [(np.frombuffer(x, np.float32).reshape(-1, FEATURES).astype(float), y) for x, y in zip(found["x"], found["label"])]
-    return fit(rows) if rows else None
+    found = sample.mapInArrow(_described, "label int, x binary").toArrow()
+    rows = [(np.frombuffer(x.as_buffer(), np.float32).reshape(-1, FEATURES), y.as_py()) for x, y in zip(found.column("x"), found.column("label"))]
+    model = fit(rows) if rows else None
+    del found, rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _scored(model: dict | None, column: int, name: str):
