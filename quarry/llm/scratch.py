@@ -8,9 +8,11 @@ folder is made and used for the rest of the session.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 #: Rows of a batch between the JVM and Python: some megabytes of usual texts.
@@ -54,6 +56,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, BATCH_ROWS)
 
 
+def release(spark: SparkSession) -> None:
+    """Give back what earlier work left in the driver: unreferenced frames and broadcasts, Arrow's pool, and free heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every table written by this library; call it when no result is in use any more."""
     jvm = spark.sparkContext._jvm
