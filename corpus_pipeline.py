@@ -18,7 +18,7 @@ from quarry.llm.decontaminate import benchmark_hits
 from quarry.llm.exact_dedup import BROADCAST_ROWS, exact_duplicates
 from quarry.llm.jaccard_join import similar_documents
 from quarry.llm.quality import THRESHOLD, scored, train
-from quarry.llm.scratch import written
+from quarry.llm.scratch import release, written
 from quarry.session import table
 
 
@@ -55,6 +55,7 @@ def _without(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the classifier accepts, each row by itself; null and empty texts are scored as well. All stay where there are no labels."""
+    release(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     if model is None:
         return docs
@@ -64,24 +65,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of equal documents: the longest, then that of least doc_id; of rows that repeat a doc_id, one. Null and empty texts are equal."""
+    release(spark)
     rows, key = _identified(docs)
     return _without(rows, key, exact_duplicates(_as_documents(rows, key)).where("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the row of least doc_id of each class of near duplicates; texts without words are one class."""
+    release(spark)
     rows, key = _identified(docs)
     return _without(rows, key, similar_documents(_as_documents(rows, key)).where("doc_id != class_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop rows that hold a window of a benchmark item; null and empty texts hold none."""
+    release(spark)
     rows, key = _identified(docs)
     return _without(rows, key, benchmark_hits(_as_documents(rows, key), table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode what is left; doc_id, n_tokens and digests of the ids and of the bytes they decode to."""
+    release(spark)
     ranks = bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.digests(bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN))
 
