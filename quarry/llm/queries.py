@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import bpe, suffix_dedup
+from quarry.llm.collocations import collocations
 from quarry.llm.decontaminate import benchmark_hits
 from quarry.llm.exact_dedup import exact_duplicates
 from quarry.llm.jaccard_join import similar_documents
@@ -61,6 +62,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_ppm": op2_ppm,
@@ -72,6 +77,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
@@ -96,4 +102,18 @@ ORACLES = {
         named AS (SELECT k, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS t FROM found) GROUP BY k)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN hit USING (k) LEFT JOIN named USING (k)""",
+    "op13_collocations": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(list_transform(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'), lambda x: regexp_extract_all(x, '[^\x20\x09]+'))) AS p FROM documents),
+        runs AS (SELECT lang, k, p[i:i + k - 1] AS w FROM (SELECT lang, p, k, unnest(generate_series(1, len(p) - k + 1)) AS i FROM pieces, (VALUES (1), (2), (3)) AS v(k) WHERE len(p) >= k)),
+        f AS (SELECT lang, k, w, count(*) AS a FROM runs GROUP BY ALL),
+        total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        often AS (SELECT * FROM f WHERE a >= 10),
+        cuts AS (SELECT lang, k, w, a, unnest(generate_series(1, k - 1)) AS c FROM often WHERE k > 1),
+        scored AS (SELECT c.lang, c.k, c.w, c.a, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score, c
+                   FROM cuts c JOIN often x ON x.lang = c.lang AND x.w = c.w[1:c] JOIN often y ON y.lang = c.lang AND y.w = c.w[c + 1:]),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, c) = 1),
+        longer AS (SELECT lang, s, max(a) AS most FROM (SELECT lang, unnest([w[1:2], w[2:3]]) AS s, a FROM often WHERE k = 3) GROUP BY lang, s),
+        kept AS (SELECT b.*, array_to_string(b.w, ' ') AS phrase FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.s = b.w WHERE g.most IS NULL OR 100 * g.most < 50 * b.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+        FROM kept JOIN total USING (lang) QUALIFY rank <= 2000""",
 }
