@@ -10,8 +10,9 @@
    counts accepting states; the tasks' counts are summed. These counts are exact:
    hashes only choose what is walked.
 
-Between steps, what may be frequent is told to tasks by filters of 2 ** FILTER_BITS bits
-(32 MB whatever the data); when these fill up, more is walked, and nothing is lost.
+Between steps, what may be frequent is told to tasks by filters of 64 bits for each of
+it, 2 ** FILTER_BITS bits (32 MB) at most; when these fill up, more is walked, and
+nothing is lost.
 One pass over the texts serves PASS_SHARDS * SHARD_PHRASES candidates; a corpus with more
 is read once for each such lot.
 
@@ -112,7 +113,7 @@ class Runs:
 def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     ok = np.ones(len(h), bool)
     for shift in (U64(0), U64(32)):
-        slot = (h >> shift) & U64((1 << FILTER_BITS) - 1)
+        slot = (h >> shift) & U64(len(bits) * 8 - 1)
         ok &= (bits[slot >> U64(3)] >> (slot & U64(7)).astype(np.uint8)) & 1 == 1
     return ok
 
@@ -349,11 +350,13 @@ def _counted(filters, tries, shards: dict[int, int]):
 
 def _filter(hashes: DataFrame) -> np.ndarray:
     """A filter of the column h, put together from pieces of 4 KB."""
-    mask = (1 << FILTER_BITS) - 1
+    hashes = written(hashes, "hashes")
+    bits_of = min(FILTER_BITS, max(15, (64 * hashes.count()).bit_length()))
+    mask = (1 << bits_of) - 1
     slots = hashes.select(F.explode(F.array(F.col("h").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(mask)))).alias("s")).select(F.col("s") + 1)
     slot = F.col(slots.columns[0])  # Spark's buckets begin with 1
     pieces = slots.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    bits = np.zeros(1 << (bits_of - 3), np.uint8)
     for b, piece in zip(pieces.column("b").to_pylist(), pieces.column("bits")):
         bits[(b - 1) * 4096 : b * 4096] = np.frombuffer(piece.as_buffer(), np.uint8)
     return bits

@@ -9,6 +9,7 @@ from quarry.llm.collocations import collocations
 from quarry.llm.decontaminate import benchmark_hits
 from quarry.llm.exact_dedup import exact_duplicates
 from quarry.llm.jaccard_join import similar_documents
+from quarry.llm.merkle import attested
 from quarry.llm.pii import personal_data
 from quarry.llm.ppm import language_scores
 from quarry.llm.quality import quality_scores
@@ -62,6 +63,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attested(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
+    "op12_merkle": op12_merkle,
     "op13_collocations": op13_collocations,
 }
 
@@ -102,6 +108,30 @@ ORACLES = {
         named AS (SELECT k, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS t FROM found) GROUP BY k)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN hit USING (k) LEFT JOIN named USING (k)""",
+    "op12_merkle": r"""
+        WITH RECURSIVE named AS (SELECT row_number() OVER () AS k, doc_id, coalesce('=' || lang, '') AS tree, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+                list_reduce(list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda v: CASE WHEN v IS NULL THEN '-' ELSE octet_length(encode(v)) || ':' || v END), lambda x, y: x || y) AS head,
+                list_reduce([4294967295::UBIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT),
+                    lambda a, b: list_reduce([xor(a, b)] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)) AS crc FROM documents),
+        hashed AS (SELECT k, doc_id, tree, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(text)) || ':' || text END) AS leaf,
+                sha256(head || CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(low)) || ':' || low END) AS lowered, coalesce(xor(crc, 4294967295::UBIGINT) % 3 = 0, false) AS hit FROM named),
+        leaves AS (SELECT *, CASE WHEN hit THEN lowered ELSE leaf END AS start, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM hashed),
+        nodes(tree, h, i, d, n) AS (SELECT tree, 0, i, leaf, n FROM leaves
+                UNION ALL SELECT tree, h + 1, i // 8, sha256(string_agg(d, '' ORDER BY i)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, h, i // 8, n),
+        tops(tree, h, i, d, n) AS (SELECT tree, 0, row_number() OVER (ORDER BY tree) - 1, d, count(*) OVER () FROM nodes WHERE n = 1
+                UNION ALL SELECT '', h + 1, i // 8, sha256(string_agg(d, '' ORDER BY i)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY h, i // 8, n),
+        places AS (SELECT k, tree, i, (SELECT min(t.i) FROM tops t WHERE t.h = 0 AND t.tree = leaves.tree) AS j FROM leaves),
+        sides AS (SELECT a.tree, a.h, a.i, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+                FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.h = b.h AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.tree, a.h, a.i),
+        top_sides AS (SELECT a.h, a.i, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+                FROM tops a JOIN tops b ON a.h = b.h AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.h, a.i),
+        steps AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY u, h) AS s, l, r FROM (
+                SELECT k, 0 AS u, h, l, r FROM places p JOIN sides s ON s.tree = p.tree AND s.i = p.i // CAST(8 ** s.h AS BIGINT)
+                UNION ALL SELECT k, 1, h, l, r FROM places p JOIN top_sides s ON s.i = p.j // CAST(8 ** s.h AS BIGINT))),
+        proofs AS (SELECT k, sha256(string_agg(l || r, '' ORDER BY s)) AS proof, max(s) AS m FROM steps GROUP BY k),
+        folds(k, s, x) AS (SELECT k, 0, start FROM leaves UNION ALL SELECT f.k, f.s + 1, sha256(t.l || f.x || t.r) FROM folds f JOIN steps t ON t.k = f.k AND t.s = f.s + 1)
+        SELECT doc_id, leaf, (SELECT min(d) FROM nodes o WHERE o.tree = v.tree AND o.n = 1) AS subroot, (SELECT min(d) FROM tops WHERE n = 1) AS root, coalesce(proof, sha256('')) AS proof_sha256, x AS folded_root, x = (SELECT min(d) FROM tops WHERE n = 1) AS verified
+        FROM leaves v LEFT JOIN proofs USING (k) JOIN folds f ON f.k = v.k AND f.s = coalesce(m, 0)""",
     "op13_collocations": r"""
         WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(list_transform(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'), lambda x: regexp_extract_all(x, '[^\x20\x09]+'))) AS p FROM documents),
         runs AS (SELECT lang, k, p[i:i + k - 1] AS w FROM (SELECT lang, p, k, unnest(generate_series(1, len(p) - k + 1)) AS i FROM pieces, (VALUES (1), (2), (3)) AS v(k) WHERE len(p) >= k)),
