@@ -3,8 +3,10 @@
 1. Words of each language are counted by Spark. Tasks then hash all runs of 2, later of
    3 words whose parts may be frequent (Apriori: a phrase is no more frequent than its
    parts) and count the hashes; a hash below MIN_COUNT cannot hold a frequent phrase.
-2. The phrases behind the other hashes are the candidates. Each shard of about
-   SHARD_PHRASES of them becomes a double-array trie over bytes, built in a task.
+2. The phrases behind the other hashes are the candidates. Every hash has an owner, one
+   of SLOTS kinds of rows that hold it; only rows of that kind send its phrases, so that
+   a phrase is sent about once, however many tasks hold it. Each shard of about
+   SHARD_PHRASES candidates becomes a double-array trie over bytes, built in a task.
 3. Tries are broadcast, PASS_SHARDS at a time. A task starts a state at every text position
    whose run may be a candidate, advances all states byte level by byte level, and
    counts accepting states; the tasks' counts are summed. These counts are exact:
@@ -30,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.bytes_np import U64, Words, buffers, mix, slices
-from quarry.llm.scratch import small_batches, written
+from quarry.llm.scratch import release, small_batches, written
 
 MIN_COUNT, LONGEST, TOP, COVERED = 10, 3, 2_000, 50
 FILTER_BITS, SHARD_PHRASES, PASS_SHARDS = 28, 250_000, 4
+#: Kinds of rows, by a hash of their words.
+SLOTS = 4_096
 #: Hashes that a task gathers before it counts and sends them.
 BLOCK = 2_000_000
 #: Parts that each language is split into for the first choice of its best phrases.
@@ -83,6 +87,15 @@ class Runs:
             value = value * U64(0x9E3779B97F4A7C15) + w.hash[at + j]
         return mix(value ^ self.seed[w.row[at]] ^ U64(k))
 
+    def slots(self, at: np.ndarray) -> np.ndarray:
+        """The kind of the row of each run: the same for equal texts, whatever their partition."""
+        w = self.words
+        if not len(at):
+            return np.zeros(0, U64)
+        first, last = w.bounds[:-1], np.maximum(w.bounds[1:] - 1, 0)
+        some = np.minimum(first, len(w.hash) - 1)
+        return (mix(w.hash[some] + w.hash[last] * U64(3) + (last - first).astype(U64)) % U64(SLOTS))[w.row[at]]
+
     def allowed(self, k: int, filters: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of the runs of k words that, by the filters of length k - 1 (and k if there is one), may be frequent."""
         at = self.starts(k)
@@ -130,13 +143,16 @@ def _bounds(k: int, filters):
         known, held, n = filters.value, [], 0
 
         def block():
-            h, times = np.unique(np.concatenate(held), return_counts=True)
+            h, first, times = np.unique(np.concatenate([x for x, _ in held]), return_index=True, return_counts=True)
+            slot = np.concatenate([x for _, x in held])[first]
             for a in range(0, len(h), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 100_000].view(np.int64)), pa.array(times[a : a + 100_000])], names=["h", "n"])
+                part = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(times[part]), pa.array(slot[part])], names=["h", "n", "slot"])
 
         for runs in _runs(batches):
-            held.append(runs.allowed(k, known)[1])
-            n += len(held[-1])
+            at, h = runs.allowed(k, known)
+            held.append((h, runs.slots(at).astype(np.int16)))
+            n += len(h)
             if n >= BLOCK:
                 yield from block()
                 held, n = [], 0
@@ -181,16 +197,23 @@ class _Seen:
         return fresh
 
 
-def _phrases(filters):
-    """The distinct phrases of a task that may be frequent: length, hash, and language, TAB and words as bytes."""
+def _owned(h: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return h ^ (slot << U64(8)) ^ (slot << U64(40))
+
+
+def _phrases(owners):
+    """The distinct phrases of a task that may be frequent and whose hash its rows own: length, hash, and language, TAB and words as bytes."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = filters.value, {k: _Seen() for k in range(2, LONGEST + 1)}
+        owner, seen = owners.value, {k: _Seen() for k in range(2, LONGEST + 1)}
         for runs in _runs(batches):
             data, begins = runs.joined()
             ends = np.append(begins[1:], len(data)) - 1
             for k, before in seen.items():
-                at, h = runs.allowed(k, known)
+                at = runs.starts(k)
+                h = runs.hashes(k, at)
+                mine = np.flatnonzero(_maybe(owner[k], _owned(h, runs.slots(at))))
+                at, h = at[mine], h[mine]
                 order = np.argsort(h, kind="stable")
                 at, h = at[order], h[order]
                 first, size = begins[at], ends[at + k - 1] - begins[at] if len(at) else at
@@ -349,8 +372,7 @@ def _counted(filters, tries, shards: dict[int, int]):
 
 
 def _filter(hashes: DataFrame) -> np.ndarray:
-    """A filter of the column h, put together from pieces of 4 KB."""
-    hashes = written(hashes, "hashes")
+    """A filter of the column h of a written table, put together from pieces of 4 KB."""
     bits_of = min(FILTER_BITS, max(15, (64 * hashes.count()).bit_length()))
     mask = (1 << bits_of) - 1
     slots = hashes.select(F.explode(F.array(F.col("h").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(mask)))).alias("s")).select(F.col("s") + 1)
@@ -377,14 +399,18 @@ def phrase_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
     """(lang, k, phrase, a): phrases of 2 to LONGEST words with MIN_COUNT occurrences or more; words: word_counts from MIN_COUNT on."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
-    filters = {1: _filter(words.select("lang", F.col("phrase").alias("text")).mapInArrow(_word_hashes, "h long"))}
+    filters, owners = {1: _filter(written(words.select("lang", F.col("phrase").alias("text")).mapInArrow(_word_hashes, "h long"), "hashes"))}, {}
     for k in range(2, LONGEST + 1):
+        release(spark)
         known = share(filters)
-        sums = docs.mapInArrow(_bounds(k, known), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(f"n >= {MIN_COUNT}").select("h")
-        filters = filters | {k: _filter(sums)}
+        sums = docs.mapInArrow(_bounds(k, known), "h long, n long, slot short").groupBy("h").agg(F.sum("n").alias("n"), F.min("slot").cast("long").alias("slot")).where(f"n >= {MIN_COUNT}")
+        sums = written(sums.select("h", F.col("h").bitwiseXOR(F.shiftleft("slot", 8)).bitwiseXOR(F.shiftleft("slot", 40)).alias("owned")), "hashes")
+        filters, owners = filters | {k: _filter(sums.select("h"))}, owners | {k: _filter(sums.select(F.col("owned").alias("h")))}
         known.unpersist()
+    held = share(owners)
+    found = written(docs.mapInArrow(_phrases(held), "k int, h long, key binary").groupBy("k", "h", "key").count().drop("count"), "candidates")
+    held.unpersist()
     known = share({k: v for k, v in filters.items() if k > 1})
-    found = written(docs.mapInArrow(_phrases(known), "k int, h long, key binary").groupBy("k", "h", "key").count().drop("count"), "candidates")
     shards = {r["k"]: max(1, -(-r["n"] // SHARD_PHRASES)) for r in found.groupBy("k").agg(F.count("*").alias("n")).collect()}
     if not shards:
         return spark.createDataFrame([], "lang string, k int, phrase string, a long")
@@ -395,6 +421,7 @@ def phrase_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
     counts = None
     every = sorted(sizes)
     for a in range(0, len(every), PASS_SHARDS):
+        release(spark)
         lot = every[a : a + PASS_SHARDS]
         rows = tries.where(" or ".join(f"(k = {k} and shard = {s})" for k, s in lot))
         held = share({(r["k"], r["shard"]): (bytes(r["base"]), bytes(r["checks"]), sizes[r["k"], r["shard"]]) for r in rows.toLocalIterator()})

@@ -32,7 +32,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quarry.llm.scratch import small_batches, written
 
 WIDTH, BUILDER_LEVELS = 8, 3
-BUILDER = WIDTH**BUILDER_LEVELS
 #: Rows up to which a table of groups or partitions (under 100 bytes a row) is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 _FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -87,18 +86,21 @@ def completed(inputs: list[str], levels: int) -> list[str]:
 _SEGMENT = "tree string, builder long, n long, size int, levels int, log binary, root string, ids array<long>, changed array<string>"
 
 
-def _built(rows: pa.Table) -> pa.Table:
-    """One builder: its log, and the ids and changed leaves of its inputs in their order."""
-    rows = rows.sort_by("rank")
-    n, inputs = rows.column("n")[0].as_py(), rows.column("digest").to_pylist()
-    levels = height(n) if n <= BUILDER else BUILDER_LEVELS
-    log = completed(inputs, levels)
-    return pa.table(
-        {
-            "tree": rows.column("tree").slice(0, 1).combine_chunks(), "builder": rows.column("builder").slice(0, 1).combine_chunks(), "n": pa.array([n], pa.int64()), "size": pa.array([len(inputs)], pa.int32()), "levels": pa.array([levels], pa.int32()),
-            "log": pa.array([bytes.fromhex("".join(log))], pa.binary()), "root": pa.array([log[-1]]), "ids": pa.array([rows.column("id").to_pylist()], pa.list_(pa.int64())), "changed": pa.array([rows.column("changed").to_pylist()], pa.list_(pa.string())),
-        }
-    )
+def _built(builder_levels: int):
+    def build(rows: pa.Table) -> pa.Table:
+        """One builder: its log, and the ids and changed leaves of its inputs in their order."""
+        rows = rows.sort_by("rank")
+        n, inputs = rows.column("n")[0].as_py(), rows.column("digest").to_pylist()
+        levels = min(height(n), builder_levels)
+        log = completed(inputs, levels)
+        return pa.table(
+            {
+                "tree": rows.column("tree").slice(0, 1).combine_chunks(), "builder": rows.column("builder").slice(0, 1).combine_chunks(), "n": pa.array([n], pa.int64()), "size": pa.array([len(inputs)], pa.int32()), "levels": pa.array([levels], pa.int32()),
+                "log": pa.array([bytes.fromhex("".join(log))], pa.binary()), "root": pa.array([log[-1]]), "ids": pa.array([rows.column("id").to_pylist()], pa.list_(pa.int64())), "changed": pa.array([rows.column("changed").to_pylist()], pa.list_(pa.string())),
+            }
+        )
+
+    return build
 
 
 def paths(log: bytes, size: int, levels: int, above: list[str]) -> tuple[list[str], list[list[str]]]:
@@ -119,14 +121,17 @@ def fold(leaf: str, sides: list[str]) -> str:
     return reduce(lambda x, k: digest(sides[k] + x + sides[k + 1]), range(0, len(sides), 2), leaf)
 
 
-def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each input of a segment of a higher pass: its path up to the root."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            _, sides = paths(row["log"], row["size"], row["levels"], row["sides"])
-            first = row["builder"] * BUILDER
-            n = len(sides)
-            yield pa.RecordBatch.from_arrays([pa.array([row["tree"]] * n), pa.array(np.arange(first, first + n)), pa.array(sides, pa.list_(pa.string()))], names=["tree", "builder", "sides"])
+def _tails(span: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each input of a segment of a higher pass: its path up to the root."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, sides = paths(row["log"], row["size"], row["levels"], row["sides"])
+                first = row["builder"] * span
+                n = len(sides)
+                yield pa.RecordBatch.from_arrays([pa.array([row["tree"]] * n), pa.array(np.arange(first, first + n)), pa.array(sides, pa.list_(pa.string()))], names=["tree", "builder", "sides"])
+
+    return cut
 
 
 _PROVED = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
@@ -180,18 +185,19 @@ def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
 class Manifest:
     """The logs of the trees over (tree, id, digest, changed, rank, n), one table for each pass."""
 
-    def __init__(self, inputs: DataFrame, name: str):
+    def __init__(self, inputs: DataFrame, name: str, builder_levels: int = BUILDER_LEVELS):
+        self.span = span = WIDTH**builder_levels
         most = inputs.agg(F.max("n")).first()[0] or 0
         self.passes: list[DataFrame] = []
         while not self.passes or most > 1:
-            logs = written(inputs.withColumn("builder", F.expr(f"rank div {BUILDER}")).groupBy("tree", "builder").applyInArrow(_built, _SEGMENT), name)
+            logs = written(inputs.withColumn("builder", F.expr(f"rank div {span}")).groupBy("tree", "builder").applyInArrow(_built(builder_levels), _SEGMENT), name)
             self.passes.append(logs)
-            most = -(-most // BUILDER)
-            inputs = logs.where(f"n > {BUILDER}").select("tree", F.col("builder").alias("rank"), F.expr(f"(n + {BUILDER - 1}) div {BUILDER}").alias("n"), F.col("root").alias("digest"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("changed"))
+            most = -(-most // span)
+            inputs = logs.where(f"n > {span}").select("tree", F.col("builder").alias("rank"), F.expr(f"(n + {span - 1}) div {span}").alias("n"), F.col("root").alias("digest"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("changed"))
 
     def roots(self) -> DataFrame:
         """(tree, root) of every tree."""
-        return reduce(DataFrame.union, (p.where(f"n <= {BUILDER}").select("tree", "root") for p in self.passes))
+        return reduce(DataFrame.union, (p.where(f"n <= {self.span}").select("tree", "root") for p in self.passes))
 
     def located(self, tops: DataFrame) -> DataFrame:
         """The first pass's segments with `sides`, the path from their root to the top, and their tree's root; tops: (tree, sides, top)."""
@@ -199,26 +205,27 @@ class Manifest:
         tails = None
         for k in range(len(self.passes) - 1, -1, -1):
             logs = self.passes[k]
-            whole = logs.where(f"n <= {BUILDER}").join(tops.select("tree", "sides"), "tree")
+            whole = logs.where(f"n <= {self.span}").join(tops.select("tree", "sides"), "tree")
             if tails is not None:
-                whole = whole.unionByName(logs.where(f"n > {BUILDER}").join(tails, ["tree", "builder"]))
+                whole = whole.unionByName(logs.where(f"n > {self.span}").join(tails, ["tree", "builder"]))
             if k:
-                tails = written(whole.select("tree", "builder", "size", "levels", "log", "sides").mapInArrow(_tails, "tree string, builder long, sides array<string>"), "tails")
+                tails = written(whole.select("tree", "builder", "size", "levels", "log", "sides").mapInArrow(_tails(self.span), "tree string, builder long, sides array<string>"), "tails")
         return whole.drop("root").join(self.roots(), "tree").join(tops.select("tree", "top"), "tree")
 
 
-def manifest(docs: DataFrame) -> tuple[Manifest, Manifest]:
+def manifest(docs: DataFrame, builder_levels: int = BUILDER_LEVELS) -> tuple[Manifest, Manifest]:
     """The logs over the rows of each language, and those over the languages' roots."""
-    rows = Manifest(ranked(leaves(docs), ["id", "digest"]), "row_logs")
+    hashed = written(leaves(docs), "leaves")  # a range partitioning reads its input twice, and texts are to be read once
+    rows = Manifest(ranked(hashed, ["id", "digest"]), "row_logs", builder_levels)
     groups = rows.roots().select(F.lit("").alias("tree"), F.col("tree").alias("group"), F.col("root").alias("digest"))
-    top = Manifest(written(ranked(groups, ["group"]), "groups").withColumns({"id": F.col("rank"), "changed": F.col("group")}), "group_logs")
-    return rows, top
+    named = written(ranked(groups, ["group"]), "groups").withColumns({"id": F.col("rank"), "changed": F.col("group")})
+    return rows, Manifest(named, "group_logs", builder_levels)
 
 
-def attested(docs: DataFrame) -> DataFrame:
+def attested(docs: DataFrame, builder_levels: int = BUILDER_LEVELS) -> DataFrame:
     """One row per row of docs: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
     small_batches(docs.sparkSession)
-    rows, top = manifest(docs)
+    rows, top = manifest(docs, builder_levels)
     ends = top.roots().select("tree", "root", F.array().cast("array<string>").alias("sides"), F.col("root").alias("top"))
     tops = written(top.located(ends).mapInArrow(_group_paths, "tree string, sides array<string>, top string"), "tops")
     return rows.located(tops).mapInArrow(_proved, _PROVED)

@@ -14,6 +14,7 @@ from quarry.llm.pii import personal_data
 from quarry.llm.ppm import language_scores
 from quarry.llm.quality import quality_scores
 from quarry.llm.secrets import secret_findings
+from quarry.llm.url_filter import url_verdicts
 from quarry.llm.warc import round_trip
 from quarry.session import table
 
@@ -63,6 +64,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attested(table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
+    "op11_urls": op11_urls,
     "op12_merkle": op12_merkle,
     "op13_collocations": op13_collocations,
 }
