@@ -11,8 +11,9 @@ In every round, a pattern's score for a kind is the weight of its occurrences th
 hold entities of that kind, over all its occurrences and DOUBT more; a pattern of
 SEEDS different entities or more and a score of CONFIDENT or more passes; strings
 of passed patterns become entities with the best of their patterns' scores, and so
-help further patterns to pass in the next round, until none is added or after
-ROUNDS rounds. Occurrences at patterns that passed are the added spans.
+help further patterns to pass in the next round, until a round leaves patterns,
+entities and scores (to six places) as an earlier one did. Occurrences at patterns
+that passed are the added spans.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned
 one by one; equal starts order by end; of several kinds an added span takes that of
@@ -28,7 +29,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quarry.llm.exact_dedup import BROADCAST_ROWS
 from quarry.llm.scratch import written
 
-ROUNDS, SEEDS, CONFIDENT, DOUBT = 4, 4, 0.7, 2.0
+SEEDS, CONFIDENT, DOUBT = 4, 0.7, 2.0
+#: Characters beside a match that are kept; more where the next two words before it, or the word after it, are longer.
+BESIDE = 80
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
 #: The same leftmost matches as the plain forms: possessive runs, tried at run starts and where a match ended.
@@ -51,11 +54,13 @@ def _let(value: Column, body) -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Every match with its start and end in code points, and up to 80 characters on each side."""
+    """Every match with its start and end in code points, and what stands beside it: BESIDE characters, and whole words where those are longer."""
+    tail = lambda p: F.when((F.char_length(p) <= BESIDE) | F.right(p, F.lit(BESIDE)).rlike(r"\s\S+\s+\S+\s*$"), F.right(p, F.lit(BESIDE))).otherwise(p)
+    head = lambda q: F.when((F.char_length(q) <= BESIDE) | F.left(q, F.lit(BESIDE)).rlike(r"^[^\s\p{L}]*\s+\S+\s"), F.left(q, F.lit(BESIDE))).otherwise(q)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def beside(parts: Column) -> Column:
-        around = F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda p, q: F.struct(F.char_length(p).alias("n"), F.right(p, F.lit(80)).alias("tail"), F.left(F.coalesce(q, F.lit("")), F.lit(80)).alias("head")))
+        around = F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda p, q: F.struct(F.char_length(p).alias("n"), tail(p).alias("tail"), head(F.coalesce(q, F.lit(""))).alias("head")))
         return F.zip_with(around, hits, lambda p, h: F.struct(p["n"].alias("n"), p["tail"].alias("tail"), p["head"].alias("head"), h.alias("h")))
 
     def step(a: Column, x: Column) -> Column:
@@ -103,9 +108,9 @@ def candidate_spans(text: Column) -> Column:
 
 def contexts(x: Column) -> Column:
     """The lexical patterns of an occurrence: lower-cased words before and after, with letters only."""
-    before = F.lower(F.regexp_extract(x["tail"], r"(\S{1,40})\s*$", 1))
-    two = F.lower(F.regexp_replace(F.regexp_extract(x["tail"], r"(\S{1,40}\s+\S{1,40})\s*$", 1), r"\s+", " "))
-    after = F.lower(F.regexp_extract(x["head"], r"^[^\s\p{L}]*\s+(\S{1,40})", 1))
+    before = F.lower(F.regexp_extract(x["tail"], r"(\S+)\s*$", 1))
+    two = F.lower(F.regexp_replace(F.regexp_extract(x["tail"], r"(\S+\s+\S+)\s*$", 1), r"\s+", " "))
+    after = F.lower(F.regexp_extract(x["head"], r"^[^\s\p{L}]*\s+(\S+)", 1))
     named = [("1 ", before), ("2 ", two), ("+1 ", after), ("both ", F.when((before != "") & (after != ""), F.concat(before, F.lit(" _ "), after)).otherwise(""))]
     every = F.array(*(F.when(w.rlike(r"\p{L}"), F.concat(F.lit(name), w)) for name, w in named))
     return F.filter(every, lambda p: p.isNotNull())
@@ -119,12 +124,17 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _content(rows: DataFrame, name: str) -> tuple:
+    """Number and a sum of hashes of (name, kind, score)."""
+    return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64(name, "kind", F.round("score", 6)).cast("decimal(38,0)"))).first())
+
+
 def confident_patterns(edges: DataFrame) -> DataFrame:
     """(pattern, kind, score) that passed in the last round, from edges (pattern, hit, kind or null for no seed)."""
     counted = written(edges.groupBy("pattern", "hit", F.col("kind").alias("own")).agg(F.count("*").alias("n")), "contexts")
     totals = written(counted.groupBy("pattern").agg(F.sum("n").alias("total")).where(f"total >= {SEEDS}"), "totals")
-    entities, found = None, 0
-    for _ in range(ROUNDS):
+    entities, seen = None, set()
+    while True:
         if entities is None:
             valued = counted.where("own is not null").select("pattern", F.col("own").alias("kind"), "n", F.lit(1.0).alias("value"))
         else:
@@ -135,10 +145,10 @@ def confident_patterns(edges: DataFrame) -> DataFrame:
         ranked = written(ranked.where(f"score >= {CONFIDENT}"), "patterns")
         entities = counted.where("own is null").join(_small(ranked), "pattern").groupBy("hit").agg(F.max(F.struct("score", "kind")).alias("best")).select("hit", "best.score", "best.kind")
         entities = written(entities, "entities")
-        before, found = found, entities.count()
-        if found == before:
-            break
-    return ranked
+        now = (_content(ranked, "pattern"), _content(entities, "hit"))
+        if now in seen:
+            return ranked
+        seen.add(now)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

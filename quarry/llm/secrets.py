@@ -1,8 +1,9 @@
 """Secrets: candidate strings judged by a random forest; DataFrame functions only.
 
-Candidates are unbroken runs of key characters: MIN_LENGTH or more with a digit, or
-LONG or more of any kind; `=` ends a run except as padding, so a name before it is no
-part. A forest of decision trees, trained from labelled findings, removes the false
+Candidates are unbroken runs of key characters, of any length: those with a digit, those
+that something is assigned to (behind a colon or an equals sign, with or without a
+quote), and those of LONG or more letters, which are no word; `=` ends a run except as
+padding, so a name before it is no part. A forest of decision trees, trained from labelled findings, removes the false
 ones. Features: length; transitions between character classes; shares of digits, of
 capitals, of hexadecimal characters and of different characters; coverage by
 trigrams of the corpus' own words; slashes, dots and file endings (paths), and words
@@ -31,9 +32,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quarry.llm.pii import located
 from quarry.llm.scratch import written
 
-MIN_LENGTH, LONG, TRAIN_ROWS, TREES, DEPTH = 8, 20, 8_000, 30, 8
+LONG, TRAIN_ROWS, TREES, DEPTH = 20, 8_000, 30, 8
 _KEY = "A-Za-z0-9+/_.~-"
-CANDIDATE = rf"(?<![{_KEY}])(?:(?=[A-Za-z+/_.~-]*+[0-9])[{_KEY}]{{{MIN_LENGTH},}}+|[{_KEY}]{{{LONG},}}+)={{0,2}}"
+CANDIDATE = rf"(?<![{_KEY}])(?:(?=[A-Za-z+/_.~-]*+[0-9])[{_KEY}]++|[{_KEY}]{{{LONG},}}+|(?<=[:=]>?[ \t]{{0,2}}[\"'`]?)[{_KEY}]++)={{0,2}}"
 NAMES = r"(?i)(?:token|secret|passw|pwd|api.?key|access.?key|private|credential|bearer|auth)"
 FEATURES = ("length", "changes", "digits", "capitals", "hexes", "kinds", "covered", "slashes", "dots", "ending", "trial", "named", "assigned", "quoted", "before", "after")
 #: Words of the corpus that compounds are made of, and occurrences that a trigram's words need.
@@ -107,13 +108,16 @@ def planted(spark: SparkSession, words: DataFrame, rows: int = TRAIN_ROWS) -> Da
     true = [
         F.substring(hexes, 1, 40), F.substring(hexes, 1, 32), F.substring(hexes, 1, 64), cut(hexes, 24, 60, "h"), F.upper(F.substring(hexes, 1, 40)), cut(base64, 24, 44, "b"), cut(mixed, 16, 44, "m"),
         F.concat(F.lit("AK"), F.upper(F.substring(mixed, 1, 18))), F.concat(pick(["ghp_", "sk-", "xoxb-", "glpat-", "pk_live_"], "p"), cut(mixed, 20, 20, "q")), F.concat_ws(".", F.substring(mixed, 1, 30), F.substring(mixed, 31, 30), F.substring(base64, 1, 24)), F.concat(cut(mixed, 8, 7, "s"), dice("t", 100).cast("string")),
+        F.concat(pick(frequent, "pw0"), dice("pw1", 1000).cast("string")), F.concat(pick(frequent, "pw0"), pick(frequent, "pw2"), pick(frequent, "pw3")), cut(F.regexp_replace(F.lower(mixed), "[0-9]", ""), 6, 14, "pw4"),
     ]
     word = [pick(frequent, f"w{k}") for k in range(4)]
     number = lambda salt, n: dice(salt, n).cast("string")
     false = [
         F.substring(figures, 1, 16), cut(figures, 8, 14, "f"), F.concat_ws("-", F.concat(F.lit("20"), number("y", 90)), number("o", 12), number("d", 31)), F.concat_ws(".", number("v", 30), number("x", 900), number("z", 90), number("u", 999)), F.concat_ws("-", F.substring(figures, 1, 3), F.substring(figures, 4, 4)),
-        F.concat(F.lit("mail"), number("i", 99), F.lit("."), word[0], F.lit(".com")), F.concat(F.lit("/usr/lib/"), word[0], F.lit("/"), word[1], number("j", 99), F.lit(".so")), F.concat(word[0], F.lit("/"), word[1], F.lit("_"), word[2], number("k", 9), F.lit(".py")), F.concat(word[0], F.initcap(word[1]), F.initcap(word[2]), F.initcap(word[3]), number("l", 99)), F.concat(word[0], word[1], word[2], word[3], word[1], word[2]), F.substring(hexes, 1, 40), F.substring(hexes, 1, 64),
+        F.concat(F.lit("mail"), number("i", 99), F.lit("."), word[0], F.lit(".com")), F.concat(F.lit("/usr/lib/"), word[0], F.lit("/"), word[1], number("j", 99), F.lit(".so")), F.concat(word[0], F.lit("/"), word[1], F.lit("_"), word[2], number("k", 9), F.lit(".py")), F.concat(word[0], F.initcap(word[1]), F.initcap(word[2]), F.initcap(word[3]), number("l", 99)), F.concat(word[0], word[1], word[2], word[3], word[1], word[2]), cut(figures, 1, 6, "sf"), word[0], F.concat(word[0], number("n", 99)), pick(["Bearer", "Basic", "Token", "Digest", "null", "none", "true", "string", "required"], "sc"), F.substring(hexes, 1, 40), F.substring(hexes, 1, 64),
     ]
+    passwords = range(len(true) - 3, len(true))  # words are a secret only where their context says so
+    scheme = len(false) - 3  # what is assigned to a credential without being one
     hashes = (len(false) - 2, len(false) - 1)  # a hash is no secret where its context says so
     kind = F.when(F.col("label") == 1, dice("kind", len(true))).otherwise(dice("kind", len(false)))
     of = lambda options: F.element_at(F.array(*options), F.col("kind") + 1)
@@ -122,7 +126,7 @@ def planted(spark: SparkSession, words: DataFrame, rows: int = TRAIN_ROWS) -> Da
     plain = ["version ", "order ", "on ", "file ", "call ", "host: ", "number ", "path = ", "from ", "at "]
     digest = ["commit ", "sha256:", "index ", "checksum: ", "revision ", "md5 = "]
     shared = dice("shared", 3) == 0
-    left = F.when(F.col("label") == 1, F.when(shared, pick(neutral, "n")).otherwise(pick(secretive, "n"))).when(F.col("kind").isin(*hashes), pick(digest, "n")).when(shared, pick(neutral, "n")).otherwise(pick(plain, "n"))
+    left = F.when(F.col("label") == 1, F.when(shared & ~F.col("kind").isin(*passwords), pick(neutral, "n")).otherwise(pick(secretive, "n"))).when(F.col("kind").isin(*hashes), pick(digest, "n")).when(F.col("kind") == scheme, pick(secretive, "n")).when(shared, pick(neutral, "n")).otherwise(pick(plain, "n"))
     closing = F.regexp_extract("left", r"[\"']$", 0)
     out = spark.range(rows).select(F.col("id").alias("number")).withColumn("label", F.pmod(F.xxhash64("number", F.lit("label")), F.lit(2)).cast("double"))
     out = out.withColumn("kind", kind).withColumn("left", F.concat(word[3], F.lit(" "), left)).withColumn("hit", F.when(F.col("label") == 1, of(true)).otherwise(of(false)))

@@ -488,8 +488,8 @@ def test_scores_of_the_pattern_graph(spark):
         edges.append((f"p{min(rng.randrange(12), rng.randrange(12))}", f"{'s' if kind else 'u'}{rng.randrange(30)}", kind))
     edges += [("sure", f"s{k}", "card") for k in range(9)] + [("sure", "u1", None)] + [("then", "u1", None)] * 12 + [("then", f"u{k}", None) for k in (40, 41)] + [("and", f"n{k}", "phone") for k in range(8)] + [("and", "u40", None), ("and", "u41", None)]
     counted = collections.Counter(edges)
-    entity = {}
-    for _ in range(pii.ROUNDS):
+    entity, seen = {}, []
+    while True:
         total, mass, strings = collections.Counter(), collections.Counter(), collections.Counter()
         for (p, hit, own), n in counted.items():
             total[p] += n
@@ -498,18 +498,38 @@ def test_scores_of_the_pattern_graph(spark):
                 mass[p, kind] += n * score
                 strings[p, kind] += 1
         passed = {k: m / (total[k[0]] + pii.DOUBT) for k, m in mass.items() if strings[k] >= pii.SEEDS and m / (total[k[0]] + pii.DOUBT) >= pii.CONFIDENT}
-        before, entity = len(entity), {}
+        entity = {}
         for (p, kind), score in passed.items():
             for q, hit, own in counted:
                 if q == p and own is None:
                     entity[hit] = max(entity.get(hit, (0.0, "")), (score, kind))
-        if len(entity) == before:
+        now = ({k: round(v, 6) for k, v in passed.items()}, {k: (round(v, 6), kind) for k, (v, kind) in entity.items()})
+        if now in seen:
             break
+        seen.append(now)
     got = {(r["pattern"], r["kind"]): r["score"] for r in pii.confident_patterns(spark.createDataFrame(edges, "pattern string, hit string, kind string")).collect()}
     assert got.keys() == passed.keys() and ("sure", "card") in got
     assert all(math.isclose(got[k], passed[k]) for k in got)
 
 
+def test_contexts_are_whole_words(spark):
+    """Words of any length beside a candidate, also where more than BESIDE characters of one word are."""
+    long, longer, behind = "a" * 70 + "mark", "b" * 300 + "two", "c" * 200 + "next"
+    texts = [f"start {longer} {long} x1 {behind} end", f"{long} x1", f"one two x1 ({behind}", f"{'z ' * 90}near by x1 soon {'q' * 99}"]
+    got = [[list(x) for x in r["c"]] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.transform(pii.candidate_spans(F.col("t")), pii.contexts).alias("c")).collect()]
+    assert got[0] == [[f"1 {long}", f"2 {longer} {long}", f"+1 {behind}", f"both {long} _ {behind}"]]
+    assert got[1] == [[f"1 {long}"]]
+    assert got[2][0][:2] == ["1 two", "2 one two"] and got[3] == [["1 by", "2 near by", "+1 soon", "both by _ soon"]]
+
+
+def test_candidates_of_any_length(spark):
+    texts = ["password: hunter2", "password: correcthorsebattery", 'api_key="abcdefghijklmnop"', "pin=7", "plain words of prose, and more", "averyveryverylongcompound", ""]
+    rows = secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [[x["hit"] for x in r["found"]] for r in rows] == [["hunter2"], ["correcthorsebattery"], ["abcdefghijklmnop"], ["7"], [], ["averyveryverylongcompound"], []]
+    found = {r["doc_id"]: r["n_secrets"] for r in secrets.secret_findings(spark.createDataFrame([*enumerate(texts), *((10 + k, f"the order {k} of some words in plain prose: nothing here") for k in range(30))], "doc_id int, text string")).collect()}
+    assert [found[k] for k in range(3)] == [1, 1, 1] and not any(found[k] for k in range(10, 40))
+
+
 def test_secrets(spark):
     rng = random.Random(3)
     rows = [(900, None), (901, ""), (902, "plain words only"), (903, "x" * 30_000), (904, "7f3Qz" * 4_000), (905, "see docs/guide/setup.html and mail7.example.com or 2024-01-17"), (906, "order 9807915762804490 from 10.20.30.44")]
