@@ -71,6 +71,18 @@ def job_list(jobs: DataFrame, most: int = 50) -> DataFrame:
     return jobs.withColumn("has_gaps", F.coalesce(gaps, F.lit(False))).orderBy(F.desc_nulls_last("created"), F.asc("job_id")).limit(most)
 
 
+def found_jobs(jobs: DataFrame, words: str = "", status: str | None = None) -> DataFrame:
+    """Jobs whose query holds the words, case ignored, with a status if one is given (case ignored as well)."""
+    kept = jobs.where(F.contains(F.lower(F.coalesce("query", F.lit(""))), F.lit(words.strip().lower())))
+    return kept if status is None else kept.where(F.upper("status") == status.upper())
+
+
+def found_sections(sections: DataFrame, words: str = "") -> DataFrame:
+    """Report sections (title, text, and more) that hold the words in title or text, case ignored."""
+    low = words.strip().lower()
+    return sections.where(F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lit(low)) | F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit(low)))
+
+
 # Notes and memories: rows (note_id, project, title, text, tags, pinned, created, and more).
 
 
