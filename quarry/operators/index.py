@@ -24,37 +24,47 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def bags_of(rows: DataFrame, key: str, columns: dict[str, str], fold: bool) -> DataFrame:
+    """(key, len, and the tokens of each named column) of rows."""
+    bags = rows.select(F.col(key).alias("key"), *(tokens(F.col(c), fold).alias(n) for n, c in columns.items()))
+    return bags.withColumn("len", reduce(lambda a, b: a + b, (F.size(n) for n in columns)))
+
+
+def postings_of(bags: DataFrame, columns: dict[str, str], stemmed: bool, buckets: int) -> DataFrame:
+    """Postings of bags, dealt out by bucket."""
+    every = reduce(DataFrame.unionByName, (bags.select("key", "len", F.lit(n).alias("col"), F.posexplode(n).alias("pos", "term")) for n in columns))
+    if stemmed:
+        every = every.join(stems(every), "term").drop("term").withColumnRenamed("stem", "term")
+    grouped = every.groupBy("term", "key", "col", "len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return grouped.withColumn("bucket", _bucket(F.col("term"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+
+
 def build(rows: DataFrame, key: str, columns: dict[str, str], path: str, fold: bool = True, stemmed: bool = False, buckets: int = BUCKETS) -> None:
     """Write the index of the named text columns of rows; an index at the path is replaced.
 
     Null texts count as empty; rows without tokens count in the statistics; keys should be distinct.
     """
-    bags = rows.select(F.col(key).alias("key"), *(tokens(F.col(c), fold).alias(n) for n, c in columns.items()))
-    bags = bags.withColumn("len", reduce(lambda a, b: a + b, (F.size(n) for n in columns)))
+    bags = bags_of(rows, key, columns, fold)
     bags.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean"), F.lit(fold).alias("fold"), F.lit(stemmed).alias("stemmed"), F.lit(buckets).alias("buckets"), F.lit(dict(rows.dtypes)[key]).alias("key_type")).write.mode("overwrite").parquet(f"{path}/statistics")
-    every = reduce(DataFrame.unionByName, (bags.select("key", "len", F.lit(n).alias("col"), F.posexplode(n).alias("pos", "term")) for n in columns))
-    if stemmed:
-        every = every.join(stems(every), "term").drop("term").withColumnRenamed("stem", "term")
-    grouped = every.groupBy("term", "key", "col", "len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    placed = grouped.withColumn("bucket", _bucket(F.col("term"), buckets)).hint("rebalance", "bucket")
-    placed.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    postings_of(bags, columns, stemmed, buckets).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
 
 
-def search(spark: SparkSession, path: str, expression: Expression, weights: dict[str, float] | None = None) -> DataFrame:
-    """(key, matched, score) of rows that satisfy the expression; smaller is better. Only its terms' postings are read."""
-    weights = weights or {}
-    facts = spark.read.parquet(f"{path}/statistics")
-    settings = facts.first()
-    turn: Callable[[str], str] = stem if settings["stemmed"] else lambda t: t
+def wanted_terms(expression: Expression, stemmed: bool) -> dict[str, str]:
+    """The expression's words, each with the term that it is looked up by."""
+    turn: Callable[[str], str] = stem if stemmed else lambda t: t
+    return {t: turn(t) for a in expression.atoms() for t in a}
+
+
+def of_terms(postings: DataFrame, terms: list[str], buckets: int) -> DataFrame:
+    """The postings of some terms; only their buckets' folders are read."""
+    found = postings.sparkSession.range(1).select(*(_bucket(F.lit(t), buckets).alias(f"b{k}") for k, t in enumerate(terms))).first()
+    return postings.where(F.col("bucket").isin(sorted(set(found))) & F.col("term").isin(terms))
+
+
+def hit_scores(hits: DataFrame, facts: DataFrame, expression: Expression, spelt: dict[str, str], weights: dict[str, float]) -> DataFrame:
+    """(key, matched, score) from the postings of the expression's terms and one row of facts (n, mean)."""
     atoms = expression.atoms()
-    spelt = {t: turn(t) for a in atoms for t in a}
-    wanted = sorted(set(spelt.values()))
-    # The schema is given, since an index of nothing has no file to infer it from.
-    schema = f"term string, key {settings['key_type']}, len int, col string, tf long, positions array<int>, bucket int"
-    postings = spark.read.schema(schema).parquet(f"{path}/postings")
-    buckets = spark.range(1).select(*(_bucket(F.lit(t), settings["buckets"]).alias(f"b{k}") for k, t in enumerate(wanted))).first()
-    hits = postings.where(F.col("bucket").isin(sorted(set(buckets))) & F.col("term").isin(wanted))
-    at = {t: k for k, t in enumerate(wanted)}
+    at = {t: k for k, t in enumerate(sorted(set(spelt.values())))}
     per = hits.groupBy("key", "col").agg(F.first("len").alias("len"), *(F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"p{k}") for t, k in at.items()))
 
     def times(atom: tuple[str, ...]) -> Column:
@@ -65,3 +75,15 @@ def search(spark: SparkSession, path: str, expression: Expression, weights: dict
     counts = per.groupBy("key").agg(F.first("len").alias("len"), *(F.sum(times(a) * weight).alias(f"f{k}") for k, a in enumerate(atoms)))
     seen = counts.agg(*(F.count_if(F.col(f"f{k}") > 0).alias(f"d{k}") for k in range(len(atoms))))
     return scored(counts, "key", facts.select("n", "mean").join(F.broadcast(seen)), expression)  # both are one row
+
+
+def search(spark: SparkSession, path: str, expression: Expression, weights: dict[str, float] | None = None) -> DataFrame:
+    """(key, matched, score) of rows that satisfy the expression; smaller is better. Only its terms' postings are read."""
+    facts = spark.read.parquet(f"{path}/statistics")
+    settings = facts.first()
+    spelt = wanted_terms(expression, settings["stemmed"])
+    # The schema is given, since an index of nothing has no file to infer it from.
+    schema = f"term string, key {settings['key_type']}, len int, col string, tf long, positions array<int>, bucket int"
+    postings = spark.read.schema(schema).parquet(f"{path}/postings")
+    hits = of_terms(postings, sorted(set(spelt.values())), settings["buckets"])
+    return hit_scores(hits, facts, expression, spelt, weights or {})
