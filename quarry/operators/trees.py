@@ -7,9 +7,8 @@ nodes before it of each smaller depth. One window over a document gives them all
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.functions.columns import chain
@@ -53,90 +52,85 @@ def chunks_of(nodes: DataFrame, title: str = "doc_title") -> DataFrame:
     return rows.where("_chunk").select("doc_id", F.col("_n").alias("seq"), "chunk_id", "parent_chunk_id", effective.alias("chunk_type"), "path", "numbers", F.trim("text").alias("text"), F.array_join(lines, "\n").alias("embedding_text"))
 
 
+def _runs(rows: DataFrame, opens: Column, fields: list[Column]) -> DataFrame:
+    """(doc_id, run): stretches of a document's rows in order, each from a row that opens one to the next."""
+    run = F.sum(opens.cast("int")).over(Window.partitionBy("doc_id").orderBy("seq"))
+    return rows.withColumn("_run", run).groupBy("doc_id", "_run").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("run"))
+
+
 def merged(chunks: DataFrame) -> DataFrame:
     """(doc_id, seq, chunk_id, chunk_type, text, n_rows): texts that end with a colon with the items after them.
 
     A text or paragraph takes all items that follow without a break; an item takes only
-    those whose numbers extend its own. A fold over each document in order.
+    those whose numbers extend its own. No list reaches over a row that is no item, so a
+    document falls into stretches; each is folded by itself into the heads of its rows.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq").reset_index(drop=True)
-        out, k = [], 0
-        while k < len(rows):
-            head = rows.iloc[k]
-            taken, base = [], list(head["numbers"])
-            if head["chunk_type"] in ("text", "paragraph", "item") and head["text"].strip().endswith(":"):
-                for j in range(k + 1, len(rows)):
-                    item = rows.iloc[j]
-                    own = list(item["numbers"])
-                    nested = len(own) > len(base) and own[: len(base)] == base
-                    if item["chunk_type"] != "item" or (head["chunk_type"] == "item" and not nested):
-                        break
-                    taken.append(f"{own[-1] if own else '-'} {item['text']}")
-            out.append((head["doc_id"], head["seq"], head["chunk_id"], "merged_list" if taken else head["chunk_type"], "\n".join([head["text"], *taken]), 1 + len(taken)))
-            k += 1 + len(taken)
-        return pd.DataFrame(out, columns=["doc_id", "seq", "chunk_id", "chunk_type", "text", "n_rows"])
-
-    kind = chunks.schema["doc_id"].dataType.simpleString()
-    slim = chunks.select("doc_id", "seq", "chunk_id", "chunk_type", "text", "numbers")
-    return slim.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, seq long, chunk_id string, chunk_type string, text string, n_rows int")
-
-
-def label_style(number: str, before: str | None) -> tuple[str, str, str] | None:
-    """(style, wrapper, bare label) of a point's label; ``before`` is the open letter of the same wrapper, which decides whether i, v and x are letters."""
-    text = number.strip().rstrip(".;:")
-    wrapper = "both" if re.match(r"\(.*\)$", text) else "right" if text.endswith(")") else "dot" if number.strip().endswith(".") else "none"
-    bare = number.strip().strip("()[].:;").strip()
-    if re.fullmatch(r"\d+(\.\d+)+", bare):
-        return f"num{bare.count('.') + 1}", wrapper, bare
-    if re.fullmatch(r"\d+[a-z]?", bare):
-        return "num", wrapper, bare
-    if not bare.isalpha() or bare != bare.lower():
-        return ("ualpha", wrapper, bare) if bare.isalpha() and bare == bare.upper() else None
-    if len(bare) == 1 and before and len(before) == 1 and chr(ord(before) + 1) == bare:
-        return "alpha", wrapper, bare
-    roman = bare in "ivx" if len(bare) == 1 else bool(re.fullmatch("x{0,3}(ix|iv|v?i{0,3})", bare))
-    return "roman" if roman else "alpha", wrapper, bare
-
-
-#: The labels that begin a list anew under each style.
-_FIRST = {"num": "1", "alpha": "a", "roman": "i", "ualpha": "A"}
+    item = F.col("chunk_type") == "item"
+    takes = F.col("chunk_type").isin("text", "paragraph", "item") & F.trim("text").endswith(":")
+    numbers = F.coalesce("numbers", F.array().cast("array<string>"))
+    runs = _runs(chunks, ~item, [F.col("seq").cast("long").alias("seq"), F.col("chunk_id"), F.col("chunk_type"), F.col("text"), item.alias("item"), F.coalesce(takes, F.lit(False)).alias("takes"), numbers.alias("numbers")])
+
+    def step(state: Column, x: Column) -> Column:
+        now = state["now"]
+        below = (F.size(x["numbers"]) > F.size(now["numbers"])) & (F.slice(x["numbers"], F.lit(1), F.size(now["numbers"])) == now["numbers"])
+        taken = F.coalesce(now["takes"] & x["item"] & (~now["item"] | below), F.lit(False))
+        head = F.when(taken, now).otherwise(F.struct(*(x[c].alias(c) for c in ("seq", "item", "takes", "numbers"))))
+        return F.struct(head.alias("now"), F.concat(state["heads"], F.array(head["seq"])).alias("heads"))
+
+    none = F.lit(None).cast("struct<seq:bigint,item:boolean,takes:boolean,numbers:array<string>>")
+    heads = F.aggregate("run", F.struct(none.alias("now"), F.array().cast("array<bigint>").alias("heads")), step, lambda state: state["heads"])
+    each = runs.select("doc_id", F.inline(F.arrays_zip(F.col("run").alias("x"), heads.alias("head"))))
+    line = F.when(F.col("x.seq") == F.col("head"), F.col("x.text")).otherwise(F.concat_ws(" ", F.coalesce(F.try_element_at("x.numbers", F.lit(-1)), F.lit("-")), "x.text"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("x.seq", line.alias("line")))), lambda x: x["line"])
+    whole = each.groupBy("doc_id", "head").agg(F.min_by("x.chunk_id", "x.seq").alias("chunk_id"), F.min_by("x.chunk_type", "x.seq").alias("first_type"), F.array_join(lines, "\n").alias("text"), F.count("*").cast("int").alias("n_rows"))
+    return whole.select("doc_id", F.col("head").alias("seq"), "chunk_id", F.when(F.col("n_rows") > 1, "merged_list").otherwise(F.col("first_type")).alias("chunk_type"), "text", "n_rows")
+
+
+# The label that begins a list of each style anew.
+STARTS = {"num": "1", "alpha": "a", "roman": "i", "ualpha": "A"}
+
+
+def point_label(number: Column) -> Column:
+    """struct<style, wrapper, bare, roman> of a point's label, or null; ``roman`` tells that lower-case letters may be a roman number."""
+    given = F.trim(number)
+    bare = F.regexp_replace(given, r"^[()\[\].:;\s]+|[()\[\].:;\s]+$", "")
+    wrapper = chain([(given.rlike(r"(?s)^\(.*\)[.;:]*$"), F.lit("both")), (given.rlike(r"\)[.;:]*$"), F.lit("right")), (given.endswith("."), F.lit("dot"))], F.lit("none"))
+    letters = bare.rlike(r"^\p{L}+$")
+    style = chain(
+        [(bare.rlike(r"^\d+(\.\d+)+$"), F.concat(F.lit("num"), (F.regexp_count(bare, F.lit(r"\.")) + 1).cast("string"))), (bare.rlike(r"^\d+[a-z]?$"), F.lit("num")), (letters & (F.lower(bare) == bare), F.lit("alpha")), (letters & (F.upper(bare) == bare), F.lit("ualpha"))],
+        F.lit(None).cast("string"),
+    )
+    return F.when(style.isNotNull(), F.struct(style.alias("style"), wrapper.alias("wrapper"), bare.alias("bare"), bare.rlike("^(?=.)x{0,3}(ix|iv|v?i{0,3})$").alias("roman")))
 
 
 def nested_points(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, seq, type, number) with ``point_parent``, the seq of the point each row belongs below, or null.
+    """rows (doc_id, seq, type, number) with ``point_parent``, the seq of the point each row belongs below, or null, and ``point_level``, the number of points above it.
 
     A label of a style that is open closes that point and all below it, unless it is the
-    first label of its style, which begins a list below the current point. Lists belong
-    to the current point; any other row closes all points.
+    first label of its style, which begins a list below the current point. i, v and x are
+    letters only where they follow the open letter before them. Lists belong to the
+    current point; any other row closes all points, so that a document falls into
+    stretches, and the open points of each are folded along its rows.
     """
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
-        open_points: list[tuple[str, str, str, int]] = []
-        parents = []
-        for row in part.itertuples():
-            style = None
-            if row.type in ("item", "paragraph") and isinstance(row.number, str) and row.number:
-                wrap = label_style(row.number, None)
-                before = next((p[2] for p in reversed(open_points) if wrap and p[0] == "alpha" and p[1] == wrap[1]), None)
-                style = label_style(row.number, before)
-            if style:
-                same = next((k for k, p in enumerate(open_points) if p[:2] == style[:2]), None)
-                if same is not None and _FIRST.get(style[0]) != style[2]:
-                    del open_points[same:]
-                parents.append(open_points[-1][3] if open_points else None)
-                open_points.append((*style, row.seq))
-            elif row.type == "list" and open_points:
-                parents.append(open_points[-1][3])
-            else:
-                open_points.clear()
-                parents.append(None)
-        return part.assign(point_parent=pd.array(parents, dtype="Int64"))[["doc_id", "seq", "type", "number", "point_parent"]]
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "seq", "type", "number").groupBy("doc_id").applyInPandas(walk, f"doc_id {kind}, seq long, type string, number string, point_parent long")
+    labelled = F.when(F.col("type").isin("item", "paragraph"), point_label(F.col("number")))
+    known = rows.withColumn("_label", labelled)
+    runs = _runs(known, F.col("_label").isNull() & (F.col("type") != "list"), [F.col("seq").cast("long").alias("seq"), F.col("type"), F.col("number"), F.col("_label").alias("label")])
+
+    def step(state: Column, x: Column) -> Column:
+        points, label = state["open"], x["label"]
+        letter = F.try_element_at(F.filter(points, lambda p: (p["style"] == "alpha") & (p["wrapper"] == label["wrapper"])), F.lit(-1))["bare"]
+        follows = F.coalesce((F.char_length(letter) == 1) & (F.char_length(label["bare"]) == 1) & (F.ascii(letter) + 1 == F.ascii(label["bare"])), F.lit(False))
+        style = F.when(label["roman"] & ~follows, F.lit("roman")).otherwise(label["style"])
+        place = F.array_position(F.transform(points, lambda p: F.concat_ws("|", p["style"], p["wrapper"])), F.concat_ws("|", style, label["wrapper"]))
+        anew = reduce(lambda a, b: a | b, ((style == k) & (label["bare"] == v) for k, v in STARTS.items()))
+        above = F.when(label.isNotNull() & (place > 0) & ~anew, F.slice(points, F.lit(1), F.greatest(place - 1, F.lit(0)).cast("int"))).otherwise(points)
+        entry = F.struct(style.alias("style"), label["wrapper"].alias("wrapper"), label["bare"].alias("bare"), x["seq"].alias("seq"))
+        parent = F.struct(F.try_element_at(above, F.lit(-1))["seq"].alias("seq"), F.size(above).alias("level"))
+        return F.struct(F.when(label.isNotNull(), F.concat(above, F.array(entry))).otherwise(points).alias("open"), F.concat(state["parents"], F.array(parent)).alias("parents"))
+
+    first = F.struct(F.array().cast("array<struct<style:string,wrapper:string,bare:string,seq:bigint>>").alias("open"), F.array().cast("array<struct<seq:bigint,level:int>>").alias("parents"))
+    parents = F.aggregate("run", first, step, lambda state: state["parents"])
+    return runs.select("doc_id", F.inline(F.arrays_zip(F.col("run").alias("x"), parents.alias("p")))).select("doc_id", "x.seq", "x.type", "x.number", F.col("p.seq").alias("point_parent"), F.col("p.level").alias("point_level"))
 
 
 def subtree_texts(nodes: DataFrame) -> DataFrame:

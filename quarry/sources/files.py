@@ -14,6 +14,8 @@ from xml.etree import ElementTree as E
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from quarry.sources.xml_docs import PARSE_ERRORS
+
 
 def first_found(spark: SparkSession, name: str, folders: list[str]) -> DataFrame:
     """(path, content) of the file of that name in the first of several folders that has it; no row if none has."""
@@ -36,7 +38,7 @@ def page_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, doc_id, text) of all text files below a folder but those whose name begins with an underscore; decoded leniently."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
     name = F.substring_index("path", "/", -1)
-    return rows.where(~F.startswith(name, F.lit("_"))).select("path", F.regexp_replace(name, r"\.txt$", "").alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
+    return rows.where(~F.startswith(name, F.lit("_"))).select("path", F.regexp_replace(name, r"\.txt$", "").alias("doc_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def feed_items(feeds: DataFrame) -> DataFrame:
@@ -49,7 +51,7 @@ def feed_items(feeds: DataFrame) -> DataFrame:
                 try:
                     items = E.fromstring(content).iter("item")
                     out += [(path, (i.findtext("title") or "").strip(), (i.findtext("link") or "").strip()) for i in items]
-                except (E.ParseError, TypeError):
+                except PARSE_ERRORS:
                     continue
             yield pd.DataFrame(out, columns=["path", "title", "url"])
 

@@ -25,6 +25,8 @@ NODES = "path string, node_id int, parent_id int, depth int, ord int, type strin
 ACT_BLOCKS = {"PART": "part", "TITLE": "title", "CHAPTER": "chapter", "SECTION": "section", "DIVISION": "division", "ARTICLE": "article", "PARAG": "paragraph", "ALINEA": "text", "P": "text", "NP": "point", "ITEM": "item", "ANNEX": "annex", "CONSID": "recital", "VISA": "visa", "TBL": "table"}
 # Element names of regulation parts.
 PART_BLOCKS = {"PART": "part", "SUBPART": "subpart", "SUBJGRP": "subject_group", "SECTION": "section", "APPENDIX": "appendix", "P": "text", "FP": "text", "GPOTABLE": "table", "EXTRACT": "extract", "NOTE": "note"}
+#: What a parser raises on damaged markup, on unknown or multi-byte encodings, and on values of a wrong type; each becomes an error row.
+PARSE_ERRORS = (E.ParseError, LookupError, ValueError, RecursionError, TypeError)
 _NUMBER, _TITLE = ("NO.P", "NO.PARAG", "TI.ART", "SECTNO", "EAR"), ("STI.ART", "TI", "SUBJECT", "HD")
 
 
@@ -87,17 +89,30 @@ def tree(content: bytes, blocks: dict[str, str]) -> list[tuple]:
     def child(element: E.Element, names: tuple[str, ...]) -> str | None:
         return next((flat(c) for n in names for c in element if local(c.tag) == n), None)
 
-    def walk(element: E.Element, parent: int | None, depth: int, ord_: int) -> None:
+    root = E.fromstring(content)
+    holds: set[int] = set()  # elements with blocks below them
+    order: list[tuple[E.Element, E.Element | None]] = []
+    todo: list = [(root, None)]
+    while todo:
+        e, above = todo.pop()
+        order.append((e, above))
+        todo += [(c, e) for c in e]
+    for e, above in reversed(order):
+        if above is not None and (local(e.tag) in blocks or id(e) in holds):
+            holds.add(id(above))
+    # A stack of its own, so that no depth of a tree is too much.
+    todo = [(root, None, 0, 0)]
+    while todo:
+        element, parent, depth, ord_ = todo.pop()
         kind = blocks.get(local(element.tag))
         if kind is None:
-            for k, c in enumerate(element):
-                walk(c, parent, depth, k)
-            return
+            todo += [(c, parent, depth, k) for k, c in reversed(list(enumerate(element)))]
+            continue
         node = [len(out), parent, depth, ord_, kind, child(element, _NUMBER), child(element, _TITLE), None]
         out.append(node)
         if kind == "table":
             node[7] = markdown_table(table_rows(element))
-        elif not any(local(c.tag) in blocks for c in element.iter() if c is not element):
+        elif id(element) not in holds:
             skip = {id(c) for c in element if local(c.tag) in _NUMBER + _TITLE}
             # Inline elements join their text as written; those without text between them are set apart.
             parts = [element.text or ""]
@@ -105,10 +120,7 @@ def tree(content: bytes, blocks: dict[str, str]) -> list[tuple]:
                 parts += [" " if id(c) in skip else "".join(c.itertext()), c.tail or " "]
             node[7] = " ".join("".join(parts).split())
         else:
-            for k, c in enumerate(element):
-                walk(c, node[0], depth + 1, k)
-
-    walk(E.fromstring(content), None, 0, 0)
+            todo += [(c, node[0], depth + 1, k) for k, c in reversed(list(enumerate(element)))]
     return [tuple(n) for n in out]
 
 
@@ -123,7 +135,7 @@ def nodes(rows: DataFrame, blocks: dict[str, str] | None = None) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
                     found += [(path, *n, None) for n in tree(content, blocks)]
-                except (E.ParseError, TypeError) as e:  # the message names line and column
+                except PARSE_ERRORS as e:  # a parser's message names line and column
                     found.append((path, *[None] * 8, str(e)))
             yield pd.DataFrame(found, columns=names).astype(object)
 
@@ -148,7 +160,7 @@ def headers(rows: DataFrame, titles: int = 3) -> DataFrame:
                             seq = seq or (flat(e) if name == "NO.SEQ" else None)
                             if name == "TI" and len(found) < titles and flat(e):
                                 found.append(flat(e))
-                except (E.ParseError, TypeError) as e:
+                except PARSE_ERRORS as e:
                     error = str(e)
                 out.append((path, root, ref, seq, found, error))
             yield pd.DataFrame(out, columns=["path", "root", "file_ref", "seq", "titles", "error"])
@@ -181,7 +193,7 @@ def _window(*keys: str):
 
 
 def rule_items(rows: DataFrame, item: str = "item") -> DataFrame:
-    """(path, seq, id, title, text) of flat rule documents, with amendment marks taken out of the texts."""
+    """(path, seq, id, title, text, error) of flat rule documents, with amendment marks taken out of the texts; a document that does not parse is one row with its error."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -190,9 +202,9 @@ def rule_items(rows: DataFrame, item: str = "item") -> DataFrame:
                 try:
                     for k, e in enumerate(x for x in E.fromstring(content).iter() if local(x.tag) == item):
                         text = re.sub(r"\s*\[(?:applicable|amended|deleted)[^\]]*\]", "", flat(e), flags=re.I)
-                        out.append((path, k, e.get("id"), e.get("title"), text))
-                except (E.ParseError, TypeError):
-                    out.append((path, -1, None, None, None))
-            yield pd.DataFrame(out, columns=["path", "seq", "id", "title", "text"])
+                        out.append((path, k, e.get("id"), e.get("title"), text, None))
+                except PARSE_ERRORS as e:
+                    out.append((path, -1, None, None, None, str(e)))
+            yield pd.DataFrame(out, columns=["path", "seq", "id", "title", "text", "error"]).astype(object)
 
-    return rows.select("path", "content").mapInPandas(parse, "path string, seq int, id string, title string, text string")
+    return rows.select("path", "content").mapInPandas(parse, "path string, seq int, id string, title string, text string, error string")
