@@ -7,17 +7,19 @@ from pyspark.sql import Column, functions as F
 
 from quarry.functions.columns import chain, first_of, found
 
-# Modality markers in their order of priority, with modality and legal role.
+# Modality markers in their order of priority, with modality and legal role; those without a role leave it to the senses.
 MODALITIES = [
     ("shall not", "SHALL_NOT", "PROHIBITION"),
     ("must not", "MUST_NOT", "PROHIBITION"),
     ("may not", "MAY_NOT", "PROHIBITION"),
-    ("should not", "SHOULD_NOT", "RECOMMENDATION"),
-    ("shall", "SHALL", "OBLIGATION"),
-    ("must", "MUST", "OBLIGATION"),
+    ("should not", "SHOULD_NOT", None),
+    ("shall", "SHALL", "REQUIREMENT"),
+    ("must", "MUST", "REQUIREMENT"),
     ("may", "MAY", "PERMISSION"),
-    ("should", "SHOULD", "RECOMMENDATION"),
+    ("should", "SHOULD", None),
 ]
+# Phrases that give a role where no modality does, in their order.
+SENSES = [("means", "DEFINITION"), ("defined as", "DEFINITION"), ("shall apply to", "SCOPE"), ("scope of this", "SCOPE"), ("by way of derogation", "EXCEPTION"), ("unless", "EXCEPTION")]
 
 
 def modality(text: Column, table=MODALITIES) -> tuple[Column, Column]:
@@ -26,6 +28,21 @@ def modality(text: Column, table=MODALITIES) -> tuple[Column, Column]:
     return chain([(F.contains(low, F.lit(m)), F.lit(x)) for m, x, _ in table]), chain([(F.contains(low, F.lit(m)), F.lit(r)) for m, _, r in table])
 
 
+def legal_semantics(text: Column, table=MODALITIES, senses=SENSES) -> tuple[Column, Column]:
+    """(modality, role): the role of the first marker, else that of the first phrase, else INFORMATION; NONE without a marker."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    held = lambda m: F.contains(low, F.lit(m))
+    kind, role = modality(F.coalesce(text, F.lit("")), table)
+    return F.coalesce(kind, F.lit("NONE")), F.coalesce(role, chain([(held(m), F.lit(r)) for m, r in senses], F.lit("INFORMATION")))
+
+
+def instant_filter(title: Column, text: Column, words: str = "", pattern: str | None = None) -> Column:
+    """Whether the title or the text holds the words, case ignored, and the text something of a requirement pattern; no words and no pattern hold always."""
+    wanted = words.strip().lower()
+    held = [F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(wanted)) for c in (title, text)]
+    return (F.lit(True) if not wanted else held[0] | held[1]) & (F.lit(True) if pattern is None else F.coalesce(text, F.lit("")).rlike(f"(?i){pattern}"))
+
+
 def lens(text: Column, patterns: dict[str, str]) -> list[Column]:
     """How often each pattern occurs, case ignored."""
     return [F.regexp_count(text, F.lit(f"(?i){p}")).alias(name) for name, p in patterns.items()]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarry.session import kept
+
 
 def split_documents(docs: DataFrame, key: str, shares: tuple[float, float] = (0.8, 0.1), seed: str = "42") -> DataFrame:
     """train, val or test of each document.
@@ -84,5 +86,59 @@ def asked(rows: DataFrame, ask, retries: int = 2) -> DataFrame:
     return rows.select("id", "text").mapInPandas(run, f"id {kind}, pairs array<struct<q: string, a: string>>, error string")
 
 
+def with_questions(made: DataFrame, chunks: DataFrame, split: DataFrame, key: str, ask, most: int, seed: str = "42", retries: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Examples and, behind them, question-answer examples of at most ``most`` chunks (chunk_id, text, and the key) drawn by a seeded hash; and the failures (chunk_id, error).
+
+    Chunks that have such examples already are not drawn again, so a repeated call goes on;
+    pairs with an empty answer are left out. ``made`` must have the columns of `examples`.
+    """
+    done = made.where("task = 'question'").select("chunk_id").distinct()
+    drawn = chunks.where("trim(coalesce(text, '')) != ''").join(done, "chunk_id", "left_anti").orderBy(F.md5(F.concat(F.lit(seed), F.col("chunk_id").cast("string"))), "chunk_id").limit(most)
+    answers = kept(asked(drawn.select(F.col("chunk_id").alias("id"), "text"), ask, retries).withColumnRenamed("id", "chunk_id"), "answers")
+    pairs = answers.select("chunk_id", F.posexplode("pairs").alias("n", "pair")).where("trim(pair.a) != ''")
+    rows = pairs.join(drawn.select("chunk_id", key), "chunk_id").join(split, key).select(
+        key, "chunk_id", F.lit("question").alias("task"), F.col("pair.q").alias("prompt"), F.col("pair.a").alias("target"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit("question"), "chunk_id", "pair.q", "pair.a"), 256), 1, 20).alias("id"), "split"
+    )
+    return made.unionByName(rows.dropDuplicates(["id"])), answers.where("error is not null").select("chunk_id", "error")
+
+
+def judged(queue: DataFrame, judge, dimensions: dict[str, float], most_attempts: int = 3) -> DataFrame:
+    """A queue (id, text, attempts, and more) after one round of a model: score, priority and bucket of judged rows, attempts and error of all that were tried.
+
+    ``judge`` maps a text to a dictionary of the dimensions' numbers; an exception or a
+    missing number is the row's error and touches no other row. Rows with a score or with
+    ``most_attempts`` attempts are not tried.
+    """
+    import pandas as pd
+
+    from quarry.functions.text import triage
+
+    names = list(dimensions)
+
+    def one(text: str):
+        try:
+            found = judge(text)
+            return [float(found[n]) for n in names], None
+        except KeyError as e:
+            return None, f"no number for {e.args[0]}"
+        except Exception as e:  # whatever the model raises
+            return None, f"{type(e).__name__}: {e}"[:4000]
+
+    def ask(texts):
+        return pd.DataFrame([one(t) for t in texts], columns=["scores", "error"])
+
+    ask.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    ask = F.pandas_udf(ask, "scores array<double>, error string")
+
+    held = [c for c in ("score", "priority", "bucket", "error") if c in queue.columns]
+    waiting = (F.col("score").isNull() if "score" in held else F.lit(True)) & (F.coalesce("attempts", F.lit(0)) < most_attempts)
+    tried = kept(queue.where(waiting).withColumn("_x", ask(F.coalesce("text", F.lit("")))), "judged")
+    scored = tried.select("*", *(F.get("_x.scores", F.lit(k)).alias(f"_{n}") for k, n in enumerate(names)))
+    score, priority, bucket = triage({f"_{n}": w for n, w in dimensions.items()})
+    good = F.col("_x.error").isNull()
+    after = scored.drop(*held).withColumns({"score": F.when(good, score), "priority": F.when(good, priority), "bucket": F.when(good, bucket), "error": F.col("_x.error"), "attempts": F.coalesce("attempts", F.lit(0)) + 1}).drop("_x", *(f"_{n}" for n in names))
+    return after.unionByName(queue.where(~waiting), allowMissingColumns=True)
+
+
 def report(made: DataFrame, key: str) -> DataFrame:
     return made.groupBy("split", "task").agg(F.count("*").alias("examples"), F.countDistinct(key).alias("documents"))

@@ -171,16 +171,31 @@ def tree_descendants(spark, sf_dir):
     return trees.subtree_texts(_nodes(spark, sf_dir)).select("doc_id", F.col("node_id").cast("long").alias("node_id"), "n_below")
 
 
-@query(None)
+# Outlines: the lines of a document in sixes, labelled as a number, letters and romans; in fives, a text that announces four items, two of them below the first.
+_LINES = "l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents)"
+
+
+def _lines(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line")).withColumn("seq", F.col("i").cast("long"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, i AS seq, CASE i % 6 WHEN 0 THEN NULL WHEN 2 THEN i - 1 WHEN 3 THEN i - 2 ELSE i - i % 6 END AS point_parent, [0, 1, 2, 2, 1, 1][i % 6 + 1] AS point_level FROM l")
 def tree_nested_points(spark, sf_dir):
-    """A fold over labels; held against hand-worked cases in the tests."""
-    rows = _nodes(spark, sf_dir).select("doc_id", F.col("node_id").cast("long").alias("seq"), "type", "number")
-    return trees.nested_points(rows)
+    label = F.element_at(F.array(F.concat((F.floor(F.col("i") / 6) + 1).cast("string"), F.lit(".")), *(F.lit(x) for x in ("(a)", "(i)", "(ii)", "(b)", "(c)"))), F.col("i") % 6 + 1)
+    rows = _lines(spark, sf_dir).select("doc_id", "seq", F.lit("item").alias("type"), label.alias("number"))
+    return trees.nested_points(rows).select("doc_id", "seq", "point_parent", "point_level")
 
 
-@query(None)
+@query(f"""WITH {_LINES}, r AS (SELECT doc_id, i, i % 10 AS k, CASE WHEN i % 10 IN (0, 6) THEN trim(line) || ':' ELSE trim(line) || '.' END AS x FROM l),
+    h AS (SELECT *, CASE WHEN k <= 4 THEN i - k WHEN k = 5 THEN i WHEN k IN (6, 7, 8) THEN i - k + 6 ELSE i END AS head, ['', 'a', 'b', 'c', 'd', '', '', 'i', 'ii', ''][k + 1] AS n FROM r)
+    SELECT doc_id, head AS seq, CASE WHEN count(*) > 1 THEN 'merged_list' WHEN min(k) IN (0, 5) THEN 'text' ELSE 'item' END AS chunk_type, string_agg(CASE WHEN i = head THEN x ELSE n || ' ' || x END, chr(10) ORDER BY i) AS text, CAST(count(*) AS INTEGER) AS n_rows FROM h GROUP BY doc_id, head""")
 def tree_merged_lists(spark, sf_dir):
-    return trees.merged(trees.chunks_of(_nodes(spark, sf_dir)))
+    """Tens of lines: a text that announces four items, a text that announces none, an item that announces the two below it, and one after them."""
+    k = F.col("i") % 10
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), k + 1)
+    numbers = F.when(k.isin(0, 5), F.array().cast("array<string>")).when(k <= 4, F.array(of(["", "a", "b", "c", "d", "", "", "", "", ""]))).when(k.isin(7, 8), F.array(F.lit("1"), of([""] * 7 + ["i", "ii", ""]))).otherwise(F.array(of([""] * 6 + ["1", "", "", "2"])))
+    rows = _lines(spark, sf_dir).select("doc_id", "seq", F.concat_ws(":", "doc_id", "seq").alias("chunk_id"), F.when(k.isin(0, 5), "text").otherwise("item").alias("chunk_type"), F.concat(F.trim("line"), F.when(k.isin(0, 6), ":").otherwise(".")).alias("text"), numbers.alias("numbers"))
+    return trees.merged(rows).select("doc_id", "seq", "chunk_type", "text", "n_rows")
 
 
 @query(f"""WITH {_NODES}, l AS (SELECT doc_id, node_id, CASE type WHEN 'section' THEN '# ' || title WHEN 'article' THEN '## Article ' || number || CASE WHEN text != '' THEN chr(10) || chr(10) || text ELSE '' END WHEN 'item' THEN '- ' || number || ' ' || text ELSE text END AS line FROM n)
