@@ -137,7 +137,7 @@ def test_stream_adds_segments_once(spark, tmp_path):
     parts = [[(k, f"word{k} common\nsecond common", "en", "s") for k in range(4)], [(2, "common alone", "en", "s"), (7, "other words", None, None)]]
     for rows in parts:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        incremental.index_new(spark.readStream.schema(schema).parquet(source), path, str(tmp_path / "check")).awaitTermination()
+        incremental.index_segments(spark.readStream.schema(schema).parquet(source), path, str(tmp_path / "check")).awaitTermination()
     segments = Segments(spark, path)
     got = scores(segments.search(Expression(any_of=["common"])))
     assert sorted(got) == ["0:1", "0:2", "1:1", "1:2", "2:1", "3:1", "3:2"]
