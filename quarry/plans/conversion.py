@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.operators import trees
+from quarry.session import kept
 from quarry.sources.act_tree import hoisted, parsed_in_turn, with_notes
 
 OUTPUTS = ("markdown", "text", "json")
@@ -35,8 +36,9 @@ def converted(files: DataFrame, output: str = "markdown", keep_toc: bool = False
     every = parsed_in_turn(files, keep_toc)
     good = every.where("error is null")
     engine = good.groupBy("path").agg(F.first("engine").alias("engine"))
-    nodes = hoisted(good.drop("error", "engine"))
-    nodes = with_notes(nested(nodes) if nest_points else nodes)
+    # Each step uses its input several times, so it is written.
+    nodes = kept(hoisted(good.drop("error", "engine")), "hoisted")
+    nodes = kept(with_notes(kept(nested(nodes), "nested") if nest_points else nodes), "nodes")
     counts = nodes.groupBy("path").agg(F.count("*").alias("n_nodes"), F.sum(F.size("notes")).alias("n_notes"))
     if output == "json":
         fields = ["node_id", "parent_id", "depth", "type", "number", "title", "text", "notes", *(["attributes"] if metadata else [])]

@@ -31,6 +31,8 @@ BLOCKS = {
 }
 _NUMBER, _TITLE = ("NO.P", "NO.PARAG", "NO.ITEM", "TI.ART", "NO.CURR"), ("STI.ART", "TI", "STI")
 _NAMED = {"ARTICLE", "PARAG", "NP", "NP.ECR", "ITEM", "CONSID", "DIVISION", "SUBDIV", "GR.SEQ", "SECTION", "CHAPTER", "PART", "ANNEX", "TOC"}
+#: Nodes that a task gathers before it sends them.
+SENT_NODES = 20_000
 _QUOTES = {"QUOT.START": "“", "QUOT.END": "”"}
 #: What is written before the text of a raised or lowered element.
 _SCRIPTS = {"EXPONENT": "^", "IND": "_"}
@@ -127,7 +129,7 @@ class _Walk:
                 todo.append(c)
         holds: set[int] = set()
         for e in reversed(order):
-            if id(e) in parents and local(e.tag) != "NOTE" and (local(e.tag) in BLOCKS or id(e) in holds):
+            if id(e) in parents and local(e.tag) != "NOTE" and (local(e.tag).upper() in BLOCKS or id(e) in holds):
                 holds.add(id(parents[id(e)]))
         return holds
 
@@ -202,7 +204,7 @@ class _Walk:
             node = self.add(parent, depth, ord_, "note", number, None, self.inline(e, notes))
             self.add_notes(notes, node, depth)
             return []
-        kind = BLOCKS.get(name)
+        kind = BLOCKS.get(name) or BLOCKS.get(name.upper())
         if kind is None:
             if id(e) in self.holds or any(local(c.tag) == "NOTE" for c in e if name == "GR.NOTES"):
                 return self.children(e, parent, depth, set())
@@ -288,12 +290,16 @@ def grid_rows(cells: list[tuple]) -> list[list[str]]:
 def _parse(parser: Callable[[bytes], E.Element], keep_contents: bool):
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found: list[tuple] = []
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    found = [(path, *n, None) for n in _Walk(parser(content), keep_contents).out] or [(path, *[None] * 9, "no content")]
+                    found += [(path, *n, None) for n in _Walk(parser(content), keep_contents).out] or [(path, *[None] * 9, "no content")]
                 except PARSE_ERRORS as e:
-                    found = [(path, *[None] * 9, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(found, columns=_COLUMNS).astype(object)
+                    found.append((path, *[None] * 9, f"{type(e).__name__}: {e}"))
+                if len(found) >= SENT_NODES:
+                    yield pd.DataFrame(found, columns=_COLUMNS).astype(object)
+                    found = []
+            yield pd.DataFrame(found, columns=_COLUMNS).astype(object)
 
     return parse
 
