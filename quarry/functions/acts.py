@@ -9,6 +9,7 @@ from quarry.functions.columns import chain, first_of, found
 # Years that a four-digit part may be, the year from which numbers follow it, and letters by class.
 FIRST_YEAR, LAST_YEAR, LATER_YEAR, YEAR_FIRST = 1950, 2035, 2030, 2015
 LETTERS = {"REGULATION": "R", "DIRECTIVE": "L", "DECISION": "D", "CORRIGENDUM": "R", "AGREEMENT": "A"}
+# How titles name an act, its number in the official register, its number after an institution, and its kind at the beginning.
 _KIND = r"(?:Regulation|Directive)\s+(?:\([A-Z,\s]+\)\s+)?(?:No\s+)?(\d+/\d+|\d+)"
 _CELEX = r"\b([1-9]\d{4}[A-Z]{1,2}\d{4})\b"
 _IN_TITLE = [r"(?i)\((?:EU|EC|EEC)\)\s*(?:No\s*)?(\d+/\d+)", r"(?i)No\s*(\d+/\d+)"]
@@ -67,6 +68,7 @@ def resolved_celex(elements: list[Column], header: Column, path: Column) -> Colu
 
 def decision_target(title: Column) -> Column:
     """The act that a decision rests on: after ``pursuant to`` and the like, else the first regulation named."""
+    # Fixed value: phrases behind which a decision names the act it rests on.
     support = rf"(?i)(?:pursuant to|in accordance with|application of|under Article\s+[\d\w().]+\s+of)\s+{_KIND}"
     plain = r"(?i)Regulation\s+(?:\([A-Z,\s]+\)\s+)?(?:No\s+)?(\d+/\d+|\d+)"
     return F.concat(F.lit("Regulation "), first_of(title, [support, plain]))

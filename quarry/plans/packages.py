@@ -12,6 +12,8 @@ from quarry.functions import acts
 from quarry.functions.columns import chain, first_of
 from quarry.functions.text import sorted_matches
 
+# How titles state an act's number.
+NUMBERED = [r"(?i)\((?:EU|EC|EEC)\)\s*(?:No\s*)?(\d+/\d+)", r"(?i)No\s*(\d+/\d+)"]
 # How titles name the acts that they amend or repeal.
 AMENDS = [r"(?i)amending\s+(?:Council\s+|Commission\s+)?(?:Regulation|Directive)\s+(?:\([A-Z]+\)\s+)?(?:No\s+)?(\d+/\d+|\d+)", r"(?i)amends?\s+(?:Regulation|Directive)\s+(?:\([A-Z]+\)\s+)?(?:No\s+)?(\d+/\d+|\d+)"]
 REPEALS = [r"(?i)repealing\s+(?:Council\s+|Commission\s+)?(?:Regulation|Directive)\s+(?:\([A-Z]+\)\s+)?(?:No\s+)?(\d+/\d+|\d+)", r"(?i)repeals?\s+(?:Regulation|Directive)\s+(?:\([A-Z]+\)\s+)?(?:No\s+)?(\d+/\d+|\d+)"]
@@ -41,7 +43,7 @@ def packages(files: DataFrame, keywords: list[str] | None = None) -> DataFrame:
     some = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
     rows = grouped.withColumn("title", F.coalesce(some("_primary"), some("_first"), some("_wrapper"), F.lit(""))).drop("_primary", "_first", "_wrapper")
     rows = rows.withColumn("class", acts.package_class(F.col("title"), F.col("primary_root"), F.col("n_corrections") > 0))
-    pair = first_of(F.col("title"), [r"(?i)\((?:EU|EC|EEC)\)\s*(?:No\s*)?(\d+/\d+)", r"(?i)No\s*(\d+/\d+)", r"(\d+/\d+)"])
+    pair = first_of(F.col("title"), [*NUMBERED, r"(\d+/\d+)"])
     both = acts.year_and_number(pair)
     letter = F.when(F.col("class") == "DIRECTIVE", "L").when(F.col("class") == "QUALIFIER_DECISION", "D").otherwise("R")
     target = F.when(F.col("class") == "QUALIFIER_DECISION", acts.decision_target(F.col("title"))).when(F.col("class") == "CORRIGENDUM", acts.corrigendum_target(F.col("title")))
@@ -108,7 +110,7 @@ def inspected(headers: DataFrame, keywords: list[str], this_year: int) -> DataFr
     """Header rows (path, title, header, error) with what they state: number, expiry, repeals, keywords, state; a file that does not parse is CORRUPTED and has the rest null."""
     text = F.concat_ws(" ", "title", "header")
     good = F.col("error").isNull()
-    pair = first_of(F.col("title"), [r"(?i)\((?:EU|EC|EEC)\)\s*(?:No\s*)?(\d+/\d+)", r"(?i)No\s*(\d+/\d+)"])
+    pair = first_of(F.col("title"), NUMBERED)
     both = acts.year_and_number(pair)
     stated = {"doc_number": F.when(pair.isNotNull(), acts.display_number(both["year"], both["number"])), "expires": acts.expiry(text), "repeals": acts.repealed_numbers(text), "keywords": acts.keywords(text, keywords)}
     out = headers.select("*", *(F.when(good, c).alias(n) for n, c in stated.items()))

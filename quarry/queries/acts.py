@@ -82,18 +82,18 @@ def celex_four_ways(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", A.resolved_celex([element], header, path).alias("celex"))
 
 
-_NAME = "CASE o_orderkey % 5 WHEN 0 THEN 'a.doc.xml' WHEN 1 THEN 'annex_' || CAST(o_orderkey AS VARCHAR) || '.xml' WHEN 2 THEN 'z' || CAST(o_orderkey AS VARCHAR) || '.xml' WHEN 3 THEN 'c' || CAST(o_orderkey AS VARCHAR) || '.xml' ELSE 'o' || CAST(o_orderkey AS VARCHAR) || '.xml' END"
+_NAME = "CASE o_orderkey % 5 WHEN 0 THEN 'a' || CAST(o_orderkey AS VARCHAR) || '.doc.xml' WHEN 1 THEN 'annex_' || CAST(o_orderkey AS VARCHAR) || '.xml' WHEN 2 THEN 'z' || CAST(o_orderkey AS VARCHAR) || '.xml' WHEN 3 THEN 'c' || CAST(o_orderkey AS VARCHAR) || '.xml' ELSE 'o' || CAST(o_orderkey AS VARCHAR) || '.xml' END"
 _ROOT = "CASE o_orderkey % 5 WHEN 2 THEN 'ACT' WHEN 3 THEN 'CORR' WHEN 4 THEN 'GENERAL' ELSE 'X' END"
-_FILES = f"f AS (SELECT o_orderkey, '/p/' || CAST(o_custkey AS VARCHAR) AS folder, {_NAME} AS name, {_ROOT} AS root, {_TITLE} AS title FROM orders WHERE o_orderkey % 5 > 0 OR o_orderkey % 10 = 0)"
+_FILES = f"f AS (SELECT o_orderkey, '/p/' || CAST(o_custkey AS VARCHAR) AS folder, {_NAME} AS name, {_ROOT} AS root, {_TITLE} AS title FROM orders)"
 
 
 def _files(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 5 > 0 OR o_orderkey % 10 = 0")
+    rows = table(spark, sf_dir, "orders")
     text = lambda sql: F.expr(sql.replace("VARCHAR", "STRING"))
     return rows.select("o_orderkey", F.concat(F.lit("/p/"), F.col("o_custkey").cast("string"), F.lit("/"), text(_NAME)).alias("path"), text(_ROOT).alias("root"), text(_TITLE).alias("title"))
 
 
-_ROLES = f"""{_FILES}, r0 AS (SELECT *, CASE WHEN name = 'a.doc.xml' THEN 'wrapper' WHEN contains(name, 'annex') THEN 'annex' WHEN root = 'CORR' OR contains(lower(title), 'corrigendum') THEN 'corrigendum' WHEN root = 'ACT' THEN 'act' ELSE 'other' END AS r FROM f),
+_ROLES = f"""{_FILES}, r0 AS (SELECT *, CASE WHEN ends_with(name, '.doc.xml') THEN 'wrapper' WHEN contains(name, 'annex') THEN 'annex' WHEN root = 'CORR' OR contains(lower(title), 'corrigendum') THEN 'corrigendum' WHEN root = 'ACT' THEN 'act' ELSE 'other' END AS r FROM f),
     r1 AS (SELECT *, row_number() OVER (PARTITION BY folder, r IN ('act', 'other') ORDER BY name, o_orderkey) AS n FROM r0),
     roles AS (SELECT o_orderkey, folder, name, root, title, CASE WHEN r IN ('act', 'other') AND n = 1 THEN 'primary' WHEN r = 'act' THEN 'annex' WHEN r = 'other' THEN 'wrapper' ELSE r END AS role FROM r1)"""
 
