@@ -58,10 +58,11 @@ def passages(part_text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     size = words.end - words.start
     firsts = np.flatnonzero(np.diff(owner, prepend=-1))
     which = owner[firsts]
-    # Bytes from a passage's first word up to the next passage's.
-    stops = np.append(words.start[firsts[1:]], len(data))
-    spans = np.repeat(which, stops - words.start[firsts])
-    body = data[words.start[0] :]
+    # Bytes from a passage's first word up to the next passage's, or to the end of its own text.
+    begins = words.start[firsts]
+    n_bytes = np.minimum(np.append(begins[1:], len(data)), ends[words.row[firsts] + 1]) - begins
+    spans = np.repeat(which, n_bytes)
+    body = data[np.arange(len(spans)) + np.repeat(begins - (np.cumsum(n_bytes) - n_bytes), n_bytes)]
     classes = np.bincount(spans * _CLASSES + _CLASS[body], minlength=n * _CLASSES).reshape(n, _CLASSES)
     out[:, :_CLASSES] = np.sqrt(classes / np.maximum(1, classes.sum(1, keepdims=True)))
     total = np.maximum(1, np.bincount(owner, minlength=n))

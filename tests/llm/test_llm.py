@@ -530,6 +530,52 @@ def test_candidates_of_any_length(spark):
     assert [found[k] for k in range(3)] == [1, 1, 1] and not any(found[k] for k in range(10, 40))
 
 
+def plain_passages(text):
+    """The features of one text in plain loops over words and bytes."""
+    data = (text or "").encode()
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\t\n\x0b\x0c\r ]+", data)]
+    if not words:
+        return [[0.0] * quality.FEATURES]
+    out, marks = [], b".,;:!?'\"()-"
+    for a in range(0, len(words), quality.PASSAGE):
+        part = words[a : a + quality.PASSAGE]
+        end = words[a + quality.PASSAGE][0] if a + quality.PASSAGE < len(words) else len(data)
+        counts = collections.Counter(int(quality._CLASS[b]) for b in data[part[0][0] : end])
+        row = [math.sqrt(counts[c] / (end - part[0][0])) for c in range(quality._CLASSES)]
+        share = lambda flags: sum(flags) / len(part)
+        said = [data[x:y] for x, y in words]
+        here = range(a, a + len(part))
+        row += [share(i >= k and said[i] == said[i - k] for i in here) for k in range(1, 5)]
+        symbol = lambda b: quality._CLASS[b] > 5 and b not in marks
+        row += [share(symbol(said[i][0]) and len(said[i]) == 1 for i in here), share(symbol(said[i][-1]) and len(said[i]) > 1 for i in here), share(quality._CLASS[said[i][0]] == 1 for i in here), share(said[i][-1] in b".,;:!?" for i in here), share(len(said[i]) > 14 for i in here), share(min(len(said[i]), 24) for i in here) / 24]
+        out.append(row)
+    return out
+
+
+def test_passages_and_attention_in_plain_loops():
+    """A text's features and score, whatever stands beside it in the slice."""
+    rng = random.Random(21)
+    pieces = ["Alpha", "beta.", "beta", "#", "x;", "Éa", "1234", "averyveryverylongword", "(so)", "a"]
+    texts = ["", None, "  \n", " \t lead", "tail \n\n"] + ["".join(rng.choice(pieces) + rng.choice([" ", " ", "\n", "  "]) for _ in range(rng.randint(1, 160))) for _ in range(25)]
+    x, bounds = quality.passages(pa.array(texts))
+    expected = [plain_passages(t) for t in texts]
+    assert np.diff(bounds).tolist() == [len(e) for e in expected]
+    assert np.allclose(x, np.array([row for e in expected for row in e]), atol=1e-6)
+    model = quality.fit([(x[a:b], k % 2) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))], epochs=2)
+    got = quality.forward(model, quality.Bags((x - model["mean"]) / model["scale"], bounds))["p"]
+    squash = lambda z: 1 / (1 + math.exp(-z))
+    for p, rows in zip(got, expected):
+        coded, weights = [], []
+        for row in rows:
+            z = [(v - m) / s for v, m, s in zip(row, model["mean"], model["scale"])]
+            h = [math.tanh(sum(z[i] * model["E"][i, j] for i in range(len(z))) + model["e"][j]) for j in range(quality.HIDDEN)]
+            gate = sum(math.tanh(sum(h[j] * model["V"][j, g] for j in range(len(h)))) * squash(sum(h[j] * model["U"][j, g] for j in range(len(h)))) * model["w"][g] for g in range(quality.GATES))
+            coded.append(h)
+            weights.append(math.exp(gate))
+        bag = [sum(w * h[j] for w, h in zip(weights, coded)) / sum(weights) for j in range(quality.HIDDEN)]
+        assert math.isclose(p, squash(sum(b * c for b, c in zip(bag, model["c"])) + float(model["b"])), abs_tol=1e-5)
+
+
 def test_secrets(spark):
     rng = random.Random(3)
     rows = [(900, None), (901, ""), (902, "plain words only"), (903, "x" * 30_000), (904, "7f3Qz" * 4_000), (905, "see docs/guide/setup.html and mail7.example.com or 2024-01-17"), (906, "order 9807915762804490 from 10.20.30.44")]
