@@ -116,13 +116,17 @@ class Pacing(StatefulProcessor):
 
 def _run(rows: DataFrame, processor: StatefulProcessor, fields: str, path: str, checkpoint: str, mode: str) -> StreamingQuery:
     spark, setting = rows.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
     spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the one that keeps timers
     states = rows.groupBy("key").transformWithState(processor, fields, "Update", mode)
 
     def batch(some: DataFrame, number: int) -> None:
         some.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return states.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        return states.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:  # the started query has taken the setting; other streams keep theirs
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
 
 
 def job_states(events: DataFrame, path: str, checkpoint: str, patience_seconds: int, late: str = "1 hour") -> StreamingQuery:
