@@ -1,22 +1,20 @@
-"""Phrase collocations: candidates counted by broadcast double-array tries.
+"""Phrase collocations: candidates counted by double-array tries.
 
 1. Words of each language are counted by Spark. Tasks then hash all runs of 2, later of
    3 words whose parts may be frequent (Apriori: a phrase is no more frequent than its
    parts) and count the hashes; a hash below MIN_COUNT cannot hold a frequent phrase.
-2. The phrases behind the other hashes are the candidates. Every hash has an owner, one
-   of SLOTS kinds of rows that hold it; only rows of that kind send its phrases, so that
-   a phrase is sent about once, however many tasks hold it. Each shard of about
-   SHARD_PHRASES candidates becomes a double-array trie over bytes, built in a task.
-3. Tries are broadcast, PASS_SHARDS at a time. A task starts a state at every text position
-   whose run may be a candidate, advances all states byte level by byte level, and
-   counts accepting states; the tasks' counts are summed. These counts are exact:
-   hashes only choose what is walked.
+2. In one more pass a task cuts its texts into blocks. The different phrases of a block
+   behind the other hashes become double-array tries over bytes, which hold phrases of all
+   lengths. The task starts a state at every text position whose run may be a candidate,
+   advances all states byte level by byte level, and counts accepting states.
+3. Spark sums the blocks' counts by language and phrase. These counts are exact: hashes
+   only choose what is walked.
 
 Between steps, what may be frequent is told to tasks by filters of 64 bits for each of
 it, 2 ** FILTER_BITS bits (32 MB) at most; when these fill up, more is walked, and
-nothing is lost.
-One pass over the texts serves PASS_SHARDS * SHARD_PHRASES candidates; a corpus with more
-is read once for each such lot.
+nothing is lost. A block has bounds of its own (PASS_SHARDS * SHARD_PHRASES phrases or
+BLOCK_BYTES of text), so texts are read a fixed number of times, whatever the number of
+candidates, and no task holds them all.
 
 Defined results: null text is empty, null lang is `und`; repeated rows count each; an
 empty table gives an empty result. Only `lang` and `text` are read.
@@ -36,8 +34,8 @@ from quarry.llm.scratch import release, small_batches, written
 
 MIN_COUNT, LONGEST, TOP, COVERED = 10, 3, 2_000, 50
 FILTER_BITS, SHARD_PHRASES, PASS_SHARDS = 28, 250_000, 4
-#: Kinds of rows, by a hash of their words.
-SLOTS = 4_096
+#: Text of a block of counted phrases; a longer single text makes a block of its own.
+BLOCK_BYTES = 1 << 24
 #: Hashes that a task gathers before it counts and sends them.
 BLOCK = 2_000_000
 #: Parts that each language is split into for the first choice of its best phrases.
@@ -87,15 +85,6 @@ class Runs:
             value = value * U64(0x9E3779B97F4A7C15) + w.hash[at + j]
         return mix(value ^ self.seed[w.row[at]] ^ U64(k))
 
-    def slots(self, at: np.ndarray) -> np.ndarray:
-        """The kind of the row of each run: the same for equal texts, whatever their partition."""
-        w = self.words
-        if not len(at):
-            return np.zeros(0, U64)
-        first, last = w.bounds[:-1], np.maximum(w.bounds[1:] - 1, 0)
-        some = np.minimum(first, len(w.hash) - 1)
-        return (mix(w.hash[some] + w.hash[last] * U64(3) + (last - first).astype(U64)) % U64(SLOTS))[w.row[at]]
-
     def allowed(self, k: int, filters: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of the runs of k words that, by the filters of length k - 1 (and k if there is one), may be frequent."""
         at = self.starts(k)
@@ -143,16 +132,14 @@ def _bounds(k: int, filters):
         known, held, n = filters.value, [], 0
 
         def block():
-            h, first, times = np.unique(np.concatenate([x for x, _ in held]), return_index=True, return_counts=True)
-            slot = np.concatenate([x for _, x in held])[first]
+            h, times = np.unique(np.concatenate(held), return_counts=True)
             for a in range(0, len(h), 100_000):
                 part = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(times[part]), pa.array(slot[part])], names=["h", "n", "slot"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(times[part])], names=["h", "n"])
 
         for runs in _runs(batches):
-            at, h = runs.allowed(k, known)
-            held.append((h, runs.slots(at).astype(np.int16)))
-            n += len(h)
+            held.append(runs.allowed(k, known)[1])
+            n += len(held[-1])
             if n >= BLOCK:
                 yield from block()
                 held, n = [], 0
@@ -172,7 +159,7 @@ def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, siz
 
 
 class _Seen:
-    """Phrases that a task has sent: hashes in order, and their bytes."""
+    """Phrases of a block: hashes in order, and their bytes."""
 
     def __init__(self):
         self.h, self.at, self.size, self.bytes = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
@@ -197,41 +184,6 @@ class _Seen:
         return fresh
 
 
-def _owned(h: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return h ^ (slot << U64(8)) ^ (slot << U64(40))
-
-
-def _phrases(owners):
-    """The distinct phrases of a task that may be frequent and whose hash its rows own: length, hash, and language, TAB and words as bytes."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, seen = owners.value, {k: _Seen() for k in range(2, LONGEST + 1)}
-        for runs in _runs(batches):
-            data, begins = runs.joined()
-            ends = np.append(begins[1:], len(data)) - 1
-            for k, before in seen.items():
-                at = runs.starts(k)
-                h = runs.hashes(k, at)
-                mine = np.flatnonzero(_maybe(owner[k], _owned(h, runs.slots(at))))
-                at, h = at[mine], h[mine]
-                order = np.argsort(h, kind="stable")
-                at, h = at[order], h[order]
-                first, size = begins[at], ends[at + k - 1] - begins[at] if len(at) else at
-                repeat = np.zeros(len(at), bool)
-                equal = np.flatnonzero((h[1:] == h[:-1]) & (size[1:] == size[:-1])) + 1
-                repeat[equal[same_bytes(data, first[equal], data, first[equal - 1], size[equal])]] = True
-                kept = np.flatnonzero(~repeat)
-                at, h, first, size = at[kept], h[kept], first[kept], size[kept]
-                fresh = before.new(h, data, first, size)
-                if len(fresh):
-                    rows = runs.words.row[at[fresh]]
-                    body = data.tobytes()
-                    keys = [runs.names[r].encode() + b"\t" + body[a : a + n] for r, a, n in zip(rows.tolist(), first[fresh].tolist(), size[fresh].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(h[fresh].view(np.int64)), pa.array(keys, pa.binary())], names=["k", "h", "key"])
-
-    return find
-
-
 class Trie:
     """A double-array trie: the child of state s by byte b is base[s] + b if check there is s; END leads to a leaf with base -1 - number."""
 
@@ -315,58 +267,102 @@ class Trie:
             state = to
         return state
 
-    def accepted(self, state: np.ndarray, data: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
-        """Numbers of the keys met by states that start at places of data and read that many words, once for each place."""
+    def accepted(self, state: np.ndarray, data: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Numbers of the keys of 2 words to ``most`` met by states that start at places of data, once for each place."""
         out = [np.zeros(0, np.int64)]
-        left = np.full(len(at), words, np.int8)
         alive = state >= 0
-        state, at, left = state[alive], at[alive], left[alive]
+        state, at, most = state[alive], at[alive], most[alive]
+        read = np.zeros(len(state), np.int8)
         while len(state):
             byte = data[at]
             closing = (byte == SPACE) | (byte == END)
-            left = left - closing
-            last = left == 0
-            leaf, ok = self.step(state[last], END)
+            read = read + closing
+            leaf, ok = self.step(state[closing & (read > 1)], END)
             out.append(-1 - self.base[leaf[ok]].astype(np.int64))
-            go = ~last
-            state, at, left = state[go], at[go], left[go]
+            go = ~closing | (read < most)
+            state, at, most, read = state[go], at[go], most[go], read[go]
             to, ok = self.step(state, byte[go])
-            state, at, left = to[ok], at[ok] + 1, left[ok]
+            state, at, most, read = to[ok], at[ok] + 1, most[ok], read[ok]
         return np.concatenate(out)
 
 
-def _tries(rows):
-    """The trie of one shard's candidates, as bytes."""
-    import pandas as pd
+class _Block:
+    """Texts of a task: the different phrases that may be frequent, and the places where their runs begin."""
 
-    trie = Trie.build([bytes(k) for k in rows["key"]])
-    return pd.DataFrame({"k": rows["k"][:1].astype("int32"), "shard": rows["shard"][:1], "base": [trie.base.tobytes()], "checks": [trie.check.tobytes()]})
-
-
-def _counted(filters, tries, shards: dict[int, int]):
-    """Counts of accepting states of a task, for each trie of the broadcast."""
+    def __init__(self):
+        self.seen, self.langs = _Seen(), {}
+        self.keys, self.of, self.head, self.places, self.size = [], [], [], [], 0
+
+    def add(self, part: pa.RecordBatch, known: dict[int, np.ndarray]) -> None:
+        runs = Runs(part.column(0).to_pylist(), part.column(1))
+        data, begins = runs.joined()
+        ends = np.append(begins[1:], len(data)) - 1
+        lang = np.array([self.langs.setdefault(x, len(self.langs)) for x in runs.names], np.int64)
+        # How many words the longest run from each word has that, with all shorter ones, may be frequent.
+        most, head = np.ones(len(runs.last), np.int8), np.zeros(len(runs.last), U64)
+        for k in range(2, LONGEST + 1):
+            at, h = runs.allowed(k, known)
+            ok = most[at] == k - 1
+            at, h = at[ok], h[ok]
+            most[at] = k
+            if k == 2:
+                head[at] = h
+            self._phrases(runs, lang, data, begins, ends, head, k, at, h)
+        at = np.flatnonzero(most > 1)
+        self.places.append((data, begins[at].astype(np.int32), most[at], lang[runs.words.row[at]].astype(np.int32), head[at]))
+        self.size += len(data)
+
+    def _phrases(self, runs: Runs, lang, data, begins, ends, head, k: int, at: np.ndarray, h: np.ndarray) -> None:
+        order = np.argsort(h, kind="stable")
+        at, h = at[order], h[order]
+        first, size = begins[at], ends[at + k - 1] - begins[at] if len(at) else at
+        repeat = np.zeros(len(at), bool)
+        equal = np.flatnonzero((h[1:] == h[:-1]) & (size[1:] == size[:-1])) + 1
+        repeat[equal[same_bytes(data, first[equal], data, first[equal - 1], size[equal])]] = True
+        kept = np.flatnonzero(~repeat)
+        at, h, first, size = at[kept], h[kept], first[kept], size[kept]
+        fresh = self.seen.new(h, data, first, size)
+        body = data.tobytes()
+        self.keys += [body[a : a + n] for a, n in zip(first[fresh].tolist(), size[fresh].tolist())]
+        self.of.append(lang[runs.words.row[at[fresh]]])
+        self.head.append(head[at[fresh]])
+
+    def counts(self) -> Iterator[pa.RecordBatch]:
+        """Counts of accepting states. A phrase and its first two words are in the same trie, one of as many as SHARD_PHRASES asks for."""
+        of, head, names = np.concatenate(self.of), np.concatenate(self.head), list(self.langs)
+        shards = U64(max(1, -(-len(self.keys) // SHARD_PHRASES)))
+        trie_of, places = head % shards, [(*p[:4], p[4] % shards) for p in self.places]
+        roots = [b"%d\t" % x for x in range(len(names))]
+        for shard in range(int(shards)):
+            mine = np.flatnonzero(trie_of == shard)
+            whole = sorted((roots[x] + self.keys[i], i) for i, x in zip(mine.tolist(), of[mine].tolist()))
+            if not whole:
+                continue
+            trie, total = Trie.build([key for key, _ in whole]), np.zeros(len(whole), np.int64)
+            starts = np.array([trie.walk(x) for x in roots], np.int64)
+            for data, begins, most, lang, to in places:
+                here = to == shard
+                total += np.bincount(trie.accepted(starts[lang[here]], data, begins[here], most[here]), minlength=len(total))
+            for a in range(0, len(whole), 100_000):
+                some = [i for _, i in whole[a : a + 100_000]]
+                phrases = [self.keys[i].replace(b"\n", b" ") for i in some]
+                langs = pa.DictionaryArray.from_arrays(pa.array(of[some], pa.int32()), pa.array(names, pa.string())).cast(pa.string())
+                length = pa.array([p.count(b" ") + 1 for p in phrases], pa.int32())
+                yield pa.RecordBatch.from_arrays([langs, length, pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(total[a : a + 100_000])], names=["lang", "k", "phrase", "a"])
+
+
+def _counted(filters):
+    """Occurrences of the phrases of a task that may be frequent, by blocks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = filters.value
-        held = {key: Trie(np.frombuffer(base, np.int32), np.frombuffer(check, np.int32)) for key, (base, check, _) in tries.value.items()}
-        totals = {key: np.zeros(n, np.int64) for key, (_, _, n) in tries.value.items()}
-        for runs in _runs(batches):
-            data, begins = runs.joined()
-            for k in shards:
-                at, h = runs.allowed(k, known)
-                of = h.view(np.int64) % shards[k]
-                for (length, shard), trie in held.items():
-                    if length != k:
-                        continue
-                    mine = at[of == shard]
-                    roots = {x: trie.walk(x.encode() + b"\t") for x in set(runs.names)}
-                    state = np.array([roots[x] for x in runs.names], np.int64)[runs.words.row[mine]]
-                    totals[length, shard] += np.bincount(trie.accepted(state, data, begins[mine], k), minlength=len(totals[length, shard]))
-        for (k, shard), n in totals.items():
-            found = np.flatnonzero(n)
-            for a in range(0, len(found), 100_000):
-                some = found[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(np.full(len(some), shard, np.int64)), pa.array(some), pa.array(n[some])], names=["k", "shard", "number", "a"])
+        known, block = filters.value, _Block()
+        for part in slices(batches):
+            block.add(part, known)
+            if len(block.keys) >= PASS_SHARDS * SHARD_PHRASES or block.size >= BLOCK_BYTES:
+                yield from block.counts()
+                block = _Block()
+        if block.keys:
+            yield from block.counts()
 
     return count
 
@@ -399,40 +395,16 @@ def phrase_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
     """(lang, k, phrase, a): phrases of 2 to LONGEST words with MIN_COUNT occurrences or more; words: word_counts from MIN_COUNT on."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
-    filters, owners = {1: _filter(written(words.select("lang", F.col("phrase").alias("text")).mapInArrow(_word_hashes, "h long"), "hashes"))}, {}
+    filters = {1: _filter(written(words.select("lang", F.col("phrase").alias("text")).mapInArrow(_word_hashes, "h long"), "hashes"))}
     for k in range(2, LONGEST + 1):
         release(spark)
         known = share(filters)
-        sums = docs.mapInArrow(_bounds(k, known), "h long, n long, slot short").groupBy("h").agg(F.sum("n").alias("n"), F.min("slot").cast("long").alias("slot")).where(f"n >= {MIN_COUNT}")
-        sums = written(sums.select("h", F.col("h").bitwiseXOR(F.shiftleft("slot", 8)).bitwiseXOR(F.shiftleft("slot", 40)).alias("owned")), "hashes")
-        filters, owners = filters | {k: _filter(sums.select("h"))}, owners | {k: _filter(sums.select(F.col("owned").alias("h")))}
+        sums = docs.mapInArrow(_bounds(k, known), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(f"n >= {MIN_COUNT}")
+        filters = filters | {k: _filter(written(sums.select("h"), "hashes"))}
         known.unpersist()
-    held = share(owners)
-    found = written(docs.mapInArrow(_phrases(held), "k int, h long, key binary").groupBy("k", "h", "key").count().drop("count"), "candidates")
-    held.unpersist()
+    release(spark)
     known = share({k: v for k, v in filters.items() if k > 1})
-    shards = {r["k"]: max(1, -(-r["n"] // SHARD_PHRASES)) for r in found.groupBy("k").agg(F.count("*").alias("n")).collect()}
-    if not shards:
-        return spark.createDataFrame([], "lang string, k int, phrase string, a long")
-    of = F.coalesce(*(F.when(F.col("k") == k, F.pmod("h", F.lit(n))) for k, n in shards.items())).cast("long")
-    numbered = written(found.select("k", of.alias("shard"), "key").repartition(sum(shards.values()), "k", "shard").sortWithinPartitions("k", "shard", "key"), "numbered")
-    tries = written(numbered.groupBy("k", "shard").applyInPandas(lambda rows: _tries(rows.sort_values("key")), "k int, shard long, base binary, checks binary"), "tries")
-    sizes = {(r["k"], r["shard"]): r["n"] for r in numbered.groupBy("k", "shard").agg(F.count("*").alias("n")).collect()}
-    counts = None
-    every = sorted(sizes)
-    for a in range(0, len(every), PASS_SHARDS):
-        release(spark)
-        lot = every[a : a + PASS_SHARDS]
-        rows = tries.where(" or ".join(f"(k = {k} and shard = {s})" for k, s in lot))
-        held = share({(r["k"], r["shard"]): (bytes(r["base"]), bytes(r["checks"]), sizes[r["k"], r["shard"]]) for r in rows.toLocalIterator()})
-        part = written(docs.mapInArrow(_counted(known, held, shards), "k int, shard long, number long, a long").groupBy("k", "shard", "number").agg(F.sum("a").alias("a")).where(f"a >= {MIN_COUNT}"), "counts")
-        counts = part if counts is None else counts.union(part)
-        held.unpersist()
-    from pyspark.sql import Window
-
-    places = numbered.withColumn("number", F.row_number().over(Window.partitionBy("k", "shard").orderBy("key")).cast("long") - 1)
-    named = places.join(counts, ["k", "shard", "number"]).select("k", "a", F.col("key").cast("string").alias("key")).withColumn("joined", F.substring_index("key", "\t", -1))
-    return named.select(F.expr("left(key, char_length(key) - char_length(joined) - 1)").alias("lang"), "k", F.translate("joined", "\n", " ").alias("phrase"), "a")
+    return docs.mapInArrow(_counted(known), "lang string, k int, phrase string, a long").groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a")).where(f"a >= {MIN_COUNT}")
 
 
 def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import collocations as col, merkle, url_filter as uf
 
@@ -237,3 +238,25 @@ def test_equal_hashes_are_compared_by_bytes():
     assert len(seen.new(one, data, at, size)) == 1 and len(seen.new(one, data, at, size)) == 0
     assert len(seen.new(one, data, np.array([3]), size)) == 1
     assert pa.array(seen.bytes).to_pylist() == list(b"abcabd")
+
+
+def test_texts_are_read_once_for_any_number_of_candidates(spark, monkeypatch):
+    """Counting is one job over the texts, also when the candidates would fill many tries."""
+    for name, value in (("SHARD_PHRASES", 5), ("PASS_SHARDS", 1)):
+        monkeypatch.setattr(col, name, value)
+    docs = frame(spark, made_phrases(4)).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    words = col.word_counts(docs).where("a >= 10").cache()
+    col.phrase_counts(docs.mapInArrow(counted, docs.schema), words).write.format("noop").mode("overwrite").save()
+    assert read.value == col.LONGEST * docs.count()  # hashes of two lengths, then the counts
+
+
+def test_a_language_may_hold_any_byte(spark):
+    rows = [(lang, "one two three " * 12) for lang in ("a\rb", "a\rc", "a\nb")]
+    assert {tuple(r) for r in col.collocations(frame(spark, rows)).collect()} == phrases(rows)
