@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.bytes_np import U64, Words, buffers, mix, slices
@@ -291,7 +292,7 @@ class _Block:
 
     def __init__(self):
         self.seen, self.langs = _Seen(), {}
-        self.keys, self.of, self.head, self.places, self.size = [], [], [], [], 0
+        self.keys, self.of, self.k, self.head, self.places, self.size = [], [], [], [], [], 0
 
     def add(self, part: pa.RecordBatch, known: dict[int, np.ndarray]) -> None:
         runs = Runs(part.column(0).to_pylist(), part.column(1))
@@ -325,30 +326,31 @@ class _Block:
         body = data.tobytes()
         self.keys += [body[a : a + n] for a, n in zip(first[fresh].tolist(), size[fresh].tolist())]
         self.of.append(lang[runs.words.row[at[fresh]]])
+        self.k.append(np.full(len(fresh), k, np.int32))
         self.head.append(head[at[fresh]])
 
     def counts(self) -> Iterator[pa.RecordBatch]:
         """Counts of accepting states. A phrase and its first two words are in the same trie, one of as many as SHARD_PHRASES asks for."""
-        of, head, names = np.concatenate(self.of), np.concatenate(self.head), list(self.langs)
+        of, lengths, head, names = np.concatenate(self.of), np.concatenate(self.k), np.concatenate(self.head), list(self.langs)
         shards = U64(max(1, -(-len(self.keys) // SHARD_PHRASES)))
         trie_of, places = head % shards, [(*p[:4], p[4] % shards) for p in self.places]
         roots = [b"%d\t" % x for x in range(len(names))]
+        whole = pa.array([roots[x] + key for key, x in zip(self.keys, of.tolist())], pa.binary())
+        spelt = pc.replace_substring(pa.array(self.keys, pa.binary()).cast(pa.string()), "\n", " ")
         for shard in range(int(shards)):
             mine = np.flatnonzero(trie_of == shard)
-            whole = sorted((roots[x] + self.keys[i], i) for i, x in zip(mine.tolist(), of[mine].tolist()))
-            if not whole:
+            if not len(mine):
                 continue
-            trie, total = Trie.build([key for key, _ in whole]), np.zeros(len(whole), np.int64)
+            mine = mine[pc.array_sort_indices(whole.take(pa.array(mine))).to_numpy()]
+            trie, total = Trie.build(whole.take(pa.array(mine)).to_pylist()), np.zeros(len(mine), np.int64)
             starts = np.array([trie.walk(x) for x in roots], np.int64)
             for data, begins, most, lang, to in places:
                 here = to == shard
                 total += np.bincount(trie.accepted(starts[lang[here]], data, begins[here], most[here]), minlength=len(total))
-            for a in range(0, len(whole), 100_000):
-                some = [i for _, i in whole[a : a + 100_000]]
-                phrases = [self.keys[i].replace(b"\n", b" ") for i in some]
+            for a in range(0, len(mine), 100_000):
+                some = mine[a : a + 100_000]
                 langs = pa.DictionaryArray.from_arrays(pa.array(of[some], pa.int32()), pa.array(names, pa.string())).cast(pa.string())
-                length = pa.array([p.count(b" ") + 1 for p in phrases], pa.int32())
-                yield pa.RecordBatch.from_arrays([langs, length, pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(total[a : a + 100_000])], names=["lang", "k", "phrase", "a"])
+                yield pa.RecordBatch.from_arrays([langs, pa.array(lengths[some]), spelt.take(pa.array(some)), pa.array(total[a : a + 100_000])], names=["lang", "k", "phrase", "a"])
 
 
 def _counted(filters):
