@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from quarry.functions.columns import words
 from quarry.session import kept
@@ -98,22 +98,24 @@ def scored(counts: DataFrame, key: str, stats: DataFrame, expression: Expression
     return counts.join(F.broadcast(stats)).select(key, matched.alias("matched"), (-some).alias("score")).where("score < 0")  # stats is one row
 
 
+def _times(bag: str, atom: tuple[str, ...]) -> Column:
+    """How often a word or phrase stands in a column of tokens."""
+    if len(atom) == 1:
+        return F.size(bag) - F.size(F.array_remove(bag, atom[0]))
+    wanted = F.array(*map(F.lit, atom))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(bag) - len(atom) + 1, F.lit(1)))
+    # Most rows lack a word of the phrase and need no look at positions.
+    able = reduce(lambda a, b: a & b, (F.array_contains(bag, t) for t in atom))
+    return F.when(able, F.size(F.filter(starts, lambda i: F.slice(bag, i, F.lit(len(atom))) == wanted))).otherwise(0)
+
+
 def expression_scores(rows: DataFrame, key: str, columns: dict[str, str], expression: Expression, weights: dict[str, float] | None = None, tokenise=words) -> DataFrame:
     """As `scored`, for rows without a stored index: one pass over the rows."""
     weights, atoms = weights or {}, expression.atoms()
     names = {name: f"_bag_{k}" for k, name in enumerate(columns)}
     bags = rows.select(F.col(key), F.inline(F.array(F.struct(*(tokenise(F.col(c)).alias(names[name]) for name, c in columns.items())))))
 
-    def times(bag: str, atom: tuple[str, ...]):
-        if len(atom) == 1:
-            return F.size(bag) - F.size(F.array_remove(bag, atom[0]))
-        wanted = F.array(*map(F.lit, atom))
-        starts = F.sequence(F.lit(1), F.greatest(F.size(bag) - len(atom) + 1, F.lit(1)))
-        # Most rows lack a word of the phrase and need no look at positions.
-        able = reduce(lambda a, b: a & b, (F.array_contains(bag, t) for t in atom))
-        return F.when(able, F.size(F.filter(starts, lambda i: F.slice(bag, i, F.lit(len(atom))) == wanted))).otherwise(0)
-
-    count = lambda atom: reduce(lambda a, b: a + b, (times(bag, atom) * float(weights.get(name, 1.0)) for name, bag in names.items()))
+    count = lambda atom: reduce(lambda a, b: a + b, (_times(bag, atom) * float(weights.get(name, 1.0)) for name, bag in names.items()))
     one = bags.select(F.col(key), reduce(lambda a, b: a + b, (F.size(b) for b in names.values())).alias("len"), *(count(a).alias(f"f{k}") for k, a in enumerate(atoms)))
     hits, stats = _one_pass(one, len(atoms))
     return scored(hits, key, stats, expression)
@@ -121,9 +123,9 @@ def expression_scores(rows: DataFrame, key: str, columns: dict[str, str], expres
 
 def phrase_hits(rows: DataFrame, key: str, column: str, phrase: list[str]) -> DataFrame:
     """Rows with the words in a row, and how often."""
-    bag = words(F.col(column))
-    n = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(bag) - len(phrase) + 1, F.lit(1))), lambda i: F.slice(bag, i, F.lit(len(phrase))) == F.array(*map(F.lit, phrase))))
-    return rows.select(F.col(key), n.alias("times")).where("times > 0")
+    # As the one row of a generator, the tokens are made once and not again at every place.
+    bags = rows.select(F.col(key), F.inline(F.array(F.struct(words(F.col(column)).alias("_bag")))))
+    return bags.select(F.col(key), _times("_bag", tuple(phrase)).alias("times")).where("times > 0")
 
 
 def ranked(scores: DataFrame, k: int, *order) -> DataFrame:

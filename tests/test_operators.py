@@ -143,3 +143,15 @@ def test_stream_index_adds_new_documents_once(spark, tmp_path):
         incremental.index_new(spark.readStream.schema(docs.schema).parquet(source), index, str(tmp_path / "check")).awaitTermination()
     got = spark.read.parquet(f"{index}/postings")
     assert got.where("term = 'common'").count() == 6 and got.count() == 12
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_phrase_hits_make_tokens_once(spark):
+    rows = spark.createDataFrame([(1, "Of the men of the sea"), (2, "the of"), (3, None), (4, "of"), (5, "of of the")], "k int, t string")
+    got = lexical.phrase_hits(rows, "k", "t", ["of", "the"])
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (5, 1)]
+    assert _plan(got).count("regexp_extract_all") == 1
+    assert [tuple(r) for r in lexical.phrase_hits(rows, "k", "t", ["sea"]).collect()] == [(1, 1)]
