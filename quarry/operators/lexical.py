@@ -11,6 +11,8 @@ from quarry.functions.columns import words
 from quarry.session import kept
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
+#: Repeated keys up to which they are broadcast (about 30 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def postings(rows: DataFrame, key: str, columns: dict[str, str], keep: list[str] | None = None) -> DataFrame:
@@ -22,6 +24,23 @@ def postings(rows: DataFrame, key: str, columns: dict[str, str], keep: list[str]
     return every.groupBy("term", key, "col").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def term_totals(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(term, df, tf, first_position): keys and places with each term, and its least place.
+
+    Counted before the shuffle, so that it carries words and no places; only rows whose key repeats send theirs with the key.
+    """
+    again = kept(rows.groupBy(F.col(key).alias("_key")).count().where("count > 1"), "repeated")
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    bags = rows.select(F.col(key), F.col(column)).join(again, F.col(key).eqNullSafe(F.col("_key")), "left").select(F.col(key), F.col("count").isNotNull().alias("_again"), F.inline(F.array(F.struct(words(F.col(column)).alias("_bag")))))
+    row = lambda t, df, tf, pos: F.struct(t.alias("term"), df.cast("long").alias("df"), F.lit(tf).cast("long").alias("tf"), pos.cast("int").alias("pos"))
+    places = F.transform("_bag", lambda t, i: row(t, F.lit(0), 1, i))
+    kinds = F.transform(F.array_distinct("_bag"), lambda t: row(t, (~F.col("_again")).cast("int"), 0, F.lit(None)))
+    every = bags.select(F.inline(F.concat(places, kinds)))
+    shared = bags.where("_again").select(F.col(key), F.explode(F.array_distinct("_bag")).alias("term")).distinct()
+    every = every.unionByName(shared.select(F.inline(F.array(row(F.col("term"), F.lit(1), 0, F.lit(None))))))
+    return every.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"), F.min("pos").cast("long").alias("first_position"))
+
+
 def lengths(rows: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     """Tokens of each row over all its columns."""
     total = reduce(lambda a, b: a + b, (F.size(words(F.col(c))) for c in columns.values()))

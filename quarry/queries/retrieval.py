@@ -60,8 +60,7 @@ def bm25_phrase(spark, sf_dir):
 
 @query(f"WITH d AS (SELECT doc_id, {_W} AS w FROM documents) SELECT t AS term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, min(first) AS first_position FROM (SELECT doc_id, t, count(*) AS tf, min(pos) - 1 AS first FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS pos FROM d) GROUP BY doc_id, t) GROUP BY t")
 def term_statistics(spark, sf_dir):
-    posted = lexical.postings(texts(spark, sf_dir), "doc_id", {"text": "text"})
-    return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.min(F.get("positions", F.lit(0))).cast("long").alias("first_position"))
+    return lexical.term_totals(texts(spark, sf_dir), "doc_id", "text")
 
 
 @query(f"WITH {PARAGRAPHS}, tk AS (SELECT chunk_id, source, {_W} AS w FROM p), " + _bm25_sql("tk", "chunk_id", ["the"], {"w": 1}, "SELECT chunk_id, source, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6), chunk_id) AS rank FROM sc WHERE source IN ('src1', 'src2') ORDER BY round(score, 6), chunk_id LIMIT 20", ", source"))

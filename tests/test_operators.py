@@ -155,3 +155,13 @@ def test_phrase_hits_make_tokens_once(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 2), (5, 1)]
     assert _plan(got).count("regexp_extract_all") == 1
     assert [tuple(r) for r in lexical.phrase_hits(rows, "k", "t", ["sea"]).collect()] == [(1, 1)]
+
+
+def test_term_totals_shuffle_no_places(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (2, "b"), (2, "c b"), (None, "c"), (None, "c a"), (3, None), (4, "")], "k int, t string")
+    got = lexical.term_totals(rows, "k", "t")
+    by_places = lexical.postings(rows, "k", {"t": "t"}).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.min(F.get("positions", F.lit(0))).cast("long").alias("first_position"))
+    assert sorted(map(tuple, by_places.collect())) == [("a", 2, 3, 0), ("b", 2, 3, 0), ("c", 2, 3, 0)]
+    # Of the two rows of key 2 both hold b, which counts once.
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, by_places.collect()))
+    assert "collect_list" not in _plan(got)
