@@ -165,3 +165,10 @@ def test_term_totals_shuffle_no_places(spark):
     # Of the two rows of key 2 both hold b, which counts once.
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, by_places.collect()))
     assert "collect_list" not in _plan(got)
+
+
+def test_only_texts_with_marks_reach_python(spark):
+    rows = spark.createDataFrame([("plain " * 9,), ("e\u0301",), (None,), ("\u212b",), ("",)], "t string")
+    assert [r[0] for r in rows.select(T.composed(F.col("t"))).collect()] == ["plain " * 9, "\u00e9", None, "\u00c5", ""]
+    plan = _plan(rows.select(T.composed(F.col("t"))))
+    assert "nfc(CASE WHEN" in plan or "ArrowEvalPython [nfc(_" in plan, plan
