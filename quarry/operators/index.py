@@ -9,15 +9,20 @@ statistics stands beside them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quarry.functions.tokens import stem, stems, tokens
+from quarry.functions.tokens import stem, tokens
 from quarry.operators.lexical import Expression, scored
 
 BUCKETS = 64
+#: Bags whose postings are put together at a time.
+BAGS = 10_000
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -30,13 +35,49 @@ def bags_of(rows: DataFrame, key: str, columns: dict[str, str], fold: bool) -> D
     return bags.withColumn("len", reduce(lambda a, b: a + b, (F.size(n) for n in columns)))
 
 
+def _by_term(columns: list[str], stemmed: bool):
+    """Of a batch of bags: one row for each term and column, with arrays of its keys, their lengths and its positions."""
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BAGS):
+                batch = whole.slice(at, BAGS)
+                for name in columns:
+                    bags = batch.column(name)
+                    words = bags.flatten().dictionary_encode()
+                    if not len(words):
+                        continue
+                    spelt, code = words.dictionary, words.indices.to_numpy()
+                    if stemmed:
+                        again = pa.array([stem(t) for t in spelt.to_pylist()], pa.string()).dictionary_encode()
+                        spelt, code = again.dictionary, again.indices.to_numpy()[code]
+                    size = pc.fill_null(pc.list_value_length(bags), 0).to_numpy().astype(np.int64)
+                    row = np.repeat(np.arange(len(size)), size)
+                    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                    order = np.argsort(code, kind="stable")  # by term, then row, then place
+                    code, row, place = code[order], row[order], place[order].astype(np.int32)
+                    new = np.ones(len(code), bool)
+                    new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
+                    hit = np.flatnonzero(new)
+                    first = np.flatnonzero(np.diff(code[hit], prepend=-1))
+                    listed = lambda ends, n, values: pa.ListArray.from_arrays(pa.array(np.append(ends, n), pa.int32()), values)
+                    some = pa.array(row[hit])
+                    lists = [listed(first, len(hit), x) for x in (batch.column("key").take(some), batch.column("len").take(some), listed(hit, len(place), pa.array(place)))]
+                    yield pa.RecordBatch.from_arrays([spelt.take(pa.array(code[hit[first]])), pa.array([name] * len(first), pa.string()), *lists], names=["term", "col", "keys", "lens", "places"])
+
+    return group
+
+
 def postings_of(bags: DataFrame, columns: dict[str, str], stemmed: bool, buckets: int) -> DataFrame:
-    """Postings of bags, dealt out by bucket."""
-    every = reduce(DataFrame.unionByName, (bags.select("key", "len", F.lit(n).alias("col"), F.posexplode(n).alias("pos", "term")) for n in columns))
-    if stemmed:
-        every = every.join(stems(every), "term").drop("term").withColumnRenamed("stem", "term")
-    grouped = every.groupBy("term", "key", "col", "len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped.withColumn("bucket", _bucket(F.col("term"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+    """Postings of bags, dealt out by bucket.
+
+    A bag is in one row, so its postings are made where it lies; the one shuffle carries each
+    term once for a batch of bags.
+    """
+    grouped = bags.mapInArrow(_by_term(list(columns), stemmed), f"term string, col string, keys array<{dict(bags.dtypes)['key']}>, lens array<int>, places array<array<int>>")
+    dealt = grouped.withColumn("bucket", _bucket(F.col("term"), buckets)).hint("rebalance", "bucket")
+    each = dealt.select("term", "col", "bucket", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("lens").alias("len"), F.col("places").alias("positions"))).alias("key", "len", "positions"))
+    return each.select("term", "key", "col", "len", F.size("positions").cast("long").alias("tf"), "positions", "bucket").sortWithinPartitions("bucket", "term")
 
 
 def build(rows: DataFrame, key: str, columns: dict[str, str], path: str, fold: bool = True, stemmed: bool = False, buckets: int = BUCKETS) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import catalog as C
 from quarry.operators import chunks as K
-from quarry.operators import lexical
+from quarry.operators import index, lexical
 from quarry.operators.packing import page_chunks
 from quarry.plans import research, search
 from quarry.sources import html, xml_docs
@@ -172,3 +172,14 @@ def test_only_texts_with_marks_reach_python(spark):
     assert [r[0] for r in rows.select(T.composed(F.col("t"))).collect()] == ["plain " * 9, "\u00e9", None, "\u00c5", ""]
     plan = _plan(rows.select(T.composed(F.col("t"))))
     assert "nfc(CASE WHEN" in plan or "ArrowEvalPython [nfc(_" in plan, plan
+
+
+def test_postings_are_shuffled_once(spark):
+    rows = spark.createDataFrame([(1, "a b a", "b"), (2, "", None), (3, None, "c a"), (4, "rested resting", "x")], "k long, t string, u string")
+    columns = {"t": "t", "u": "u"}
+    bags = index.bags_of(rows, "k", columns, True)
+    posted = index.postings_of(bags, columns, False, 8)
+    assert sorted((r["term"], r["key"], r["col"], r["len"], r["tf"], r["positions"]) for r in posted.collect()) == [("a", 1, "t", 4, 2, [0, 2]), ("a", 3, "u", 2, 1, [1]), ("b", 1, "t", 4, 1, [1]), ("b", 1, "u", 4, 1, [0]), ("c", 3, "u", 2, 1, [0]), ("rested", 4, "t", 3, 1, [0]), ("resting", 4, "t", 3, 1, [1]), ("x", 4, "u", 3, 1, [0])]
+    assert "Aggregate" not in _plan(posted)
+    stemmed = index.postings_of(bags, columns, True, 8)
+    assert [(r["tf"], r["positions"]) for r in stemmed.where("term = 'rest'").collect()] == [(2, [0, 1])] and "Join" not in _plan(stemmed)
