@@ -368,6 +368,8 @@ def filled_grid(cells: DataFrame, keys: list[str]) -> DataFrame:
 
     A cell without a column takes the first free place of its row, after the places that
     spans from above take; that needs the cells of a table in order, so those tables are folded.
+    A second fold, in the order in which cells win, tells from which row on a cell keeps each of
+    its columns, so that places are neither grouped nor sorted.
     """
     size = lambda c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)).cast("int")
     rows = cells.select(*keys, F.col("row").cast("int").alias("row"), F.col("ord").cast("int").alias("ord"), F.col("col").cast("int").alias("col"), size("colspan").alias("colspan"), size("rowspan").alias("rowspan"), F.col("text"))
@@ -382,11 +384,26 @@ def filled_grid(cells: DataFrame, keys: list[str]) -> DataFrame:
         covers = lambda c: (c >= col) & (c < col + x["colspan"])
         held = lambda c: F.coalesce(F.get(free, c - 1), F.lit(0))
         grown = F.transform(F.sequence(F.lit(1), width), lambda c: F.when(covers(c), F.greatest(held(c), x["row"] + x["rowspan"])).otherwise(held(c)))
-        cell = F.struct(x["row"].alias("row"), x["ord"].alias("ord"), col.alias("col"), x["colspan"].alias("colspan"), x["rowspan"].alias("rowspan"), x["text"].alias("text"))
+        cell = F.struct(x["row"].alias("row"), x["ord"].alias("ord"), x["text"].alias("text"), col.alias("col"), x["colspan"].alias("colspan"), x["rowspan"].alias("rowspan"))
         return F.struct(grown.alias("free"), F.concat(state["cells"], F.array(cell)).alias("cells"))
 
-    first = F.struct(F.array().cast("array<int>").alias("free"), F.array().cast("array<struct<row:int,ord:int,col:int,colspan:int,rowspan:int,text:string>>").alias("cells"))
-    placed = rows.groupBy(*keys).agg(ordered.alias("cells")).select(*keys, F.inline(F.aggregate("cells", first, step, lambda s: s["cells"])))
-    spread = placed.withColumn("r", F.explode(F.expr("sequence(row, row + rowspan - 1)"))).withColumn("c", F.explode(F.expr("sequence(col, col + colspan - 1)")))
-    spanned = (F.col("r") != F.col("row")) | (F.col("c") != F.col("col"))
-    return spread.groupBy(*keys, F.col("r").alias("row"), F.col("c").alias("col")).agg(F.min_by(F.struct("text", spanned.alias("spanned")), F.struct(F.col("row"), F.col("ord"), F.col("text"))).alias("x")).select(*keys, "row", "col", "x.text", "x.spanned")
+    def keep(state, x):
+        """state.free as above, from the least column on; rows ascend, so what an earlier cell covers ends there."""
+        free, at = state["free"], x["col"] - F.col("_least")
+        end = at + x["colspan"]
+        starts = F.transform(F.sequence(at, end - 1), lambda c: F.greatest(x["row"], F.get(free, c)))
+        grown = F.transform(F.sequence(F.lit(0), F.greatest(F.size(free), end) - 1), lambda c: F.when((c >= at) & (c < end), F.greatest(F.get(free, c), x["row"] + x["rowspan"])).otherwise(F.get(free, c)))
+        cell = F.struct(x["row"].alias("row"), x["text"].alias("text"), x["col"].alias("col"), (x["row"] + x["rowspan"]).alias("end"), starts.alias("starts"))
+        return F.struct(grown.alias("free"), F.concat(state["cells"], F.array(cell)).alias("cells"))
+
+    def folded(cells, step, kind):
+        first = F.struct(F.array().cast("array<int>").alias("free"), F.array().cast(f"array<struct<{kind}>>").alias("cells"))
+        return F.aggregate(cells, first, step, lambda s: s["cells"])
+
+    placed = rows.groupBy(*keys).agg(ordered.alias("cells")).select(*keys, folded("cells", step, "row:int,ord:int,text:string,col:int,colspan:int,rowspan:int").alias("cells"))
+    placed = placed.withColumn("_least", F.array_min(F.transform("cells", lambda x: x["col"])))
+    winning = F.array_sort(F.filter("cells", lambda x: x["row"].isNotNull()))
+    kept = placed.select(*keys, F.inline(folded(winning, keep, "row:int,text:string,col:int,end:int,starts:array<int>")).alias("_row", "text", "_col", "_end", "_starts"))
+    spread = kept.select(*keys, "_row", "text", "_col", "_end", F.posexplode("_starts").alias("_k", "_start")).where("_start < _end")
+    spread = spread.select(*keys, "_row", "text", "_col", (F.col("_col") + F.col("_k")).alias("col"), F.explode(F.expr("sequence(_start, _end - 1)")).alias("row"))
+    return spread.select(*keys, "row", "col", "text", ((F.col("row") != F.col("_row")) | (F.col("col") != F.col("_col"))).alias("spanned"))

@@ -106,6 +106,29 @@ def test_grids_of_cells_with_spans(spark):
     assert got[0] == {(0, 1): ("a", False), (0, 2): ("a", True), (0, 3): ("b", False), (1, 3): ("b", True), (1, 1): ("c", False), (1, 2): (None, False)}
 
 
+def test_places_of_a_grid_are_not_sorted(spark):
+    """Equal places in a row, columns below 1 and cells without a row or text; of overlapping cells the first by (row, ord, text) stays."""
+    rng = random.Random(18)
+    tables = {t: [(rng.choice([None, 0, 1, 2, 3, 4]), rng.choice([None, 0, 1, 2]), rng.randint(-2, 5), rng.randint(1, 3), rng.randint(1, 3), rng.choice([None, f"x{k}", f"y{k}"])) for k in range(rng.randint(1, 9))] for t in range(40)}
+    least = lambda x: (x is not None, x if x is not None else 0)
+    expected = set()
+    for t, cells in tables.items():
+        taken = {}
+        for row, ord_, col, cs, rs, text in cells:
+            for r in range(row, row + rs) if row is not None else ():
+                for c in range(col, col + cs):
+                    taken.setdefault((r, c), []).append((row, least(ord_), least(text and (text[0], text)), text, (r, c) != (row, col)))
+        for (r, c), of in taken.items():
+            first = min(x[:3] for x in of)
+            expected |= {(t, r, c, x[3], x[4]) for x in of if x[:3] == first}
+    rows = spark.createDataFrame([(t, *c) for t, cs in tables.items() for c in cs], "t int, row int, ord int, col int, colspan int, rowspan int, text string")
+    grid = act_tree.filled_grid(rows, ["t"])
+    got = [tuple(r) for r in grid.collect()]
+    assert len({x[:3] for x in got}) == len(got) and {x[:3] for x in got} == {x[:3] for x in expected} and set(got) <= expected
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Sort [" not in plan
+
+
 def test_sources_give_error_rows_and_never_stop(spark, tmp_path):
     bad = {"deep": "<ACT>" + "<SECTION>" * 3000 + "x" + "</SECTION>" * 3000 + "</ACT>", "unknown": '<?xml version="1.0" encoding="no-such"?><a/>', "wide": b'<?xml version="1.0" encoding="utf-7"?><a/>', "multi": b'<?xml version="1.0" encoding="big5"?><a>\xa4\xa4</a>', "null": None}
     rows = acts(spark, bad)
