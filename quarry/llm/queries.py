@@ -34,7 +34,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), passages=True))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

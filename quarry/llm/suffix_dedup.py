@@ -17,6 +17,10 @@ any document. The search runs in three steps:
 3. Removal. What is known of a segment goes back to all documents that hold it,
    and tasks cut the spans from the texts.
 
+Passages of SHARED words that also stand in another document are often shorter
+than LENGTH bytes. They are not removed but counted on request, by the same
+anchors over words: segments that own one gram compare the hashes of their windows.
+
 Defined results: null and empty texts have no bytes; texts below LENGTH bytes
 keep all; rows that repeat a text are different documents and so repeat each
 other; a null or repeated doc_id is told apart by its text. Other columns are
@@ -29,14 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.bytes_np import _BASE, _BYTE, buffers, mix, slices
+from quarry.llm.bytes_np import WHITE, _BASE, _BYTE, buffers, mix, slices
 from quarry.llm.jaccard_join import _runs_of
 from quarry.llm.scratch import small_batches, written
 
 LENGTH, GRAM = 400, 32
+#: Words of a shared passage, and of its grams; words lie between white space.
+SHARED, SHARED_GRAM = 50, 12
 #: Segments of one gram, and bytes of segments, that a task sorts together.
 RUN_SEGMENTS, SORT_BYTES = 2_000, 1_500_000
 #: Bytes of spans up to which they are broadcast to the documents; more are joined by a shuffle.
@@ -44,6 +51,17 @@ BROADCAST_BYTES = 1 << 28
 #: Bits of the filter of shipped segments at most (32 MB); a fuller filter ships more rows, no fewer.
 FILTER_BITS = 28
 _U = np.uint64
+_INSIDE = ~np.isin(np.arange(256), list(WHITE))
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+
+
+def _least_of(values: np.ndarray, reach: int) -> np.ndarray:
+    """The least of each ``reach`` neighbours."""
+    step = 1
+    while step * 2 <= reach:
+        values = np.minimum(values[:-step], values[step:])
+        step *= 2
+    return np.minimum(values[: len(values) - (reach - step)], values[reach - step :])
 
 
 def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -60,11 +78,7 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         step *= 2
     gram = mix(gram)
     least = (gram & _U(0xFFFFFFFF00000000)) | (_U(0xFFFFFFFF) - np.arange(len(gram), dtype=_U))
-    step = 1
-    while step * 2 <= reach:
-        least = np.minimum(least[:-step], least[step:])
-        step *= 2
-    least = np.minimum(least[: len(least) - (reach - step)], least[reach - step :])
+    least = _least_of(least, reach)
     anchor = (_U(0xFFFFFFFF) - (least & _U(0xFFFFFFFF))).astype(np.int64)
     sizes = np.diff(ends)
     rows = np.flatnonzero(sizes >= LENGTH)
@@ -211,10 +225,10 @@ def repeated_starts(texts: list[bytes], owned: np.ndarray, place: np.ndarray) ->
     return [within[hit[a:b]] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def _spans(starts: np.ndarray) -> bytes:
-    """Covered byte spans of window starts, as packed pairs of 32-bit integers."""
-    cut = np.flatnonzero(np.diff(starts) > LENGTH)
-    return np.stack([starts[np.concatenate([[0], cut + 1])], starts[np.append(cut, len(starts) - 1)] + LENGTH], 1).astype("<i4").tobytes()
+def _spans(starts: np.ndarray, length: int = LENGTH) -> bytes:
+    """Covered spans of window starts, as packed pairs of 32-bit integers."""
+    cut = np.flatnonzero(np.diff(starts) > length)
+    return np.stack([starts[np.concatenate([[0], cut + 1])], starts[np.append(cut, len(starts) - 1)] + length], 1).astype("<i4").tobytes()
 
 
 def _distinct(run: pa.RecordBatch) -> pa.RecordBatch:
@@ -292,19 +306,161 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(gram[some]), pa.array(content[some]), pa.array([_spans(hit[cuts[i] : cuts[i + 1]] - (ends[i] - owned[i])) for i in some], pa.binary())], names=["gram", "content", "spans"])
 
 
+def _rolled(values: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` values."""
+    out, block, length, step, power = None, values, 0, 1, _BASE
+    with np.errstate(over="ignore"):
+        while step <= size:
+            if size & step:
+                n = len(values) - length - step + 1
+                out = block if out is None else out[:n] * power + block[length : length + n]
+                length += step
+            block = block[:-step] * power + block[step:]
+            power = power * power
+            step *= 2
+    return mix(out)
+
+
+def _white_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and row of each word between white space, and the bounds of rows in them; eight bytes of a word at a time."""
+    inside = _INSIDE[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    marks = ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < len(data))]
+    first[marks], last[marks - 1] = inside[marks], inside[marks - 1]
+    start = np.flatnonzero(first)
+    size = np.flatnonzero(last) + 1 - start
+    eight = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)
+    hashes, some, at = size.astype(_U), np.arange(len(start)), 0
+    while len(some):
+        left = size[some] - at
+        value = np.ascontiguousarray(eight[start[some] + at]).view(_U)[:, 0] & _LOW[np.minimum(left, 8)]
+        hashes[some] = mix(hashes[some] * _BASE + value)
+        some, at = some[left > 8], at + 8
+    bounds = np.searchsorted(start, ends)
+    return hashes, np.repeat(np.arange(len(ends) - 1), np.diff(bounds)), bounds
+
+
+def _shared_segments(part: pa.RecordBatch):
+    """Of a slice (doc_id, text): row, text hash, gram, first window and number of windows of each segment of words; and the hashes of all windows."""
+    import xxhash
+
+    data, ends = buffers(part.column(1))
+    raw = memoryview(np.ascontiguousarray(data))
+    tids = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(ends[:-1], ends[1:])], _U)
+    hashes, rows, bounds = _white_words(data, ends)
+    n, reach = len(hashes), SHARED - SHARED_GRAM + 1
+    start = np.flatnonzero(rows[: n - SHARED + 1] == rows[SHARED - 1 :]) if n >= SHARED else np.zeros(0, np.int64)
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return none, none.view(_U), none.view(_U), none, none, none.view(_U)
+    gram, windows = _rolled(hashes, SHARED_GRAM), _rolled(hashes, SHARED)[start]
+    least = (gram & _U(0xFFFFFFFF00000000)) | (_U(0xFFFFFFFF) - np.arange(len(gram), dtype=_U))
+    least = _least_of(least, reach)
+    anchor = (_U(0xFFFFFFFF) - (least & _U(0xFFFFFFFF))).astype(np.int64)[start]
+    row = rows[start]
+    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
+    owned = np.diff(np.append(first, len(start)))
+    return row[first], tids[row[first]], gram[anchor[first]], start[first] - bounds[row[first]], owned, windows
+
+
+def _shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(_shared_segments(part)[2].view(np.int64))], names=["gram"])
+
+
+def _windows_shipped(packed, bits: int):
+    """Columns doc_id, text, row: the segments whose gram the filter holds."""
+
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filtered = packed.value
+        for part in slices(batches):
+            row, tid, gram, at, owned, windows = _shared_segments(part)
+            place = (mix(gram) >> _U(64 - bits)).astype(np.int64)
+            some = ((filtered[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(bool)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(owned[some])), pa.int32()), pa.array(windows[np.repeat(some, owned)].view(np.int64)))
+            rows = pa.array(row[some])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(2).take(rows), *(pa.array(x[some].view(np.int64)) for x in (tid, gram, at)), lists], names=["doc_id", "row", "tid", "gram", "at", "windows"])
+
+    return ship
+
+
+def _covered(starts: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Packed spans of each run of window starts between bounds; no run is empty."""
+    return pa.array([_spans(starts[a:b], SHARED) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
+
+
+def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns gram, doc_id, row, tid, at, windows; batches are sorted by gram: the windows that several rows hold."""
+    for run in _runs_of(batches, 0):
+        windows, owned = run.column(5).flatten().to_numpy(), pc.list_value_length(run.column(5)).to_numpy()
+        segment = np.repeat(np.arange(len(owned)), owned)
+        holder = run.column(2).to_numpy()[segment]
+        order = np.argsort(windows, kind="stable")
+        firsts = np.flatnonzero(np.concatenate([[True], np.diff(windows[order]) != 0]))
+        several = np.minimum.reduceat(holder[order], firsts) != np.maximum.reduceat(holder[order], firsts)
+        hit = np.sort(order[np.repeat(several, np.diff(np.append(firsts, len(order))))])
+        some, counts = np.unique(segment[hit], return_counts=True)
+        within = hit - (np.cumsum(owned) - owned)[segment[hit]]
+        some = pa.array(some)
+        yield pa.RecordBatch.from_arrays([*(run.column(k).take(some) for k in (1, 3, 4)), _covered(within, np.append(0, np.cumsum(counts)))], names=["doc_id", "tid", "at", "spans"])
+
+
+def _shared_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [_spans(np.unique(starts), SHARED) for starts in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(spans, pa.binary())], names=["doc_id", "tid", "at", "spans"])
+
+
+def _shared_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns doc_id, tid, list of struct at, spans: the words that the spans cover."""
+    for batch in batches:
+        counts = []
+        for found in batch.column(2).to_pylist():
+            pairs = np.concatenate([np.frombuffer(f["spans"], "<i4").reshape(-1, 2) + f["at"] for f in found])
+            pairs = pairs[np.argsort(pairs[:, 0])]
+            reached = np.maximum.accumulate(pairs[:, 1])
+            counts.append(int((reached - np.maximum(pairs[:, 0], np.append(0, reached[:-1]))).clip(0).sum()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["doc_id", "tid", "shared"])
+
+
+def shared_passages(slim: DataFrame) -> DataFrame:
+    """doc_id, tid, shared: the words in runs of SHARED or more that another row holds as well."""
+    spark = slim.sparkSession
+    grams = written(slim.mapInArrow(_shared_grams, "gram long").groupBy("gram").count().where("count > 1"), "passage_grams")
+    bits = min(FILTER_BITS, max(16, (grams.count() * 24).bit_length()))
+    packed = spark.sparkContext.broadcast(_filter_of(grams.select("gram"), bits))
+    numbered = slim.withColumn("row", F.monotonically_increasing_id())
+    shipped = written(numbered.mapInArrow(_windows_shipped(packed, bits), "doc_id long, row long, tid long, gram long, at long, windows array<long>"), "passages")
+    hot = grams.where(f"count > {RUN_SEGMENTS}").select("gram")
+    some_hot = not hot.isEmpty()
+    cold = shipped.join(F.broadcast(hot), "gram", "left_anti") if some_hot else shipped
+    schema = "doc_id long, tid long, at long, spans binary"
+    found = cold.select("gram", "doc_id", "row", "tid", "at", "windows").repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared_runs, schema)
+    if some_hot:
+        each = shipped.join(F.broadcast(hot), "gram", "left_semi").select("doc_id", "row", "tid", "at", F.posexplode("windows").alias("k", "window"))
+        several = each.groupBy("window").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a != b").select("window")
+        told = each.join(several, "window").groupBy("doc_id", "tid", "at").agg(F.collect_list("k").alias("starts"))
+        found = found.union(told.mapInArrow(_shared_told, schema))
+    spans = found.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("at", "spans")).alias("s"))
+    return spans.mapInArrow(_shared_counted, "doc_id long, tid long, shared long")
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text, found (struct tid, copies, list of (at, spans)): cut the text."""
+    """Columns doc_id, text, found (list of struct tid, ats, spans, shared): cut the text."""
     import xxhash
 
     for batch in batches:
         out: list[tuple] = []
         for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             raw = text.as_buffer().to_pybytes()
-            n, edge = len(raw), None
+            n, edge, shared = len(raw), None, 0
             mine = [f for f in found or () if f["tid"] == np.array(xxhash.xxh3_64_intdigest(raw), _U).view(np.int64)]
             if mine:
                 edge = np.zeros(n + 1, np.int32)
                 for f in mine:
+                    shared = max(shared, f["shared"])
                     for at, spans in zip(f["ats"], f["spans"]):
                         pairs = np.frombuffer(spans, "<i4").reshape(-1, 2) + at
                         np.add.at(edge, pairs[:, 0], 1)
@@ -312,9 +468,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = np.cumsum(edge[:n]) > 0 if edge is not None else np.zeros(n, bool)
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if gone.any() else raw
             runs = int(gone[:1].sum() + ((~gone[:-1]) & gone[1:]).sum())
-            out.append((doc_id, n, int(gone.sum()), runs, kept))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+            out.append((doc_id, n, int(gone.sum()), runs, kept, shared))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+        names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_shared_words")
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=list(names))
 
 
@@ -333,8 +489,12 @@ def _filter_of(places: DataFrame, bits: int) -> np.ndarray:
     return packed
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
+def remove_repeats(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes).
+
+    With ``passages`` also n_shared_words: the words in runs of SHARED or more that another row
+    holds as well, whether they are long enough to be removed or not.
+    """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
@@ -362,28 +522,32 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     known = kinds.where("place != other").select("gram", "content", _pair(F.col("owned")).alias("spans")).union(found)
     per_segment = rows.join(copies, "tid", "left_anti").join(known, ["gram", "content"]).select("doc_id", "tid", "at", "spans")
     all_of = rows.join(copies, "tid", "left_semi").select("doc_id", "tid", "at", _pair(F.col("owned")).alias("spans"))
-    found = per_segment.union(all_of).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("at", "spans")).alias("s"))
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("tid", F.col("s.at").alias("ats"), F.col("s.spans").alias("spans"))).alias("found"))
+    found = per_segment.union(all_of).select("doc_id", "tid", F.struct("at", "spans").alias("x"), F.lit(0).cast("long").alias("shared"))
+    if passages:
+        found = found.union(shared_passages(slim).select("doc_id", "tid", F.lit(None).cast("struct<at:long,spans:binary>"), "shared"))
+    found = found.groupBy("doc_id", "tid").agg(F.collect_list("x").alias("s"), F.max("shared").alias("shared"))
+    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("tid", F.col("s.at").alias("ats"), F.col("s.spans").alias("spans"), "shared")).alias("found"))
     found = written(found.withColumnRenamed("doc_id", "_id"), "found")
     spans = lambda x: F.aggregate(x["spans"], F.lit(24).cast("long"), lambda n, s: n + 32 + F.octet_length(s))
     size = found.agg(F.sum(F.aggregate("found", F.lit(32).cast("long"), lambda n, x: n + spans(x)))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         found = F.broadcast(found)
     joined = slim.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = joined.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_shared_words long")
+    return out if passages else out.drop("n_shared_words")
 
 
-def _pair(owned):
+def _pair(owned, length: int = LENGTH):
     """Packed span from 0 to the end of a segment of that many windows."""
-    text = F.lpad(F.hex(owned + F.lit(LENGTH - 1)), 8, "0")
+    text = F.lpad(F.hex(owned + F.lit(length - 1)), 8, "0")
     little = F.concat(*(F.substring(text, k, 2) for k in (7, 5, 3, 1)))
     return F.unhex(F.concat(F.lit("00000000"), little))
 
 
 def digests(kept: DataFrame) -> DataFrame:
-    """The digest columns of remove_repeats' rows; the last three say again whether and how much a text changes."""
-    removed = F.col("n_removed")
+    """The digest columns of remove_repeats' rows; three more say again whether and how much a text changes, and shared words follow if they were counted."""
+    removed, counted = F.col("n_removed"), [c for c in kept.columns if c == "n_shared_words"]
     return kept.select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
-        (F.col("n_bytes") - removed).alias("n_kept"), (removed / F.greatest("n_bytes", F.lit(1))).alias("removed_share"), (removed > 0).alias("repeated"),
+        (F.col("n_bytes") - removed).alias("n_kept"), (removed / F.greatest("n_bytes", F.lit(1))).alias("removed_share"), (removed > 0).alias("repeated"), *counted,
     )

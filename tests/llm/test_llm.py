@@ -218,6 +218,33 @@ def test_remove_repeats(spark, monkeypatch, most, broadcast):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("most", [2_000, 1])
+def test_shared_passages(spark, monkeypatch, most):
+    """Runs of 50 words that another document holds are counted, though most have fewer than 400 bytes and stay."""
+    monkeypatch.setattr(suffix_dedup, "RUN_SEGMENTS", most)
+    rng = random.Random(31)
+    words = lambda n: [f"{rng.choice('abcdefg')}{rng.randrange(900)}" for _ in range(n)]
+    passages = [words(n) for n in (49, 50, 51, 57, 80)]
+    rows = [(k, " ".join(words(rng.randint(0, 90)) + rng.choice(passages) + words(rng.randint(0, 90)) + rng.choice([[], passages[3]]))) for k in range(60)]
+    own = words(60)
+    rows += [(100, " ".join(own + words(5) + own)), (101, " ".join(words(300))), (102, None), (103, " ".join(words(12))), (None, "\n\t".join(passages[2]) + " ")]
+    rows += [(104, " ".join(own[:20])), (105, text := " ".join(words(70))), (106, text), (106, text), (106, " ".join(words(55)))]
+    split = [(t or "").split() for _, t in rows]
+    holders = collections.defaultdict(set)
+    for i, w in enumerate(split):
+        for k in range(len(w) - 49):
+            holders[tuple(w[k : k + 50])].add(i)
+    expected = []
+    for (doc_id, text), w in zip(rows, split):
+        hit = {j for k in range(len(w) - 49) if len(holders[tuple(w[k : k + 50])]) > 1 for j in range(k, k + 50)}
+        expected.append((doc_id, len((text or "").encode()), len(hit)))
+    out = suffix_dedup.digests(suffix_dedup.remove_repeats(frame(spark, rows), passages=True))
+    got = [(r["doc_id"], r["n_bytes"], r["n_shared_words"]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    short = {r["doc_id"] for r in out.collect() if r["n_shared_words"] and not r["n_removed"]}
+    assert len(short) > 20 and 101 not in short
+
+
 def test_suffix_order():
     rng = random.Random(2)
     for _ in range(30):
