@@ -2,9 +2,10 @@
 
 ``fold`` is a column expression: it turns an array of bytes into token ids by
 merging, again and again, the adjacent pair of lowest rank (leftmost on ties).
-Pair ranks stand in the plan as one literal array, a cuckoo hash map in which a
-pair has two places, so a lookup costs two reads however large the vocabulary. It
-holds the one pair of each token that can ever make it.
+Pair ranks are one array, a cuckoo hash map in which a pair has two places, so a
+lookup costs two reads however large the vocabulary. It holds the one pair of each
+token that can ever make it. The array is written once and reaches the plan as a
+scalar subquery: as a literal it stood in every listing of the plan that the driver keeps.
 
 1. Tasks cut texts into words by the split pattern and count their distinct
    words; one shuffle adds the counts of the whole corpus.
@@ -112,11 +113,12 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold(ranks: dict[bytes, int]):
-    """A function from a column of array<array<int>> words of bytes to their array<array<int>> token ids."""
-    literal = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # noqa: E731  folded to one literal by the optimizer
-    table, singles = literal(pair_table(ranks)), literal([ranks[bytes([b])] for b in range(256)]).cast("array<int>")
-    two = literal(ranks.get(bytes([a, b]), _NONE) for a in range(256) for b in range(256)).cast("array<int>")
+def fold(spark: SparkSession, ranks: dict[bytes, int]):
+    """A function that replaces the column ``words`` of a frame, array<array<int>> words of bytes, by their array<array<int>> token ids."""
+    both = [ranks.get(bytes([a, b]), _NONE) for a in range(256) for b in range(256)]
+    row = {"pairs": pa.array([pair_table(ranks)], pa.list_(pa.int64())), "two": pa.array([both], pa.list_(pa.int32()))}
+    tables = written(spark.createDataFrame(pa.table(row)), "ranks")
+    singles = F.split(F.lit(",".join(str(ranks[bytes([b])]) for b in range(256))), ",").cast("array<int>")  # folded to one literal by the optimizer
     none = F.lit(_NONE)
 
     def rank(pairs: Column, a: Column, b: Column) -> Column:
@@ -147,8 +149,13 @@ def fold(ranks: dict[bytes, int]):
         first = F.struct(ids.alias("ids"), ranked.alias("ranks"))
         return F.aggregate(F.slice(word, F.lit(2), F.size(word)), first, lambda state, _: merge(pairs, state), lambda state: state["ids"])
 
-    # The tables are bound once, outside all lambdas, so the plan holds them once.
-    return lambda words: _let(table, lambda pairs: _let(two, lambda bytes_two: F.transform(words, lambda word: one(pairs, bytes_two, word))))
+    def folded(rows: DataFrame) -> DataFrame:
+        # The tables are bound once, outside all lambdas; each is used once, so the optimizer puts the subqueries in place and no row carries a table.
+        bound = rows.select("*", *(tables.select(c).scalar().alias(c) for c in row))
+        words = _let(F.col("pairs"), lambda pairs: _let(F.col("two"), lambda bytes_two: F.transform("words", lambda word: one(pairs, bytes_two, word))))
+        return bound.select(*(words.alias(c) if c == "words" else c for c in rows.columns))
+
+    return folded
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -500,21 +507,21 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     """One row per row of docs: doc_id, ids (little-endian unsigned 32-bit integers), decoded (their bytes)."""
     context = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
-    # The literal tables would fill every listing of the plan that the driver keeps.
+    # The driver keeps listings of every plan.
     docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_CHARS)
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    folded, beside, shared, kind = fold(ranks), context.broadcast(neighbours(ranks)), context.broadcast(ranks), Pieces(ranks).kind
+    folded, beside, shared, kind = fold(docs.sparkSession, ranks), context.broadcast(neighbours(ranks)), context.broadcast(ranks), Pieces(ranks).kind
     counted = slim.select("text").mapInArrow(_counted(pattern, beside), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = _frequent(written(counted, "words")).select("word").repartition(48)
-    rows = words.mapInArrow(_as_bytes, "word binary, bytes array<int>").select("word", F.get(folded(F.array("bytes")), F.lit(0)).alias("ids"))
+    rows = words.mapInArrow(_as_bytes, "word binary, bytes array<int>").select("word", F.array("bytes").alias("words"))
+    rows = folded(rows).select("word", F.get("words", F.lit(0)).alias("ids"))
     blocks = written(rows.mapInArrow(_packed(kind), "hashes binary, sizes binary, ids binary"), "table").toArrow()
     blocks = list(zip(*(blocks.column(k).to_pylist() for k in range(3))))
     packed = context.broadcast(blocks)
     del blocks
     pa.default_memory_pool().release_unused()
     cut = slim.mapInArrow(_split(pattern, kind, packed, shared, beside), "doc_id long, known binary, gaps array<int>, places array<int>, words array<array<int>>")
-    ids = cut.select("doc_id", "known", "gaps", "places", folded(F.col("words")).alias("words"))
-    return ids.mapInArrow(_join(shared), "doc_id long, ids binary, decoded binary")
+    return folded(cut).mapInArrow(_join(shared), "doc_id long, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -310,6 +310,17 @@ def test_bpe_as_the_library(spark, ranks, monkeypatch, most):
     assert bpe.encode_and_decode(empty(spark), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_tables_are_not_listed(spark, ranks):
+    """No listing of a plan that the driver keeps holds the tables of ranks, and no row carries them."""
+    import public_tokenizers
+
+    out = bpe.encode_and_decode(frame(spark, [(1, "alpha beta")]), ranks, public_tokenizers.PATTERN)
+    planned = out._jdf.queryExecution().optimizedPlan()
+    listed = [planned.apply(k).simpleString(25) for k in range(3)]
+    assert sum(map(len, listed)) < 50_000
+    assert any("subquery" in x for x in listed) and not any("AS pairs" in x for x in listed)
+
+
 def test_bpe_of_another_pattern(spark, ranks):
     """Other patterns go through the regex library; what no match covers is dropped, as the library does."""
     import tiktoken
