@@ -20,6 +20,7 @@ any document. The search runs in three steps:
 Passages of SHARED words that also stand in another document are often shorter
 than LENGTH bytes. They are not removed but counted on request, by the same
 anchors over words: segments that own one gram compare the hashes of their windows.
+A row ships segments only of grams that other rows hold, and equal ones once.
 
 Defined results: null and empty texts have no bytes; texts below LENGTH bytes
 keep all; rows that repeat a text are different documents and so repeat each
@@ -342,83 +343,144 @@ def _white_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes, np.repeat(np.arange(len(ends) - 1), np.diff(bounds)), bounds
 
 
-def _shared_segments(part: pa.RecordBatch):
-    """Of a slice (doc_id, text): row, text hash, gram, first window and number of windows of each segment of words; and the hashes of all windows."""
-    import xxhash
-
-    data, ends = buffers(part.column(1))
-    raw = memoryview(np.ascontiguousarray(data))
-    tids = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(ends[:-1], ends[1:])], _U)
-    hashes, rows, bounds = _white_words(data, ends)
+def _word_anchors(part: pa.RecordBatch):
+    """Of a slice (doc_id, text): its word hashes and the row bounds in them; first word, row and gram of all windows, and where segments begin in those."""
+    hashes, rows, bounds = _white_words(*buffers(part.column(1)))
     n, reach = len(hashes), SHARED - SHARED_GRAM + 1
     start = np.flatnonzero(rows[: n - SHARED + 1] == rows[SHARED - 1 :]) if n >= SHARED else np.zeros(0, np.int64)
     if not len(start):
-        none = np.zeros(0, np.int64)
-        return none, none.view(_U), none.view(_U), none, none, none.view(_U)
-    gram, windows = _rolled(hashes, SHARED_GRAM), _rolled(hashes, SHARED)[start]
+        return hashes, bounds, start, start, start.view(_U), start
+    gram = _rolled(hashes, SHARED_GRAM)
     least = (gram & _U(0xFFFFFFFF00000000)) | (_U(0xFFFFFFFF) - np.arange(len(gram), dtype=_U))
     least = _least_of(least, reach)
     anchor = (_U(0xFFFFFFFF) - (least & _U(0xFFFFFFFF))).astype(np.int64)[start]
     row = rows[start]
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
-    owned = np.diff(np.append(first, len(start)))
-    return row[first], tids[row[first]], gram[anchor[first]], start[first] - bounds[row[first]], owned, windows
+    return hashes, bounds, start, row, gram[anchor], first
 
 
 def _shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The grams of each row, each once."""
     for part in slices(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(_shared_segments(part)[2].view(np.int64))], names=["gram"])
+        _, _, _, row, gram, first = _word_anchors(part)
+        row, gram = row[first], gram[first]
+        order = np.lexsort((gram, row))
+        row, gram = row[order], gram[order]
+        once = np.concatenate([np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])])
+        yield pa.RecordBatch.from_arrays([pa.array(gram[once].view(np.int64))], names=["gram"])
 
 
 def _windows_shipped(packed, bits: int):
-    """Columns doc_id, text, row: the segments whose gram the filter holds."""
+    """Columns doc_id, row, tid, gram, ats, windows: the segments whose gram the filter holds; those of equal windows in a row are one, with all their places."""
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         filtered = packed.value
         for part in slices(batches):
-            row, tid, gram, at, owned, windows = _shared_segments(part)
-            place = (mix(gram) >> _U(64 - bits)).astype(np.int64)
-            some = ((filtered[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(bool)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(owned[some])), pa.int32()), pa.array(windows[np.repeat(some, owned)].view(np.int64)))
-            rows = pa.array(row[some])
-            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(2).take(rows), *(pa.array(x[some].view(np.int64)) for x in (tid, gram, at)), lists], names=["doc_id", "row", "tid", "gram", "at", "windows"])
+            hashes, bounds, start, row, gram, first = _word_anchors(part)
+            if not len(first):
+                continue
+            windows, owned = _rolled(hashes, SHARED)[start], np.diff(np.append(first, len(start)))
+            place = (mix(gram[first]) >> _U(64 - bits)).astype(np.int64)
+            some = np.flatnonzero((filtered[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
+            first, owned, raw = first[some], owned[some], memoryview(windows.view(np.uint8))
+            content = np.fromiter((xxhash.xxh3_64_intdigest(raw[8 * i : 8 * (i + n)]) for i, n in zip(first.tolist(), owned.tolist())), _U, len(first))
+            at = (start[first] - bounds[row[first]]).astype("<i4")
+            order = np.lexsort((content, row[first]))
+            own, content = row[first][order], content[order]
+            kinds = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), (own[1:] != own[:-1]) | (content[1:] != content[:-1])]))
+            ends = np.append(kinds, len(own))
+            ats = [at[order[a:b]].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            one = order[kinds]
+            first, owned = first[one], owned[one]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(owned)), pa.int32()), pa.array(windows[np.repeat(first - (np.cumsum(owned) - owned), owned) + np.arange(owned.sum())].view(np.int64)))
+            rows, texts = pa.array(row[first]), part.column(1)
+            tids = {r: xxhash.xxh3_64_intdigest(texts[r].as_buffer()) for r in np.unique(row[first]).tolist()}
+            tid = np.array([tids[r] for r in row[first].tolist()], _U).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(2).take(rows), pa.array(tid), pa.array(gram[first].view(np.int64)), pa.array(ats, pa.binary()), lists], names=["doc_id", "row", "tid", "gram", "ats", "windows"])
 
     return ship
 
 
-def _covered(starts: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Packed spans of each run of window starts between bounds; no run is empty."""
-    return pa.array([_spans(starts[a:b], SHARED) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
+def _of_windows(run: pa.RecordBatch, several: np.ndarray, owned: np.ndarray) -> pa.RecordBatch:
+    """Columns doc_id, tid, ats, spans of a run's segments: what the windows that are set cover."""
+    hit = np.flatnonzero(several)
+    some, counts = np.unique(np.repeat(np.arange(len(owned)), owned)[hit], return_counts=True)
+    within = hit - np.repeat((np.cumsum(owned) - owned)[some], counts)
+    bounds = np.append(0, np.cumsum(counts)).tolist()
+    spans = pa.array([_spans(within[a:b], SHARED) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+    return pa.RecordBatch.from_arrays([*(run.column(c).take(pa.array(some)) for c in ("doc_id", "tid", "ats")), spans], names=["doc_id", "tid", "ats", "spans"])
+
+
+def _holders(windows: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct windows, ascending, the least and the greatest row that holds each, and the number of each given window among them."""
+    kinds, number = np.unique(windows, return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    firsts = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), np.diff(number[order]) != 0]))
+    return kinds, np.minimum.reduceat(low[order], firsts), np.maximum.reduceat(high[order], firsts), number
 
 
 def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns gram, doc_id, row, tid, at, windows; batches are sorted by gram: the windows that several rows hold."""
+    """Columns gram, doc_id, row, tid, ats, windows; batches are sorted by gram: the windows that several rows hold."""
     for run in _runs_of(batches, 0):
         windows, owned = run.column(5).flatten().to_numpy(), pc.list_value_length(run.column(5)).to_numpy()
-        segment = np.repeat(np.arange(len(owned)), owned)
-        holder = run.column(2).to_numpy()[segment]
-        order = np.argsort(windows, kind="stable")
-        firsts = np.flatnonzero(np.concatenate([[True], np.diff(windows[order]) != 0]))
-        several = np.minimum.reduceat(holder[order], firsts) != np.maximum.reduceat(holder[order], firsts)
-        hit = np.sort(order[np.repeat(several, np.diff(np.append(firsts, len(order))))])
-        some, counts = np.unique(segment[hit], return_counts=True)
-        within = hit - (np.cumsum(owned) - owned)[segment[hit]]
-        some = pa.array(some)
-        yield pa.RecordBatch.from_arrays([*(run.column(k).take(some) for k in (1, 3, 4)), _covered(within, np.append(0, np.cumsum(counts)))], names=["doc_id", "tid", "at", "spans"])
+        holder = np.repeat(run.column(2).to_numpy(), owned)
+        _, low, high, number = _holders(windows, holder, holder)
+        yield _of_windows(run, (low != high)[number], owned)
+
+
+def _shared_sent(owner_bits: int):
+    """Of hot grams' segments: the distinct windows of a batch with their least and greatest row, packed by owner; one more row (owner -1) keeps the segments."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 24
+        for k, batch in enumerate(b for b in batches if b.num_rows):
+            lists = batch.column(batch.schema.get_field_index("windows"))
+            windows, owned = lists.flatten().to_numpy().view(_U), pc.list_value_length(lists).to_numpy()
+            holder = np.repeat(batch.column(batch.schema.get_field_index("row")).to_numpy(), owned)
+            kinds, low, high, number = _holders(windows, holder, holder)
+            cuts = np.searchsorted(kinds >> _U(64 - owner_bits), np.arange((1 << owner_bits) + 1, dtype=_U)).tolist()
+            own = batch.select(["doc_id", "tid", "ats"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema) as writer:
+                writer.write_batch(own)
+            rows = [(-1, sink.getvalue().to_pybytes(), owned.astype("<i4").tobytes(), number.astype("<i4").tobytes(), len(kinds))]
+            rows += [(o, kinds[a:b].tobytes(), low[a:b].tobytes(), high[a:b].tobytes(), a) for o, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+            types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([task + k] * len(rows), pa.int64()), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(types))], names=["chunk", "owner", "a", "b", "c", "n"])
+
+    return send
+
+
+def _shared_owned(rows):
+    """Of one owner: for each chunk the numbers of the windows that several rows hold."""
+    import pandas as pd
+
+    windows, low, high = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in (("a", _U), ("b", np.int64), ("c", np.int64)))
+    sizes = [len(x) // 8 for x in rows["a"]]
+    _, low, high, number = _holders(windows, low, high)
+    flags = np.split((low != high)[number], np.cumsum(sizes)[:-1])
+    hits = [(c, (n + np.flatnonzero(f)).astype("<i4").tobytes()) for c, n, f in zip(rows["chunk"].tolist(), rows["n"].tolist(), flags) if f.any()]
+    return pd.DataFrame({"chunk": [c for c, _ in hits], "hit": [h for _, h in hits]})
 
 
 def _shared_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns a, b, c, n of a chunk's segments, and its hits."""
     for batch in batches:
-        spans = [_spans(np.unique(starts), SHARED) for starts in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(spans, pa.binary())], names=["doc_id", "tid", "at", "spans"])
+        for own, owned, number, n, hits in zip(*(x.to_pylist() for x in batch.columns)):
+            several = np.zeros(n, bool)
+            several[np.frombuffer(b"".join(hits), "<i4")] = True
+            run = pa.ipc.open_stream(own).read_next_batch()
+            yield _of_windows(run, several[np.frombuffer(number, "<i4")], np.frombuffer(owned, "<i4").astype(np.int64))
 
 
 def _shared_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, tid, list of struct at, spans: the words that the spans cover."""
+    """Columns doc_id, tid, list of struct ats, spans: the words that the spans cover at all places."""
     for batch in batches:
         counts = []
         for found in batch.column(2).to_pylist():
-            pairs = np.concatenate([np.frombuffer(f["spans"], "<i4").reshape(-1, 2) + f["at"] for f in found])
+            pairs = np.concatenate([(np.frombuffer(f["spans"], "<i4").reshape(-1, 2) + np.frombuffer(f["ats"], "<i4")[:, None, None]).reshape(-1, 2) for f in found])
             pairs = pairs[np.argsort(pairs[:, 0])]
             reached = np.maximum.accumulate(pairs[:, 1])
             counts.append(int((reached - np.maximum(pairs[:, 0], np.append(0, reached[:-1]))).clip(0).sum()))
@@ -432,18 +494,19 @@ def shared_passages(slim: DataFrame) -> DataFrame:
     bits = min(FILTER_BITS, max(16, (grams.count() * 24).bit_length()))
     packed = spark.sparkContext.broadcast(_filter_of(grams.select("gram"), bits))
     numbered = slim.withColumn("row", F.monotonically_increasing_id())
-    shipped = written(numbered.mapInArrow(_windows_shipped(packed, bits), "doc_id long, row long, tid long, gram long, at long, windows array<long>"), "passages")
+    shipped = written(numbered.mapInArrow(_windows_shipped(packed, bits), "doc_id long, row long, tid long, gram long, ats binary, windows array<long>"), "passages")
     hot = grams.where(f"count > {RUN_SEGMENTS}").select("gram")
     some_hot = not hot.isEmpty()
     cold = shipped.join(F.broadcast(hot), "gram", "left_anti") if some_hot else shipped
-    schema = "doc_id long, tid long, at long, spans binary"
-    found = cold.select("gram", "doc_id", "row", "tid", "at", "windows").repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared_runs, schema)
+    schema = "doc_id long, tid long, ats binary, spans binary"
+    found = cold.select("gram", "doc_id", "row", "tid", "ats", "windows").repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared_runs, schema)
     if some_hot:
-        each = shipped.join(F.broadcast(hot), "gram", "left_semi").select("doc_id", "row", "tid", "at", F.posexplode("windows").alias("k", "window"))
-        several = each.groupBy("window").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a != b").select("window")
-        told = each.join(several, "window").groupBy("doc_id", "tid", "at").agg(F.collect_list("k").alias("starts"))
-        found = found.union(told.mapInArrow(_shared_told, schema))
-    spans = found.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("at", "spans")).alias("s"))
+        many = shipped.join(F.broadcast(hot), "gram", "left_semi")
+        owner_bits = max(4, (many.count() // 20_000).bit_length())
+        sent = written(many.mapInArrow(_shared_sent(owner_bits), "chunk long, owner int, a binary, b binary, c binary, n long"), "passage_windows")
+        hits = sent.where("owner >= 0").groupBy("owner").applyInPandas(_shared_owned, "chunk long, hit binary").groupBy("chunk").agg(F.collect_list("hit").alias("hits"))
+        found = found.union(sent.where("owner < 0").join(hits, "chunk").select("a", "b", "c", "n", "hits").mapInArrow(_shared_told, schema))
+    spans = found.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("ats", "spans")).alias("s"))
     return spans.mapInArrow(_shared_counted, "doc_id long, tid long, shared long")
 
 
@@ -461,10 +524,8 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 edge = np.zeros(n + 1, np.int32)
                 for f in mine:
                     shared = max(shared, f["shared"])
-                    for at, spans in zip(f["ats"], f["spans"]):
-                        pairs = np.frombuffer(spans, "<i4").reshape(-1, 2) + at
-                        np.add.at(edge, pairs[:, 0], 1)
-                        np.add.at(edge, pairs[:, 1], -1)
+                    pairs = np.frombuffer(b"".join(f["spans"]), "<i4").reshape(-1, 2) + np.repeat(np.array(f["ats"], np.int64), [len(x) // 8 for x in f["spans"]])[:, None]
+                    edge += np.bincount(pairs[:, 0], minlength=n + 1).astype(np.int32) - np.bincount(pairs[:, 1], minlength=n + 1).astype(np.int32)
             gone = np.cumsum(edge[:n]) > 0 if edge is not None else np.zeros(n, bool)
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if gone.any() else raw
             runs = int(gone[:1].sum() + ((~gone[:-1]) & gone[1:]).sum())

@@ -245,6 +245,22 @@ def test_shared_passages(spark, monkeypatch, most):
     assert len(short) > 20 and 101 not in short
 
 
+def test_shared_passages_are_not_exploded(spark, monkeypatch):
+    """Windows of frequent grams travel packed, not as a row each; a row names each of its grams once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "RUN_SEGMENTS", 1)
+    rng = random.Random(8)
+    passage = [f"w{rng.randrange(9_000)}" for _ in range(80)]
+    rows = frame(spark, [(k, " ".join([f"own{k}", *passage, f"end{k}"])) for k in range(30)])
+    out = suffix_dedup.shared_passages(rows.selectExpr("cast(doc_id as long) doc_id", "text"))
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["doc_id"], r["shared"]) for r in out.collect()} == {(k, 80) for k in range(30)}
+    row = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [" ".join(passage * 20)]})
+    grams = [g for b in suffix_dedup._shared_grams([row]) for g in b.column(0).to_pylist()]
+    assert grams and len(grams) == len(set(grams))
+
+
 def test_suffix_order():
     rng = random.Random(2)
     for _ in range(30):
