@@ -49,8 +49,11 @@ def _as_documents(docs: DataFrame, key: str) -> DataFrame:
 
 def _without(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
     """docs without the rows that are named in dropped's doc_id, and without the naming column."""
+    release(docs.sparkSession)
     names = written(dropped.select(F.col("doc_id").alias(key)), "dropped")
-    return docs.join(F.broadcast(names) if names.count() <= BROADCAST_ROWS else names, key, "left_anti").drop(key)
+    few = names.count() <= BROADCAST_ROWS
+    release(docs.sparkSession)
+    return docs.join(F.broadcast(names) if few else names, key, "left_anti").drop(key)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

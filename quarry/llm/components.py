@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.scratch import written
+from quarry.llm.scratch import release, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) of every node of edges (a long, b long); the component is its least node.
 
     Rows that are loops or null are ignored. The number of rounds grows with the
-    logarithm of the longest path; each round's table is written, so lineage stays short.
+    logarithm of the longest path; each round's table is written, so lineage stays short, and
+    what a round leaves in the driver is given back before the next.
     """
     edges = written(edges.where("a != b").select("a", "b").distinct(), "edges")
     before = None
@@ -36,6 +37,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
+        release(edges.sparkSession)
     else:
         raise RuntimeError("the components did not settle")
     leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

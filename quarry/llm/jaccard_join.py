@@ -38,12 +38,14 @@ from pyspark.sql import DataFrame, functions as F
 from quarry.llm.bytes_np import Words, buffers, fold_table, mix, shingles, slices
 from quarry.llm.components import connected_components
 from quarry.llm.exact_dedup import BROADCAST_ROWS
-from quarry.llm.scratch import small_batches, written
+from quarry.llm.scratch import release, small_batches, written
 
 SIZE, THRESHOLD, TARGET = 5, 0.8, 0.99
 MINS, BUCKET, DEPTH = 64, 32, 5
 #: Sets from which each doubling adds a level, and sets in a block of a bucket.
 DEPTH_ROWS, BUCKET_BLOCK = 100_000, 2_000
+#: Rows up to which the table of classes (over 100 bytes a row, on the driver several times over) is broadcast.
+CLASS_ROWS = 100_000
 #: Agreement of the embeddings from which a pair is proposed: over three deviations below the threshold.
 PROPOSE = 0.62
 #: Members and bytes of text of one block of a group.
@@ -208,7 +210,11 @@ def _near_in_blocks(propose: float):
 
 
 def proposed_pairs(reps: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
-    """Pairs (a, b) of rid that join all those that share a bucket and agree in their embeddings."""
+    """Pairs (a, b) of rid that join all those that share a bucket and agree in their embeddings.
+
+    Each level's pairs are written by themselves: one plan of all levels has some hundred
+    exchanges, and the driver plans and lists it anew after each of them.
+    """
     propose = PROPOSE * threshold / THRESHOLD
     slim = reps.select("rid", "mins")
     last = depth_of(slim.count())
@@ -218,7 +224,9 @@ def proposed_pairs(reps: DataFrame, threshold: float = THRESHOLD, target: float
         level = written(level, "level")
         sizes = written(level.groupBy("path").count().where("count > 1"), "sizes")
         small = level.join(sizes.where(f"count <= {BUCKET}"), "path").select("path", "rid").join(slim, "rid").select("path", "rid", "mins")
-        found.append(small.repartition("path").sortWithinPartitions("path", "rid").mapInArrow(_pairs_in_buckets(propose), "a long, b long"))
+        small = small.repartition("path").sortWithinPartitions("path", "rid")
+        found.append(written(small.mapInArrow(_pairs_in_buckets(propose), "a long, b long"), "pairs"))
+        release(reps.sparkSession)
         large = sizes.where(f"count > {BUCKET}")
         if large.isEmpty():
             return _union(found).distinct()
@@ -230,7 +238,8 @@ def proposed_pairs(reps: DataFrame, threshold: float = THRESHOLD, target: float
     cut = rest.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rid", "path"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     tasks = cut.select(F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("path"), side.alias("side"), "rid", "mins")
-    found.append(tasks.repartition("path").sortWithinPartitions("path", "rid").mapInArrow(_near_in_blocks(propose), "a long, b long"))
+    tasks = tasks.repartition("path").sortWithinPartitions("path", "rid")
+    found.append(written(tasks.mapInArrow(_near_in_blocks(propose), "a long, b long"), "pairs"))
     return _union(found).distinct()
 
 
@@ -342,11 +351,12 @@ def similar_documents(docs: DataFrame, size: int = SIZE, threshold: float = THRE
     cut = cut.select(F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("component"), F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), "rid", "set_id", "text")
     tasks = whole.union(cut).repartition("component").sortWithinPartitions("component")
     checked = written(tasks.mapInArrow(_verified(size, threshold), "rid long, links long, root long"), "checked")
+    release(docs.sparkSession)
 
     classes = connected_components(checked.select(F.col("rid").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("rid").agg(F.sum("links").alias("n_links"))
     known = reps.select("rid", "set_id", "rep", "copies").join(classes.withColumnRenamed("node", "rid"), "rid", "left").join(links, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     least = known.groupBy("component").agg(F.min("rep").alias("class_id"))
     known = written(known.join(least, "component").select("set_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies")), "known")
-    out = rows.select("doc_id", "set_id").join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "set_id")
+    out = rows.select("doc_id", "set_id").join(F.broadcast(known) if known.count() <= CLASS_ROWS else known, "set_id")
     return out.select("doc_id", "class_id", "n_links", "n_copies")

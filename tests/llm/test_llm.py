@@ -150,6 +150,27 @@ def test_similar_documents(spark, monkeypatch, block):
     assert got == similar(rows)
 
 
+def test_no_plan_holds_all_levels_of_pairs(spark, monkeypatch):
+    """Pairs of each level are written: what reads them plans no join of a level, however deep the tree."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 4)
+    rows = frame(spark, [(k, f"{' '.join(WORDS[:12])} {k}") for k in range(60)]).select(F.col("doc_id").alias("rid"), "text")
+    reps = rows.mapInArrow(jaccard_join._embedded(jaccard_join.SIZE), "rid long, set_id binary, n long, bytes long, mins binary")
+    pairs = jaccard_join.proposed_pairs(reps)
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs.count() > 0
+
+
+@pytest.mark.parametrize("most", [jaccard_join.CLASS_ROWS, 0])
+def test_classes_broadcast_or_shuffled(spark, monkeypatch, most):
+    """The table of classes is broadcast up to CLASS_ROWS only, with the same result."""
+    rows = made(12)
+    want = sorted(map(tuple, jaccard_join.similar_documents(frame(spark, rows)).collect()), key=str)
+    monkeypatch.setattr(jaccard_join, "CLASS_ROWS", most)
+    out = jaccard_join.similar_documents(frame(spark, rows))
+    assert ("broadcast" in out._jdf.queryExecution().optimizedPlan().toString()) == (most > 0)
+    assert sorted(map(tuple, out.collect()), key=str) == want
+
+
 @pytest.mark.parametrize("block", [jaccard_join.BUCKET_BLOCK, 20])
 def test_pairs_among_texts_of_one_template(spark, monkeypatch, block):
     """Pairs at the threshold meet among 10,000 texts that share half their words, where buckets stay large."""
