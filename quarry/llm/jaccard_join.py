@@ -212,24 +212,30 @@ def _near_in_blocks(propose: float):
 def proposed_pairs(reps: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
     """Pairs (a, b) of rid that join all those that share a bucket and agree in their embeddings.
 
-    Each level's pairs are written by themselves: one plan of all levels has some hundred
-    exchanges, and the driver plans and lists it anew after each of them.
+    Each level's small buckets are written, and the embeddings join those of all levels once:
+    one plan of all levels has some hundred exchanges, and the driver plans and lists it anew
+    after each of them.
     """
     propose = PROPOSE * threshold / THRESHOLD
     slim = reps.select("rid", "mins")
     last = depth_of(slim.count())
     level = slim.mapInArrow(_first_level(runs_needed(last, target, threshold)), "path long, rid long")
-    found = []
+    buckets = []
+
+    def pairs_of(tasks: DataFrame, compare) -> DataFrame:
+        return written(tasks.repartition("path").sortWithinPartitions("path", "rid").mapInArrow(compare(propose), "a long, b long"), "pairs")
+
+    def in_buckets() -> DataFrame:
+        return pairs_of(_union(buckets).join(slim, "rid").select("path", "rid", "mins"), _pairs_in_buckets)
+
     for depth in range(1, last + 1):
         level = written(level, "level")
         sizes = written(level.groupBy("path").count().where("count > 1"), "sizes")
-        small = level.join(sizes.where(f"count <= {BUCKET}"), "path").select("path", "rid").join(slim, "rid").select("path", "rid", "mins")
-        small = small.repartition("path").sortWithinPartitions("path", "rid")
-        found.append(written(small.mapInArrow(_pairs_in_buckets(propose), "a long, b long"), "pairs"))
+        buckets.append(written(level.join(sizes.where(f"count <= {BUCKET}"), "path").select("path", "rid"), "buckets"))
         release(reps.sparkSession)
         large = sizes.where(f"count > {BUCKET}")
         if large.isEmpty():
-            return _union(found).distinct()
+            return in_buckets().distinct()
         rest = level.join(large, "path").select("path", "rid", "count").join(slim, "rid").select("path", "rid", "mins", "count")
         if depth < last:
             level = rest.select("path", "rid", "mins").mapInArrow(_next_level(threshold), "path long, rid long")
@@ -238,9 +244,7 @@ def proposed_pairs(reps: DataFrame, threshold: float = THRESHOLD, target: float
     cut = rest.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rid", "path"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     tasks = cut.select(F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("path"), side.alias("side"), "rid", "mins")
-    tasks = tasks.repartition("path").sortWithinPartitions("path", "rid")
-    found.append(written(tasks.mapInArrow(_near_in_blocks(propose), "a long, b long"), "pairs"))
-    return _union(found).distinct()
+    return in_buckets().union(pairs_of(tasks, _near_in_blocks)).distinct()
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
