@@ -1,6 +1,7 @@
 """Hand-worked cases."""
 
 import math
+import unicodedata
 import zipfile
 
 from pyspark.sql import functions as F
@@ -174,6 +175,19 @@ def test_only_texts_with_marks_reach_python(spark):
     assert "nfc(CASE WHEN" in plan or "ArrowEvalPython [nfc(_" in plan, plan
 
 
+def test_every_text_that_nfc_changes_is_composed(spark):
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    changed = [f"a{c}" for c in every if unicodedata.normalize("NFC", c) != c]
+    pairs = [unicodedata.normalize("NFD", c) for c in every if unicodedata.normalize("NFC", unicodedata.normalize("NFD", c)) == c != unicodedata.normalize("NFD", c)]
+    late = ["q" + c + "\u0323" for c in every if unicodedata.combining(c) > 220]  # put in another order
+    given = changed + pairs + late + ["\u1100\u1161\u11a8", "\uac00\u11a8"]
+    assert len(changed) > 1000 and len(pairs) > 12000
+    got = spark.createDataFrame(list(enumerate(given)), "k int, t string").select("k", T.composed(F.col("t")).alias("t")).collect()
+    assert {r["k"]: r["t"] for r in got} == {k: unicodedata.normalize("NFC", t) for k, t in enumerate(given)}
+    low = [chr(a) + chr(b) for a in range(0x300) for b in range(0x300)]  # what is left out has nothing to change
+    assert all(unicodedata.is_normalized("NFC", x) for x in low)
+
+
 def test_postings_are_shuffled_once(spark):
     rows = spark.createDataFrame([(1, "a b a", "b"), (2, "", None), (3, None, "c a"), (4, "rested resting", "x")], "k long, t string, u string")
     columns = {"t": "t", "u": "u"}
