@@ -23,6 +23,9 @@ from quarry.operators.lexical import Expression, scored
 BUCKETS = 64
 #: Bags whose postings are put together at a time.
 BAGS = 10_000
+#: Tokens whose postings are sorted at a time (about 100 MB in Python), and postings in a batch that leaves Python.
+RUN_TOKENS = 1_000_000
+HITS = 100_000
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -35,6 +38,31 @@ def bags_of(rows: DataFrame, key: str, columns: dict[str, str], fold: bool) -> D
     return bags.withColumn("len", reduce(lambda a, b: a + b, (F.size(n) for n in columns)))
 
 
+def _places(bags: pa.Array, stemmed: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the bags of a column: its terms, sorted; then, by term, row and place, the term, row and place of each token; and where a new pair of term and row begins."""
+    words = bags.flatten().dictionary_encode()
+    spelt, code = words.dictionary, words.indices.to_numpy()
+    if stemmed:
+        again = pa.array([stem(t) for t in spelt.to_pylist()], pa.string()).dictionary_encode()
+        spelt, code = again.dictionary, again.indices.to_numpy()[code]
+    by_name = pc.sort_indices(spelt).to_numpy()
+    rank = np.empty(len(by_name), np.int32)
+    rank[by_name] = np.arange(len(by_name))
+    code = rank[code]
+    size = pc.fill_null(pc.list_value_length(bags), 0).to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    order = np.argsort(code, kind="stable")
+    code, row, place = code[order], row[order], place[order].astype(np.int32)
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
+    return spelt.take(pa.array(by_name)), code, row, place, np.flatnonzero(new)
+
+
+def _listed(starts: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, n), pa.int32()), values)
+
+
 def _by_term(columns: list[str], stemmed: bool):
     """Of a batch of bags: one row for each term and column, with arrays of its keys, their lengths and its positions."""
 
@@ -43,31 +71,63 @@ def _by_term(columns: list[str], stemmed: bool):
             for at in range(0, whole.num_rows, BAGS):
                 batch = whole.slice(at, BAGS)
                 for name in columns:
-                    bags = batch.column(name)
-                    words = bags.flatten().dictionary_encode()
-                    if not len(words):
+                    spelt, code, row, place, hit = _places(batch.column(name), stemmed)
+                    if not len(hit):
                         continue
-                    spelt, code = words.dictionary, words.indices.to_numpy()
-                    if stemmed:
-                        again = pa.array([stem(t) for t in spelt.to_pylist()], pa.string()).dictionary_encode()
-                        spelt, code = again.dictionary, again.indices.to_numpy()[code]
-                    size = pc.fill_null(pc.list_value_length(bags), 0).to_numpy().astype(np.int64)
-                    row = np.repeat(np.arange(len(size)), size)
-                    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-                    order = np.argsort(code, kind="stable")  # by term, then row, then place
-                    code, row, place = code[order], row[order], place[order].astype(np.int32)
-                    new = np.ones(len(code), bool)
-                    new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
-                    hit = np.flatnonzero(new)
                     first = np.flatnonzero(np.diff(code[hit], prepend=-1))
-                    listed = lambda ends, n, values: pa.ListArray.from_arrays(pa.array(np.append(ends, n), pa.int32()), values)
                     some = pa.array(row[hit])
-                    lists = [listed(first, len(hit), x) for x in (batch.column("key").take(some), batch.column("len").take(some), listed(hit, len(place), pa.array(place)))]
+                    lists = [_listed(first, len(hit), x) for x in (batch.column("key").take(some), batch.column("len").take(some), _listed(hit, len(place), pa.array(place)))]
                     yield pa.RecordBatch.from_arrays([spelt.take(pa.array(code[hit[first]])), pa.array([name] * len(first), pa.string()), *lists], names=["term", "col", "keys", "lens", "places"])
 
     return group
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bags (with ``len``) put together, or cut between bags, into batches that just reach RUN_TOKENS; a bag counts as a token more."""
+    held, n = [], 0
+    for whole in batches:
+        ends = np.cumsum(whole.column("len").to_numpy().astype(np.int64) + 1)
+        at = 0
+        while at < whole.num_rows:
+            before = ends[at - 1] if at else 0
+            upto = min(int(np.searchsorted(ends, before + RUN_TOKENS - n)) + 1, whole.num_rows)
+            held.append(whole.slice(at, upto - at))
+            at, n = upto, n + int(ends[upto - 1] - before)
+            if n >= RUN_TOKENS:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _in_runs(columns: list[str], stemmed: bool):
+    """Postings of bags (key, len, row and tokens), sorted by term within each run and column."""
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _runs(batches):
+            for name in columns:
+                spelt, code, row, place, hit = _places(batch.column(name), stemmed)
+                for at in range(0, len(hit), HITS):
+                    some = hit[at : at + HITS]
+                    end = hit[at + HITS] if at + HITS < len(hit) else len(place)
+                    rows = pa.array(row[some])
+                    yield pa.RecordBatch.from_arrays(
+                        [spelt.take(pa.array(code[some])), *(batch.column(c).take(rows) for c in ("key", "len", "row")), pa.array([name] * len(some), pa.string()), _listed(some - some[0], end - some[0], pa.array(place[some[0] : end]))],
+                        names=["term", "key", "len", "row", "col", "positions"],
+                    )
+
+    return posted
+
+
+def runs_of(bags: DataFrame, columns: dict[str, str], stemmed: bool) -> DataFrame:
+    """Postings (term, key, len, row, col, positions) of bags (key, len, row and tokens), made and left where the bags lie.
+
+    Nothing is shuffled or sorted by Spark: each task gives runs of RUN_TOKENS tokens, each
+    sorted by term, so that the statistics of a file's pages tell where a term may be.
+    """
+    return bags.select("key", "len", "row", *columns).mapInArrow(_in_runs(list(columns), stemmed), f"term string, key {dict(bags.dtypes)['key']}, len int, row long, col string, positions array<int>")
+
+
 def postings_of(bags: DataFrame, columns: dict[str, str], stemmed: bool, buckets: int) -> DataFrame:
     """Postings of bags, dealt out by bucket.
 

@@ -68,19 +68,20 @@ class Snapshots:
         rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/{base}").parquet(*(f"{self.root}/{f}" for f in table["folders"]))
         return rows.select(*schema.names)  # without the column that tells folders apart
 
-    def publish(self, tables: dict[str, DataFrame], append: tuple[str, ...] = (), dropped: tuple[str, ...] = (), partition_by: dict[str, str] | None = None, notes: dict | None = None, base: dict | None = None, behind: dict[str, list[str]] | None = None) -> int:
+    def publish(self, tables: dict[str, DataFrame], append: tuple[str, ...] = (), dropped: tuple[str, ...] = (), partition_by: dict[str, str] | None = None, notes: dict | None = None, base: dict | None = None, behind: dict[str, list[str]] | None = None, options: dict[str, str] | None = None) -> int:
         """Write tables and make them the next version, together with all that is not named; returns its number.
 
         Tables replace those of their name, those in ``append`` are added to them, and the
         folders in ``behind`` stay behind a replacing table. ``base`` is the pointer that the
-        tables were derived from, by default the last one.
+        tables were derived from, by default the last one. ``options`` are those of the Parquet writer.
         """
         base = base or self.pointer()
         new = {k: v for k, v in base["tables"].items() if k not in dropped}
         for name, df in tables.items():
             folder = f"data/{name}/write={uuid.uuid4().hex}"
             by = (partition_by or {}).get(name)
-            (df.write.partitionBy(by) if by else df.write).parquet(f"{self.root}/{folder}")
+            writer = df.write.options(**(options or {}))
+            (writer.partitionBy(by) if by else writer).parquet(f"{self.root}/{folder}")
             schema = json.loads(T.StructType(sorted((T.StructField(f.name, f.dataType) for f in df.schema), key=lambda f: f.name == by)).json())
             held = new[name]["folders"] if name in append and name in new else []
             new[name] = {"schema": schema, "folders": [*held, folder, *(behind or {}).get(name, [])]}

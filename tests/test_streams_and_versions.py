@@ -2,7 +2,9 @@
 
 import math
 import random
+import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +133,56 @@ def test_segments_score_like_a_rebuild(spark, tmp_path, stemmed):
     assert 0 in scores(segments.search(Expression(any_of=WORDS), version=before)) or live  # old versions can still be read
 
 
+def test_segments_write_postings_where_rows_lie(spark, tmp_path, monkeypatch):
+    """No postings are shuffled or sorted, by an addition or a merge, however many rows are hidden; and what was written on the way is gone."""
+    plans, publish, shared = [], Snapshots.publish, tmp_path / "shared"
+
+    def seen(self, tables, **how):
+        if "postings" in tables:
+            plans.append(tables["postings"]._jdf.queryExecution().executedPlan().toString())
+        return publish(self, tables, **how)
+
+    monkeypatch.setattr(Snapshots, "publish", seen)
+    monkeypatch.setattr("quarry.operators.segments.new_path", lambda spark, name: f"file://{shared}/{name}-{uuid.uuid4().hex}", raising=False)
+    segments = Segments(spark, str(tmp_path / "segments"))
+    rows = spark.range(70_000).select(F.col("id"), F.concat(F.lit("all n"), F.col("id") % 7).alias("text"))
+    segments.add(rows.union(rows.where("id % 1000 = 5")), "id")  # of equal keys one counts
+    first = segments.store.versions()[-1]
+    assert segments.merge() == first  # one segment, nothing hidden
+    segments.add(rows.where("id % 5 = 0").withColumn("text", F.lit("all anew")), "id")
+    segments.delete(rows.where("id % 3 = 0"), "id")
+    live = [k for k in range(70_000) if k % 3]
+
+    def right():
+        assert sorted(r["key"] for r in segments.live_rows().collect()) == live
+        assert sorted(r["key"] for r in segments.search(Expression(any_of=["n2"])).collect()) == [k for k in live if k % 7 == 2 and k % 5]
+
+    right()
+    with monkeypatch.context() as m:
+        m.setattr("quarry.operators.segments.BROADCAST_BITMAPS", -1, raising=False)
+        right()
+    segments.merge()
+    right()
+    assert shared.exists() and list(shared.iterdir()) == []
+    # What is dealt out or sorted are bitmaps on their way to a broadcast.
+    moved = [line for p in plans for line in p.replace("BroadcastExchange", "").splitlines() if "Exchange" in line or "Sort " in line or "SortMerge" in line]
+    assert len(plans) == 3 and all("seg#" in line for line in moved), moved
+
+
+@pytest.mark.parametrize("tokens", [1, 4, 1_000])
+def test_runs_hold_every_posting(tokens, monkeypatch):
+    monkeypatch.setattr(index, "RUN_TOKENS", tokens)
+    monkeypatch.setattr(index, "HITS", 2)
+    texts = [["b", "a", "b"], [], ["c"], ["a", "a"], [], ["rests", "b"]]
+    batch = lambda at, rows: pa.RecordBatch.from_pydict({"key": [f"k{at + k}" for k in range(len(rows))], "len": pa.array([len(r) for r in rows], pa.int32()), "row": pa.array([at + k for k in range(len(rows))], pa.int64()), "t": pa.array(rows, pa.list_(pa.string()))})
+    got = [r for b in index._in_runs(["t"], True)(iter([batch(0, texts[:2]), batch(2, texts[2:2]), batch(2, texts[2:])])) for r in b.to_pylist()]
+    want = [(w, k, [p for p, x in enumerate(t) if x == w]) for k, t in enumerate(texts) for w in set(t)]
+    assert sorted((r["term"], r["row"], r["positions"]) for r in got) == sorted(("rest" if w == "rests" else w, k, p) for w, k, p in want)
+    assert all(r["key"] == f"k{r['row']}" and r["len"] == len(texts[r["row"]]) and r["col"] == "t" for r in got)
+    if tokens == 1_000:
+        assert [r["term"] for r in got] == sorted(r["term"] for r in got)
+
+
 def test_stream_adds_segments_once(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string"
     source, path = str(tmp_path / "in"), str(tmp_path / "index")
